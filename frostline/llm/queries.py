@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .ngram_join import op4_ngram_join
+from .secret_scan import op3_secret_scan
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_secret_scan, op4_ngram_join)}
 
 ORACLE_SQL: dict[str, str] = {}
