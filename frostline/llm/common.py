@@ -45,6 +45,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of up to so many narrow rows (some tens of MB) may be broadcast; beyond it joins shuffle both sides.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a written table of a few narrow columns for a broadcast, if a count of its rows allows that."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def scan_partitions(df: DataFrame) -> int:
     """How many partitions the plan of ``df`` has; no job runs."""
     return max(1, df.rdd.getNumPartitions())

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .decontamination import op2_decontamination
+from .language_id import op7_language_id
 from .ngram_join import op4_ngram_join
+from .packing import op8_packing
+from .quality import op6_quality
 from .secret_scan import op3_secret_scan
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_secret_scan, op4_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_secret_scan, op4_ngram_join, op6_quality, op7_language_id, op8_packing)}
 
 ORACLE_SQL: dict[str, str] = {}

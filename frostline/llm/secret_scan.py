@@ -56,7 +56,7 @@ def default_vocabulary() -> str:
 
 
 @cache
-def _encoding(vocabulary: str):
+def encoding(vocabulary: str):
     import public_tokenizers
     import tiktoken
 
@@ -70,7 +70,7 @@ def is_random(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> b
         return False
     if _DIGEST.match(run) or _IDENTIFIER.match(run):
         return False
-    return len(run) <= most * len(_encoding(vocabulary).encode_ordinary(run))
+    return len(run) <= most * len(encoding(vocabulary).encode_ordinary(run))
 
 
 def _screen(texts: list[bytes]) -> np.ndarray:
