@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontamination
+from .fingerprint import op10_fingerprint
+from .html_text import op5_html_text
 from .language_id import op7_language_id
 from .ngram_join import op4_ngram_join
+from .ngram_lm import op9_lm_score
 from .packing import op8_packing
 from .quality import op6_quality
 from .secret_scan import op3_secret_scan
 from .substring_dedup import op1_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_secret_scan, op4_ngram_join, op6_quality, op7_language_id, op8_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_decontamination,
+        op3_secret_scan,
+        op4_ngram_join,
+        op5_html_text,
+        op6_quality,
+        op7_language_id,
+        op8_packing,
+        op9_lm_score,
+        op10_fingerprint,
+    )
+}
 
+#: The contracts of these operators have no practical SQL on whole tables; the tests hold brute-force versions.
 ORACLE_SQL: dict[str, str] = {}
