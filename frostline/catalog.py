@@ -2,5 +2,236 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frostline.operators.disposition import label_series as label
+from frostline.operators.evaluation import latest_by_key, macro_f1, vote_categorical, vote_numeric
+from frostline.operators.funnel import with_outcome
+from frostline.plans.gates import evaluate, ratchet
+from frostline.sources.adapters import generation_log, table, telemetry
+from frostline.streaming.replay import screen, windowed_hits
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_TELEMETRY = """WITH t AS (SELECT user_id AS series_id, event_id, ts,
+    CASE user_id % 4 WHEN 0 THEN 'seafood' WHEN 1 THEN 'eggs' WHEN 2 THEN 'dairy' ELSE 'frozen' END AS product,
+    CASE WHEN event_type = 'error' AND value < 2 THEN -99.9::DOUBLE WHEN user_id % 4 = 3 THEN value / 25.0::DOUBLE - 22.0::DOUBLE ELSE value / 25.0::DOUBLE END AS reading_c
+  FROM events),
+specs(product, min_c, max_c, refreeze_c, hold_min, reject_min, shelf_days) AS (VALUES
+  ('seafood', 0.0::DOUBLE, 4.0::DOUBLE, NULL::DOUBLE, 60, 180, 5), ('eggs', 0.0, 5.0, NULL, 240, 720, 28), ('dairy', 0.0, 5.0, NULL, 90, 240, 10), ('frozen', NULL, -18.0, -12.0, 30, 120, 180)),
+r AS (SELECT t.*, specs.* EXCLUDE (product), (reading_c IS NULL OR reading_c IN (-99.9, -999, 999) OR reading_c <= -50 OR reading_c >= 80) AS bad FROM t LEFT JOIN specs USING (product)),
+"""
+_LABEL = """p AS (SELECT {keys}, product, any_value(max_c) AS max_c, any_value(refreeze_c) AS refreeze_c, any_value(hold_min) AS hold_min, any_value(reject_min) AS reject_min,
+    any_value(shelf_days) AS shelf_days, count(*) AS n_readings, count(*) FILTER (bad) AS n_excluded, max(reading_c) FILTER (NOT bad) AS peak_c,
+    15 * count(*) FILTER (NOT bad AND (reading_c > max_c OR (min_c IS NOT NULL AND reading_c < min_c))) AS excursion_min
+  FROM r GROUP BY {keys}, product),
+q AS (SELECT *, shelf_days - series_id % (shelf_days + 3) AS remaining_days FROM p),
+s AS (SELECT *, CASE WHEN max_c IS NULL THEN 'R000_unknown_product' WHEN series_id % 13 = 0 THEN 'R001_missing_fields' WHEN n_excluded = n_readings THEN 'R002_all_readings_sentinel'
+    WHEN remaining_days <= 0 THEN 'R010_expired' WHEN peak_c > refreeze_c THEN 'R011_partial_thaw' WHEN series_id % 7 = 0 THEN 'R020_sensor_artifact'
+    WHEN n_excluded * 1.0::DOUBLE / n_readings > 0.02 THEN 'R021_sentinel_threshold_exceeded' WHEN excursion_min >= reject_min THEN 'R030_excursion_over_reject'
+    WHEN excursion_min >= hold_min THEN 'R031_excursion_over_hold' WHEN excursion_min > 0 AND remaining_days <= 2 THEN 'R040_minor_excursion_short_life'
+    WHEN excursion_min > 0 AND series_id % 5 = 0 AND remaining_days <= 4 THEN 'R041_peak_season_short_life' WHEN excursion_min > 0 THEN 'R050_minor_excursion_in_tolerance'
+    WHEN remaining_days <= 1 THEN 'R042_end_of_life' ELSE 'R060_in_spec' END AS rule_id FROM q),
+l AS (SELECT *, CASE left(rule_id, 4) WHEN 'R000' THEN 'insufficient_data' WHEN 'R001' THEN 'insufficient_data' WHEN 'R002' THEN 'insufficient_data'
+    WHEN 'R010' THEN 'reject' WHEN 'R011' THEN 'reject' WHEN 'R030' THEN 'reject' WHEN 'R050' THEN 'accept' WHEN 'R060' THEN 'accept' ELSE 'hold_for_qa' END AS disposition FROM s)
+"""
+_SERIES = _TELEMETRY + _LABEL.format(keys="series_id")
+_COLUMNS = "product, n_readings, n_excluded, peak_c, excursion_min, remaining_days, disposition, rule_id"
+
+_LOG = """WITH g AS (SELECT doc_id, doc_id % 8 + 1 AS wave, source AS cell, lang AS language,
+    CASE doc_id % 4 WHEN 0 THEN 'logger_csv' WHEN 1 THEN 'chat_message' WHEN 2 THEN 'qc_form_ocr' ELSE 'voice_note' END AS artifact_type,
+    CASE doc_id % 6 WHEN 0 THEN 'AE' WHEN 1 THEN 'SA' WHEN 2 THEN 'QA' WHEN 3 THEN 'KW' WHEN 4 THEN 'OM' ELSE 'BH' END AS jurisdiction,
+    CASE doc_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'hold_for_qa' ELSE 'reject' END AS disposition,
+    CASE doc_id % 5 WHEN 0 THEN ' consistent ' WHEN 1 THEN 'INCONSISTENT' WHEN 2 THEN 'leaks_label' WHEN 3 THEN 'Consistent' ELSE 'maybe' END AS screener_reply,
+    doc_id % 10 = 0 AS is_adversarial, doc_id % 11 <> 0 AS round_trip_ok, CASE WHEN doc_id % 19 = 0 THEN NULL ELSE (n_chars % 100) / 100.0::DOUBLE END AS confidence,
+    coalesce(text, '') || CASE WHEN doc_id % 29 = 0 THEN ' product_code=x1' WHEN doc_id % 31 = 0 THEN ' we recommend expedite sale now' WHEN doc_id % 12 = 0 THEN ' 2026-07-22 09:' ELSE '' END AS rendered_text
+  FROM documents),
+h AS (SELECT *, CASE WHEN upper(trim(screener_reply)) IN ('CONSISTENT', 'INCONSISTENT', 'LEAKS_LABEL') THEN upper(trim(screener_reply)) ELSE 'UNPARSEABLE' END AS verdict,
+    regexp_matches(rendered_text, '(?i)product_code\\s*=|\\bcell\\s*[:=]|\\bscenario\\s*[:=]|rule_engine_sha|prompt_template_hash') AS h18,
+    regexp_matches(rendered_text, '(?i)\\bexpedite[\\s_-]?sale\\b|\\bexpedite\\b[^.\\n]{0,30}\\bsale\\b') AS h15,
+    artifact_type = 'logger_csv' AND regexp_matches(rendered_text, '\\d{4}-\\d{2}-\\d{2}[ T]\\d{2}:\\s*$') AS h02 FROM g),
+f AS (SELECT *, h18::INT + h15::INT + h02::INT AS n_rules, CASE WHEN verdict <> 'CONSISTENT' THEN 'dropped_screener' WHEN h18 OR h15 OR h02 THEN 'dropped_guardrail' WHEN NOT round_trip_ok THEN 'dropped_roundtrip'
+    WHEN coalesce(confidence, 0) < 0.6 THEN 'dropped_low_confidence' ELSE 'kept' END AS outcome FROM h)
+"""
+
+
+def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_outcome(generation_log(spark, sf_dir))
+
+
+@query(_SERIES + f"SELECT series_id, {_COLUMNS} FROM l")
+def label_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label(telemetry(spark, sf_dir), "series_id")
+
+
+@query(_TELEMETRY.replace("event_id, ts,", "event_id, ts, CAST(ts AS DATE) AS day,", 1) + _LABEL.format(keys="series_id, day") + f"SELECT series_id, day, {_COLUMNS} FROM l")
+def label_series_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label(telemetry(spark, sf_dir).withColumn("day", F.to_date("ts")), "series_id", "day")
+
+
+@query(_SERIES + "SELECT product, disposition, count(*) AS n FROM l GROUP BY ALL")
+def disposition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_series(spark, sf_dir).groupBy("product", "disposition").agg(F.count("*").alias("n"))
+
+
+@query(_SERIES + "SELECT rule_id, count(*) AS n FROM l GROUP BY ALL")
+def rule_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_series(spark, sf_dir).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(_SERIES + "SELECT count(*) FILTER (disposition = 'expedite_sale') AS n_expedite, count(*) AS n FROM l")
+def expedite_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_series(spark, sf_dir).agg(F.count_if(F.col("disposition") == "expedite_sale").alias("n_expedite"), F.count("*").alias("n"))
+
+
+@query(_LOG + "SELECT doc_id, wave, cell, verdict, outcome FROM f")
+def outcome_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _funnel(spark, sf_dir).select("doc_id", "wave", "cell", "verdict", "outcome")
+
+
+@query(_LOG + "SELECT outcome, count(*) AS n FROM f WHERE outcome <> 'kept' GROUP BY ALL")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _funnel(spark, sf_dir).where("outcome <> 'kept'").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(_LOG + "SELECT cell, wave, round(avg((outcome = 'kept')::INT), 3) AS rate, count(*) AS attempted FROM f GROUP BY ALL")
+def survival_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = (F.col("outcome") == "kept").cast("int")
+    return _funnel(spark, sf_dir).groupBy("cell", "wave").agg(F.round(F.avg(kept), 3).alias("rate"), F.count("*").alias("attempted"))
+
+
+@query(_LOG + "SELECT cell, language, artifact_type, jurisdiction, count(*) AS requested, count(*) FILTER (outcome = 'kept') AS kept, max(wave) AS last_wave FROM f GROUP BY GROUPING SETS ((cell), (language), (artifact_type), (jurisdiction), ())")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _funnel(spark, sf_dir)
+    axes = [F.col(c) for c in ("cell", "language", "artifact_type", "jurisdiction")]
+    sets = rows.groupingSets([[a] for a in axes] + [[]], *axes)
+    return sets.agg(F.count("*").alias("requested"), F.count_if(F.col("outcome") == "kept").alias("kept"), F.max("wave").alias("last_wave"))
+
+
+@query(_LOG + "SELECT max(n) * 1.0::DOUBLE / sum(n) AS max_class_share FROM (SELECT count(*) AS n FROM f WHERE outcome = 'kept' GROUP BY disposition)")
+def max_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _funnel(spark, sf_dir).where("outcome = 'kept'").groupBy("disposition").agg(F.count("*").alias("n"))
+    return counts.agg((F.max("n") / F.sum("n")).alias("max_class_share"))
+
+
+@query(_LOG + "SELECT round(avg(abs(kept - 20) / 20.0::DOUBLE), 9) AS deviation FROM (SELECT cell, count(*) FILTER (outcome = 'kept') AS kept FROM f GROUP BY cell)")
+def cell_fill_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _funnel(spark, sf_dir).groupBy("cell").agg(F.count_if(F.col("outcome") == "kept").alias("kept"))
+    return cells.agg(F.round(F.avg(F.abs(F.col("kept") - 20) / F.lit(20.0)), 9).alias("deviation"))
+
+
+@query(_LOG + "SELECT rule_id, count(*) AS n FROM (SELECT unnest([CASE WHEN h18 THEN 'GCC-EDGE-018' END, CASE WHEN h15 THEN 'GCC-EDGE-015' END, CASE WHEN h02 THEN 'GCC-EDGE-002' END]) AS rule_id FROM f) WHERE rule_id IS NOT NULL GROUP BY ALL")
+def guardrail_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _funnel(spark, sf_dir).select(F.explode("rules").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(_LOG + "SELECT jurisdiction, artifact_type, count(*) AS n, count(*) FILTER (n_rules > 0) AS violations, round(avg((n_rules > 0)::INT), 6) AS rate, round(avg(confidence), 6) AS mean_confidence FROM f GROUP BY GROUPING SETS ((jurisdiction), (artifact_type), ())")
+def audit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _funnel(spark, sf_dir)
+    axes = [F.col("jurisdiction"), F.col("artifact_type")]
+    hit = F.size("rules") > 0
+    sets = rows.groupingSets([[a] for a in axes] + [[]], *axes)
+    return sets.agg(F.count("*").alias("n"), F.count_if(hit).alias("violations"), F.round(F.avg(hit.cast("int")), 6).alias("rate"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
+@query(_LOG + "SELECT disposition, count(*) AS n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM f WHERE outcome = 'kept' GROUP BY disposition")
+def disposition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _funnel(spark, sf_dir).where("outcome = 'kept'").groupBy("disposition").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("disposition", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+
+
+@query("SELECT doc_id FROM documents WHERE CAST('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 8) AS BIGINT) % 100 < 5")
+def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
+    part = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
+    return table(spark, sf_dir, "documents").where(part < 5).select("doc_id")
+
+
+_PREDICTED = "SELECT l_returnflag AS truth, CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' ELSE 'R' END AS predicted, l_linestatus AS grp FROM lineitem"
+_F1 = f"""WITH p AS ({_PREDICTED}), c AS (SELECT {{g}} truth, predicted, count(*) AS n FROM p GROUP BY ALL),
+s AS (SELECT {{g}} truth AS label, CASE WHEN truth = predicted THEN n ELSE 0 END AS tp, n FROM c UNION ALL SELECT {{g}} predicted, 0, n FROM c),
+k AS (SELECT {{g}} label, 2.0::DOUBLE * sum(tp) / sum(n) AS f1, sum(n) AS total FROM s GROUP BY ALL)
+SELECT {{g}} round(avg(f1), 6) AS macro_f1, CAST(sum(total) / 2 AS BIGINT) AS n FROM k {{by}}"""
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = F.when(F.col("l_quantity") < 17, "A").when(F.col("l_quantity") < 34, "N").otherwise("R")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("truth"), predicted.alias("predicted"), F.col("l_linestatus").alias("grp"))
+
+
+@query(_F1.format(g="", by=""))
+def macro_f1_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return macro_f1(_predictions(spark, sf_dir))
+
+
+@query(_F1.format(g="grp,", by="GROUP BY grp"))
+def group_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return macro_f1(_predictions(spark, sf_dir), "grp")
+
+
+@query("WITH v AS (SELECT conv_id AS item, (length(text) % 5 + 1)::DOUBLE AS vote FROM conversations), m AS (SELECT item, quantile_cont(vote, 0.5) AS median FROM v GROUP BY item), a AS (SELECT item, median, round(avg((abs(vote - median) <= 1e-6)::INT), 6) AS agreement FROM v JOIN m USING (item) GROUP BY ALL) SELECT *, agreement < 0.6 AS escalated FROM a")
+def numeric_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item"), (F.char_length("text") % 5 + 1).cast("double").alias("vote"))
+    return vote_numeric(votes)
+
+
+@query("WITH c AS (SELECT conv_id AS item, role AS vote, count(*) AS n, min(turn) AS seen FROM conversations GROUP BY ALL), b AS (SELECT item, max_by(vote, (n, -seen)) AS vote, round(max(n) * 1.0::DOUBLE / sum(n), 6) AS agreement FROM c GROUP BY item) SELECT *, agreement < 0.6 AS escalated FROM b")
+def categorical_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    votes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item"), F.col("role").alias("vote"), F.col("turn").alias("position"))
+    return vote_categorical(votes)
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_by_key(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, CASE event_id % 2 WHEN 0 THEN 'logger_csv' ELSE 'chat_message' END AS artifact_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS violations FROM events GROUP BY ALL")
+def replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("event_type") == "error", "product_code=1").otherwise("fine")
+    kind = F.when(F.col("event_id") % 2 == 0, "logger_csv").otherwise("chat_message")
+    records = table(spark, sf_dir, "events").select("ts", text.alias("rendered_text"), kind.alias("artifact_type"))
+    return windowed_hits(screen(records))
+
+
+@query("SELECT n_name, r_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def jurisdiction_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    per = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.sum("c_acctbal").alias("s"))
+    joined = per.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.select("n_name", "r_name", "customers", F.round("s", 2).alias("balance"))
+
+
+_METRICS = ", m AS (SELECT 'guardrail_violation_rate' AS metric, avg((n_rules > 0)::INT) AS value FROM f UNION ALL SELECT 'round_trip_recovery', avg(round_trip_ok::INT) FROM f UNION ALL SELECT 'screener_flag_rate', avg((verdict <> 'CONSISTENT')::INT) FROM f)"
+_BOUNDS = ", b(metric, op, lo, hi) AS (VALUES ('schema_validity', '>=', 0.995::DOUBLE, NULL::DOUBLE), ('round_trip_recovery', '>=', 0.95, NULL), ('screener_flag_rate', 'between', 0.02, 0.08), ('near_duplicate_rate', '<=', 0.03, NULL), ('cell_fill_deviation', '<=', 0.10, NULL), ('max_class_share', '<=', 0.45, NULL), ('leakage_probe_acc', '<=', 0.70, NULL), ('language_authenticity', '>=', 3.5, NULL), ('annotator_kappa', '>=', 0.75, NULL), ('guardrail_violation_rate', '<=', 0.01, NULL))"
+
+
+@query(_LOG + _METRICS + _BOUNDS + " SELECT metric, value, coalesce(ok, false) AS passed, CASE WHEN value IS NULL THEN 'not measured' WHEN NOT ok THEN 'out of bounds' ELSE '' END AS reason FROM (SELECT b.metric, round(value, 6) AS value, CASE op WHEN '>=' THEN value >= lo WHEN '<=' THEN value <= lo ELSE value BETWEEN lo AND hi END AS ok FROM b LEFT JOIN m USING (metric))")
+def gate_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = lambda condition: F.avg(condition.cast("int"))
+    one = _funnel(spark, sf_dir).agg(
+        share(F.size("rules") > 0).alias("guardrail_violation_rate"), share(F.col("round_trip_ok")).alias("round_trip_recovery"), share(F.col("verdict") != "CONSISTENT").alias("screener_flag_rate")
+    )
+    metrics = one.unpivot([], list(one.columns), "metric", "value")
+    return evaluate(spark, metrics).withColumn("value", F.round("value", 6))
+
+
+@query(_LOG + ", c AS (SELECT cell, avg((outcome = 'kept')::INT) FILTER (wave <= 4) AS b, avg((outcome = 'kept')::INT) FILTER (wave > 4) AS n FROM f GROUP BY cell), o AS (SELECT coalesce(min(n) < min(b), false) AS worst_fell, count(*) FILTER (b >= 0.8 AND coalesce(n, 0) < 0.8) AS cells_lost FROM c) SELECT *, NOT worst_fell AND cells_lost = 0 AS passed FROM o")
+def ratchet_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _funnel(spark, sf_dir).withColumn("kept", (F.col("outcome") == "kept").cast("int"))
+    per = lambda half: rows.where(half).groupBy("cell").agg(F.avg("kept").alias("f1"))
+    return ratchet(per("wave <= 4"), per("wave > 4"))
