@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline.functions.rules import is_sentinel
 from frostline.operators.disposition import label_series as label
 from frostline.operators.evaluation import latest_by_key, macro_f1, vote_categorical, vote_numeric
 from frostline.operators.funnel import with_outcome
+from frostline.operators.planning import deficits, largest_remainder, nearest_rank, slice_summary
 from frostline.plans.gates import evaluate, ratchet
 from frostline.sources.adapters import generation_log, table, telemetry
 from frostline.streaming.replay import screen, windowed_hits
@@ -235,3 +237,49 @@ def ratchet_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _funnel(spark, sf_dir).withColumn("kept", (F.col("outcome") == "kept").cast("int"))
     per = lambda half: rows.where(half).groupBy("cell").agg(F.avg("kept").alias("f1"))
     return ratchet(per("wave <= 4"), per("wave > 4"))
+
+
+_KEPT = _LOG + ", k AS (SELECT cell, count(*) FILTER (outcome = 'kept') AS kept, count(*) AS requested FROM f GROUP BY cell) "
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _funnel(spark, sf_dir).groupBy("cell").agg(F.count_if(F.col("outcome") == "kept").alias("kept"), F.count("*").alias("requested"))
+
+
+@query(_KEPT + "SELECT cell, kept, round(greatest(0.0, 1.0 - kept / 12.0::DOUBLE), 6) AS deficit FROM k WHERE kept < 12 * 1.05")
+def deficit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deficits(_cells(spark, sf_dir), 12)
+
+
+@query(_KEPT + ", e AS (SELECT cell, requested * 663.0::DOUBLE / sum(requested) OVER () AS exact FROM k), r AS (SELECT cell, floor(exact) AS n, row_number() OVER (ORDER BY exact - floor(exact) DESC, cell) AS rk, 663 - sum(floor(exact)) OVER () AS rest FROM e) SELECT cell, CAST(n + (rk <= rest)::INT AS BIGINT) AS n FROM r")
+def proportional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_remainder(_cells(spark, sf_dir), 663, weight="requested")
+
+
+@query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS mean, max(value) FILTER (rk = CASE WHEN floor(n * 0.99::DOUBLE) < 1 THEN n ELSE floor(n * 0.99::DOUBLE) END) AS p99 FROM r GROUP BY event_type")
+def p99_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rank(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query(_LOG + ", c AS (SELECT cell, round(avg((outcome = 'kept')::INT), 6) AS f1 FROM f GROUP BY cell) SELECT min_by(cell, (f1, cell)) AS worst_cell, min(f1) AS worst_f1, count(*) FILTER (f1 >= 0.8) AS n_passing, round(avg(f1), 6) AS mean_f1 FROM c")
+def slice_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = (F.col("outcome") == "kept").cast("int")
+    return slice_summary(_funnel(spark, sf_dir).groupBy("cell").agg(F.round(F.avg(kept), 6).alias("f1")))
+
+
+@query("WITH s AS (SELECT user_id AS series_id, list(CASE WHEN event_type = 'error' AND value < 2 THEN -99.9::DOUBLE WHEN user_id % 4 = 3 THEN value / 25.0::DOUBLE - 22.0::DOUBLE ELSE value / 25.0::DOUBLE END) AS x FROM events GROUP BY 1) SELECT series_id, len(list_filter(x, lambda v: v > -50 AND v < 80)) AS n_clean, len(x) - len(list_filter(x, lambda v: v > -50 AND v < 80)) AS n_excluded FROM s")
+def sentinel_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = is_sentinel(F.col("reading_c"))
+    return telemetry(spark, sf_dir).groupBy("series_id").agg(F.count_if(~bad).alias("n_clean"), F.count_if(bad).alias("n_excluded"))
+
+
+@query("SELECT count(*) FILTER (quality = toxic) AS agree, count(*) FILTER (quality <> toxic) AS disagree, round(count(*) FILTER (quality = toxic) * 1.0::DOUBLE / greatest(count(*), 1), 6) AS rate FROM labels")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = F.col("quality") == F.col("toxic")
+    return table(spark, sf_dir, "labels").agg(F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree"), F.round(F.count_if(same) / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"))
+
+
+@query("SELECT o_orderpriority, avg(date_diff('day', o_orderdate, l_shipdate)) AS mean_days, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def shelf_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderpriority").agg(F.avg(F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate"))).alias("mean_days"), F.count("*").alias("n"))
