@@ -163,8 +163,8 @@ def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("context", pa.binary()), ("word", pa.binary()), ("count", pa.binary())])
 _ASKED_DDL = "shard int, chunk long, context binary, word binary, count binary"
-_DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("pair", pa.binary())])
-_DOCS_DDL = "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<int>, pair binary"
+_DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("pair", pa.binary()), ("of_word", pa.binary()), ("of_context", pa.binary())])
+_DOCS_DDL = "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<int>, pair binary, of_word binary, of_context binary"
 
 
 def _distinct(doc: np.ndarray, context: np.ndarray, word: np.ndarray, counted: np.ndarray, shards: int):
@@ -198,8 +198,10 @@ def _structure(shards: int):
         part = TaskContext.get().partitionId()
         for number, ids, held, texts in _chunks(batches):
             doc, context, word = _pairs(texts)
-            pair = _distinct(doc, context, word, np.zeros(len(doc)), shards)[4]
-            yield arrow_batch(_DOCS, [[part << 24 | number], [ids], [held], [np.bincount(doc, minlength=len(texts)).tolist()], [pair.astype(np.uint32).tobytes()]])
+            _, context, word, _, pair = _distinct(doc, context, word, np.zeros(len(doc)), shards)
+            names = np.unique(context)  # every word is a context, too
+            numbers = (pair, np.searchsorted(names, word), np.searchsorted(names, context))
+            yield arrow_batch(_DOCS, [[part << 24 | number], [ids], [held], [np.bincount(doc, minlength=len(texts)).tolist()], *([x.astype(np.uint32).tobytes()] for x in numbers)])
 
     return scan
 
@@ -231,14 +233,12 @@ def _score(n_tokens: int, vocabulary: int):
             for r in batch.to_pylist():
                 answers = sorted(r["answers"], key=lambda a: a["shard"])
                 q = np.concatenate([np.frombuffer(a["q"], dtype=np.uint8) for a in answers])
-                pairs_word = np.concatenate([np.frombuffer(a["pair_word"], dtype=np.uint64) for a in answers])
-                pairs_context = np.concatenate([np.frombuffer(a["pair_context"], dtype=np.uint64) for a in answers])
                 names = np.concatenate([np.frombuffer(a["word"], dtype=np.uint64) for a in answers])
                 total = np.concatenate([np.frombuffer(a["total"], dtype=np.int64) for a in answers])
                 successors = np.concatenate([np.frombuffer(a["successors"], dtype=np.int64) for a in answers])
                 order = np.argsort(names)
-                names, total, successors = names[order], total[order], successors[order]
-                of_word, of_context = np.searchsorted(names, pairs_word), np.searchsorted(names, pairs_context)
+                total, successors = total[order], successors[order]
+                of_word, of_context = (np.frombuffer(r[x], dtype=np.uint32) for x in ("of_word", "of_context"))
                 c = total[of_word]
                 plain = np.log10(c + 1.0) - np.log10((n_tokens + 1.0) * (vocabulary + 1.0))
                 unigram = (c + 1.0) / (n_tokens + vocabulary + 1.0)
@@ -266,8 +266,7 @@ def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame
     answered = materialize(answered, "lm-answers")
     totals = answered.select("shard", "word", "total").mapInArrow(_known, "word long, total long").distinct().agg(F.sum("total"), F.count("*")).first()
     n_tokens, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
-    pairs = asked.select("shard", "chunk", F.col("context").alias("pair_context"), F.col("word").alias("pair_word"))
-    replies = answered.join(pairs, ["shard", "chunk"]).groupBy("chunk").agg(F.collect_list(F.struct("shard", "q", "total", "successors", "word", "pair_word", "pair_context")).alias("answers"))
+    replies = answered.groupBy("chunk").agg(F.collect_list(F.struct("shard", "q", "total", "successors", "word")).alias("answers"))
     structure = rows.mapInArrow(_structure(shards), _DOCS_DDL)
     out = structure.join(replies, "chunk").mapInArrow(_score(n_tokens, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
