@@ -1,16 +1,17 @@
 """HTML main text with removal of site templates.
 
-1. A page is split into blocks of text; each block knows the element subtrees around it. Subtrees of
-   containers (div, section, ul, table and the like) are hashed by tags and words.
-2. Spark counts for each host on how many pages a subtree occurs. Pages of one main text count once, so
-   copies of a page make no template. Subtrees on ``least_pages`` or more are the host's template.
-3. Blocks inside template subtrees go. So do menus, headers, footers, sidebars, notices, adverts, forms,
-   scripts, styles and reader comments, known by element name, role, class or id. If a page has an article
-   or a main element, only blocks inside it stay.
-
-Prose elements (p, headings, list items) inside the article are no containers, so text that a site repeats
-in its articles stays. Null or empty html gives an empty text. Rows with equal page ids share found
-templates. A page without a host counts to the host ''. Other columns are dropped.
+1. A page is split into blocks of text; each block knows the element subtrees around it. The subtrees of all
+   block-level elements but html, body, article and main, and every block by itself, are hashed by tags and words.
+2. Spark counts for each host on how many pages a subtree occurs, over whole pages: nothing is left out before.
+   Copies of a page count once. Subtrees on ``least_pages`` pages and on ``least_share`` of the host's
+   pages (``inside_share`` for those inside an article or main element) are the host's template, and blocks inside them go.
+3. Of what is left, if a page has an article or a main element, only blocks inside it stay, and menus, headers,
+   footers, asides, forms and the like go by their element. Class, id and role words (adverts, sidebars,
+   notices, reader comments) are a fallback: they count only on hosts of under ``FEW_PAGES`` pages.
+
+Scripts and styles are never text. Null or empty html gives an empty text. A page without a host counts to
+the host ''. n_blocks counts the blocks of the whole page, n_template_blocks those found by recurrence.
+Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, materialize, read
+from .common import BROADCAST_ROWS, arrow_batch, materialize, read
 
 LEAST_PAGES = 3
+LEAST_SHARE = 0.1
+#: Share for subtrees inside an article or main element, where short paragraphs recur by chance.
+INSIDE_SHARE = 0.5
+#: Hosts of fewer distinct pages can't show by recurrence what their template is.
+FEW_PAGES = 10
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -35,6 +41,7 @@ _CHROME = frozenset("nav header footer aside form button head dialog menu".split
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _CONTAINER = frozenset("div section ul ol dl table figure details fieldset center".split())
+_ROOT = frozenset("html body article main".split())
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|header|footer|masthead|cookies?|consent|notice|gdpr|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|comments?|replies|disqus|toolbar|pagination|pager|contentinfo|complementary|search)(?:$|[\s_-])",
@@ -43,18 +50,20 @@ _WORDS = re.compile(
 _BLANKS = re.compile(r"\s+")
 
 
-def _chrome(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in _CHROME:
-        return not (tag == "header" and inside)
-    if tag in ("body", "html", "article", "main") or "=" not in attributes:
+def _chrome(tag: str, inside: bool) -> bool:
+    return tag in _CHROME and not (tag == "header" and inside)
+
+
+def _hinted(tag: str, attributes: str) -> bool:
+    if tag in _ROOT or "=" not in attributes:
         return False
     return any(_WORDS.search(a or b or c) for a, b, c in _HINT.findall(attributes))
 
 
-def blocks_of(html: str) -> list[tuple[str, bool, bool, list[int]]]:
-    """Blocks in page order: text, whether it is boilerplate by its names, whether inside an article, hashes of its containers."""
-    found: list[list] = []  # [text, chrome, inside, open containers]
-    stack: list[list] = []  # [tag, chrome, article, container or None]
+def blocks_of(html: str) -> list[tuple[str, bool, bool, bool, list[int]]]:
+    """Blocks in page order: text, whether boilerplate by an element, by a class, id or role, whether inside an article, hashes of the subtrees around."""
+    found: list[list] = []  # [text, chrome, hinted, inside, open subtrees]
+    stack: list[list] = []  # [tag, chrome, hinted, article, subtree or None]
     text: list[str] = []
     at = 0
 
@@ -62,14 +71,16 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, list[int]]]:
         joined = _BLANKS.sub(" ", html_entities.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            around = [s[3] for s in stack if s[3] is not None]
+            around = [s[4] for s in stack if s[4] is not None]
             for c in around:
                 c.append(joined)
-            found.append([joined, any(s[1] for s in stack), any(s[2] for s in stack), around])
+            # the block by itself: text between blocks is a subtree too
+            alone = [any(s[3] for s in stack), next((s[0] for s in reversed(stack) if s[0] not in _INLINE), ""), joined]
+            found.append([joined, *(any(s[k] for s in stack) for k in (1, 2, 3)), [*around, alone]])
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            tag, _, _, _ = stack[-1]
+            tag = stack[-1][0]
             if tag not in _INLINE:
                 close_block()
             stack.pop()
@@ -107,23 +118,25 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, list[int]]]:
                         break
         if m[3].rstrip().endswith("/"):
             continue
-        inside = any(s[2] for s in stack)
-        container = [tag] if tag in _CONTAINER else None
-        stack.append([tag, _chrome(tag, m[3], inside), tag in ("article", "main"), container])
+        inside = any(s[3] for s in stack)
+        subtree = None if tag in _INLINE or tag in _ROOT else [inside, tag]
+        stack.append([tag, _chrome(tag, inside), _hinted(tag, m[3]), tag in ("article", "main"), subtree])
     text.append(html[at:])
     pop(0)
     close_block()
     hashes: dict[int, int] = {}
-    for _, _, _, around in found:
+    for *_, around in found:
         for c in around:
             if id(c) not in hashes:
-                hashes[id(c)] = xxhash.xxh64_intdigest("\x00".join(c)) - (1 << 63)
-    return [(t, chrome, inside, [hashes[id(c)] for c in around]) for t, chrome, inside, around in found]
+                # the lowest bit tells whether the subtree lies inside an article
+                hashes[id(c)] = (xxhash.xxh64_intdigest("\x00".join(c[1:])) & ~1 | c[0]) - (1 << 63)
+    return [(t, chrome, hinted, inside, list(dict.fromkeys(hashes[id(c)] for c in around))) for t, chrome, hinted, inside, around in found]
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("around", pa.list_(pa.int64()))])
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("main", pa.int64()), ("blocks", pa.list_(_BLOCK))])
-_PARSED_DDL = "page_id long, url string, host string, main long, blocks array<struct<text:string,inside:boolean,around:array<long>>>"
+_BLOCK = pa.struct([("text", pa.string()), ("chrome", pa.bool_()), ("hinted", pa.bool_()), ("inside", pa.bool_()), ("around", pa.list_(pa.int64()))])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(_BLOCK))])
+_PARSED_DDL = "page_id long, url string, host string, page long, blocks array<struct<text:string,chrome:boolean,hinted:boolean,inside:boolean,around:array<long>>>"
+_NAMES = [f.name for f in _BLOCK]
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
 
 
@@ -131,32 +144,45 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, urls = batch.column("page_id"), batch.column("url")
         for first in range(0, batch.num_rows, 256):
-            rows, hosts, mains = [], [], []
+            rows, hosts, whole = [], [], []
             part = batch.slice(first, 256)
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                blocks = [(t, inside, around) for t, chrome, inside, around in blocks_of(page or "") if not chrome]
-                if any(inside for _, inside, _ in blocks):
-                    blocks = [b for b in blocks if b[1]]
-                rows.append([{"text": t, "inside": i, "around": a} for t, i, a in blocks])
+                blocks = blocks_of(page or "")
+                rows.append([dict(zip(_NAMES, b, strict=True)) for b in blocks])
                 hosts.append(m[1].lower() if (m := _HOST.match(url or "")) else "")
-                mains.append(xxhash.xxh64_intdigest("\n".join(t for t, _, _ in blocks)) - (1 << 63))
-            yield arrow_batch(_PARSED, [ids.slice(first, 256), urls.slice(first, 256), hosts, mains, pa.array(rows, type=_PARSED.field("blocks").type)])
+                whole.append(xxhash.xxh64_intdigest("\n".join(b[0] for b in blocks)) - (1 << 63))
+            yield arrow_batch(_PARSED, [ids.slice(first, 256), urls.slice(first, 256), hosts, whole, pa.array(rows, type=_PARSED.field("blocks").type)])
+
+
+def _hosts(parsed: DataFrame, least_pages: int, least_share: float, inside_share: float) -> DataFrame:
+    """(host, pages, template) of every host of FEW_PAGES pages or with a template. Each template subtree is on a share of the pages, which bounds their number."""
+    around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
+    # copies of a page count once
+    once = materialize(parsed.where("size(blocks) > 0").select("host", "page", around.alias("around")).dropDuplicates(["host", "page"]), "html-pages")
+    pages = once.groupBy("host").agg(F.count("*").alias("pages"))
+    often = once.select("host", F.explode("around").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    share = F.when(F.col("subtree").bitwiseAND(1) == 1, inside_share).otherwise(least_share)
+    found = often.join(pages, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    both = pages.join(found, "host", "left").where((F.col("pages") >= FEW_PAGES) | F.col("template").isNotNull())
+    return materialize(both.select("host", "pages", F.coalesce("template", F.array().cast("array<bigint>")).alias("template")), "html-hosts")
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """(page_id, url, text, n_blocks, n_template_blocks) of every page."""
     parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, _PARSED_DDL)
     parsed = materialize(parsed, "html-parsed")
-    around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
-    subtrees = parsed.select("page_id", "host", "main", F.explode(around).alias("subtree"))
-    # copies of a page have one main hash and count once
-    per = subtrees.select("host", "subtree", "main").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    found = subtrees.join(per, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
-    both = parsed.join(materialize(found, "html-templates").withColumnRenamed("page_id", "of"), F.col("page_id").eqNullSafe(F.col("of")), "left")
+    hosts = _hosts(parsed, least_pages, least_share, inside_share)
+    if (hosts.agg(F.sum(F.size("template") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
+        hosts = F.broadcast(hosts)
+    both = parsed.join(hosts, "host", "left")
     template = F.coalesce("template", F.array().cast("array<bigint>"))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], template))
+    both = both.withColumn("left", F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], template)))
+    few = F.coalesce("pages", F.lit(0)) < FEW_PAGES
+    named = F.filter("left", lambda b: ~(b["chrome"] | (b["hinted"] & few)))
+    both = both.withColumn("kept", named)
+    kept = F.when(F.exists("kept", lambda b: b["inside"]), F.filter("kept", lambda b: b["inside"])).otherwise(F.col("kept"))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return both.select("page_id", "url", text.alias("text"), F.size("blocks").cast("long").alias("n_blocks"), (F.size("blocks") - F.size(kept)).cast("long").alias("n_template_blocks"))
+    return both.select("page_id", "url", text.alias("text"), F.size("blocks").cast("long").alias("n_blocks"), (F.size("blocks") - F.size("left")).cast("long").alias("n_template_blocks"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,18 @@ def test_html_text(spark):
     assert got == {1: "T a & b c d ef", 2: "", 3: ""} | {10 + i: f"text number {i}" for i in range(4)}
 
 
+def main_texts(spark, pages):
+    return {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_text_recurrence(spark):
+    """Recurring p, li, aside and bare text goes without any telling name; a name alone decides nothing on a host of many pages."""
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(12)]
+    bare = [(i, f"https://b/{i}", f"<body>call us today<p>we value you</p><ul><li>home<li>own {i}</ul><p class='side'>{own[i]}</p></body>") for i in range(12)]
+    article = [(100 + i, f"https://a/{i}", f"<article><p>{own[i]}</p><p>read our letter</p></article>") for i in range(12)]
+    assert main_texts(spark, bare + article) == {i: f"own {i} {own[i]}" for i in range(12)} | {100 + i: own[i] for i in range(12)}
+
+
 def test_quality(spark, docs, empty):
     all_docs, labels = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet")
     joined = quality.score_quality(all_docs, labels).join(labels, "doc_id").where(quality.held_out(F.col("doc_id")))
