@@ -1,8 +1,8 @@
 """Quality classifier: support vectors on n-gram indicators scaled by naive Bayes log-count ratios.
 
-A word is described by its shape (classes of its first, second and last byte, its length, whether it repeats
-the word before). Indicators are the shape n-grams of a text up to three words, and for single shapes also
-how large a share of the text they have. Each indicator is scaled by the log ratio of its smoothed counts in
+Indicators are a text's lower-cased words and pairs of words, hashed. Besides, each word has a shape (classes of its
+first, second and last byte, its length, whether it repeats the word before); shape n-grams up to three words
+are indicators too, and for single shapes also how large a share of the text they have. Each indicator is scaled by the log ratio of its smoothed counts in
 good and bad texts; a linear hinge-loss model is then fitted by dual coordinate descent.
 
 Learning uses the labelled rows outside the held-out fold, at most about ``max_labels`` of them (a hash of
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, arrow_batch, binary, chunks, materialize, mix64, read
 
-FEATURE_BITS = 16
+FEATURE_BITS = 18
 MAX_LABELS = 20_000
 SHARD_ROWS = 4_000
 THRESHOLD = 0.3
@@ -61,6 +61,14 @@ def features(texts: list[bytes], bits: int = FEATURE_BITS) -> tuple[np.ndarray,
     at, found = [w.doc], [shape & mask]
     at.append(w.doc)
     found.append(mix64(plain | (size // np.uint64(3)) << np.uint64(20) | np.uint64(1 << 40)) & mask)
+    # the words themselves and their pairs
+    word = Words(texts, lower=True).hashes()
+    at.append(w.doc)
+    found.append(mix64(word + np.uint64(1 << 41)) & mask)
+    if n > 1:
+        pair = w.doc[1:] == w.doc[:-1]
+        at.append(w.doc[1:][pair])
+        found.append(mix64(word[:-1][pair] * np.uint64(31) + word[1:][pair]) & mask)
     gram = shape
     for k in (1, 2):
         if n > k:

@@ -137,6 +137,20 @@ def test_quality(spark, docs, empty):
     assert quality.score_quality(empty, labels).count() == 0
 
 
+def test_quality_words(spark):
+    """Good and bad texts of the same word shapes: only the words tell them apart."""
+    random = np.random.default_rng(3)
+    shared, good, bad = ([f"{c}{a}{b}ore" for a in "aeiou" for b in "klmnprst"] for c in "tbv")
+    rows = []
+    for i in range(300):
+        own = list(random.choice(bad if i % 2 else good, 5)) + list(random.choice(shared, 25))
+        rows.append((i, " ".join(random.permutation(own)), 1 - i % 2))
+    both = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    scored = quality.score_quality(both.select("doc_id", "text"), both.select("doc_id", "quality")).join(both, "doc_id").where(quality.held_out(F.col("doc_id")))
+    right = [(r.score >= 0.5) == bool(r.quality) for r in scored.collect()]
+    assert len(right) > 30 and np.mean(right) > 0.9
+
+
 def test_language_id(spark, docs, empty):
     got = {r.doc_id: r for r in language_id.identify_languages(docs).collect()}
     assert [got[i].lang_pred for i in (1000, 1001, 1005)] == ["und"] * 3 and got[1000].score == 0
