@@ -8,12 +8,15 @@ A document's set holds its distinct ``k``-word shingles. Two documents link when
    sketch of fixed size; any fixed order is lossless, so the sketch only steers how few candidates meet).
    Orders 2 and 3 are independent hash orders. Two linked sets share a token within the first
    ``n - ceil(t n) + 1`` tokens of *every* order.
-3. Tokens of the order-1 prefixes that several sets hold are joined in two rounds. First each set meets one
+3. ``link_documents`` joins all sets that share a token of their order-1 prefixes. A token of many sets is
+   dealt into blocks, so that no task makes all its pairs. The number of pairs grows with the square of a
+   group of distinct near copies: n_links counts every one that passes.
+   ``keep_first_of_groups`` needs only components and joins in two rounds instead. First each set meets one
    pseudo-random member for each shared token, which links groups of near copies without their pairs. Then
    only tokens whose members still lie in different components give pairs, and only pairs across components.
 4. Candidates must also share prefix tokens under orders 2 and 3 before the exact intersection is taken.
 
-So no link between different texts is lost for the components, while copies are not expanded into pairs.
+So no link between different texts is lost, while equal copies are not expanded into pairs.
 
 Null or empty text: size 0, linked with nothing, its own component. Null id: component null and no part in
 any link. Rows with equal ids are judged each by its own text. Other columns are dropped by
@@ -37,6 +40,8 @@ PERCENT = 80
 #: Counters of the frequency sketch: a fixed 8 MB, whatever the corpus.
 SKETCH_BITS = 21
 _BLOCKS = 64
+#: About how many sets of one token a task joins with the others of the token.
+TOKEN_BLOCK = 256
 
 _KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 _SKETCH = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
@@ -159,7 +164,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: s
 
 def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links): class_id is the least id of an equal set, and
-    n_links counts the links of the class that were needed to settle its component."""
+    n_links counts the documents of other sets that the document links with."""
+    return _linked_documents(docs, k, percent, bits, True)
+
+
+def _all_pairs(posting: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a over b, of sets that share a token and whose sizes allow a link."""
+    blocks = posting.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).cast("int").alias("blocks"))
+    dealt = materialize(posting.select("token", "doc_id", "n").join(blocks, "token"), "join-dealt")
+    left = dealt.select("token", F.col("doc_id").alias("a"), "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = dealt.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
+    fits = f"a > b and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    return left.join(right, ["token", "block"]).where(fits).select("a", "b").distinct()
+
+
+def _linked_documents(docs: DataFrame, k: int, percent: int, bits: int, every_link: bool) -> DataFrame:
+    """``link_documents``; without ``every_link``, only the links that settle components are sought and n_links is left out."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = docs.where("doc_id is not null and text is not null")
@@ -179,6 +199,24 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bi
     leaders = materialize(shared.select("token", F.col("lo").bitwiseXOR(mask).alias("leader")), "join-leaders")
     posting = materialize(every.join(leaders, "token"), "join-postings")
 
+    if every_link:
+        linked = materialize(_verified(materialize(_all_pairs(posting, percent), "join-pairs"), texts, k, percent, "join-sets"), "join-links")
+        groups = connected_components(linked, "join-groups")
+    else:
+        groups = _groups(posting, reps, texts, k, percent)
+
+    out = keys.join(reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left"), ["n", "s1", "s2"], "left")
+    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id")]
+    if not every_link:
+        return out.select(columns)
+    copies = keys.where("n > 0 and doc_id is not null").join(reps, ["n", "s1", "s2"]).groupBy(F.col("rep").alias("other")).agg(F.count("*").alias("copies"))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("e")
+    degree = linked.select(ends).select("e.rep", "e.other").join(copies, "other").groupBy("rep").agg(F.sum("copies").alias("n_links"))
+    return out.join(degree, "rep", "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _groups(posting: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) by two rounds: each set with a leader for each token, then pairs across components only."""
     first = posting.where("doc_id <> leader").select(F.greatest("doc_id", "leader").alias("a"), F.least("doc_id", "leader").alias("b")).distinct()
     sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"), F.max("n").alias("x"))
     fits = F.expr(f"100 * least(x_a, x_b) >= {percent} * greatest(n_a, n_b)")
@@ -196,17 +234,12 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bi
     across = across.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct().join(sized, ["a", "b"], "left_anti")
     across = materialize(across, "join-across")
     linked = materialize(linked.union(_verified(across, texts, k, percent, "join-sets2")).distinct(), "join-links2")
-    groups = connected_components(linked, "join-round2")
-
-    degree = linked.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    found = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = keys.join(found, ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return connected_components(linked, "join-round2")
 
 
 def keep_first_of_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The same columns; of each component only rows of its least id stay. Rows with a null id stay."""
-    kept = link_documents(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = _linked_documents(docs, k, percent, SKETCH_BITS, False).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -116,6 +116,17 @@ def test_html_text(spark):
     assert got == {1: "T a & b c d ef", 2: "", 3: ""} | {10 + i: f"text number {i}" for i in range(4)}
 
 
+def test_ngram_join_counts_every_link(spark, monkeypatch):
+    """A group of distinct near copies: each links with all others, copies weighted, hot tokens in several blocks."""
+    monkeypatch.setattr(ngram_join, "TOKEN_BLOCK", 4)
+    base = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join([*base[:190], f"own{i}", *base[191:]]) for i in range(30)}
+    texts |= {100: texts[7], 101: "nothing like the others at all here"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.component_id, r.class_id, r.n_links) for r in ngram_join.link_documents(rows).collect()}
+    assert got == {i: (0, i, 29 if i == 7 else 30) for i in range(30)} | {100: (0, 7, 29), 101: (101, 101, 0)}
+
+
 def main_texts(spark, pages):
     return {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
 
