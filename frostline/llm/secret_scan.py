@@ -5,7 +5,8 @@ Kinds of spans, in their listed order (offsets are code points, the end is exclu
 * ``assign``, ``access``, ``hex``: the base patterns below.
 * ``random``: a run of 20 or more characters of [A-Za-z0-9+/_=-] that a byte-pair vocabulary can't
   compress: few characters per token. Left out beforehand: numbers, known digests (a hexadecimal run of
-  a digest's length, a UUID) and identifiers (parts between separators that are all letters or all digits).
+  a digest's length, a UUID) and identifiers (parts between separators that are letters and up to four digits,
+  or digits, and whose words, split by case, the vocabulary compresses). Runs of letters alone are tested too.
 
 Texts are screened on whole Arrow batches first, and only the few with a hit are matched with patterns.
 Null text counts as empty and has no spans. Every row comes back, rows with a null or repeated id
@@ -38,7 +39,11 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-_IDENTIFIER = re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}|[0-9]+|)(?:[+/_=-]+(?:(?:[A-Z]?[a-z]+|[A-Z]+)+[0-9]{0,4}|[0-9]+|))*\Z")
+_SEPARATORS = re.compile(r"[+/_=-]+")
+_PART = re.compile(r"([A-Za-z]*)[0-9]{0,4}\Z|[0-9]+\Z")
+_CASED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Parts of fewer letters are too short to tell words from random letters.
+_TELLING = 4
 
 _RUN_BYTES = np.zeros(256, dtype=bool)
 _RUN_BYTES[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]] = True
@@ -65,10 +70,20 @@ def encoding(vocabulary: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def _identifier(run: str, vocabulary: str, most: float) -> bool:
+    """Whether all parts look like words of a name: letters that split by case into words of few tokens."""
+    parts = [_PART.match(p) for p in _SEPARATORS.split(run)]
+    if not all(parts):
+        return False
+    words = [w for p in parts if len(p[1] or "") >= _TELLING for w in _CASED.findall(p[1])]
+    encode = encoding(vocabulary).encode_ordinary
+    return sum(map(len, words)) > most * sum(len(encode(w)) for w in words) or not words
+
+
 def is_random(run: str, vocabulary: str, most: float = MAX_CHARS_PER_TOKEN) -> bool:
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+    if not any(c.isalpha() for c in run):
         return False
-    if _DIGEST.match(run) or _IDENTIFIER.match(run):
+    if _DIGEST.match(run) or _identifier(run, vocabulary, most):
         return False
     return len(run) <= most * len(encoding(vocabulary).encode_ordinary(run))
 

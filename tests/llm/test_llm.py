@@ -89,6 +89,25 @@ def test_secret_scan(docs, texts, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_random_letters():
+    import random
+    import string
+    import time
+
+    vocabulary = secret_scan.default_vocabulary()
+    kinds = lambda text: [k for k, *_ in secret_scan.spans_of(text, vocabulary)]
+    for text in ("qzxkvjwpqmzxbvnkrtlpqwyd", "QzXkVjWpQmZxBvNkRtLpQwYd12", "QZXKVJWPQMZXBVNKRTLPQWYD"):
+        assert kinds(text) == ["random"], text
+    for text in ("getUserAccountBalanceHistory2", "max_number_of_open_files", "internationalisation", "2024-01-01_10-22-33_run", "=" * 30, "A" * 40):
+        assert kinds(text) == [], text
+    dice = random.Random(5)
+    keys = ["".join(dice.choices(string.ascii_letters + string.digits, k=24)) for _ in range(2000)]
+    assert sum(secret_scan.is_random(x, vocabulary) for x in keys) >= 1990
+    began = time.time()
+    kinds("qwertzuiop" * 4 + "12345")
+    assert time.time() - began < 1
+
+
 def test_ngram_join(docs, texts, empty):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs).collect()}
     sets = {}
