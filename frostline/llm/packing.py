@@ -33,10 +33,13 @@ from .secret_scan import encoding
 
 CAPACITY = 2048
 END_ID = 0
+#: The added token of the vocabulary's ``tokenizers`` file, which that emits wherever a text holds the literal.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 ROUNDS = 60
 #: Distinct chunks whose ids a task remembers; the memory is emptied beyond it.
 _REMEMBERED = 400_000
 
+_ADDED_BYTES = ADDED_ID.to_bytes(4, "little")
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
@@ -54,7 +57,8 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit numbers, remembered for chunks seen before.
 
     A word with the blanks before it is encoded alone: the vocabulary's pre-tokeniser never joins a word with
-    what follows. Texts with white space other than blank and newline are encoded whole. ``vocabulary`` holds
+    what follows. Texts with white space other than blank and newline are encoded whole. Texts are split at the
+    added token, which stands for itself. ``vocabulary`` holds
     byte-pair ranks; the tests compare the ids with those of the ``tokenizers`` file of the same vocabulary.
     """
 
@@ -66,6 +70,11 @@ class Encoder:
         return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if ADDED in text:
+            return _ADDED_BYTES.join(self._plain(part) for part in text.split(ADDED))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if _OTHER_SPACE.search(text):
             return self._fresh(text)
         parts = _CHUNK.findall(text)

@@ -217,6 +217,16 @@ def test_packing(docs, texts, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_added_token():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.Encoder(packing.default_vocabulary())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ty  ", "one\n <|endoftext|>\n two <|endoftext|", "plain words"):
+        assert np.frombuffer(encoder(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_lm_score(docs, texts, empty):
     got = {r.doc_id: r for r in ngram_lm.score_documents(docs).collect()}
     tokens = {i: [*words(lowered(t)), "\0"] for i, t in texts.items()}
