@@ -3,11 +3,14 @@
 1. A page is split into blocks of text; each block knows the element subtrees around it. The subtrees of all
    block-level elements but html, body, article and main, and every block by itself, are hashed by tags and words.
 2. Spark counts for each host on how many pages a subtree occurs, over whole pages: nothing is left out before.
-   Copies of a page count once. Subtrees on ``least_pages`` pages and on ``least_share`` of the host's
+   Copies of a page count once, and near copies about once: pages are told apart by minimal hashes of three-word
+   shingles of their bodies (the article; without one, the blocks that are not on half of the host's pages),
+   and the mean number of distinct minima under ``MINIMA`` hash functions is counted. Subtrees on ``least_pages`` pages and on ``least_share`` of the host's
    pages (``inside_share`` for those inside an article or main element) are the host's template, and blocks inside them go.
 3. Of what is left, if a page has an article or a main element, only blocks inside it stay, and menus, headers,
    footers, asides, forms and the like go by their element. Class, id and role words (adverts, sidebars,
-   notices, reader comments) are a fallback: they count only on hosts of under ``FEW_PAGES`` pages.
+   notices, reader comments) are a fallback: they count only on hosts of under ``FEW_PAGES`` pages, and not for
+   sections and headings inside an article.
 
 Scripts and styles are never text. Null or empty html gives an empty text. A page without a host counts to
 the host ''. n_blocks counts the blocks of the whole page, n_template_blocks those found by recurrence.
@@ -20,17 +23,19 @@ import html as html_entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_batch, materialize, read
+from .common import BROADCAST_ROWS, arrow_batch, materialize, mix64, read, small
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.1
 #: Share for subtrees inside an article or main element, where short paragraphs recur by chance.
 INSIDE_SHARE = 0.5
+MINIMA = 4
 #: Hosts of fewer distinct pages can't show by recurrence what their template is.
 FEW_PAGES = 10
 
@@ -41,6 +46,7 @@ _CHROME = frozenset("nav header footer aside form button head dialog menu".split
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 _CONTAINER = frozenset("div section ul ol dl table figure details fieldset center".split())
+_SECTIONS = frozenset("section h1 h2 h3 h4 h5 h6 hgroup header".split())
 _ROOT = frozenset("html body article main".split())
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _WORDS = re.compile(
@@ -54,14 +60,21 @@ def _chrome(tag: str, inside: bool) -> bool:
     return tag in _CHROME and not (tag == "header" and inside)
 
 
-def _hinted(tag: str, attributes: str) -> bool:
-    if tag in _ROOT or "=" not in attributes:
+def _hinted(tag: str, attributes: str, inside: bool) -> bool:
+    if tag in _ROOT or (inside and tag in _SECTIONS) or "=" not in attributes:
         return False
     return any(_WORDS.search(a or b or c) for a, b, c in _HINT.findall(attributes))
 
 
-def blocks_of(html: str) -> list[tuple[str, bool, bool, bool, list[int]]]:
-    """Blocks in page order: text, whether boilerplate by an element, by a class, id or role, whether inside an article, hashes of the subtrees around."""
+def _minima(text: str) -> list[int]:
+    """The least hash of the three-word shingles of a block under each of MINIMA hash functions."""
+    words = text.split()
+    h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], dtype=np.uint64)
+    return [int(mix64(h ^ np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)).min() >> np.uint64(1)) for k in range(MINIMA)]
+
+
+def blocks_of(html: str) -> list[tuple[str, bool, bool, bool, list[int], list[int]]]:
+    """Blocks in page order: text, whether boilerplate by an element, by a class, id or role, whether inside an article, minimal shingle hashes, hashes of the subtrees around."""
     found: list[list] = []  # [text, chrome, hinted, inside, open subtrees]
     stack: list[list] = []  # [tag, chrome, hinted, article, subtree or None]
     text: list[str] = []
@@ -120,7 +133,7 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, bool, list[int]]]:
             continue
         inside = any(s[3] for s in stack)
         subtree = None if tag in _INLINE or tag in _ROOT else [inside, tag]
-        stack.append([tag, _chrome(tag, inside), _hinted(tag, m[3]), tag in ("article", "main"), subtree])
+        stack.append([tag, _chrome(tag, inside), _hinted(tag, m[3], inside), tag in ("article", "main"), subtree])
     text.append(html[at:])
     pop(0)
     close_block()
@@ -130,12 +143,12 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, bool, list[int]]]:
             if id(c) not in hashes:
                 # the lowest bit tells whether the subtree lies inside an article
                 hashes[id(c)] = (xxhash.xxh64_intdigest("\x00".join(c[1:])) & ~1 | c[0]) - (1 << 63)
-    return [(t, chrome, hinted, inside, list(dict.fromkeys(hashes[id(c)] for c in around))) for t, chrome, hinted, inside, around in found]
+    return [(t, chrome, hinted, inside, _minima(t), list(dict.fromkeys(hashes[id(c)] for c in around))) for t, chrome, hinted, inside, around in found]
 
 
-_BLOCK = pa.struct([("text", pa.string()), ("chrome", pa.bool_()), ("hinted", pa.bool_()), ("inside", pa.bool_()), ("around", pa.list_(pa.int64()))])
+_BLOCK = pa.struct([("text", pa.string()), ("chrome", pa.bool_()), ("hinted", pa.bool_()), ("inside", pa.bool_()), ("minima", pa.list_(pa.int64())), ("around", pa.list_(pa.int64()))])
 _PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(_BLOCK))])
-_PARSED_DDL = "page_id long, url string, host string, page long, blocks array<struct<text:string,chrome:boolean,hinted:boolean,inside:boolean,around:array<long>>>"
+_PARSED_DDL = "page_id long, url string, host string, page long, blocks array<struct<text:string,chrome:boolean,hinted:boolean,inside:boolean,minima:array<long>,around:array<long>>>"
 _NAMES = [f.name for f in _BLOCK]
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
 
@@ -158,9 +171,23 @@ def _hosts(parsed: DataFrame, least_pages: int, least_share: float, inside_share
     """(host, pages, template) of every host of FEW_PAGES pages or with a template. Each template subtree is on a share of the pages, which bounds their number."""
     around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
     # copies of a page count once
-    once = materialize(parsed.where("size(blocks) > 0").select("host", "page", around.alias("around")).dropDuplicates(["host", "page"]), "html-pages")
-    pages = once.groupBy("host").agg(F.count("*").alias("pages"))
+    bodies = F.transform("blocks", lambda b: b.dropFields("text", "chrome", "hinted"))
+    once = materialize(parsed.where("size(blocks) > 0").select("host", "page", around.alias("around"), bodies.alias("bodies")).dropDuplicates(["host", "page"]), "html-pages")
+    raw = once.groupBy("host").agg(F.count("*").alias("pages"))
     often = once.select("host", F.explode("around").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    often = materialize(often, "html-often")
+    most = often.join(raw, "host").where("n >= 0.5 * pages").groupBy("host").agg(F.collect_list("subtree").alias("most"))
+    # near copies have mostly the same minima of their bodies
+    out = once.join(small(materialize(most, "html-most")), "host", "left")
+    article = F.filter("bodies", lambda b: b["inside"])
+    rare = F.filter("bodies", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("most", F.array().cast("array<bigint>"))))
+    body = F.when(F.size(article) > 0, article).when(F.size(rare) > 0, rare).otherwise(F.col("bodies"))
+    out = out.withColumn("body", body)
+    minima = F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("body", lambda b, k=k: b["minima"][k])).alias("m")) for k in range(MINIMA)))
+    out = materialize(out.select("host", "around", minima.alias("minima")), "html-bodies")
+    pages = out.select("host", F.explode("minima").alias("m")).distinct().groupBy("host").agg((F.count("*") / MINIMA).alias("pages"))
+    seen = out.select("host", "minima", F.explode("around").alias("subtree")).join(small(often), ["host", "subtree"])
+    often = seen.select("host", "subtree", F.explode("minima").alias("m")).distinct().groupBy("host", "subtree").agg((F.count("*") / MINIMA).alias("n")).where(F.col("n") >= least_pages)
     share = F.when(F.col("subtree").bitwiseAND(1) == 1, inside_share).otherwise(least_share)
     found = often.join(pages, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
     both = pages.join(found, "host", "left").where((F.col("pages") >= FEW_PAGES) | F.col("template").isNotNull())

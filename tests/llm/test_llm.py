@@ -158,6 +158,17 @@ def test_html_text_recurrence(spark):
     assert main_texts(spark, bare + article) == {i: f"own {i} {own[i]}" for i in range(12)} | {100 + i: own[i] for i in range(12)}
 
 
+def test_html_text_keeps_articles(spark):
+    """Near copies make no template, a few pages of many make none, and words in ids of sections inside articles decide nothing."""
+    body = " ".join(f"long{i}" for i in range(300))
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)]
+    near = [(i, f"https://n/{i}", f"<article><h1>title {i}</h1><div><p>{body}</p></div></article>") for i in range(3)]
+    many = [(100 + i, f"https://m/{i}", f"<article><p>{own[i]}</p>{'<div><p>rare passage</p></div>' if i < 3 else ''}</article>") for i in range(40)]
+    named = [(200, "https://o/1", "<article><h2 id='header-files'>Header files</h2><p>a</p><section id='related-work'><p>b</p></section></article>")]
+    expected = {i: f"title {i} {body}" for i in range(3)} | {100 + i: own[i] + (" rare passage" if i < 3 else "") for i in range(40)} | {200: "Header files a b"}
+    assert main_texts(spark, near + many + named) == expected
+
+
 def test_quality(spark, docs, empty):
     all_docs, labels = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet")
     joined = quality.score_quality(all_docs, labels).join(labels, "doc_id").where(quality.held_out(F.col("doc_id")))
