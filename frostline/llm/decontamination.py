@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash over item-sized windows; DataFrame functions only.
 
 1. Words are runs of other characters than 0x20 and 0x09-0x0D, lower-cased; shingles are ``k`` words.
-2. A window can only resemble an item if they share a shingle, so windows are laid where a document's
-   shingle occurs in an item: as many words as the item has, shifted as the shingle lies in the item.
+2. A window resembles an item only if the shingles they share weigh ``least`` of the item's. So for each document
+   and item that share so much at all, windows of as many words as the item has are laid at every start where
+   the shared shingles inside still weigh that; other starts are ruled out exactly.
 3. Windows of equal words are one. Each gets a 64-bit SimHash of its shingles, weighted by how few items
    have them. The bits are cut into ``radius`` + 1 blocks; fingerprints within the radius agree in one block
    at least, so a join on (window size, block number, block bits) finds all of them.
@@ -69,12 +70,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float
     weights = of_item.groupBy("h").agg(F.countDistinct("item_id").alias("df")).where("df > 1")
     weights = small(materialize(weights.select("h", F.log(F.lit(float(n_items)) / F.col("df") + 1.0).alias("weight")), "leaks-weights"))
 
-    anchors = small(materialize(of_item.select("h", "n", "at").distinct(), "leaks-places"))
+    # each place of an item's shingle in a document
+    weighed = of_item.select("item_id", "n", "h").distinct().join(weights, "h", "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
+    weighed = materialize(weighed, "leaks-weighed")
+    totals = materialize(weighed.groupBy("item_id").agg((F.sum("weight") * least * (1 - 1e-9)).alias("need")), "leaks-needs")
+    anchors = small(materialize(weighed.select("h").distinct(), "leaks-places"))
     # the outer form keeps the optimiser from computing the shingles twice, for a filter on empty arrays
     rows = with_shingles(docs, k).select("doc_id", F.size("sh").alias("size"), F.posexplode_outer("sh").alias("p", "h"))
-    found = rows.join(anchors, "h")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("size") + (k - 1) - F.col("n")))
-    laid = materialize(found.select("doc_id", start.alias("start"), "n").distinct(), "leaks-windows")
+    places = materialize(rows.join(anchors, "h"), "leaks-hits").join(small(weighed), "h")
+    enough = materialize(places.select("doc_id", "item_id", "h", "weight").distinct().groupBy("doc_id", "item_id").agg(F.sum("weight").alias("w")).join(totals, "item_id").where("w >= need").select("doc_id", "item_id", "need"), "leaks-pairs")
+    found = places.join(small(enough), ["doc_id", "item_id"])
+    # a document shorter than the item is one window
+    width = F.least(F.col("n") - (k - 1), F.col("size"))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("p") - width + 1), F.least(F.col("p"), F.col("size") - width))
+    hit = found.select("doc_id", "item_id", "n", "need", "h", "weight", F.explode(starts).alias("start")).distinct()
+    laid = hit.groupBy("doc_id", "item_id", "n", "need", "start").agg(F.sum("weight").alias("w")).where("w >= need")
+    laid = materialize(laid.select("doc_id", "start", "n").distinct(), "leaks-windows")
     of_doc = laid.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("laid"))
     of_doc = materialize(of_doc, "leaks-laid")
     windows = with_shingles(docs.join(small(of_doc), "doc_id"), k).select("doc_id", F.explode_outer("laid").alias("x"), "sh")

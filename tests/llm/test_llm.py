@@ -89,6 +89,25 @@ def test_secret_scan(docs, texts, empty):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_decontamination_every_start(spark):
+    """Swapped and edited items against brute force over every start."""
+    def shingles(w):
+        return {tuple(w[a : a + 5]) for a in range(len(w) - 4)}
+
+    item = [f"i{j}" for j in range(50)]
+    around = [f"x{j}" for j in range(60)]
+    cases = [item[25:] + item[:25], item[:30] + ["new"] + item[30:], item[12:] + item[:12], item[:20] + item[30:], item[:5] + around[:50] + item[5:9], item[1:]]
+    docs = {i: around[:40] + w + around[40:] for i, w in enumerate(cases)} | {50: item[2:], 51: item[:30]}
+    want = {}
+    for i, w in docs.items():
+        best = max(len(shingles(w[a : a + 50]) & shingles(item)) / len(shingles(w[a : a + 50]) | shingles(item)) for a in range(max(1, len(w) - 49)))
+        if best >= 0.8:
+            want[i] = round(best, 6)
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id: r.similarity for r in decontamination.find_leaks(rows, items).collect()} == want and 0 in want
+
+
 def test_random_letters():
     import random
     import string
