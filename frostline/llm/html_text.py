@@ -183,7 +183,8 @@ def _hosts(parsed: DataFrame, least_pages: int, least_share: float, inside_share
     rare = F.filter("bodies", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("most", F.array().cast("array<bigint>"))))
     body = F.when(F.size(article) > 0, article).when(F.size(rare) > 0, rare).otherwise(F.col("bodies"))
     out = out.withColumn("body", body)
-    minima = F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("body", lambda b, k=k: b["minima"][k])).alias("m")) for k in range(MINIMA)))
+    nth = lambda k: lambda b: b["minima"][k]
+    minima = F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("body", nth(k))).alias("m")) for k in range(MINIMA)))
     out = materialize(out.select("host", "around", minima.alias("minima")), "html-bodies")
     pages = out.select("host", F.explode("minima").alias("m")).distinct().groupBy("host").agg((F.count("*") / MINIMA).alias("pages"))
     seen = out.select("host", "minima", F.explode("around").alias("subtree")).join(small(often), ["host", "subtree"])

@@ -183,8 +183,9 @@ def test_html_text_keeps_articles(spark):
     own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(40)]
     near = [(i, f"https://n/{i}", f"<article><h1>title {i}</h1><div><p>{body}</p></div></article>") for i in range(3)]
     many = [(100 + i, f"https://m/{i}", f"<article><p>{own[i]}</p>{'<div><p>rare passage</p></div>' if i < 3 else ''}</article>") for i in range(40)]
+    many += [(150, "https://m/150", "<article>" + "".join(f"<p>{o}</p>" for o in own[:6]) + "</article>")]
     named = [(200, "https://o/1", "<article><h2 id='header-files'>Header files</h2><p>a</p><section id='related-work'><p>b</p></section></article>")]
-    expected = {i: f"title {i} {body}" for i in range(3)} | {100 + i: own[i] + (" rare passage" if i < 3 else "") for i in range(40)} | {200: "Header files a b"}
+    expected = {150: " ".join(own[:6])} | {i: f"title {i} {body}" for i in range(3)} | {100 + i: own[i] + (" rare passage" if i < 3 else "") for i in range(40)} | {200: "Header files a b"}
     assert main_texts(spark, near + many + named) == expected
 
 
