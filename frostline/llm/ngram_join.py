@@ -3,24 +3,25 @@
 A document's set holds its distinct ``k``-word shingles. Two documents link when
 100 * intersection >= percent * union. Steps:
 
-1. Sets become a size and a 128-bit content key; documents of equal sets fold into the one of least id.
-2. Order 1 puts shingles of low corpus frequency first (frequencies of all shingles, summed in a count
-   sketch of fixed size; any fixed order is lossless, so the sketch only steers how few candidates meet).
-   Orders 2 and 3 are independent hash orders. Two linked sets share a token within the first
-   ``n - ceil(t n) + 1`` tokens of *every* order.
-3. ``link_documents`` joins all sets that share a token of their order-1 prefixes. A token of many sets is
-   dealt into blocks, so that no task makes all its pairs. The number of pairs grows with the square of a
-   group of distinct near copies: n_links counts every one that passes.
-   ``keep_first_of_groups`` needs only components and joins in two rounds instead. First each set meets one
-   pseudo-random member for each shared token, which links groups of near copies without their pairs. Then
-   only tokens whose members still lie in different components give pairs, and only pairs across components.
-4. Candidates must also share prefix tokens under orders 2 and 3 before the exact intersection is taken.
-
-So no link between different texts is lost, while equal copies are not expanded into pairs.
-
-Null or empty text: size 0, linked with nothing, its own component. Null id: component null and no part in
-any link. Rows with equal ids are judged each by its own text. Other columns are dropped by
-``link_documents`` and kept by ``keep_first_of_groups``.
+1. Sets become a size and a 128-bit content key; documents of equal sets fold into the one of least id, the
+   class. In the same pass every task counts its shingles in a count sketch of fixed size; the sketches are summed
+   as a tree. Any fixed order is lossless, so the sketch only steers how few candidates meet.
+2. Order 1 puts shingles of low corpus frequency first, orders 2 and 3 are independent hash orders. Two linked
+   sets share a token within the first ``n - ceil(t n) + 1`` tokens of *every* order.
+3. Sets that share a token of their order-1 prefixes must meet. Each set takes as its key the least id it shares
+   such a token with. The sets of a key are dealt into blocks of bounded size, and a task gets two blocks (or one
+   with itself); where sets of different keys share a token, those sets alone meet, in the pair of their blocks.
+   So a group of m near copies travels about m / ``BLOCK_SETS`` times and no row is a pair of sets.
+4. Within a pair of blocks, pairs that share prefix tokens under order 1, under order 2 and under order 3 and fit
+   in size are verified by their exact intersections. What leaves the task is, for each set, how many documents it
+   links with there and one edge to the least set that its links reach there. Every pair of sets meets in one pair
+   of blocks only, so the counts add up, and the edges give the components.
+
+No link between different texts is lost, while equal copies are not expanded into pairs.
+
+Null or empty text: size 0, linked with nothing, its own component. Null id: component and class null, no links.
+Rows of equal ids are one node: each row is judged by its own text, and the component pools their links.
+Other columns are dropped by ``link_documents`` and kept by ``keep_first_of_groups``.
 """
 
 from __future__ import annotations
@@ -30,24 +31,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_batch, binary, chunks, connected_components, gram_hashes, materialize, mix64, read, signed, small
+from .common import BROADCAST_ROWS, Words, arrow_batch, binary, chunks, connected_components, gram_hashes, materialize, mix64, read, signed, small
 
 SHINGLE = 5
 PERCENT = 80
 #: Counters of the frequency sketch: a fixed 8 MB, whatever the corpus.
 SKETCH_BITS = 21
-_BLOCKS = 64
-#: About how many sets of one token a task joins with the others of the token.
-TOKEN_BLOCK = 256
-
-_KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-_SKETCH = pa.schema([("block", pa.int32()), ("counts", pa.binary())])
-_PREFIX = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("p2", pa.list_(pa.int32())), ("p3", pa.list_(pa.int32()))])
+#: Parts that a sketch is sent in, and how many sketches are summed together.
+_PARTS, _FAN = 64, 32
+#: About how many sets, and how many shingles, a block holds.
+BLOCK_SETS, BLOCK_SHINGLES = 768, 300_000
+#: Columns of a dense incidence matrix.
+_WIDTH = 2048
+
+_KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
+_KEYS_DDL = "doc_id long, n long, s1 long, s2 long, task int, part int, counts binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_SETS_DDL = "doc_id long, n long, s1 long, tokens array<long>"
+_FOUND = pa.schema([("a", pa.int64()), ("s1", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
+_FOUND_DDL = "a long, s1 long, b long, links long"
 _SALT2, _SALT3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_PAIR = ["ka", "ia", "kb", "ib"]
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -78,169 +86,241 @@ def _lists(values: list[np.ndarray], kind=np.int64) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _keys(k: int):
+def _content(sets: list[np.ndarray], salt: np.uint64) -> np.ndarray:
+    return np.array([np.sum(mix64(x ^ salt), dtype=np.uint64) for x in sets], dtype=np.uint64)
+
+
+def _keys(k: int, bits: int):
+    """Rows of content keys, and at the end of a task its sketch in parts."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for at, texts in chunks(binary(batch.column(1))):
                 sets = shingle_sets(texts, k)
                 n = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-                sums = [np.array([np.sum(mix64(x ^ salt), dtype=np.uint64) for x in sets], dtype=np.uint64) for salt in (_SALT2, _SALT3)]
-                yield arrow_batch(_KEYS, [batch.column(0).slice(at, len(texts)), n, signed(sums[0]), signed(sums[1])])
+                where, how_many = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+                total[where] += how_many
+                none = pa.nulls(len(sets))
+                yield arrow_batch(_KEYS, [batch.column(0).slice(at, len(texts)), n, signed(_content(sets, _SALT2)), signed(_content(sets, _SALT3)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())])
+        if total.any():
+            parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(_PARTS, -1)
+            none = pa.nulls(_PARTS).cast(pa.int64())
+            yield arrow_batch(_KEYS, [none, none, none, none, [TaskContext.get().partitionId()] * _PARTS, list(range(_PARTS)), [x.tobytes() for x in parts]])
 
     return scan
 
 
-def _sketch(k: int, bits: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
-        for batch in batches:
-            for _, texts in chunks(binary(batch.column(0))):
-                for x in shingle_sets(texts, k):
-                    np.add.at(total, x >> np.uint64(64 - bits), 1)
-        size = len(total) // _BLOCKS
-        yield arrow_batch(_SKETCH, [np.arange(_BLOCKS, dtype=np.int32), [np.minimum(total[i * size : (i + 1) * size], 65535).astype(np.uint16).tobytes() for i in range(_BLOCKS)]])
-
-    return scan
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in rows["counts"])
+    return pd.DataFrame({"task": rows["task"][:1] // _FAN, "part": rows["part"][:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
 
-def _sum_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in rows["counts"])
-    return pd.DataFrame({"block": rows["block"][:1], "counts": [total.tobytes()]})
+def frequency_sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """Sums the sketches of all tasks, ``_FAN`` at a time; one sketch of fixed size reaches the driver."""
+    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        parts = parts.groupBy("part", F.floor(F.col("task") / _FAN).alias("g")).applyInPandas(_added, "task int, part int, counts binary")
+        tasks = -(-tasks // _FAN)
+    out = np.zeros((_PARTS, (1 << bits) // _PARTS), dtype=np.int32)
+    for r in parts.select("part", "counts").collect():
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int32)
+    return out.reshape(-1)
 
 
-def frequency_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Shingle frequencies over all documents, in 2**bits counters; this fixed-size table reaches the driver."""
-    parts = docs.select("text").mapInArrow(_sketch(k, bits), "block int, counts binary")
-    rows = parts.groupBy("block").applyInPandas(_sum_blocks, "block int, counts binary").collect()
-    whole = np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in sorted(rows, key=lambda r: r["block"])] or [np.zeros(1 << bits, dtype=np.int64)])
-    return np.minimum(whole, 2**31 - 1).astype(np.int32)
+def prefixes(x: np.ndarray, percent: int, sketch: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The prefixes of a set under the three orders."""
+    size = prefix_length(len(x), percent)
+    orders = np.lexsort((mix64(x), sketch[x >> np.uint64(64 - bits)])), *(np.argsort(mix64(x ^ salt), kind="stable") for salt in (_SALT2, _SALT3))
+    return [x[o[:size]] for o in orders]
 
 
-def _prefixes(k: int, percent: int, bits: int, shared):
+def _first_prefixes(k: int, percent: int, bits: int, shared):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         for batch in batches:
-            ids = batch.column(0)
             for at, texts in chunks(binary(batch.column(1))):
                 sets = shingle_sets(texts, k)
                 n = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-                key = np.array([np.sum(mix64(x ^ _SALT2), dtype=np.uint64) for x in sets], dtype=np.uint64)
                 first = []
                 for x in sets:
-                    order = np.lexsort((mix64(x), sketch[x >> np.uint64(64 - bits)]))
-                    first.append(x[order[: prefix_length(len(x), percent)]])
-                yield arrow_batch(_PREFIX, [ids.slice(at, len(texts)), n, signed(key), _lists(first)])
+                    rare = sketch[x >> np.uint64(64 - bits)]
+                    first.append(x[np.lexsort((mix64(x), rare))[: prefix_length(len(x), percent)]])
+                yield arrow_batch(_SETS, [batch.column(0).slice(at, len(texts)), n, signed(_content(sets, _SALT2)), _lists(first)])
 
     return scan
 
 
-def _whole_sets(k: int, percent: int):
+def _whole_sets(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             for at, texts in chunks(binary(batch.column(1))):
                 sets = shingle_sets(texts, k)
                 n = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-                under = [[x[np.argsort(mix64(x ^ salt), kind="stable")[: prefix_length(len(x), percent)]] for x in sets] for salt in (_SALT2, _SALT3)]
-                yield arrow_batch(_SETS, [ids.slice(at, len(texts)), n, _lists(sets), *(_lists([(x >> np.uint64(32)).astype(np.uint32) for x in u], np.int32) for u in under)])
+                yield arrow_batch(_SETS, [batch.column(0).slice(at, len(texts)), n, signed(_content(sets, _SALT2)), _lists(sets)])
 
     return scan
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """Of candidate pairs (a, b), those that pass the filters of orders 2 and 3 and then the exact test."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(small(materialize(wanted, f"{label}-ids")), "doc_id", "left_semi")
-    sets = materialize(sets.mapInArrow(_whole_sets(k, percent), "doc_id long, n long, tokens array<long>, p2 array<int>, p3 array<int>"), label)
-    # the filters need a third of the words of a set, so they come first; 32 bits of a token only let more through
-    short, whole = ("p2", "p3"), ("n", "tokens")
-    side = lambda name, columns: sets.select(F.col("doc_id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
-    passed = pairs.join(side("a", short), "a").join(side("b", short), "b").where(F.arrays_overlap("p2_a", "p2_b")).where(F.arrays_overlap("p3_a", "p3_b"))
-    passed = materialize(passed.select("a", "b"), f"{label}-passed")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    both = passed.join(side("a", whole), "a").join(side("b", whole), "b").select("a", "b", "n_a", "n_b", common.alias("c"))
-    return both.where(100 * F.col("c") >= percent * (F.col("n_a") + F.col("n_b") - F.col("c"))).select("a", "b")
+def _sharing(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Which lists of a have an entry in common with which of b."""
+    names, code, often = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    shared = np.cumsum(often > 1) - 1
+    sizes = np.array([len(x) for x in (*a, *b)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    use = often[code] > 1
+    row, column = row[use], shared[code[use]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), dtype=bool)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, _WIDTH):
+        x, y = np.searchsorted(column, (lo, lo + _WIDTH))
+        width = int(column[y - 1]) - lo + 1
+        m = np.zeros((len(sizes), width), dtype=np.float32)
+        m[row[x:y], column[x:y] - lo] = 1
+        out |= (m[: len(a)] @ m[len(a) :].T) > 0
+    return out
 
 
-def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id, n_links): class_id is the least id of an equal set, and
-    n_links counts the documents of other sets that the document links with."""
-    return _linked_documents(docs, k, percent, bits, True)
+def links_between(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, sketch: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links of sets of a with sets of b (None: of a with each other, each once), as index arrays."""
+    other = a if b is None else b
+    n, m = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, other))
+    near = 100 * np.minimum.outer(n, m) >= percent * np.maximum.outer(n, m)
+    if b is None:
+        near &= np.tri(len(a), k=-1, dtype=bool).T
+    under = [[prefixes(x, percent, sketch, bits) for x in side] for side in ((a,) if b is None else (a, b))]
+    for order in range(3):
+        if not near.any():
+            break
+        near &= _sharing([p[order] for p in under[0]], [p[order] for p in under[-1]])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in np.flatnonzero(near.any(axis=1)):
+        js = np.flatnonzero(near[i])
+        every = np.concatenate([other[j] for j in js])
+        hit = a[i][np.minimum(np.searchsorted(a[i], every), n[i] - 1)] == every
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(m[js]) - m[js])
+        js = js[100 * common >= percent * (n[i] + m[js] - common)]
+        found.append((np.full(len(js), i), js))
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none)
+
+
+def _least_reached(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each node the least node that edges (i, j) reach from it."""
+    label = np.arange(size)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _verify(percent: int, bits: int, shared):
+    """Rows come sorted by pair of blocks; each pair is judged by itself."""
+
+    def judge(rows: list[dict]) -> pa.RecordBatch | None:
+        rows.sort(key=lambda r: (r["side"], r["doc_id"], r["s1"]))
+        sets = [np.sort(np.array(r["tokens"], dtype=np.int64).view(np.uint64)) for r in rows]
+        left = sum(r["side"] == 0 for r in rows)
+        same = left == len(rows)
+        i, j = links_between(sets[:left], None if same else sets[left:], percent, shared.value, bits)
+        j = j if same else j + left
+        ids = np.array([r["doc_id"] for r in rows])
+        other = ids[i] != ids[j]
+        i, j = i[other], j[other]
+        if not len(i):
+            return None
+        copies = np.array([r["copies"] for r in rows])
+        links = np.bincount(i, copies[j], minlength=len(rows)) + np.bincount(j, copies[i], minlength=len(rows))
+        reached = _least_reached(len(rows), i, j)
+        at = np.flatnonzero(links)
+        return arrow_batch(_FOUND, [ids[at], [rows[x]["s1"] for x in at], ids[reached[at]], links[at].astype(np.int64)])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            pair = list(zip(*(batch.column(c).to_pylist() for c in _PAIR), strict=True))
+            columns = {c: batch.column(c).to_pylist() for c in ("side", "doc_id", "s1", "copies")}
+            tokens = batch.column("tokens")
+            for x, key in enumerate(pair):
+                if key != now:
+                    if len(rows) > 1 and (out := judge(rows)) is not None:
+                        yield out
+                    now, rows = key, []
+                rows.append({c: v[x] for c, v in columns.items()} | {"tokens": tokens[x].values.to_numpy()})
+        if len(rows) > 1 and (out := judge(rows)) is not None:
+            yield out
+
+    return scan
 
 
-def _all_pairs(posting: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a over b, of sets that share a token and whose sizes allow a link."""
-    blocks = posting.groupBy("token").agg(F.ceil(F.count("*") / TOKEN_BLOCK).cast("int").alias("blocks"))
-    dealt = materialize(posting.select("token", "doc_id", "n").join(blocks, "token"), "join-dealt")
-    left = dealt.select("token", F.col("doc_id").alias("a"), "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = dealt.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("block"))
-    fits = f"a > b and 100 * least(n, m) >= {percent} * greatest(n, m)"
-    return left.join(right, ["token", "block"]).where(fits).select("a", "b").distinct()
+def _meetings(posting: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(ka, ia, kb, ib, doc_id, side): which sets meet in which pair of blocks, a block being a key and a number."""
+    keys = posting.groupBy("doc_id").agg(F.min("lo").alias("key"))
+    keys = materialize(keys.join(sizes, "doc_id"), "join-members")
+    blocks = keys.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("sets"))
+    dealt = keys.join(small(materialize(blocks, "join-blocks")), "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    dealt = materialize(dealt.select("doc_id", "key", "i", "blocks", "sets"), "join-dealt")
 
+    within = dealt.where("sets > 1").select("key", "i", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    first = F.least("i", "j")
+    within = within.select(F.col("key").alias("ka"), first.alias("ia"), F.col("key").alias("kb"), F.greatest("i", "j").alias("ib"), "doc_id", (F.col("i") != first).cast("int").alias("side"))
 
-def _linked_documents(docs: DataFrame, k: int, percent: int, bits: int, every_link: bool) -> DataFrame:
-    """``link_documents``; without ``every_link``, only the links that settle components are sought and n_links is left out."""
+    # tokens whose sets have several keys, and the blocks that meet there
+    mixed = posting.select("token", "doc_id").join(small(dealt.select("doc_id", "key", "i")), "doc_id")
+    several = mixed.groupBy("token").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("token")
+    mixed = materialize(mixed.join(several, "token", "left_semi"), "join-mixed")
+    there = mixed.select("token", F.col("key").alias("k2"), F.col("i").alias("i2")).distinct()
+    across = mixed.join(there, "token").where("key <> k2").select("key", "i", "k2", "i2", "doc_id").distinct()
+    swap = F.col("key") > F.col("k2")
+    side = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    across = across.select(side("key", "k2").alias("ka"), side("i", "i2").alias("ia"), side("k2", "key").alias("kb"), side("i2", "i").alias("ib"), "doc_id", swap.cast("int").alias("side"))
+    return materialize(within.unionByName(across), "join-meetings")
+
+
+def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id, n_links): class_id is the least id of an equal set, and
+    n_links counts the documents of other sets that the document links with."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = docs.where("doc_id is not null and text is not null")
-    keys = materialize(docs.mapInArrow(_keys(k), "doc_id long, n long, s1 long, s2 long"), "join-keys")
-    reps = keys.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    scanned = materialize(docs.mapInArrow(_keys(k, bits), _KEYS_DDL), "join-keys")
+    keys = scanned.where("part is null").select("doc_id", "n", "s1", "s2")
+    sketch = spark.sparkContext.broadcast(frequency_sketch(scanned.where("part is not null").select("task", "part", "counts"), bits))
+    reps = keys.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     reps = materialize(reps, "join-classes")
 
-    sketch = spark.sparkContext.broadcast(frequency_sketch(texts, k, bits))
-    prefix = texts.mapInArrow(_prefixes(k, percent, bits, sketch), "doc_id long, n long, s1 long, tokens array<long>")
-    own = reps.select(F.col("rep").alias("doc_id"), "n", "s1")
-    prefix = materialize(prefix.join(small(own), ["doc_id", "n", "s1"], "left_semi"), "join-prefixes")
-    every = prefix.select(F.explode("tokens").alias("token"), "doc_id", "n")
-    # members of a token; the mask makes each token's leader arbitrary, and min and max differ where two sets have it
-    mask = F.col("token").bitwiseAND(F.lit(0x7FFFFFFF).cast("long"))
-    order = F.col("doc_id").bitwiseXOR(mask)
-    shared = every.groupBy("token").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo <> hi")
-    leaders = materialize(shared.select("token", F.col("lo").bitwiseXOR(mask).alias("leader")), "join-leaders")
-    posting = materialize(every.join(leaders, "token"), "join-postings")
-
-    if every_link:
-        linked = materialize(_verified(materialize(_all_pairs(posting, percent), "join-pairs"), texts, k, percent, "join-sets"), "join-links")
-        groups = connected_components(linked, "join-groups")
-    else:
-        groups = _groups(posting, reps, texts, k, percent)
-
-    out = keys.join(reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left"), ["n", "s1", "s2"], "left")
-    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id")]
-    if not every_link:
-        return out.select(columns)
-    copies = keys.where("n > 0 and doc_id is not null").join(reps, ["n", "s1", "s2"]).groupBy(F.col("rep").alias("other")).agg(F.count("*").alias("copies"))
-    ends = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("e")
-    degree = linked.select(ends).select("e.rep", "e.other").join(copies, "other").groupBy("rep").agg(F.sum("copies").alias("n_links"))
-    return out.join(degree, "rep", "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def _groups(posting: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component) by two rounds: each set with a leader for each token, then pairs across components only."""
-    first = posting.where("doc_id <> leader").select(F.greatest("doc_id", "leader").alias("a"), F.least("doc_id", "leader").alias("b")).distinct()
-    sizes = reps.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"), F.max("n").alias("x"))
-    fits = F.expr(f"100 * least(x_a, x_b) >= {percent} * greatest(n_a, n_b)")
-    sized = first.join(sizes.selectExpr("doc_id as a", "n as n_a", "x as x_a"), "a").join(sizes.selectExpr("doc_id as b", "n as n_b", "x as x_b"), "b").where(fits).select("a", "b")
-    sized = materialize(sized, "join-first")
-
-    linked = materialize(_verified(sized, texts, k, percent, "join-sets1"), "join-links1")
-    groups = materialize(connected_components(linked, "join-round1"), "join-groups1")
-
-    member = posting.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = member.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    member = materialize(member.join(mixed, "token", "left_semi").select("token", "doc_id", "n", "component"), "join-mixed")
-    other = member.select("token", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c2"))
-    across = member.join(other, "token").where(f"component < c2 and 100 * least(n, m) >= {percent} * greatest(n, m)")
-    across = across.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct().join(sized, ["a", "b"], "left_anti")
-    across = materialize(across, "join-across")
-    linked = materialize(linked.union(_verified(across, texts, k, percent, "join-sets2")).distinct(), "join-links2")
-    return connected_components(linked, "join-round2")
+    own = reps.select(F.col("rep").alias("doc_id"), "n", "s1", "copies")
+    few = own.count() <= BROADCAST_ROWS
+    firsts = texts.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi") if few else texts
+    firsts = firsts.mapInArrow(_first_prefixes(k, percent, bits, sketch), _SETS_DDL).join(F.broadcast(own) if few else own, ["doc_id", "n", "s1"], "left_semi")
+    every = materialize(firsts.select("doc_id", F.explode("tokens").alias("token")), "join-prefixes")
+    shared = every.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token", "lo")
+    posting = materialize(every.join(shared, "token"), "join-postings")
+    meetings = _meetings(posting, own.groupBy("doc_id").agg(F.sum("n").alias("n")))
+
+    wanted = small(materialize(meetings.select("doc_id").distinct(), "join-wanted"))
+    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(k), _SETS_DDL)
+    sets = materialize(sets.join(F.broadcast(own) if few else own, ["doc_id", "n", "s1"]).dropDuplicates(["doc_id", "n", "s1"]), "join-sets")
+    met = meetings.join(sets, "doc_id").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+    linked = materialize(met.mapInArrow(_verify(percent, bits, sketch), _FOUND_DDL), "join-links")
+
+    groups = materialize(connected_components(linked.select("a", "b"), "join-groups").withColumnRenamed("node", "rep"), "join-components")
+    counts = linked.groupBy(F.col("a").alias("rep"), "s1").agg(F.sum("links").alias("n_links"))
+    told = reps.join(groups, "rep", "left").join(counts, ["rep", "s1"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"), "n_links")
+    of_keys = keys.withColumn("n_shingles", F.col("n")).withColumn("n", F.when(F.col("doc_id").isNotNull(), F.col("n")))
+    out = of_keys.join(small(materialize(told, "join-told")), ["n", "s1", "s2"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_first_of_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The same columns; of each component only rows of its least id stay. Rows with a null id stay."""
-    kept = _linked_documents(docs, k, percent, SKETCH_BITS, False).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = link_documents(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(small(materialize(kept, "join-kept")), "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,7 @@ def test_html_text(spark):
 
 def test_ngram_join_counts_every_link(spark, monkeypatch):
     """A group of distinct near copies: each links with all others, copies weighted, hot tokens in several blocks."""
-    monkeypatch.setattr(ngram_join, "TOKEN_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 4)
     base = [f"w{i}" for i in range(200)]
     texts = {i: " ".join([*base[:190], f"own{i}", *base[191:]]) for i in range(30)}
     texts |= {100: texts[7], 101: "nothing like the others at all here"}
