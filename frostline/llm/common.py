@@ -46,7 +46,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Tables of up to so many narrow rows (some tens of MB) may be broadcast; beyond it joins shuffle both sides.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 300_000
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -13,9 +13,11 @@ A document's set holds its distinct ``k``-word shingles. Two documents link when
    with itself); where sets of different keys share a token, those sets alone meet, in the pair of their blocks.
    So a group of m near copies travels about m / ``BLOCK_SETS`` times and no row is a pair of sets.
 4. Within a pair of blocks, pairs that share prefix tokens under order 1, under order 2 and under order 3 and fit
-   in size are verified by their exact intersections. What leaves the task is, for each set, how many documents it
-   links with there and one edge to the least set that its links reach there. Every pair of sets meets in one pair
-   of blocks only, so the counts add up, and the edges give the components.
+   in size are verified by their intersections. First the sets travel with hashes cut to 32 bits, which can only
+   raise an intersection (where cutting shrinks a set, its whole group stays); sets with a link then travel whole and
+   pass the same steps. What leaves the task is, for each set, how many documents it links with there and one
+   edge to the least set that its links reach there. Every pair of sets meets in one pair of blocks only, so the
+   counts add up, and the edges give the components.
 
 No link between different texts is lost, while equal copies are not expanded into pairs.
 
@@ -35,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Words, arrow_batch, binary, chunks, connected_components, gram_hashes, materialize, mix64, read, signed, small
+from .common import Words, arrow_batch, binary, chunks, connected_components, gram_hashes, materialize, mix64, read, signed, small
 
 SHINGLE = 5
 PERCENT = 80
@@ -47,11 +49,17 @@ _PARTS, _FAN = 64, 32
 BLOCK_SETS, BLOCK_SHINGLES = 768, 300_000
 #: Columns of a dense incidence matrix.
 _WIDTH = 2048
+#: Prefix tokens that a task packs together and about how many a bucket gets; a token of more documents than HOT in such a pack isn't packed.
+_PACK, _BUCKET, HOT = 1 << 20, 400_000, 32
 
 _KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 _KEYS_DDL = "doc_id long, n long, s1 long, s2 long, task int, part int, counts binary"
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-_SETS_DDL = "doc_id long, n long, s1 long, tokens array<long>"
+_PREFIX = pa.schema([("bucket", pa.int32()), ("tokens", pa.binary()), ("docs", pa.binary()), ("token", pa.int64()), ("doc_id", pa.int64())])
+_PREFIX_DDL = "bucket int, tokens binary, docs binary, token long, doc_id long"
+_SENT = pa.schema([*((c, pa.int64()) for c in ("ka", "ia", "kb", "ib", "side", "doc_id", "n", "s1", "copies")), ("tokens", pa.binary())])
+_SENT_DDL = "ka long, ia long, kb long, ib long, side long, doc_id long, n long, s1 long, copies long, tokens binary"
+_STAY = pa.schema([(c, pa.int64()) for c in ("ka", "ia", "kb", "ib", "side", "doc_id")])
+_STAY_DDL = "ka long, ia long, kb long, ib long, side long, doc_id long"
 _FOUND = pa.schema([("a", pa.int64()), ("s1", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 _FOUND_DDL = "a long, s1 long, b long, links long"
 _SALT2, _SALT3 = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -79,13 +87,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
-def _lists(values: list[np.ndarray], kind=np.int64) -> pa.Array:
-    sizes = np.fromiter((len(x) for x in values), dtype=np.int64, count=len(values))
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    flat = np.concatenate(values).view(kind) if values else np.zeros(0, dtype=kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-
 def _content(sets: list[np.ndarray], salt: np.uint64) -> np.ndarray:
     return np.array([np.sum(mix64(x ^ salt), dtype=np.uint64) for x in sets], dtype=np.uint64)
 
@@ -135,29 +136,85 @@ def prefixes(x: np.ndarray, percent: int, sketch: np.ndarray, bits: int) -> list
     return [x[o[:size]] for o in orders]
 
 
-def _first_prefixes(k: int, percent: int, bits: int, shared):
+def _is_own(batch: pa.RecordBatch, at: int, sets: list[np.ndarray]) -> np.ndarray:
+    """Which texts have the content that their row of ``own`` names."""
+    n, s1 = (batch.column(c).slice(at, len(sets)).to_numpy() for c in ("n", "s1"))
+    return (n == [len(x) for x in sets]) & (s1 == signed(_content(sets, _SALT2)))
+
+
+def _first_prefixes(k: int, percent: int, bits: int, shared, buckets: int):
+    """Order-1 prefixes as packed (token, document) lists for each bucket of tokens; documents of a hot token as plain rows."""
+
+    def packed(tokens: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((docs, tokens, tokens % np.uint64(buckets)))
+        tokens, docs = tokens[order], docs[order]
+        edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        size = np.diff(np.append(edge, len(tokens)))
+        hot = np.repeat(size > HOT, size)
+        # the first and the last document of a hot token tell the bucket that it is shared
+        told = ~hot
+        told[edge] = told[edge + size - 1] = True
+        x, d = tokens[told], docs[told]
+        to = (x % np.uint64(buckets)).astype(np.int32)
+        edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        end = np.append(edge[1:], len(to))
+        none = pa.nulls(len(edge)).cast(pa.int64())
+        yield arrow_batch(_PREFIX, [to[edge], *([c[a:b].tobytes() for a, b in zip(edge, end, strict=True)] for c in (x, d)), none, none])
+        if hot.any():
+            none = pa.nulls(int(hot.sum()))
+            yield arrow_batch(_PREFIX, [none.cast(pa.int32()), none.cast(pa.binary()), none.cast(pa.binary()), signed(tokens[hot]), docs[hot]])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
+        tokens, docs, held = [], [], 0
         for batch in batches:
-            for at, texts in chunks(binary(batch.column(1))):
+            ids = batch.column("doc_id").to_numpy()
+            for at, texts in chunks(binary(batch.column("text"))):
                 sets = shingle_sets(texts, k)
-                n = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-                first = []
-                for x in sets:
-                    rare = sketch[x >> np.uint64(64 - bits)]
-                    first.append(x[np.lexsort((mix64(x), rare))[: prefix_length(len(x), percent)]])
-                yield arrow_batch(_SETS, [batch.column(0).slice(at, len(texts)), n, signed(_content(sets, _SALT2)), _lists(first)])
+                for i in np.flatnonzero(_is_own(batch, at, sets)):
+                    x = sets[i]
+                    first = x[np.lexsort((mix64(x), sketch[x >> np.uint64(64 - bits)]))[: prefix_length(len(x), percent)]]
+                    tokens.append(first)
+                    docs.append(np.full(len(first), ids[at + i]))
+                    held += len(first)
+                if held > _PACK:
+                    yield from packed(np.concatenate(tokens), np.concatenate(docs))
+                    tokens, docs, held = [], [], 0
+        if held:
+            yield from packed(np.concatenate(tokens), np.concatenate(docs))
 
     return scan
 
 
-def _whole_sets(k: int):
+def _shared_tokens(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket, the (token, document) pairs of tokens that several documents have."""
+    tokens = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["tokens"]])
+    docs = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows["docs"]])
+    order = np.lexsort((docs, tokens))
+    tokens, docs = tokens[order], docs[order]
+    edge = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    end = np.append(edge[1:], len(tokens))
+    several = np.repeat(docs[edge] != docs[end - 1], end - edge)
+    return pd.DataFrame({"token": signed(tokens[several]), "doc_id": docs[several]})
+
+
+def _send(k: int, whole: bool):
+    """For each document and pair of blocks where it is: its set, whole or in 32-bit hashes."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in chunks(binary(batch.column(1))):
+            places = batch.column("places")
+            others = [batch.column(c).to_numpy() for c in ("doc_id", "n", "s1", "copies")]
+            for at, texts in chunks(binary(batch.column("text"))):
                 sets = shingle_sets(texts, k)
-                n = np.fromiter((len(x) for x in sets), dtype=np.int64, count=len(sets))
-                yield arrow_batch(_SETS, [batch.column(0).slice(at, len(texts)), n, signed(_content(sets, _SALT2)), _lists(sets)])
+                rows, sent = [], []
+                for i in np.flatnonzero(_is_own(batch, at, sets)):
+                    what = sets[i].tobytes() if whole else np.unique((sets[i] >> np.uint64(32)).astype(np.uint32)).tobytes()
+                    for p in places[int(at + i)].as_py():
+                        rows.append((*(p[c] for c in _STAY.names[:5]), *(x[at + i] for x in others)))
+                        sent.append(what)
+                if rows:
+                    yield arrow_batch(_SENT, [*zip(*rows, strict=True), sent])
 
     return scan
 
@@ -219,56 +276,78 @@ def _least_reached(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _by_pair(judge):
+    """Rows come sorted by pair of blocks; each pair is judged by itself, repeated rows of a set being one."""
+
+    def judged(pair: tuple, rows: dict[tuple, dict]) -> Iterator[pa.RecordBatch]:
+        if len(rows) > 1 and (out := judge(pair, [rows[x] for x in sorted(rows)])) is not None:
+            yield out
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in _SENT.names}
+            for r in zip(*columns.values(), strict=True):
+                if r[:4] != now:
+                    yield from judged(now, rows)
+                    now, rows = r[:4], {}
+                row = dict(zip(columns, r, strict=True))
+                rows[row["side"], row["doc_id"], row["s1"], row["n"]] = row
+        yield from judged(now, rows)
+
+    return scan
+
+
+def _links(rows: list[dict], sets: list[np.ndarray], percent: int, sketch: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the rows of one side with each other or with those of the other side, rows of one id left out."""
+    left = sum(r["side"] == 0 for r in rows)
+    i, j = links_between(sets[:left], None if left == len(rows) else sets[left:], percent, sketch, bits)
+    j = j if left == len(rows) else j + left
+    ids = np.array([r["doc_id"] for r in rows])
+    other = ids[i] != ids[j]
+    return i[other], j[other]
+
+
+def _filter(percent: int, bits: int, shared):
+    def judge(pair: tuple, rows: list[dict]) -> pa.RecordBatch | None:
+        sets = [np.frombuffer(r["tokens"], dtype=np.uint32).astype(np.uint64) << np.uint64(32) for r in rows]
+        if any(len(x) < r["n"] for x, r in zip(sets, rows, strict=True)):
+            stay = range(len(rows))
+        else:
+            stay = np.unique(np.concatenate(_links(rows, sets, percent, shared.value, bits)))
+        if not len(stay):
+            return None
+        return arrow_batch(_STAY, [*([x] * len(stay) for x in pair), [rows[i]["side"] for i in stay], [rows[i]["doc_id"] for i in stay]])
+
+    return _by_pair(judge)
+
+
 def _verify(percent: int, bits: int, shared):
-    """Rows come sorted by pair of blocks; each pair is judged by itself."""
-
-    def judge(rows: list[dict]) -> pa.RecordBatch | None:
-        rows.sort(key=lambda r: (r["side"], r["doc_id"], r["s1"]))
-        sets = [np.sort(np.array(r["tokens"], dtype=np.int64).view(np.uint64)) for r in rows]
-        left = sum(r["side"] == 0 for r in rows)
-        same = left == len(rows)
-        i, j = links_between(sets[:left], None if same else sets[left:], percent, shared.value, bits)
-        j = j if same else j + left
-        ids = np.array([r["doc_id"] for r in rows])
-        other = ids[i] != ids[j]
-        i, j = i[other], j[other]
+    def judge(pair: tuple, rows: list[dict]) -> pa.RecordBatch | None:
+        i, j = _links(rows, [np.frombuffer(r["tokens"], dtype=np.uint64) for r in rows], percent, shared.value, bits)
         if not len(i):
             return None
-        copies = np.array([r["copies"] for r in rows])
+        copies, ids = (np.array([r[c] for r in rows]) for c in ("copies", "doc_id"))
         links = np.bincount(i, copies[j], minlength=len(rows)) + np.bincount(j, copies[i], minlength=len(rows))
         reached = _least_reached(len(rows), i, j)
         at = np.flatnonzero(links)
         return arrow_batch(_FOUND, [ids[at], [rows[x]["s1"] for x in at], ids[reached[at]], links[at].astype(np.int64)])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            pair = list(zip(*(batch.column(c).to_pylist() for c in _PAIR), strict=True))
-            columns = {c: batch.column(c).to_pylist() for c in ("side", "doc_id", "s1", "copies")}
-            tokens = batch.column("tokens")
-            for x, key in enumerate(pair):
-                if key != now:
-                    if len(rows) > 1 and (out := judge(rows)) is not None:
-                        yield out
-                    now, rows = key, []
-                rows.append({c: v[x] for c, v in columns.items()} | {"tokens": tokens[x].values.to_numpy()})
-        if len(rows) > 1 and (out := judge(rows)) is not None:
-            yield out
-
-    return scan
+    return _by_pair(judge)
 
 
 def _meetings(posting: DataFrame, sizes: DataFrame) -> DataFrame:
     """(ka, ia, kb, ib, doc_id, side): which sets meet in which pair of blocks, a block being a key and a number."""
-    keys = posting.groupBy("doc_id").agg(F.min("lo").alias("key"))
+    least = posting.groupBy("token").agg(F.min("doc_id").alias("lo"))
+    keys = posting.join(least, "token").groupBy("doc_id").agg(F.min("lo").alias("key"))
     keys = materialize(keys.join(sizes, "doc_id"), "join-members")
-    blocks = keys.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("sets"))
-    dealt = keys.join(small(materialize(blocks, "join-blocks")), "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    blocks = keys.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("sets"))
+    dealt = keys.join(small(materialize(blocks, "join-blocks")), "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), "blocks"))
     dealt = materialize(dealt.select("doc_id", "key", "i", "blocks", "sets"), "join-dealt")
 
-    within = dealt.where("sets > 1").select("key", "i", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    within = dealt.where("sets > 1").select("key", "i", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     first = F.least("i", "j")
-    within = within.select(F.col("key").alias("ka"), first.alias("ia"), F.col("key").alias("kb"), F.greatest("i", "j").alias("ib"), "doc_id", (F.col("i") != first).cast("int").alias("side"))
+    within = within.select(F.col("key").alias("ka"), first.alias("ia"), F.col("key").alias("kb"), F.greatest("i", "j").alias("ib"), "doc_id", (F.col("i") != first).cast("long").alias("side"))
 
     # tokens whose sets have several keys, and the blocks that meet there
     mixed = posting.select("token", "doc_id").join(small(dealt.select("doc_id", "key", "i")), "doc_id")
@@ -278,10 +357,17 @@ def _meetings(posting: DataFrame, sizes: DataFrame) -> DataFrame:
     across = mixed.join(there, "token").where("key <> k2").select("key", "i", "k2", "i2", "doc_id").distinct()
     swap = F.col("key") > F.col("k2")
     side = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
-    across = across.select(side("key", "k2").alias("ka"), side("i", "i2").alias("ia"), side("k2", "key").alias("kb"), side("i2", "i").alias("ib"), "doc_id", swap.cast("int").alias("side"))
+    across = across.select(side("key", "k2").alias("ka"), side("i", "i2").alias("ia"), side("k2", "key").alias("kb"), side("i2", "i").alias("ib"), "doc_id", swap.cast("long").alias("side"))
     return materialize(within.unionByName(across), "join-meetings")
 
 
+def _met(texts: DataFrame, meetings: DataFrame, own: DataFrame, send) -> DataFrame:
+    """What documents send to the pairs of blocks where they meet, sorted by these."""
+    places = meetings.groupBy("doc_id").agg(F.collect_list(F.struct(*_STAY.names[:5])).alias("places"))
+    placed = small(materialize(places.join(own, "doc_id"), "join-places"))
+    return texts.join(placed, "doc_id").mapInArrow(send, _SENT_DDL).repartition(*_PAIR).sortWithinPartitions(*_PAIR)
+
+
 def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bits: int = SKETCH_BITS) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id, n_links): class_id is the least id of an equal set, and
     n_links counts the documents of other sets that the document links with."""
@@ -295,19 +381,17 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bi
     reps = materialize(reps, "join-classes")
 
     own = reps.select(F.col("rep").alias("doc_id"), "n", "s1", "copies")
-    few = own.count() <= BROADCAST_ROWS
-    firsts = texts.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi") if few else texts
-    firsts = firsts.mapInArrow(_first_prefixes(k, percent, bits, sketch), _SETS_DDL).join(F.broadcast(own) if few else own, ["doc_id", "n", "s1"], "left_semi")
-    every = materialize(firsts.select("doc_id", F.explode("tokens").alias("token")), "join-prefixes")
-    shared = every.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("token", "lo")
-    posting = materialize(every.join(shared, "token"), "join-postings")
+    total = reps.agg(F.sum("n")).first()[0] or 0
+    buckets = max(2, total * (100 - percent) // 100 // _BUCKET)
+    firsts = texts.join(small(own), "doc_id").mapInArrow(_first_prefixes(k, percent, bits, sketch, buckets), _PREFIX_DDL)
+    firsts = materialize(firsts, "join-prefixes")
+    packed = firsts.where("bucket is not null").select("bucket", "tokens", "docs").groupBy("bucket").applyInPandas(_shared_tokens, "token long, doc_id long")
+    posting = materialize(packed.unionByName(firsts.where("bucket is null").select("token", "doc_id")), "join-postings")
     meetings = _meetings(posting, own.groupBy("doc_id").agg(F.sum("n").alias("n")))
-
-    wanted = small(materialize(meetings.select("doc_id").distinct(), "join-wanted"))
-    sets = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(k), _SETS_DDL)
-    sets = materialize(sets.join(F.broadcast(own) if few else own, ["doc_id", "n", "s1"]).dropDuplicates(["doc_id", "n", "s1"]), "join-sets")
-    met = meetings.join(sets, "doc_id").repartition(*_PAIR).sortWithinPartitions(*_PAIR)
-    linked = materialize(met.mapInArrow(_verify(percent, bits, sketch), _FOUND_DDL), "join-links")
+    stay = _met(texts, meetings, own, _send(k, False)).mapInArrow(_filter(percent, bits, sketch), _STAY_DDL)
+    stay = materialize(stay, "join-stay")
+    linked = _met(texts, stay, own, _send(k, True)).mapInArrow(_verify(percent, bits, sketch), _FOUND_DDL)
+    linked = materialize(linked, "join-links")
 
     groups = materialize(connected_components(linked.select("a", "b"), "join-groups").withColumnRenamed("node", "rep"), "join-components")
     counts = linked.groupBy(F.col("a").alias("rep"), "s1").agg(F.sum("links").alias("n_links"))
