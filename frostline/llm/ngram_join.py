@@ -7,9 +7,11 @@ A document's set holds its distinct ``k``-word shingles. Two documents link when
    class. In the same pass every task counts its shingles in a count sketch of fixed size; the sketches are summed
    as a tree. Any fixed order is lossless, so the sketch only steers how few candidates meet.
 2. Order 1 puts shingles of low corpus frequency first, orders 2 and 3 are independent hash orders. Two linked
-   sets share a token within the first ``n - ceil(t n) + 1`` tokens of *every* order.
-3. Sets that share a token of their order-1 prefixes must meet. Each set takes as its key the least id it shares
-   such a token with. The sets of a key are dealt into blocks of bounded size, and a task gets two blocks (or one
+   sets share a token within the first ``n - ceil(t n) + 1`` tokens of *every* order, and ``l`` tokens within
+   the first ``n - ceil(t n) + l``.
+3. Of order 1 the longer prefixes are taken, l being a tenth of n. A set stays if as many of its prefix tokens are in
+   other prefixes as any set of fitting size must share; this is repeated, for what stays, ``PRUNINGS`` times. Sets
+   that still share a prefix token must meet. Each set takes as its key the least id it shares such a token with. The sets of a key are dealt into blocks of bounded size, and a task gets two blocks (or one
    with itself); where sets of different keys share a token, those sets alone meet, in the pair of their blocks.
    So a group of m near copies travels about m / ``BLOCK_SETS`` times and no row is a pair of sets.
 4. Within a pair of blocks, pairs that share prefix tokens under order 1, under order 2 and under order 3 and fit
@@ -51,6 +53,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 768, 300_000
 _WIDTH = 2048
 #: Prefix tokens that a task packs together and about how many a bucket gets; a token of more documents than HOT in such a pack isn't packed.
 _PACK, _BUCKET, HOT = 1 << 20, 400_000, 32
+PRUNINGS = 2
 
 _KEYS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("task", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())])
 _KEYS_DDL = "doc_id long, n long, s1 long, s2 long, task int, part int, counts binary"
@@ -87,6 +90,11 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1 if n else 0
 
 
+def least_shared(n: int) -> int:
+    """How many tokens of longer prefixes a set shares with a linked one of its size or more."""
+    return max(1, n // 10)
+
+
 def _content(sets: list[np.ndarray], salt: np.uint64) -> np.ndarray:
     return np.array([np.sum(mix64(x ^ salt), dtype=np.uint64) for x in sets], dtype=np.uint64)
 
@@ -173,7 +181,7 @@ def _first_prefixes(k: int, percent: int, bits: int, shared, buckets: int):
                 sets = shingle_sets(texts, k)
                 for i in np.flatnonzero(_is_own(batch, at, sets)):
                     x = sets[i]
-                    first = x[np.lexsort((mix64(x), sketch[x >> np.uint64(64 - bits)]))[: prefix_length(len(x), percent)]]
+                    first = x[np.lexsort((mix64(x), sketch[x >> np.uint64(64 - bits)]))[: prefix_length(len(x), percent) + least_shared(len(x)) - 1]]
                     tokens.append(first)
                     docs.append(np.full(len(first), ids[at + i]))
                     held += len(first)
@@ -361,6 +369,18 @@ def _meetings(posting: DataFrame, sizes: DataFrame) -> DataFrame:
     return materialize(within.unionByName(across), "join-meetings")
 
 
+def _pruned(posting: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The postings of documents that share enough prefix tokens with others to link with any."""
+    # the other set may be smaller and so sure to share less: the least size that fits counts
+    need = sizes.select("doc_id", F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10)).alias("need"))
+    for _ in range(PRUNINGS):
+        enough = posting.groupBy("doc_id").agg(F.count("*").alias("found")).join(need, "doc_id").where("found >= need").select("doc_id")
+        posting = posting.join(small(materialize(enough, "join-enough")), "doc_id", "left_semi")
+        shared = posting.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("token")
+        posting = materialize(posting.join(shared, "token", "left_semi"), "join-pruned")
+    return posting
+
+
 def _met(texts: DataFrame, meetings: DataFrame, own: DataFrame, send) -> DataFrame:
     """What documents send to the pairs of blocks where they meet, sorted by these."""
     places = meetings.groupBy("doc_id").agg(F.collect_list(F.struct(*_STAY.names[:5])).alias("places"))
@@ -386,7 +406,8 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bi
     firsts = texts.join(small(own), "doc_id").mapInArrow(_first_prefixes(k, percent, bits, sketch, buckets), _PREFIX_DDL)
     firsts = materialize(firsts, "join-prefixes")
     packed = firsts.where("bucket is not null").select("bucket", "tokens", "docs").groupBy("bucket").applyInPandas(_shared_tokens, "token long, doc_id long")
-    posting = materialize(packed.unionByName(firsts.where("bucket is null").select("token", "doc_id")), "join-postings")
+    posting = materialize(packed.unionByName(firsts.where("bucket is null").select("token", "doc_id")).distinct(), "join-postings")
+    posting = _pruned(posting, own.groupBy("doc_id").agg(F.min("n").alias("n")), percent)
     meetings = _meetings(posting, own.groupBy("doc_id").agg(F.sum("n").alias("n")))
     stay = _met(texts, meetings, own, _send(k, False)).mapInArrow(_filter(percent, bits, sketch), _STAY_DDL)
     stay = materialize(stay, "join-stay")
