@@ -64,11 +64,11 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Consecutive texts of about CHUNK_BYTES together: (index of the first, texts)."""
+def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about ``most`` bytes together: (index of the first, texts)."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > CHUNK_BYTES:
+        if i > first and size + len(t) > most:
             yield first, texts[first:i]
             first, size = i, 0
         size += len(t) + 1
@@ -102,6 +102,15 @@ _PW, _PINV = _Powers(_P), _Powers(pow(_P, -1, 1 << 64))
 _QW, _QINV = _Powers(_Q), _Powers(pow(_Q, -1, 1 << 64))
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span [start, end) of some bytes."""
+    n = len(raw)
+    total = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _PW.upto(n), out=total[1:])
+    plain = (total[end] - total[start]) * _PINV.upto(n)[start] if len(start) else np.zeros(0, dtype=np.uint64)
+    return mix64(plain + (end - start).astype(np.uint64) * np.uint64(_Q))
+
+
 class Words:
     """The words (runs of bytes other than 0x20 and 0x09-0x0D) of some texts, as arrays over all of them.
 
@@ -124,11 +133,7 @@ class Words:
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
     def hashes(self) -> np.ndarray:
-        n = len(self.raw)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * _PW.upto(n), out=total[1:])
-        plain = (total[self.end] - total[self.start]) * _PINV.upto(n)[self.start] if len(self.start) else np.zeros(0, dtype=np.uint64)
-        return mix64(plain + (self.end - self.start).astype(np.uint64) * np.uint64(_Q))
+        return span_hashes(self.raw, self.start, self.end)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)

@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _QINV, _QW, CHUNK_BYTES, arrow_batch, binary, chunks, mix64, read, scan_partitions
+from .common import _QINV, _QW, CHUNK_BYTES, arrow_batch, binary, chunks, mix64, read
 
 SIZE = 64
 LEVELS = 3
-_FEW = 16
+#: Bytes of text in a range of ids, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 6 << 20, 10_000
+#: Bytes of text parsed together: arrays of this size stay in a core's cache. It has no bearing on the result.
+PARSED_BYTES = 1 << 17
 
 
 def _toss(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -55,54 +58,69 @@ def _small_toss() -> np.ndarray:
 
 
 _TABLE = _small_toss().reshape(-1)
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def _toss_small(label: np.ndarray, starts: np.ndarray) -> np.ndarray:
     index = label.astype(np.uint16) << np.uint16(8)
     index[1:] |= label[:-1]
-    index[starts] |= label[starts] ^ np.uint8(1)
+    index[starts] = label[starts].astype(np.uint16) << np.uint16(8) | label[starts] ^ np.uint8(1)
     return _TABLE[index]
 
 
 def _phrases(symbols: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level: the names of phrases and the text each is of."""
-    first = np.ones(len(symbols), dtype=bool)
-    first[1:] = (symbols[1:] != symbols[:-1]) | (doc[1:] != doc[:-1])
+    """One level: the names of phrases and the text each is of. Nothing looks beyond the ends of a text."""
+    first = np.empty(len(symbols), dtype=bool)
+    first[0] = True
+    np.not_equal(symbols[1:], symbols[:-1], out=first[1:])
+    first[1:] |= doc[1:] != doc[:-1]
     at = np.flatnonzero(first)
     run = np.diff(np.append(at, len(symbols)))
-    small = symbols.dtype == np.uint8
-    wide = symbols[at].astype(np.uint64) + np.uint64(1)
-    wide = np.where(run > 1, mix64(wide ^ mix64(run.astype(np.uint64))), wide)
-    doc = doc[at]
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    if small:
+    symbols, doc = symbols[at], doc[at]
+    longer = np.flatnonzero(run > 1)
+    new = np.append(True, doc[1:] != doc[:-1])
+    starts = np.flatnonzero(new)
+    # runs are named by symbol and length; of bytes, single ones by a table
+    wide = symbols[longer].astype(np.uint64) + np.uint64(1)
+    wide = mix64(wide ^ mix64(run[longer].astype(np.uint64)))
+    if symbols.dtype == np.uint8:
         # runs differ from single symbols by the top bit or another low bit of their label
-        label = _toss_small(np.where(run > 1, symbols[at] ^ (np.minimum(run, 127) & 0x7F).astype(np.uint8) ^ np.uint8(128), symbols[at]), starts)
+        small = symbols.copy()
+        small[longer] ^= (np.minimum(run[longer], 127) & 0x7F).astype(np.uint8) ^ np.uint8(128)
+        label = _toss_small(small, starts)
+        name = _BYTES[symbols]
+        name[longer] = mix64(wide)
     else:
-        label = _toss(wide, starts)
+        name = symbols + np.uint64(1)
+        name[longer] = wide
+        label = _toss(name, starts)
+        name = mix64(name)
     for _ in range(3):
         label = _toss_small(label, starts)
-    top = np.zeros(len(label), dtype=bool)
-    if len(label) > 2:
-        top[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] >= label[2:])
+    top = np.empty(len(label), dtype=bool)
+    top[0] = True
+    np.greater(label[1:], label[:-1], out=top[1:])
+    top[:-1] &= label[:-1] >= label[1:]
+    # the last symbol of a text begins no phrase, the first one always does
+    top[starts - 1] = False
     top[starts] = True
     begin = np.flatnonzero(top)
-    end = np.append(begin[1:], len(wide))
-    total = np.zeros(len(wide) + 1, dtype=np.uint64)
-    np.cumsum(mix64(wide) * _QW.upto(len(wide)), out=total[1:])
-    return mix64((total[end] - total[begin]) * _QINV.upto(len(wide))[begin] + (end - begin).astype(np.uint64)), doc[begin]
+    end = np.append(begin[1:], len(name))
+    total = np.zeros(len(name) + 1, dtype=np.uint64)
+    np.cumsum(name * _QW.upto(len(name)), out=total[1:])
+    return mix64((total[end] - total[begin]) * _QINV.upto(len(name))[begin] + (end - begin).astype(np.uint64)), doc[begin]
 
 
 def phrase_levels(texts: list[bytes], levels: int = LEVELS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each level: the names of all phrases in order and the text each is of."""
     symbols = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
     out = []
     for _ in range(levels):
         if len(symbols):
             symbols, doc = _phrases(symbols, doc)
         else:
-            symbols, doc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            symbols, doc = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         out.append((symbols, doc))
     return out
 
@@ -110,12 +128,10 @@ def phrase_levels(texts: list[bytes], levels: int = LEVELS) -> list[tuple[np.nda
 def fingerprints(texts: list[bytes], size: int = SIZE) -> list[np.ndarray]:
     """The least distinct 32-bit phrase names of each text, ascending."""
     out: list[np.ndarray] = []
-    for _, part in chunks(texts):
-        levels = phrase_levels(part)
-        names, docs = levels[0]
-        few = np.bincount(docs, minlength=len(part)) < _FEW
-        rows = [(names[few[docs]], docs[few[docs]]), *levels[1:]]
-        key = np.unique(np.concatenate([d.astype(np.uint64) << np.uint64(32) | x >> np.uint64(32) for x, d in rows]))
+    for _, part in chunks(texts, PARSED_BYTES):
+        rows = phrase_levels(part)[1:]
+        key = np.sort(np.concatenate([d.astype(np.uint64) << np.uint64(32) | x >> np.uint64(32) for x, d in rows]))
+        key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
         edge = np.searchsorted(key, np.arange(len(part) + 1, dtype=np.uint64) << np.uint64(32))
         low = (key & np.uint64(0xFFFFFFFF)).astype(">u4")
         out += [low[a : min(b, a + size)] for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -195,8 +211,12 @@ def compare_with_edits(docs: DataFrame, size: int = SIZE, ranges: int | None = N
     """Every row's fingerprint beside those of its edited text and of the next document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    ranges = ranges or 4 * scan_partitions(docs)
-    cuts = sorted(set(rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []))
+    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    ranges = ranges or min(MOST_RANGES, max(4, (total or 0) // RANGE_BYTES))
+    # a long text counts as often as it has the mean length
+    weight = F.ceil((F.octet_length("text") + 1) * F.lit((n or 1) / ((total or 0) + (n or 1)))).cast("int")
+    weighed = rows.select("key", F.explode(F.array_repeat(F.lit(0), weight)))
+    cuts = sorted(set(weighed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 20 * ranges)).first()[0] or []))
 
     @F.pandas_udf("int")
     def bucket(key):

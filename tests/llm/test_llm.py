@@ -254,52 +254,97 @@ def test_packing_added_token():
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     encoder = packing.Encoder(packing.default_vocabulary())
+    odd = ["", " ", "\n", " a", "a  \n b", "nb\u00a0sp", "don't we'll", "日本語 テキスト", "   lead", "trail   ", "a\r\nb", "😀 😀😀 a", "x\ty", "a \n\n b  "]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.batch(odd * 2)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in odd * 2]
     for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\ty  ", "one\n <|endoftext|>\n two <|endoftext|", "plain words"):
         assert np.frombuffer(encoder(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
-def test_lm_score(docs, texts, empty):
+def test_packing_by_configurations():
+    """Configurations place nearly all pieces, in few more sequences than their tokens need."""
+    need = np.bincount(np.random.default_rng(2).integers(1, 1500, 3000), minlength=2049)
+    plan, left = packing.multiplicative_weights(need, 2048)
+    assert left.sum() < 0.02 * need.sum() and all(sum(c) <= 2048 for c, _ in plan)
+    placed = np.zeros(2049, dtype=np.int64)
+    for lengths, times in packing.packing_plan(need):
+        np.add.at(placed, list(lengths), times)
+    assert (placed == need).all()
+    assert sum(n for _, n in packing.packing_plan(need)) <= 1.01 * (need * np.arange(2049)).sum() / 2048 + 1
+
+
+@pytest.mark.parametrize("hot", [(), ("one", "w5", "the")])
+def test_lm_score(docs, texts, empty, monkeypatch, hot):
+    names = [ngram_lm.word_names([w.encode()])[0] for w in hot]
+    monkeypatch.setattr(ngram_lm, "_hot_words", lambda rows: np.unique(np.array([*names, ngram_lm._END] if hot else [], dtype=np.uint64)))
     got = {r.doc_id: r for r in ngram_lm.score_documents(docs).collect()}
     tokens = {i: [*words(lowered(t)), "\0"] for i, t in texts.items()}
-    one, two = collections.Counter(), collections.Counter()
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
     for i, w in tokens.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
             one.update(w)
-            two.update(zip(["\0", *w[:-1]], w, strict=True))
-    n, v, after = sum(one.values()), len(one), collections.Counter(a for a, _ in two)
+            two.update(zip(["\0", *w], w, strict=False))
+            three.update(zip(["\0", "\0", *w], ["\0", *w], w, strict=False))
+    n, v, k = sum(one.values()), len(one), ngram_lm.PRIOR
     for i, w in tokens.items():
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(one[x] > 0 for x in w), n)
-        assert math.isclose(got[i].base_score, sum(math.log10((one[x] + 1) / ((n + 1) * (v + 1))) for x in w), rel_tol=1e-9)
+        # the contract's denominator, N+1*(V+1)
+        assert math.isclose(got[i].base_score, sum(math.log10((one[x] + 1) / (n + 1 * (v + 1))) for x in w), rel_tol=1e-9)
         score = 0.0
-        for a, b in zip(["\0", *w[:-1]], w, strict=True):
-            p = (one[b] + 1) / (n + v + 1)
-            score += math.log10(max(two[a, b] - 0.75, 0) / one[a] + 0.75 * after[a] / one[a] * p if one[a] else p)
+        for c, b, a in zip(["\0", "\0", *w], ["\0", *w], w, strict=False):
+            p1 = (one[a] + 1) / (n + v + 1)
+            p2 = (two[b, a] + k * p1) / (one[b] + k)
+            before = one["\0"] if c == b == "\0" else two[c, b]
+            score += math.log10((three[c, b, a] + k * p2) / (before + k))
         assert abs(got[i].score - score) <= 0.03 * len(w)
     assert ngram_lm.score_documents(empty).count() == 0
 
 
 def test_elias_fano():
-    values = np.sort(np.random.default_rng(1).integers(0, 2**63, 500).astype(np.uint64))
-    n, bits, base, low, high = ngram_lm.EliasFano.pack(values)
-    packed = ngram_lm.EliasFano(n, bits, base, np.frombuffer(low, dtype=np.uint8), np.frombuffer(high, dtype=np.uint8))
-    assert (packed.get(np.arange(n)) == values).all()
-    assert (packed.search(values, np.zeros(n, dtype=np.int64), np.full(n, n)) == np.arange(n)).all()
+    draw = np.random.default_rng(1)
+    for values in (draw.integers(0, 2**63, 5000), np.arange(300), draw.integers(0, 50, 1000), draw.integers(0, 2**64 - 1, 300, dtype=np.uint64), np.array([7])):
+        values = np.sort(values.astype(np.uint64))
+        packed, n = ngram_lm.EliasFano(*ngram_lm.EliasFano.pack(values)), len(values)
+        assert (packed.get(np.arange(n)) == values).all()
+        assert (packed.search(values, np.zeros(n, dtype=np.int64), np.full(n, n)) == np.searchsorted(values, values)).all()
+        # two bits and the low bits a value, no places
+        assert packed.high.nbytes + packed.low.nbytes <= n * (3 + packed.low_bits) / 8 + 40
+
+
+def _print_of(text):
+    return fingerprint.fingerprints([text.encode()])[0]
 
 
 def test_fingerprint(docs, texts, empty):
+    """Against every text and edited text parsed alone."""
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(docs, ranges=4).collect()}
     order = sorted(texts)
     for k, i in enumerate(order):
         text, following = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
         cut = len(text) // 4
         edited = text[: len(text) - cut] + following[:cut]
+        own, changed, after = map(_print_of, (text, edited, following))
         assert got[i].n_chars == len(text) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own.tobytes().hex(), changed.tobytes().hex())
+        for found, other in ((got[i].near_edited, changed), (got[i].near_next, after)):
+            both = sorted(set(own.tolist()) | set(other.tolist()))[: fingerprint.SIZE]
+            assert found == (len(set(both) & set(own.tolist()) & set(other.tolist())) / len(both) if both else 1.0)
     assert got[1002].fingerprint == got[1007].fingerprint and got[1000].fingerprint == ""
     near = fingerprint.fingerprints([texts[1006].encode(), ("shift " + texts[1006]).encode()])
     assert fingerprint.likeness(*near) > 0.9
     assert fingerprint.compare_with_edits(empty).count() == 0
 
 
+def test_fingerprint_one_row_and_locality(spark):
+    """A table of one row is its own next document, and neighbours have no bearing on a text's fingerprint."""
+    row = spark.createDataFrame([(5, "some words of a text that stands alone, aaaa")], "doc_id long, text string")
+    got = fingerprint.compare_with_edits(row).first()
+    assert got.near_next == 1.0
+    dice = np.random.default_rng(4)
+    texts = ["".join(dice.choice(list("ab c\n"), int(n))).encode() for n in dice.integers(0, 300, 200)]
+    together = fingerprint.fingerprints(texts)
+    assert all(np.array_equal(x, fingerprint.fingerprints([t])[0]) for x, t in zip(together, texts, strict=True))
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     documents = spark.read.parquet(f"{DATA}/documents.parquet")
