@@ -1,18 +1,25 @@
-"""Language-model scoring over Elias-Fano n-gram tries.
-
-A word is known by a 64-bit hash. Documents are read in chunks; each chunk sends its distinct (context word,
-word) pairs, with how often training documents have them, to the shard of the context word. A shard sums the
-counts of all chunks into a trie of two levels: contexts, and under each its successors. Both levels are
-sorted and written as Elias-Fano sequences (low bits packed, high bits in unary) in a memory-mapped file; a
-monotone pointer sequence tells where a context's successors lie, and a probability takes one byte. A pair is
-looked up by a search for the context and then one among its successors alone. What a chunk asked comes back to
-it, and the chunk's documents are scored. So counts and tries grow with the corpus and are spread over tasks.
-
-The model: p(w|v) = max(c(vw) - d, 0) / c(v) + d n(v) / c(v) * p(w), p(w) = (c(w) + 1) / (N + V + 1), where
-c are counts over training documents, n(v) is the number of successors and d is 0.75; the context of a first
-word is the end. After a context never seen, p(w). The first term is quantised on a logarithmic scale.
-
-Null or empty text: the end alone. Rows of equal or null ids are scored each by itself. Other columns are dropped.
+"""Language-model scoring over Elias-Fano n-gram tries of three orders.
+
+A trie runs from a word back to the word before it and on to the one before that, so a node of depth one, two or
+three is a unigram, bigram or trigram. Documents are read in chunks; each chunk sends its distinct trigrams, sorted
+and nested, with how often training documents have them, to the shards of their last words. A shard adds up all
+chunks, builds its trie and answers every chunk for what it asked; the chunk's documents are then scored. So what
+is gathered grows with the corpus and is spread over tasks. A word that is a large share of all tokens is dealt over
+``HOT_BUCKETS`` shards by the word before it; a sample tells which (this decides the layout only, not a count).
+
+A level of the trie is a sequence of ascending keys (place of the parent, id) in Elias-Fano form: low bits packed to
+the bit, high bits in unary with counts for each block of 64 bits, so no place is stored. Monotone pointer sequences,
+packed alike, tell where a node's children lie; a child is found by a search among these alone. A node of depth two
+or three holds its share of its parent's count, quantised on a logarithmic scale in one byte. All levels lie in one
+memory-mapped file.
+
+The model, with counts c over training documents: p1(w) = (c(w) + 1) / (N + V + 1);
+p2(w|v) = (c(vw) + K p1(w)) / (c(v) + K); p3(w|uv) = (c(uvw) + K p2(w|v)) / (c(uv) + K), K = ``PRIOR``.
+Texts begin after two ends. Last words are known by 64 bits, the words before them by 32 within their node: a
+never-seen n-gram passes for a seen one with chance n / 2**32, n the number of children there.
+
+Null or empty text: the end alone. Rows of equal or null ids are scored each by itself; a null id counts as
+training. Empty tables give no rows. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,115 +34,165 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_batch, binary, materialize, mix64, new_temp_file, read
+from .common import Words, arrow_batch, binary, chunks, materialize, mix64, new_temp_file, read
 
-DISCOUNT = 0.75
+PRIOR = 4.0
 #: Bytes of text that a chunk holds at least, and text bytes for each shard.
-CHUNK, SHARD_BYTES = 6 << 20, 24 << 20
-_END = np.uint64(0x656E64)
+CHUNK, SHARD_BYTES = 12 << 20, 12 << 20
+#: Words of at least this share of a sample of one document in SAMPLE are dealt over HOT_BUCKETS shards.
+HOT_SHARE, SAMPLE, HOT_BUCKETS = 1e-3, 50, 32
+_END = np.uint64(0x656E6400000000)
 #: Quantised steps of log10, from 0 down; 255 stands for 'not found'.
 _STEP = 10.0 / 254
+_LOW32 = np.uint64(0xFFFFFFFF)
+
+
+def _packed_bits(values: np.ndarray, width: int) -> np.ndarray:
+    """The lowest ``width`` bits of each value, one after the other, as bytes (8 spare ones at the end)."""
+    if not width:
+        return np.zeros(8, dtype=np.uint8)
+    shifts = np.arange(width, dtype=np.uint64)
+    parts = [np.packbits(((values[i : i + 65536, None] >> shifts) & np.uint64(1)).astype(np.uint8).reshape(-1), bitorder="little") for i in range(0, len(values), 65536)]
+    return np.concatenate([*parts, np.zeros(8, dtype=np.uint8)])
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers in packed form; ``levels`` lie in one memory-mapped buffer."""
+    """A non-decreasing sequence of integers; its arrays may lie in a memory-mapped buffer."""
 
-    def __init__(self, n: int, low_bits: int, base: int, low: np.ndarray, high: np.ndarray) -> None:
-        self.n, self.low_bits, self.base, self.low = n, low_bits, base, low
-        ones = np.unpackbits(high, bitorder="little")
-        self.places = np.flatnonzero(ones)[:n].astype(np.int64) if n else np.zeros(0, dtype=np.int64)
+    def __init__(self, n: int, low_bits: int, base: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> None:
+        self.n, self.low_bits, self.base, self.low, self.high, self.rank = n, low_bits, base, low, high, rank
 
     @staticmethod
-    def pack(values: np.ndarray) -> tuple[int, int, int, bytes, bytes]:
+    def pack(values: np.ndarray) -> tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]:
+        """(length, low bits, least value, packed low bits, 64-bit words of the unary high bits, ones before each word)."""
         n = len(values)
         if not n:
-            return 0, 0, 0, b"", b""
+            return 0, 0, 0, np.zeros(8, dtype=np.uint8), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
         base = int(values[0])
         v = values - np.uint64(base)
-        span = int(v[-1]) + 1
-        low_bits = max(0, (span // n).bit_length() - 1)
-        high = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n, dtype=np.int64)
-        bits = np.zeros(int(high[-1]) + 1, dtype=np.uint8)
-        bits[high] = 1
-        low = (v & np.uint64((1 << low_bits) - 1)).view(np.uint8).reshape(n, 8)[:, : -(-low_bits // 8)]
-        return n, low_bits, base, low.tobytes(), np.packbits(bits, bitorder="little").tobytes()
+        low_bits = max(0, ((int(v[-1]) + 1) // n).bit_length() - 1)
+        place = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n, dtype=np.int64)
+        bits = np.zeros((int(place[-1]) // 64 + 1) * 64, dtype=np.uint8)
+        bits[place] = 1
+        high = np.packbits(bits, bitorder="little").view(np.uint64)
+        ones = np.bitwise_count(high).astype(np.uint32)
+        return n, low_bits, base, _packed_bits(v, low_bits), high, (np.cumsum(ones) - ones).astype(np.uint32)
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        if not self.low_bits:
+            return np.zeros(len(i), dtype=np.uint64)
+        at = i.astype(np.int64) * self.low_bits
+        byte, bit = at >> 3, (at & 7).astype(np.uint64)
+        out = np.zeros(len(i), dtype=np.uint64)
+        for k in range(-(-(self.low_bits + 7) // 8)):
+            x = self.low[np.minimum(byte + k, len(self.low) - 1)].astype(np.uint64)
+            out |= (x << np.uint64(8 * k) >> bit) if k < 8 else (x << (np.uint64(64) - bit)) * (bit > 0)
+        return out & np.uint64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at some places."""
-        high = (self.places[i] - i).astype(np.uint64) << np.uint64(self.low_bits)
-        width = -(-self.low_bits // 8)
-        low = np.zeros(len(i), dtype=np.uint64)
-        for k in range(width):
-            low |= self.low[i * width + k].astype(np.uint64) << np.uint64(8 * k)
-        return high + low + np.uint64(self.base)
+        i = np.asarray(i, dtype=np.int64)
+        word = np.searchsorted(self.rank, i.astype(np.uint32), side="right") - 1
+        # the (i - rank)-th one of the word, found by halving
+        left = (i - self.rank[word]).astype(np.int64)
+        bits = self.high[word].copy()
+        place = np.zeros(len(i), dtype=np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+            over = left >= ones
+            left -= np.where(over, ones, 0)
+            place += np.where(over, width, 0)
+            bits = np.where(over, bits >> np.uint64(width), bits)
+        high = (word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)
+        return high + self._low(i) + np.uint64(self.base)
 
     def search(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """For each value its first place in [lo, hi) that isn't less: the successor within a context."""
-        lo, hi = lo.copy(), hi.copy()
-        while (open_ := lo < hi).any():
-            middle = (lo + hi) >> 1
-            less = np.zeros(len(value), dtype=bool)
-            less[open_] = self.get(middle[open_]) < value[open_]
-            lo = np.where(open_ & less, middle + 1, lo)
-            hi = np.where(open_ & ~less, middle, hi)
+        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = self.get(middle) < value[open_]
+            lo[open_] = np.where(less, middle + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], middle)
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
 
-class Trie:
-    """Contexts with counts and numbers of successors; successors with quantised discounted probabilities."""
+def _children(key: np.ndarray, count: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending keys (parent << 32 | id) with repeats: the distinct ones, their counts, where each parent's begin."""
+    first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+    total = np.add.reduceat(count, first) if len(first) else np.zeros(0, dtype=np.int64)
+    pointers = np.searchsorted(key[first] >> np.uint64(32), np.arange(parents + 1, dtype=np.uint64))
+    return key[first], total, pointers.astype(np.uint64)
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> None:
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order]
+
+class Trie:
+    """Levels of words, of words before them and of words before these, with counts or quantised shares."""
+
+    def __init__(self, word: np.ndarray, before: np.ndarray, second: np.ndarray, count: np.ndarray) -> None:
+        words, of_word = np.unique(word, return_inverse=True)
+        total = np.bincount(of_word, count, minlength=len(words)).astype(np.int64)
+        pair = of_word.astype(np.uint64) << np.uint64(32) | before.astype(np.uint64)
+        pairs, of_pair = np.unique(pair, return_inverse=True)
+        n2 = np.bincount(of_pair, count, minlength=len(pairs)).astype(np.int64)
+        p2 = np.searchsorted(pairs >> np.uint64(32), np.arange(len(words) + 1, dtype=np.uint64)).astype(np.uint64)
+        triple = of_pair.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+        order = np.argsort(triple, kind="stable")
+        triples, n3, p3 = _children(triple[order], count[order].astype(np.int64), len(pairs))
+        share = lambda n, of: np.minimum(np.round(-np.log10(n / of) / _STEP), 254).astype(np.uint8)
+        q2 = share(n2, total[(pairs >> np.uint64(32)).astype(np.int64)])
+        q3 = share(n3, n2[(triples >> np.uint64(32)).astype(np.int64)])
         self.file = new_temp_file("trie-")
-        first = np.flatnonzero(np.append(len(context) > 0, context[1:] != context[:-1])) if len(context) else np.zeros(0, dtype=np.int64)
-        sizes = np.diff(np.append(first, len(context)))
-        total = np.add.reduceat(count, first) if len(first) else np.zeros(0, dtype=np.int64)
-        share = np.maximum(count - discount, 1e-9) / np.repeat(total, sizes)
-        quantised = np.minimum(np.round(-np.log10(share) / _STEP), 254).astype(np.uint8)
-        # within a context words ascend; each context's words get the place of the context in front, so all ascend
-        self.rank_bits = max(1, int(len(first)).bit_length())
-        shifted = word >> np.uint64(self.rank_bits) | np.repeat(np.arange(len(first), dtype=np.uint64), sizes) << np.uint64(64 - self.rank_bits)
-        parts = [EliasFano.pack(x) for x in (context[first], np.sort(shifted), np.append(first, len(context)).astype(np.uint64))]
-        for part in parts:
-            self.file.write(part[3] + part[4])
-        self.file.write(quantised.tobytes() + total.astype(np.int64).tobytes() + sizes.astype(np.int64).tobytes() + b"\x00")
+        levels = [EliasFano.pack(x) for x in (words, p2, pairs, p3, triples)]
+        places = []
+        for _, _, _, *arrays in levels:
+            places.append([self._write(x) for x in arrays])
+        plain = [self._write(x) for x in (total, q2, q3)]
+        self.file.write(b"\x00")
         self.file.flush()
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
-        at = 0
-
-        def level(kind, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(self.map, dtype=np.uint8, count=n * np.dtype(kind).itemsize, offset=at)
-            at += out.size
-            return out.view(kind) if kind == np.uint8 else np.frombuffer(out.tobytes(), dtype=kind)
-
-        self.contexts, self.words, self.pointers = (EliasFano(n, b, base, level(np.uint8, len(low)), level(np.uint8, len(high))) for n, b, base, low, high in parts)
-        self.quantised, self.total, self.sizes = level(np.uint8, len(word)), level(np.int64, len(first)), level(np.int64, len(first))
-
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Quantised probability (255: none), the context's count and its number of successors."""
-        n = len(context)
-        none = np.full(n, 255, dtype=np.uint8), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        if not self.contexts.n:
-            return none
-        size = self.contexts.n
-        place = self.contexts.search(context, np.zeros(n, dtype=np.int64), np.full(n, size))
-        known = place < size
-        known[known] = self.contexts.get(place[known]) == context[known]
-        place = np.where(known, place, 0)
-        lo, hi = self.pointers.get(place).astype(np.int64), self.pointers.get(place + 1).astype(np.int64)
-        wanted = word >> np.uint64(self.rank_bits) | place.astype(np.uint64) << np.uint64(64 - self.rank_bits)
-        found = self.words.search(wanted, lo, np.where(known, hi, lo))
-        hit = known & (found < hi)
-        hit[hit] = self.words.get(found[hit]) == wanted[hit]
-        q = np.where(hit, self.quantised[np.where(hit, found, 0)], 255).astype(np.uint8)
-        return q, np.where(known, self.total[place], 0), np.where(known, self.sizes[place], 0)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bool], list[bytes]]]:
-    """Numbered chunks of rows: ids, whether held out, texts."""
-    number, ids, held, texts, size = 0, [], [], [], 0
+        at = lambda place: np.frombuffer(self.map, dtype=place[0], count=place[1], offset=place[2])
+        self.words, self.to_pairs, self.pairs, self.to_triples, self.triples = (EliasFano(*level[:3], *map(at, place)) for level, place in zip(levels, places, strict=True))
+        self.total, self.q2, self.q3 = map(at, plain)
+
+    def _write(self, x: np.ndarray) -> tuple[np.dtype, int, int]:
+        self.file.write(b"\x00" * (-self.file.tell() % 8))
+        place = (x.dtype, len(x), self.file.tell())
+        self.file.write(x.tobytes())
+        return place
+
+    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """The child of each parent (-1: none) with some 32-bit name, or -1."""
+        out = np.full(len(parent), -1, dtype=np.int64)
+        at = np.flatnonzero(parent >= 0)
+        if not len(at) or not level.n:
+            return out
+        lo, hi = pointers.get(parent[at]).astype(np.int64), pointers.get(parent[at] + 1).astype(np.int64)
+        key = parent[at].astype(np.uint64) << np.uint64(32) | name[at].astype(np.uint64)
+        found = level.search(key, lo, hi)
+        hit = found < hi
+        hit[hit] = level.get(found[hit]) == key[hit]
+        out[at[hit]] = found[hit]
+        return out
+
+    def lookup(self, word: np.ndarray, pairs_of: np.ndarray, before: np.ndarray, triples_of: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of words, and quantised shares (255: none) of the pairs under each and the triples under each pair."""
+        at = np.full(len(word), -1, dtype=np.int64)
+        if self.words.n:
+            found = self.words.search(word, np.zeros(len(word), dtype=np.int64), np.full(len(word), self.words.n))
+            hit = found < self.words.n
+            hit[hit] = self.words.get(found[hit]) == word[hit]
+            at[hit] = found[hit]
+        pair = self._below(self.pairs, self.to_pairs, np.repeat(at, pairs_of), before)
+        triple = self._below(self.triples, self.to_triples, np.repeat(pair, triples_of), second)
+        picked = lambda values, i, none: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else none, none)
+        return picked(self.total, at, 0).astype(np.int64), picked(self.q2, pair, 255).astype(np.uint8), picked(self.q3, triple, 255).astype(np.uint8)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool], list[bytes]]]:
+    """Chunks of rows: ids, whether held out, texts."""
+    ids, held, texts, size = [], [], [], 0
     for batch in batches:
         for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
             ids.append(i)
@@ -143,144 +200,216 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
             texts.append(t)
             size += len(t) + 8
             if size >= CHUNK:
-                yield number, ids, held, texts
-                number, ids, held, texts, size = number + 1, [], [], [], 0
+                yield ids, held, texts
+                ids, held, texts, size = [], [], [], 0
     if ids:
-        yield number, ids, held, texts
+        yield ids, held, texts
 
 
-def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens: text, context and word, the end of each text included."""
-    w = Words(texts, lower=True)
-    n = w.counts()
-    h = w.hashes()
+def word_names(texts: list[bytes]) -> np.ndarray:
+    """The 64-bit names of words; none is that of the end."""
+    h = Words(texts, lower=True).hashes()
     h[h == _END] += np.uint64(1)
-    word = np.insert(h, w.first[1:], _END)
-    doc = np.repeat(np.arange(len(texts)), n + 1)
-    context = np.append(_END, word[:-1])
-    return doc, context, word
+    return h
 
 
-_ASKED = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("context", pa.binary()), ("word", pa.binary()), ("count", pa.binary())])
-_ASKED_DDL = "shard int, chunk long, context binary, word binary, count binary"
-_DOCS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("pair", pa.binary()), ("of_word", pa.binary()), ("of_context", pa.binary())])
-_DOCS_DDL = "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<int>, pair binary, of_word binary, of_context binary"
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all tokens, the end of each text included, and how many each text has."""
+    names, sizes = [], []
+    for _, part in chunks(texts):
+        w = Words(part, lower=True)
+        h = w.hashes()
+        h[h == _END] += np.uint64(1)
+        names.append(np.insert(h, w.first[1:], _END))
+        sizes.append(w.counts() + 1)
+    return np.concatenate(names), np.concatenate(sizes)
 
 
-def _distinct(doc: np.ndarray, context: np.ndarray, word: np.ndarray, counted: np.ndarray, shards: int):
-    """Distinct pairs by shard, context and word, how often counted, and the number of every token's pair."""
-    key = mix64(context + np.uint64(0x9E3779B97F4A7C15)) ^ word
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    shard = (mix64(context ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)).astype(np.int32)[first]
-    order = np.lexsort((word[first], context[first], shard))
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    first = first[order]
-    number = rank[number]
-    return shard[order], context[first], word[first], np.bincount(number, counted, minlength=len(first)).astype(np.uint32), number
+def _before(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one and two before each token; ends before the first of a text."""
+    first = np.cumsum(sizes) - sizes
+    one = np.append(_END, word[:-1])
+    two = np.append([_END, _END], word[:-2])[: len(word)]
+    two[first] = _END
+    return one, two
 
 
-def _ask(shards: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, _, held, texts in _chunks(batches):
-            doc, context, word = _pairs(texts)
-            shard, context, word, count, _ = _distinct(doc, context, word, (~np.array(held))[doc], shards)
-            edge = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-            to = np.append(edge[1:], len(shard))
-            yield arrow_batch(_ASKED, [shard[edge], [part << 24 | number] * len(edge), *([x[a:b].tobytes() for a, b in zip(edge, to, strict=True)] for x in (context, word, count))])
+_MADE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("word", "pairs", "before", "triples", "second", "count")), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "at", "hot"))])
+_ASKED = ("shard", "chunk", "word", "pairs", "before", "triples", "second", "count")
+_MADE_DDL = "shard int, chunk long, word binary, pairs binary, before binary, triples binary, second binary, count binary, doc_id array<long>, held_out array<boolean>, sizes binary, at binary, hot binary"
 
-    return scan
+
+def _dealt(word: np.ndarray, before: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Names under which words are looked up: of hot words, one for each bucket of the words before."""
+    place = np.minimum(np.searchsorted(hot, word), max(len(hot) - 1, 0))
+    is_hot = hot[place] == word if len(hot) else np.zeros(len(word), dtype=bool)
+    bucket = (mix64(before) % np.uint64(HOT_BUCKETS)) + np.uint64(1)
+    return np.where(is_hot, mix64(word ^ mix64(bucket)), word)
 
 
-def _structure(shards: int):
+def _make(shards: int, hot: np.ndarray):
+    """For each chunk a row for each shard (what it asks), and one row of shard -1 (how its documents are made of that)."""
+    names = _hot_names(hot)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, ids, held, texts in _chunks(batches):
-            doc, context, word = _pairs(texts)
-            _, context, word, _, pair = _distinct(doc, context, word, np.zeros(len(doc)), shards)
-            names = np.unique(context)  # every word is a context, too
-            numbers = (pair, np.searchsorted(names, word), np.searchsorted(names, context))
-            yield arrow_batch(_DOCS, [[part << 24 | number], [ids], [held], [np.bincount(doc, minlength=len(texts)).tolist()], *([x.astype(np.uint32).tobytes()] for x in numbers)])
+        for number, (ids, held, texts) in enumerate(_chunks(batches)):
+            chunk = part << 24 | number
+            word, sizes = _tokens(texts)
+            one, two = _before(word, sizes)
+            trained = np.repeat(~np.array(held), sizes)
+            words, of_word = np.unique(_dealt(word, one, hot), return_inverse=True)
+            # words in order of their shards
+            to = (mix64(words ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            rank = np.empty(len(order), dtype=np.uint64)
+            rank[order] = np.arange(len(order), dtype=np.uint64)
+            words, to = words[order], to[order]
+            pairs, of_pair = np.unique(rank[of_word] << np.uint64(32) | one >> np.uint64(32), return_inverse=True)
+            triples, at = np.unique(of_pair.astype(np.uint64) << np.uint64(32) | two >> np.uint64(32), return_inverse=True)
+            count = np.bincount(at, trained, minlength=len(triples)).astype(np.uint32)
+            pairs_of = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(words)).astype(np.uint32)
+            triples_of = np.bincount((triples >> np.uint64(32)).astype(np.int64), minlength=len(pairs)).astype(np.uint32)
+            before, second = (pairs & _LOW32).astype(np.uint32), (triples & _LOW32).astype(np.uint32)
+            edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            bounds = [np.append(edge, len(words))]
+            bounds.append(np.append(0, np.cumsum(pairs_of, dtype=np.int64))[bounds[0]])
+            bounds.append(np.append(0, np.cumsum(triples_of, dtype=np.int64))[bounds[1]])
+            columns = [[x[a:b].tobytes() for a, b in zip(bounds[level][:-1], bounds[level][1:], strict=True)] for x, level in ((words, 0), (pairs_of, 0), (before, 1), (triples_of, 1), (second, 2), (count, 2))]
+            none = pa.nulls(len(edge))
+            lists = [none.cast(_MADE.field(c).type) for c in ("doc_id", "held_out", "sizes", "at", "hot")]
+            yield arrow_batch(_MADE, [to[edge], [chunk] * len(edge), *columns, *lists])
+            place = np.minimum(np.searchsorted(names[0], words), max(len(names[0]) - 1, 0))
+            mine = np.flatnonzero(names[0][place] == words) if len(names[0]) else np.zeros(0, dtype=np.int64)
+            told = np.stack([mine, names[1][place[mine]]]).astype(np.int32) if len(mine) else np.zeros((2, 0), dtype=np.int32)
+            # bytes of one rank together compress better
+            planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T
+            asked = [[None], [pairs_of.tobytes()], [None], [triples_of.tobytes()], [None], [None]]
+            yield arrow_batch(_MADE, [[-1], [chunk], *asked, [ids], [held], [sizes.astype(np.uint32).tobytes()], [np.ascontiguousarray(planes).tobytes()], [told.tobytes()]])
 
     return scan
 
 
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    context = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["context"]])
-    word = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in rows["word"]])
-    count = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in rows["count"]])
-    trained = count > 0
-    order = np.lexsort((word[trained], context[trained]))
-    v, w, c = context[trained][order], word[trained][order], count[trained][order].astype(np.int64)
-    first = np.flatnonzero(np.append(len(v) > 0, (v[1:] != v[:-1]) | (w[1:] != w[:-1]))) if len(v) else np.zeros(0, dtype=np.int64)
-    trie = Trie(v[first], w[first], np.add.reduceat(c, first) if len(first) else c)
-    out = {"shard": [], "chunk": [], "q": [], "total": [], "successors": [], "word": []}
-    for _, r in rows.iterrows():
-        v, w = np.frombuffer(r["context"], dtype=np.uint64), np.frombuffer(r["word"], dtype=np.uint64)
-        q, total, successors = trie.lookup(v, w)
-        begin = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        for name, value in (("shard", r["shard"]), ("chunk", r["chunk"]), ("q", q.tobytes()), ("total", total[begin].tobytes()), ("successors", successors[begin].tobytes()), ("word", v[begin].tobytes())):
-            out[name].append(value)
-    return pd.DataFrame(out)
-
-
-def _score(n_tokens: int, vocabulary: int):
+def _hot_names(hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted names of hot words' buckets, and the number of the word of each."""
+    bucket = np.arange(1, HOT_BUCKETS + 1, dtype=np.uint64)
+    name = mix64(hot[:, None] ^ mix64(bucket)[None, :]).reshape(-1)
+    order = np.argsort(name)
+    return name[order], np.repeat(np.arange(len(hot)), HOT_BUCKETS)[order]
+
+
+_ANSWER_DDL = "shard int, chunk long, total binary, q2 binary, q3 binary, tokens long, words long, hot binary"
+
+
+def _answer(hot: np.ndarray):
+    names, number = _hot_names(hot)
+
+    def answer(rows: pd.DataFrame) -> pd.DataFrame:
+        u32 = lambda x: np.frombuffer(x, dtype=np.uint32)
+        parts = []
+        for r in rows.itertuples():
+            of_pair = np.repeat(np.arange(len(u32(r.before))), u32(r.triples))
+            of_word = np.repeat(np.arange(len(u32(r.pairs))), u32(r.pairs))
+            count = u32(r.count)
+            use = count > 0
+            pair = of_pair[use]
+            parts.append((np.frombuffer(r.word, dtype=np.uint64)[of_word[pair]], u32(r.before)[pair], u32(r.second)[use], count[use]))
+        trie = Trie(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
+        out: dict[str, list] = {c.split()[0]: [] for c in _ANSWER_DDL.split(", ")}
+        shard = int(rows["shard"].iloc[0])
+
+        def add(*values) -> None:
+            for column, value in zip(out.values(), values, strict=True):
+                column.append(value)
+
+        for r in rows.itertuples():
+            total, q2, q3 = trie.lookup(np.frombuffer(r.word, dtype=np.uint64), u32(r.pairs), u32(r.before), u32(r.triples), u32(r.second))
+            add(shard, r.chunk, total.tobytes(), q2.tobytes(), q3.tobytes(), None, None, None)
+        words = trie.words.get(np.arange(trie.words.n)) if trie.words.n else np.zeros(0, dtype=np.uint64)
+        place = np.minimum(np.searchsorted(names, words), max(len(names) - 1, 0))
+        mine = names[place] == words if len(names) else np.zeros(len(words), dtype=bool)
+        told = np.stack([number[place[mine]], trie.total[mine]]) if mine.any() else np.zeros((2, 0), dtype=np.int64)
+        add(shard, -1, None, None, None, int(trie.total.sum()), int((~mine).sum()), told.astype(np.int64).tobytes())
+        return pd.DataFrame(out)
+
+    return answer
+
+
+def _score(n_tokens: int, vocabulary: int, hot_counts: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
+    def judged(r: dict) -> pa.RecordBatch:
+        answers = sorted(r["answers"], key=lambda a: a["shard"])
+        joined = lambda c, kind: np.concatenate([np.frombuffer(a[c], dtype=kind) for a in answers])
+        total, q2, q3 = joined("total", np.int64).astype(float), joined("q2", np.uint8), joined("q3", np.uint8)
+        share = np.append(10.0 ** (-_STEP * np.arange(255)), 0.0)
+        pairs_of, triples_of = (np.frombuffer(r[c], dtype=np.uint32) for c in ("pairs", "triples"))
+        hot = np.frombuffer(r["hot"], dtype=np.int32).reshape(2, -1)
+        word_of = np.repeat(np.arange(len(pairs_of)), pairs_of)
+        pair_of = np.repeat(np.arange(len(triples_of)), triples_of)
+        # shares are of the name under which a word was looked up
+        pair_count = np.round(share[q2] * total[word_of])
+        triple_count = np.round(share[q3] * pair_count[pair_of])
+        total[hot[0]] = hot_counts[hot[1]]
+        sizes = np.frombuffer(r["sizes"], dtype=np.uint32).astype(np.int64)
+        at = np.ascontiguousarray(np.frombuffer(r["at"], dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+        pair = pair_of[at]
+        c1, c2, c3 = total[word_of[pair]], pair_count[pair], triple_count[at]
+        ends = c1[np.cumsum(sizes) - 1]
+        first = np.cumsum(sizes) - sizes
+        of_one, of_two = np.append(0.0, c1[:-1]), np.append(0.0, c2[:-1])
+        of_one[first] = of_two[first] = ends
+        p1 = (c1 + 1.0) / (n_tokens + vocabulary + 1.0)
+        p2 = (c2 + PRIOR * p1) / (of_one + PRIOR)
+        p3 = np.minimum((c3 + PRIOR * p2) / (np.maximum(of_two, c3) + PRIOR), 1.0)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sums = [np.bincount(doc, x, minlength=len(sizes)) for x in ((c1 > 0).astype(float), np.log10(p1), np.log10(p3))]
+        return arrow_batch(schema, [r["doc_id"], r["held_out"], sizes, sums[0].astype(np.int64), sums[1], sums[2]])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                answers = sorted(r["answers"], key=lambda a: a["shard"])
-                q = np.concatenate([np.frombuffer(a["q"], dtype=np.uint8) for a in answers])
-                names = np.concatenate([np.frombuffer(a["word"], dtype=np.uint64) for a in answers])
-                total = np.concatenate([np.frombuffer(a["total"], dtype=np.int64) for a in answers])
-                successors = np.concatenate([np.frombuffer(a["successors"], dtype=np.int64) for a in answers])
-                order = np.argsort(names)
-                total, successors = total[order], successors[order]
-                of_word, of_context = (np.frombuffer(r[x], dtype=np.uint32) for x in ("of_word", "of_context"))
-                c = total[of_word]
-                plain = np.log10(c + 1.0) - np.log10((n_tokens + 1.0) * (vocabulary + 1.0))
-                unigram = (c + 1.0) / (n_tokens + vocabulary + 1.0)
-                seen = total[of_context]
-                rest = np.where(seen > 0, DISCOUNT * successors[of_context] / np.maximum(seen, 1), 1.0)
-                p = np.where(q < 255, 10.0 ** (-_STEP * q.astype(float)), 0.0) + rest * unigram
-                pair = np.frombuffer(r["pair"], dtype=np.uint32)
-                doc = np.repeat(np.arange(len(r["sizes"])), r["sizes"])
-                n = len(r["sizes"])
-                sums = [np.bincount(doc, x[pair], minlength=n) for x in ((c > 0).astype(float), plain, np.log10(np.minimum(p, 1.0)))]
-                yield arrow_batch(schema, [r["doc_id"], r["held_out"], r["sizes"], sums[0].astype(np.int64), sums[1], sums[2]])
+            for i in range(batch.num_rows):
+                yield judged(batch.slice(i, 1).to_pylist()[0])
 
     return scan
 
 
+def _hot_words(rows: DataFrame) -> np.ndarray:
+    """Names of the words that are HOT_SHARE of the tokens of a sample: at most 1 / HOT_SHARE of them."""
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w"))
+    n = sample.groupBy("w").agg(F.count("*").alias("n"))
+    n = materialize(n, "lm-sample")
+    most = n.agg(F.sum("n")).first()[0] or 0
+    found = [r["w"] for r in n.where((F.col("n") >= HOT_SHARE * most) & (F.col("n") >= 100) & (F.col("w") != "")).select("w").collect()]
+    return np.unique(np.append(np.array([word_names([w.encode()])[0] for w in found], dtype=np.uint64), _END))
+
+
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of the fold are not learnt from."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string"))
-    rows = materialize(rows, "lm-documents")  # both passes must see the same chunks
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2, -(-size // SHARD_BYTES))
-    asked = materialize(rows.mapInArrow(_ask(shards), _ASKED_DDL), "lm-asked")
-    answered = asked.groupBy("shard").applyInPandas(_answer, "shard int, chunk long, q binary, total binary, successors binary, word binary")
-    answered = materialize(answered, "lm-answers")
-    totals = answered.select("shard", "word", "total").mapInArrow(_known, "word long, total long").distinct().agg(F.sum("total"), F.count("*")).first()
-    n_tokens, vocabulary = int(totals[0] or 0), int(totals[1] or 0)
-    replies = answered.groupBy("chunk").agg(F.collect_list(F.struct("shard", "q", "total", "successors", "word")).alias("answers"))
-    structure = rows.mapInArrow(_structure(shards), _DOCS_DDL)
-    out = structure.join(replies, "chunk").mapInArrow(_score(n_tokens, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    hot = _hot_words(rows)
+    made = rows.mapInArrow(_make(shards, hot), _MADE_DDL)
+    return _scored(materialize(made, "lm-made"), hot)
+
+
+def _scored(made: DataFrame, hot: np.ndarray) -> DataFrame:
+    asked = made.where("shard >= 0").select(*_ASKED)
+    answered = materialize(asked.groupBy("shard").applyInPandas(_answer(hot), _ANSWER_DDL), "lm-answers")
+    stats = answered.where("chunk < 0").select("tokens", "words", "hot").collect()  # one row a shard
+    hot_counts = np.zeros(len(hot))
+    for r in stats:
+        number, total = np.frombuffer(r["hot"], dtype=np.int64).reshape(2, -1)
+        np.add.at(hot_counts, number, total)
+    n_tokens, vocabulary = sum(r["tokens"] for r in stats), sum(r["words"] for r in stats) + int((hot_counts > 0).sum())
+    replies = answered.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "total", "q2", "q3")).alias("answers"))
+    structure = made.where("shard < 0").select("chunk", "doc_id", "held_out", "sizes", "pairs", "triples", "at", "hot")
+    out = structure.join(replies, "chunk").mapInArrow(_score(n_tokens, vocabulary, hot_counts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts that training documents have, with their counts (a word is as often a context as a token)."""
-    schema = pa.schema([("word", pa.int64()), ("total", pa.int64())])
-    for batch in batches:
-        word = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in batch.column("word").to_pylist()] or [np.zeros(0, dtype=np.int64)])
-        total = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in batch.column("total").to_pylist()] or [np.zeros(0, dtype=np.int64)])
-        word, first = np.unique(word[total > 0], return_index=True)
-        yield arrow_batch(schema, [word, total[total > 0][first]])
-
-
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"))
