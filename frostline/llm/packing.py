@@ -3,20 +3,22 @@
 1. Documents become token ids and one end id. Those over ``capacity`` are cut into full pieces, the first of
    which takes what is left over. Only lengths, checksums and each task's own running numbers are kept.
 2. The histogram of lengths (at most ``capacity`` numbers) reaches the driver. Its covering program over
-   configurations (multisets of lengths that fit a sequence) is solved by multiplicative weights: prices on
-   lengths, a knapsack by dynamic programming for the best configuration at these prices, prices then cut for
-   what it covers. The solution is scaled to the need and rounded, never beyond it; what is left is packed best-fit decreasing.
+   configurations (multisets of lengths that fit a sequence) is solved by multiplicative weights: a length's price
+   is its volume, lessened exponentially with the share of its pieces covered so far; a knapsack by dynamic
+   programming finds the configuration of the highest price, no length taken oftener than it has pieces left; the
+   configuration is taken in a whole number of copies (half of what its scarcest length allows), which rounds the
+   solution as it grows and never beyond the need. What is left after ``rounds`` prices, and configurations that
+   fill little, are packed best-fit decreasing.
 3. The plan has one row for each (configuration, place) with a range of sequences. Its size depends on the
-   capacity alone. The i-th piece of a length takes the i-th slot of it; i is the piece's number within its
+   capacity and the rounds. The i-th piece of a length takes the i-th slot of it; i is the piece's number within its
    task plus the sum over earlier tasks, so no sort and no group of equal lengths is needed.
 
-Null or empty text: the end id alone. Repeated rows and null ids are packed like others. Other columns are
-dropped by ``pack_documents``.
+Null or empty text: the end id alone. Repeated rows and null ids are packed like others. Empty tables give no
+rows. Other columns are dropped by ``pack_documents``.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import defaultdict
@@ -28,19 +30,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batch, materialize, read
+from .common import arrow_batch, chunks, materialize, read, span_hashes
 from .secret_scan import encoding
 
 CAPACITY = 2048
 END_ID = 0
 #: The added token of the vocabulary's ``tokenizers`` file, which that emits wherever a text holds the literal.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
-ROUNDS = 60
+ROUNDS = 6000
+#: Length classes of a knapsack (the best priced length of each is a candidate), steepness of prices, how much longer
+#: pieces are worth more than their volume, and the least share of a sequence that a configuration fills.
+CLASSES, STEEPNESS, LONGER, LEAST_FILL = 128, 4.0, 0.05, 0.9
 #: Distinct chunks whose ids a task remembers; the memory is emptied beyond it.
 _REMEMBERED = 400_000
 
 _ADDED_BYTES = ADDED_ID.to_bytes(4, "little")
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 _PIECES = pa.schema([(c, pa.int64()) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")])
@@ -54,40 +58,85 @@ def default_vocabulary() -> str:
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers, remembered for chunks seen before.
+    """Token ids of texts as little-endian 32-bit numbers, remembered for words seen before.
 
     A word with the blanks before it is encoded alone: the vocabulary's pre-tokeniser never joins a word with
     what follows. Texts with white space other than blank and newline are encoded whole. Texts are split at the
-    added token, which stands for itself. ``vocabulary`` holds
-    byte-pair ranks; the tests compare the ids with those of the ``tokenizers`` file of the same vocabulary.
+    added token, which stands for itself. ``vocabulary`` holds byte-pair ranks; the tests compare the ids with those
+    of the ``tokenizers`` file of the same vocabulary. Words are remembered by a 64-bit hash.
     """
 
     def __init__(self, vocabulary: str) -> None:
-        self.encode = encoding(vocabulary).encode_ordinary
-        self.known: dict[str, bytes] = {}
+        found = encoding(vocabulary)
+        self.encode = found.encode_ordinary
+        self.size = np.array([len(x) for x in found.decode_tokens_bytes(range(found.n_vocab))], dtype=np.int64)
+        self.known: dict[int, bytes] = {}
 
     def _fresh(self, text: str) -> bytes:
         return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if ADDED in text:
-            return _ADDED_BYTES.join(self._plain(part) for part in text.split(ADDED))
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        if _OTHER_SPACE.search(text):
-            return self._fresh(text)
-        parts = _CHUNK.findall(text)
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        parts, of = [], []
+        out: list[list[bytes]] = [[] for _ in texts]
+        for i, text in enumerate(texts):
+            for k, part in enumerate(text.split(ADDED) if ADDED in text else (text,)):
+                if k:
+                    out[i].append(_ADDED_BYTES)
+                if _OTHER_SPACE.search(part):
+                    out[i].append(self._fresh(part))
+                elif part:
+                    of.append((i, len(out[i])))
+                    out[i].append(b"")
+                    parts.append(part.encode())
+        for at, some in chunks(parts):
+            for (i, k), ids in zip(of[at:], self._plain(some), strict=False):
+                out[i][k] = ids
+        return [b"".join(x) for x in out]
+
+    def _plain(self, texts: list[bytes]) -> list[bytes]:
+        joined = b"".join(texts)
+        raw = np.frombuffer(joined, dtype=np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        blank = (raw == 32) | (raw == 10)
+        begins = np.zeros(len(raw), dtype=bool)
+        begins[1:] = blank[1:] & ~blank[:-1]
+        begins[np.cumsum(sizes) - sizes] = True
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(raw))
+        names, first, which = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+        keys = names.tolist()
         known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > _REMEMBERED:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self._fresh(p)
-            return b"".join([known[p] for p in parts])
+        if len(known) > _REMEMBERED:
+            known.clear()
+        new = [k for k, x in enumerate(keys) if x not in known]
+        if new:
+            self._learn([keys[k] for k in new], joined, start[first[new]], end[first[new]], blank)
+        ids = [known[x] for x in keys]
+        length = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        begin = (np.cumsum(length) - length)[which]
+        length = length[which]
+        total = np.append(0, np.cumsum(length))
+        every = flat[np.repeat(begin - total[:-1], length) + np.arange(total[-1])]
+        edge = total[np.searchsorted(start, np.append(np.cumsum(sizes) - sizes, len(raw)))]
+        return [every[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def _learn(self, keys: list[int], joined: bytes, start: np.ndarray, end: np.ndarray, blank: np.ndarray) -> None:
+        """Words with blanks before them are encoded as one text, and its ids told apart by their bytes."""
+        whole = blank[start] & ~blank[end - 1]
+        words = [joined[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        at = np.flatnonzero(whole)
+        ids = np.asarray(self.encode(b"".join([words[i] for i in at]).decode()), dtype="<u4")
+        edge = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum((end - start)[at]), side="left") + 1
+        edge = np.append(0, edge)
+        for i, a, b in zip(at.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            self.known[keys[i]] = ids[a:b].tobytes()
+        for i in np.flatnonzero(~whole):
+            self.known[keys[i]] = self._fresh(words[i].decode())
 
 
 def _pieces(vocabulary: str, capacity: int, end_id: int):
@@ -98,8 +147,9 @@ def _pieces(vocabulary: str, capacity: int, end_id: int):
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = (encoder(text) if text else b"") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.batch(texts), strict=True):
+                ids = found + end
                 n = len(ids) // 4
                 at, piece = 0, 0
                 while at < n:
@@ -119,74 +169,51 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: i
     return docs.mapInArrow(_pieces(vocabulary or default_vocabulary(), capacity, end_id), _PIECES_DDL)
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of largest total price that fits (an unbounded knapsack)."""
-    lengths = np.flatnonzero(price > 0)
-    worth = price[lengths]
+def best_configuration(price: np.ndarray, most: np.ndarray, capacity: int, classes: int = CLASSES) -> dict[int, int]:
+    """The multiset of lengths of largest total price that fits, no length oftener than ``most``: a bounded knapsack.
+
+    Of each class of neighbouring lengths only the one of the best price a token is a candidate.
+    """
+    lengths = np.flatnonzero((price > 0) & (most > 0))
+    of = lengths * classes // (capacity + 1)
+    order = np.lexsort((-price[lengths] / lengths, of))
+    lengths, of = lengths[order], of[order]
+    lengths = lengths[np.append(True, of[1:] != of[:-1])] if len(lengths) else lengths
     best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, dtype=np.int64)
-    for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        fits = np.searchsorted(lengths, c, side="right")
-        if fits:
-            gain = worth[:fits] + best[c - lengths[:fits]]
-            i = int(gain.argmax())
-            if gain[i] > best[c]:
-                best[c], pick[c] = gain[i], lengths[i]
+    taken = []
+    for x in lengths.tolist():
+        left, size = min(int(most[x]), capacity // x), 1
+        while left > 0:  # bundles of 1, 2, 4, ... pieces
+            use = min(size, left)
+            gain = best[: -use * x] + price[x] * use
+            better = gain > best[use * x :]
+            np.copyto(best[use * x :], gain, where=better)
+            taken.append((x, use, better))
+            left, size = left - use, size * 2
     out: dict[int, int] = defaultdict(int)
     c = capacity
-    while c > 0:
-        if pick[c]:
-            out[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
+    for x, use, better in reversed(taken):
+        if c >= use * x and better[c - use * x]:
+            out[x] += use
+            c -= use * x
     return dict(out)
 
 
-def multiplicative_weights(need: np.ndarray, capacity: int, rounds: int = ROUNDS, step: float = 0.5) -> list[tuple[dict[int, int], float]]:
-    """Configurations with multipliers that nearly cover ``need`` (by length) with the least sum of multipliers."""
-    lengths = np.flatnonzero(need)
-    if not len(lengths):
-        return []
-    demand = need[lengths].astype(float)
-    covered = np.zeros(len(lengths))
-    index = {int(x): i for i, x in enumerate(lengths)}
-    total: dict[tuple, float] = defaultdict(float)
-    log_weight = np.zeros(len(lengths))
+def multiplicative_weights(need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """Configurations in whole numbers of copies that cover ``need`` (by length) nearly, and what is left of it."""
+    left = need.astype(np.int64).copy()
+    length = np.arange(capacity + 1)
+    volume = length * (1 + LONGER * length / capacity)
+    plan = []
     for _ in range(rounds):
-        weight = np.exp(log_weight - log_weight.max())
-        price = np.zeros(capacity + 1)
-        price[lengths] = weight / demand
-        found = best_configuration(price, capacity)
-        if not found:
+        covered = 1 - left / np.maximum(need, 1)
+        found = best_configuration(volume * np.exp(-STEEPNESS * covered), left, capacity)
+        if sum(x * k for x, k in found.items()) < LEAST_FILL * capacity:
             break
-        at = np.array([index[x] for x in found])
-        use = np.array(list(found.values()), dtype=float)
-        # as much of it as fully covers its scarcest length by one rounds-th of the width
-        much = (demand[at] / use).min()
-        total[tuple(sorted(found.items(), reverse=True))] += much
-        covered[at] += much * use / demand[at]
-        log_weight[at] -= step * much * use / demand[at]
-    return [(dict(c), x) for c, x in total.items()] if covered.max() > 0 else []
-
-
-def _rounded(found: list[tuple[dict[int, int], float]], need: np.ndarray, capacity: int) -> tuple[list[tuple[tuple, int]], np.ndarray]:
-    """The configurations in whole numbers (rounded up, but never beyond ``need``), the fullest first, and what is left."""
-    left = need.copy()
-    plan = []
-    covered = np.zeros(len(need))
-    for c, x in found:
-        for length, k in c.items():
-            covered[length] += x * k
-    ratio = np.divide(need, covered, out=np.zeros(len(need)), where=covered > 0)
-    for c, x in sorted(found, key=lambda f: (-sum(a * b for a, b in f[0].items()), sorted(f[0].items()))):
-        scaled = math.ceil(x * min(ratio[a] for a in c))
-        times = min([scaled, *(int(left[a]) // b for a, b in c.items())])
-        if times > 0:
-            for a, b in c.items():
-                left[a] -= times * b
-            plan.append((tuple(x for a, b in sorted(c.items(), reverse=True) for x in [a] * b), times))
+        times = max(1, min(int(left[x]) // k for x, k in found.items()) // 2)
+        for x, k in found.items():
+            left[x] -= k * times
+        plan.append((tuple(x for x in sorted(found, reverse=True) for _ in range(found[x])), times))
     return plan, left
 
 
@@ -222,18 +249,11 @@ def best_fit_decreasing(left: np.ndarray, capacity: int) -> list[tuple[tuple, in
 
 def packing_plan(need: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple, int]]:
     """Groups of equal sequences that hold every piece: (lengths in their order, how many sequences)."""
-    plan: list[tuple[tuple, int]] = []
-    left = need.astype(np.int64)
-    if left[capacity]:
-        plan.append(((capacity,), int(left[capacity])))
-        left = left.copy()
-        left[capacity] = 0
-    for _ in range(3):
-        more, left = _rounded(multiplicative_weights(left, capacity, rounds), left, capacity)
-        plan += more
-        if not more:
-            break
-    return plan + best_fit_decreasing(left, capacity)
+    left = need.astype(np.int64).copy()
+    plan = [((capacity,), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    more, left = multiplicative_weights(left, capacity, rounds)
+    return plan + more + best_fit_decreasing(left, capacity)
 
 
 def _slots(plan: list[tuple[tuple, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
