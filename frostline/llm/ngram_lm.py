@@ -18,6 +18,9 @@ p2(w|v) = (c(vw) + K p1(w)) / (c(v) + K); p3(w|uv) = (c(uvw) + K p2(w|v)) / (c(u
 Texts begin after two ends. Last words are known by 64 bits, the words before them by 32 within their node: a
 never-seen n-gram passes for a seen one with chance n / 2**32, n the number of children there.
 
+The documents are read a second time for scoring rather than kept, which costs less disk than what the first pass
+would have to remember for each token.
+
 Null or empty text: the end alone. Rows of equal or null ids are scored each by itself; a null id counts as
 training. Empty tables give no rows. Other columns are dropped.
 """
@@ -25,6 +28,7 @@ training. Empty tables give no rows. Other columns are dropped.
 from __future__ import annotations
 
 import mmap
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +42,7 @@ from .common import Words, arrow_batch, binary, chunks, materialize, mix64, new_
 
 PRIOR = 4.0
 #: Bytes of text that a chunk holds at least, and text bytes for each shard.
-CHUNK, SHARD_BYTES = 12 << 20, 12 << 20
+CHUNK, SHARD_BYTES = 4 << 20, 8 << 20
 #: Words of at least this share of a sample of one document in SAMPLE are dealt over HOT_BUCKETS shards.
 HOT_SHARE, SAMPLE, HOT_BUCKETS = 1e-3, 50, 32
 _END = np.uint64(0x656E6400000000)
@@ -234,9 +238,9 @@ def _before(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
-_MADE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), *((c, pa.binary()) for c in ("word", "pairs", "before", "triples", "second", "count")), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "at", "hot"))])
-_ASKED = ("shard", "chunk", "word", "pairs", "before", "triples", "second", "count")
-_MADE_DDL = "shard int, chunk long, word binary, pairs binary, before binary, triples binary, second binary, count binary, doc_id array<long>, held_out array<boolean>, sizes binary, at binary, hot binary"
+_MADE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("check", pa.int64()), *((c, pa.binary()) for c in ("word", "pairs", "before", "triples", "second", "count")), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "at", "hot"))])
+_ASKED = ("shard", "chunk", "check", "word", "pairs", "before", "triples", "second", "count")
+_MADE_DDL = "shard int, chunk long, check long, word binary, pairs binary, before binary, triples binary, second binary, count binary, doc_id array<long>, held_out array<boolean>, sizes binary, at binary, hot binary"
 
 
 def _dealt(word: np.ndarray, before: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -247,8 +251,8 @@ def _dealt(word: np.ndarray, before: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.where(is_hot, mix64(word ^ mix64(bucket)), word)
 
 
-def _make(shards: int, hot: np.ndarray):
-    """For each chunk a row for each shard (what it asks), and one row of shard -1 (how its documents are made of that)."""
+def _make(shards: int, hot: np.ndarray, ask: bool):
+    """For each chunk a row for each shard (what it asks), or one row of shard -1 (how its documents are made of that)."""
     names = _hot_names(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,29 +271,36 @@ def _make(shards: int, hot: np.ndarray):
             words, to = words[order], to[order]
             pairs, of_pair = np.unique(rank[of_word] << np.uint64(32) | one >> np.uint64(32), return_inverse=True)
             triples, at = np.unique(of_pair.astype(np.uint64) << np.uint64(32) | two >> np.uint64(32), return_inverse=True)
-            count = np.bincount(at, trained, minlength=len(triples)).astype(np.uint32)
             pairs_of = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(words)).astype(np.uint32)
             triples_of = np.bincount((triples >> np.uint64(32)).astype(np.int64), minlength=len(pairs)).astype(np.uint32)
-            before, second = (pairs & _LOW32).astype(np.uint32), (triples & _LOW32).astype(np.uint32)
-            edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-            bounds = [np.append(edge, len(words))]
-            bounds.append(np.append(0, np.cumsum(pairs_of, dtype=np.int64))[bounds[0]])
-            bounds.append(np.append(0, np.cumsum(triples_of, dtype=np.int64))[bounds[1]])
-            columns = [[x[a:b].tobytes() for a, b in zip(bounds[level][:-1], bounds[level][1:], strict=True)] for x, level in ((words, 0), (pairs_of, 0), (before, 1), (triples_of, 1), (second, 2), (count, 2))]
-            none = pa.nulls(len(edge))
-            lists = [none.cast(_MADE.field(c).type) for c in ("doc_id", "held_out", "sizes", "at", "hot")]
-            yield arrow_batch(_MADE, [to[edge], [chunk] * len(edge), *columns, *lists])
+            check = zlib.crc32(words.tobytes())
+            if ask:
+                yield _asked_rows(chunk, check, to, [words, pairs_of, (pairs & _LOW32).astype(np.uint32), triples_of, (triples & _LOW32).astype(np.uint32), np.bincount(at, trained, minlength=len(triples)).astype(np.uint32)])
+                continue
             place = np.minimum(np.searchsorted(names[0], words), max(len(names[0]) - 1, 0))
             mine = np.flatnonzero(names[0][place] == words) if len(names[0]) else np.zeros(0, dtype=np.int64)
             told = np.stack([mine, names[1][place[mine]]]).astype(np.int32) if len(mine) else np.zeros((2, 0), dtype=np.int32)
             # bytes of one rank together compress better
             planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T
             asked = [[None], [pairs_of.tobytes()], [None], [triples_of.tobytes()], [None], [None]]
-            yield arrow_batch(_MADE, [[-1], [chunk], *asked, [ids], [held], [sizes.astype(np.uint32).tobytes()], [np.ascontiguousarray(planes).tobytes()], [told.tobytes()]])
+            yield arrow_batch(_MADE, [[-1], [chunk], [check], *asked, [ids], [held], [sizes.astype(np.uint32).tobytes()], [np.ascontiguousarray(planes).tobytes()], [told.tobytes()]])
 
     return scan
 
 
+def _asked_rows(chunk: int, check: int, to: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """Words with their pairs and these with their triples, cut at the shards of the words."""
+    words, pairs_of, before, triples_of, second, count = arrays
+    edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+    bounds = [np.append(edge, len(words))]
+    bounds.append(np.append(0, np.cumsum(pairs_of, dtype=np.int64))[bounds[0]])
+    bounds.append(np.append(0, np.cumsum(triples_of, dtype=np.int64))[bounds[1]])
+    columns = [[x[a:b].tobytes() for a, b in zip(bounds[level][:-1], bounds[level][1:], strict=True)] for x, level in zip(arrays, (0, 0, 1, 1, 2, 2), strict=True)]
+    none = pa.nulls(len(edge))
+    lists = [none.cast(_MADE.field(c).type) for c in ("doc_id", "held_out", "sizes", "at", "hot")]
+    return arrow_batch(_MADE, [to[edge], [chunk] * len(edge), [check] * len(edge), *columns, *lists])
+
+
 def _hot_names(hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted names of hot words' buckets, and the number of the word of each."""
     bucket = np.arange(1, HOT_BUCKETS + 1, dtype=np.uint64)
@@ -298,7 +309,7 @@ def _hot_names(hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return name[order], np.repeat(np.arange(len(hot)), HOT_BUCKETS)[order]
 
 
-_ANSWER_DDL = "shard int, chunk long, total binary, q2 binary, q3 binary, tokens long, words long, hot binary"
+_ANSWER_DDL = "shard int, chunk long, check long, total binary, q2 binary, q3 binary, tokens long, words long, hot binary"
 
 
 def _answer(hot: np.ndarray):
@@ -325,12 +336,12 @@ def _answer(hot: np.ndarray):
 
         for r in rows.itertuples():
             total, q2, q3 = trie.lookup(np.frombuffer(r.word, dtype=np.uint64), u32(r.pairs), u32(r.before), u32(r.triples), u32(r.second))
-            add(shard, r.chunk, total.tobytes(), q2.tobytes(), q3.tobytes(), None, None, None)
+            add(shard, r.chunk, r.check, total.tobytes(), q2.tobytes(), q3.tobytes(), None, None, None)
         words = trie.words.get(np.arange(trie.words.n)) if trie.words.n else np.zeros(0, dtype=np.uint64)
         place = np.minimum(np.searchsorted(names, words), max(len(names) - 1, 0))
         mine = names[place] == words if len(names) else np.zeros(len(words), dtype=bool)
         told = np.stack([number[place[mine]], trie.total[mine]]) if mine.any() else np.zeros((2, 0), dtype=np.int64)
-        add(shard, -1, None, None, None, int(trie.total.sum()), int((~mine).sum()), told.astype(np.int64).tobytes())
+        add(shard, -1, None, None, None, None, int(trie.total.sum()), int((~mine).sum()), told.astype(np.int64).tobytes())
         return pd.DataFrame(out)
 
     return answer
@@ -340,7 +351,9 @@ def _score(n_tokens: int, vocabulary: int, hot_counts: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def judged(r: dict) -> pa.RecordBatch:
-        answers = sorted(r["answers"], key=lambda a: a["shard"])
+        answers = sorted(r["answers"] or (), key=lambda a: a["shard"])
+        if not answers or any(a["check"] != r["check"] for a in answers):
+            raise RuntimeError("the two passes over the documents saw different chunks; write the documents to files first")
         joined = lambda c, kind: np.concatenate([np.frombuffer(a[c], dtype=kind) for a in answers])
         total, q2, q3 = joined("total", np.int64).astype(float), joined("q2", np.uint8), joined("q3", np.uint8)
         share = np.append(10.0 ** (-_STEP * np.arange(255)), 0.0)
@@ -386,18 +399,17 @@ def _hot_words(rows: DataFrame) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of the fold are not learnt from."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of the fold are not learnt from.
+
+    The documents are read twice and must come in the same partitions and order, as from files; every chunk is
+    checked and a difference raises, so a plan with shuffles has to be written first.
+    """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(2, -(-size // SHARD_BYTES))
     hot = _hot_words(rows)
-    made = rows.mapInArrow(_make(shards, hot), _MADE_DDL)
-    return _scored(materialize(made, "lm-made"), hot)
-
-
-def _scored(made: DataFrame, hot: np.ndarray) -> DataFrame:
-    asked = made.where("shard >= 0").select(*_ASKED)
+    asked = rows.mapInArrow(_make(shards, hot, True), _MADE_DDL).select(*_ASKED)
     answered = materialize(asked.groupBy("shard").applyInPandas(_answer(hot), _ANSWER_DDL), "lm-answers")
     stats = answered.where("chunk < 0").select("tokens", "words", "hot").collect()  # one row a shard
     hot_counts = np.zeros(len(hot))
@@ -405,9 +417,9 @@ def _scored(made: DataFrame, hot: np.ndarray) -> DataFrame:
         number, total = np.frombuffer(r["hot"], dtype=np.int64).reshape(2, -1)
         np.add.at(hot_counts, number, total)
     n_tokens, vocabulary = sum(r["tokens"] for r in stats), sum(r["words"] for r in stats) + int((hot_counts > 0).sum())
-    replies = answered.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "total", "q2", "q3")).alias("answers"))
-    structure = made.where("shard < 0").select("chunk", "doc_id", "held_out", "sizes", "pairs", "triples", "at", "hot")
-    out = structure.join(replies, "chunk").mapInArrow(_score(n_tokens, vocabulary, hot_counts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    replies = answered.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "check", "total", "q2", "q3")).alias("answers"))
+    structure = rows.mapInArrow(_make(shards, hot, False), _MADE_DDL).select("chunk", "check", "doc_id", "held_out", "sizes", "pairs", "triples", "at", "hot")
+    out = structure.join(replies, "chunk", "left").mapInArrow(_score(n_tokens, vocabulary, hot_counts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
