@@ -9,51 +9,42 @@ from frostline.functions.rules import is_sentinel
 from frostline.operators.disposition import label_series as label
 from frostline.operators.evaluation import latest_by_key, macro_f1, vote_categorical, vote_numeric
 from frostline.operators.funnel import with_outcome
-from frostline.operators.planning import deficits, largest_remainder, nearest_rank, slice_summary
+from frostline.operators.planning import nearest_rank, slice_summary
 from frostline.plans.gates import evaluate, ratchet
+from frostline.registry import ORACLE_SQL, QUERIES, query
 from frostline.sources.adapters import generation_log, table, telemetry
 from frostline.streaming.replay import screen, windowed_hits
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 _TELEMETRY = """WITH t AS (SELECT user_id AS series_id, event_id, ts,
-    CASE user_id % 4 WHEN 0 THEN 'seafood' WHEN 1 THEN 'eggs' WHEN 2 THEN 'dairy' ELSE 'frozen' END AS product,
+    CASE user_id % 4 WHEN 0 THEN 'finfish_seafood' WHEN 1 THEN 'table_eggs' WHEN 2 THEN 'chilled_dairy' ELSE 'frozen_goods' END AS product,
+    CASE WHEN user_id % 17 <> 0 THEN user_id % (CASE user_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 31 WHEN 2 THEN 13 ELSE 183 END) END AS days,
     CASE WHEN event_type = 'error' AND value < 2 THEN -99.9::DOUBLE WHEN user_id % 4 = 3 THEN value / 25.0::DOUBLE - 22.0::DOUBLE ELSE value / 25.0::DOUBLE END AS reading_c
   FROM events),
 specs(product, min_c, max_c, refreeze_c, hold_min, reject_min, shelf_days) AS (VALUES
-  ('seafood', 0.0::DOUBLE, 4.0::DOUBLE, NULL::DOUBLE, 60, 180, 5), ('eggs', 0.0, 5.0, NULL, 240, 720, 28), ('dairy', 0.0, 5.0, NULL, 90, 240, 10), ('frozen', NULL, -18.0, -12.0, 30, 120, 180)),
+  ('finfish_seafood', 0.0::DOUBLE, 4.0::DOUBLE, NULL::DOUBLE, 60, 180, 5), ('table_eggs', 0.0, 5.0, NULL, 240, 720, 28), ('chilled_dairy', 0.0, 5.0, NULL, 90, 240, 10), ('frozen_goods', NULL, -18.0, -12.0, 30, 120, 180)),
 r AS (SELECT t.*, specs.* EXCLUDE (product), (reading_c IS NULL OR reading_c IN (-99.9, -999, 999) OR reading_c <= -50 OR reading_c >= 80) AS bad FROM t LEFT JOIN specs USING (product)),
 """
 _LABEL = """p AS (SELECT {keys}, product, any_value(max_c) AS max_c, any_value(refreeze_c) AS refreeze_c, any_value(hold_min) AS hold_min, any_value(reject_min) AS reject_min,
-    any_value(shelf_days) AS shelf_days, count(*) AS n_readings, count(*) FILTER (bad) AS n_excluded, max(reading_c) FILTER (NOT bad) AS peak_c,
+    any_value(shelf_days) AS shelf_days, max(days) AS days, count(*) AS n_readings, count(*) FILTER (bad) AS n_excluded, max(reading_c) FILTER (NOT bad) AS peak_c,
     15 * count(*) FILTER (NOT bad AND (reading_c > max_c OR (min_c IS NOT NULL AND reading_c < min_c))) AS excursion_min
   FROM r GROUP BY {keys}, product),
-q AS (SELECT *, shelf_days - series_id % (shelf_days + 3) AS remaining_days FROM p),
+q AS (SELECT *, shelf_days - days AS remaining_days FROM p),
 s AS (SELECT *, CASE WHEN max_c IS NULL THEN 'R000_unknown_product' WHEN series_id % 13 = 0 THEN 'R001_missing_fields' WHEN n_excluded = n_readings THEN 'R002_all_readings_sentinel'
     WHEN remaining_days <= 0 THEN 'R010_expired' WHEN peak_c > refreeze_c THEN 'R011_partial_thaw' WHEN series_id % 7 = 0 THEN 'R020_sensor_artifact'
     WHEN n_excluded * 1.0::DOUBLE / n_readings > 0.02 THEN 'R021_sentinel_threshold_exceeded' WHEN excursion_min >= reject_min THEN 'R030_excursion_over_reject'
     WHEN excursion_min >= hold_min THEN 'R031_excursion_over_hold' WHEN excursion_min > 0 AND remaining_days <= 2 THEN 'R040_minor_excursion_short_life'
     WHEN excursion_min > 0 AND series_id % 5 = 0 AND remaining_days <= 4 THEN 'R041_peak_season_short_life' WHEN excursion_min > 0 THEN 'R050_minor_excursion_in_tolerance'
     WHEN remaining_days <= 1 THEN 'R042_end_of_life' ELSE 'R060_in_spec' END AS rule_id FROM q),
-l AS (SELECT *, CASE left(rule_id, 4) WHEN 'R000' THEN 'insufficient_data' WHEN 'R001' THEN 'insufficient_data' WHEN 'R002' THEN 'insufficient_data'
-    WHEN 'R010' THEN 'reject' WHEN 'R011' THEN 'reject' WHEN 'R030' THEN 'reject' WHEN 'R050' THEN 'accept' WHEN 'R060' THEN 'accept' ELSE 'hold_for_qa' END AS disposition FROM s)
+m AS (SELECT *, CASE left(rule_id, 4) WHEN 'R000' THEN 'insufficient_data' WHEN 'R001' THEN 'insufficient_data' WHEN 'R002' THEN 'insufficient_data'
+    WHEN 'R010' THEN 'reject' WHEN 'R011' THEN 'reject' WHEN 'R030' THEN 'reject' WHEN 'R050' THEN 'accept' WHEN 'R060' THEN 'accept' ELSE 'hold_for_qa' END AS disposition FROM s),
+l AS (SELECT * REPLACE (CASE WHEN rule_id[:4] IN ('R000', 'R001') THEN 0 ELSE n_excluded END AS n_excluded, CASE WHEN rule_id[:4] IN ('R000', 'R001', 'R002') THEN 0 ELSE excursion_min END AS excursion_min,
+    CASE WHEN rule_id[:4] NOT IN ('R000', 'R001', 'R002') THEN peak_c END AS peak_c, CASE WHEN rule_id[:4] NOT IN ('R000', 'R001', 'R002') THEN remaining_days END AS remaining_days) FROM m)
 """
 _SERIES = _TELEMETRY + _LABEL.format(keys="series_id")
 _COLUMNS = "product, n_readings, n_excluded, peak_c, excursion_min, remaining_days, disposition, rule_id"
 
-_LOG = """WITH g AS (SELECT doc_id, doc_id % 8 + 1 AS wave, source AS cell, lang AS language,
+_LOG = """WITH g AS (SELECT doc_id, doc_id % 8 + 1 AS wave, CASE doc_id % 4 WHEN 0 THEN 'finfish_seafood' WHEN 1 THEN 'table_eggs' WHEN 2 THEN 'chilled_dairy' ELSE 'frozen_goods' END || '|' ||
+    CASE doc_id // 4 % 5 WHEN 0 THEN 'in_spec' WHEN 1 THEN 'door_open' WHEN 2 THEN 'compressor_fail' WHEN 3 THEN 'setpoint_drift' ELSE 'sensor_artifact' END AS cell, lang AS language,
     CASE doc_id % 4 WHEN 0 THEN 'logger_csv' WHEN 1 THEN 'chat_message' WHEN 2 THEN 'qc_form_ocr' ELSE 'voice_note' END AS artifact_type,
     CASE doc_id % 6 WHEN 0 THEN 'AE' WHEN 1 THEN 'SA' WHEN 2 THEN 'QA' WHEN 3 THEN 'KW' WHEN 4 THEN 'OM' ELSE 'BH' END AS jurisdiction,
     CASE doc_id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'hold_for_qa' ELSE 'reject' END AS disposition,
@@ -239,23 +230,6 @@ def ratchet_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratchet(per("wave <= 4"), per("wave > 4"))
 
 
-_KEPT = _LOG + ", k AS (SELECT cell, count(*) FILTER (outcome = 'kept') AS kept, count(*) AS requested FROM f GROUP BY cell) "
-
-
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _funnel(spark, sf_dir).groupBy("cell").agg(F.count_if(F.col("outcome") == "kept").alias("kept"), F.count("*").alias("requested"))
-
-
-@query(_KEPT + "SELECT cell, kept, round(greatest(0.0, 1.0 - kept / 12.0::DOUBLE), 6) AS deficit FROM k WHERE kept < 12 * 1.05")
-def deficit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deficits(_cells(spark, sf_dir), 12)
-
-
-@query(_KEPT + ", e AS (SELECT cell, requested * 663.0::DOUBLE / sum(requested) OVER () AS exact FROM k), r AS (SELECT cell, floor(exact) AS n, row_number() OVER (ORDER BY exact - floor(exact) DESC, cell) AS rk, 663 - sum(floor(exact)) OVER () AS rest FROM e) SELECT cell, CAST(n + (rk <= rest)::INT AS BIGINT) AS n FROM r")
-def proportional_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return largest_remainder(_cells(spark, sf_dir), 663, weight="requested")
-
-
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS mean, max(value) FILTER (rk = CASE WHEN floor(n * 0.99::DOUBLE) < 1 THEN n ELSE floor(n * 0.99::DOUBLE) END) AS p99 FROM r GROUP BY event_type")
 def p99_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_rank(table(spark, sf_dir, "events"), "event_type", "value")

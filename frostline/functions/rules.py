@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 # Product, minimum C, maximum C, refreeze flag C, hold minutes, reject minutes, shelf days.
 PRODUCTS = (
-    ("seafood", 0.0, 4.0, None, 60, 180, 5),
-    ("eggs", 0.0, 5.0, None, 240, 720, 28),
-    ("dairy", 0.0, 5.0, None, 90, 240, 10),
-    ("frozen", None, -18.0, -12.0, 30, 120, 180),
+    ("finfish_seafood", 0.0, 4.0, None, 60, 180, 5),
+    ("table_eggs", 0.0, 5.0, None, 240, 720, 28),
+    ("chilled_dairy", 0.0, 5.0, None, 90, 240, 10),
+    ("frozen_goods", None, -18.0, -12.0, 30, 120, 180),
 )
-# Sentinel readings, and the bounds from which a reading can't be a temperature.
+# Bands (minimum C, maximum C, refreeze flag C) and the band of each product.
+BANDS = (("chilled_fresh_seafood", 0.0, 4.0, None), ("chilled_general", 0.0, 5.0, None), ("frozen", None, -18.0, -12.0))
+PRODUCT_BANDS = (("finfish_seafood", "chilled_fresh_seafood", 60, 180, 5), ("table_eggs", "chilled_general", 240, 720, 28), ("chilled_dairy", "chilled_general", 90, 240, 10), ("frozen_goods", "frozen", 30, 120, 180))
+#: The flag of a frozen band that names none.
+REFREEZE_DEFAULT_C = -12.0
+# Sentinels of any signal, from which 0.0 is taken out for temperatures, and the bounds from which a reading can't be a temperature.
+ALL_SENTINELS = (-99.9, -999.0, 999.0, 0.0)
 SENTINELS = (-99.9, -999.0, 999.0)
 SENTINEL_LOW, SENTINEL_HIGH = -50.0, 80.0
 SENTINEL_SHARE = 0.02
@@ -23,6 +29,30 @@ def product_specs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PRODUCTS, "product string, min_c double, max_c double, refreeze_c double, hold_min int, reject_min int, shelf_days int")
 
 
+def specs_from_bands(bands: DataFrame, products: DataFrame) -> DataFrame:
+    """Product specs from bands (band, min_c, max_c, refreeze_c) and products (product, band, hold_min, reject_min, shelf_days)."""
+    refreeze = F.when(F.col("band") == "frozen", F.coalesce("refreeze_c", F.lit(REFREEZE_DEFAULT_C)))
+    return products.join(F.broadcast(bands), "band").select("product", "min_c", "max_c", refreeze.alias("refreeze_c"), "hold_min", "reject_min", "shelf_days")
+
+
+def bands_from_json(raw: DataFrame) -> DataFrame:
+    """Bands from rows (name, spec), spec being JSON text: range_c gives both bounds, else max_c; specs that are no objects go."""
+    v = raw.select(F.col("name").alias("band"), F.try_parse_json("spec").alias("v")).where(F.expr("schema_of_variant(v) LIKE 'OBJECT%'"))
+    got = lambda path: F.try_variant_get("v", path, "double")
+    ranged = F.try_variant_get("v", "$.range_c", "array<double>")
+    return v.select("band", F.get(ranged, F.lit(0)).alias("min_c"), F.coalesce(F.get(ranged, F.lit(1)), got("$.max_c")).alias("max_c"), got("$.refreeze_flag_c").alias("refreeze_c"))
+
+
+def temperature_sentinels(values: Column) -> Column:
+    """A sentinel set for temperatures: 0.0 is a reading there."""
+    return F.array_except(values, F.array(F.lit(0.0)))
+
+
+def clean_readings(readings: Column) -> Column:
+    """The readings of an array that are no sentinels."""
+    return F.filter(readings, lambda x: ~is_sentinel(x))
+
+
 def is_sentinel(reading: Column) -> Column:
     return reading.isNull() | reading.isin(*SENTINELS) | (reading <= SENTINEL_LOW) | (reading >= SENTINEL_HIGH)
 

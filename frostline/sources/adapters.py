@@ -17,7 +17,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("series_id"),
         "event_id",
         "ts",
-        F.expr("CASE user_id % 4 WHEN 0 THEN 'seafood' WHEN 1 THEN 'eggs' WHEN 2 THEN 'dairy' ELSE 'frozen' END").alias("product"),
+        F.expr("CASE user_id % 4 WHEN 0 THEN 'finfish_seafood' WHEN 1 THEN 'table_eggs' WHEN 2 THEN 'chilled_dairy' ELSE 'frozen_goods' END").alias("product"),
         F.expr("CASE WHEN event_type = 'error' AND value < 2 THEN -99.9D WHEN user_id % 4 = 3 THEN value / 25D - 22D ELSE value / 25D END").alias("reading_c"),
     )
     return out.withColumns(
@@ -25,10 +25,16 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             "missing": F.expr("series_id % 13 = 0"),
             "sensor_fault": F.expr("series_id % 7 = 0"),
             "peak_season": F.expr("series_id % 5 = 0"),
+            "days_since_production": F.expr("CASE WHEN series_id % 17 <> 0 THEN series_id % (CASE series_id % 4 WHEN 0 THEN 8 WHEN 1 THEN 31 WHEN 2 THEN 13 ELSE 183 END) END"),
         }
     )
 
 
+#: The product and the fault mode of a record.
+CELL = (
+    "concat(CASE doc_id % 4 WHEN 0 THEN 'finfish_seafood' WHEN 1 THEN 'table_eggs' WHEN 2 THEN 'chilled_dairy' ELSE 'frozen_goods' END, '|',"
+    " CASE doc_id div 4 % 5 WHEN 0 THEN 'in_spec' WHEN 1 THEN 'door_open' WHEN 2 THEN 'compressor_fail' WHEN 3 THEN 'setpoint_drift' ELSE 'sensor_artifact' END)"
+)
 #: Text added to some rows so that every guardrail rule has cases.
 _INJECTED = "CASE WHEN doc_id % 29 = 0 THEN ' product_code=x1' WHEN doc_id % 31 = 0 THEN ' we recommend expedite sale now' WHEN doc_id % 12 = 0 THEN ' 2026-07-22 09:' ELSE '' END"
 
@@ -39,7 +45,7 @@ def generation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.selectExpr(
         "doc_id",
         "doc_id % 8 + 1 AS wave",
-        "source AS cell",
+        f"{CELL} AS cell",
         "lang AS language",
         "CASE doc_id % 4 WHEN 0 THEN 'logger_csv' WHEN 1 THEN 'chat_message' WHEN 2 THEN 'qc_form_ocr' ELSE 'voice_note' END AS artifact_type",
         "CASE doc_id % 6 WHEN 0 THEN 'AE' WHEN 1 THEN 'SA' WHEN 2 THEN 'QA' WHEN 3 THEN 'KW' WHEN 4 THEN 'OM' ELSE 'BH' END AS jurisdiction",

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import frostline.queries  # noqa: F401
 from frostline.catalog import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

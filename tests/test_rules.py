@@ -4,49 +4,86 @@ import pytest
 from pyspark.sql import functions as F
 
 from frostline.functions.guardrails import screener_verdict, violations
-from frostline.operators.disposition import label_series
+from frostline.functions.rules import ALL_SENTINELS, PRODUCT_BANDS, PRODUCTS, SENTINELS, bands_from_json, clean_readings, specs_from_bands, temperature_sentinels
+from frostline.operators.disposition import LABEL_COLUMNS, label_series, label_states
 from frostline.plans.gates import evaluate, ratchet
 from frostline.streaming.replay import screen, windowed_hits
 
-SCHEMA = "series_id long, product string, reading_c double, missing boolean, sensor_fault boolean, peak_season boolean"
-
-
-def series(spark, product, readings, series_id=5, missing=False, fault=False, peak=False):
-    return spark.createDataFrame([(series_id, product, x, missing, fault, peak) for x in readings], SCHEMA)
-
-
-# series_id % (shelf + 3) is the age in days
-@pytest.mark.parametrize(
-    ("product", "readings", "options", "rule"),
-    [
-        ("unobtanium", [1.0], {}, "R000_unknown_product"),
-        ("seafood", [1.0], {"missing": True}, "R001_missing_fields"),
-        ("seafood", [-99.9, 999.0], {"series_id": 0}, "R002_all_readings_sentinel"),
-        ("seafood", [1.0], {"series_id": 7}, "R010_expired"),
-        ("frozen", [-20.0] * 90 + [-10.0], {"series_id": 1}, "R011_partial_thaw"),
-        ("seafood", [1.0, 2.0], {"series_id": 0, "fault": True}, "R020_sensor_artifact"),
-        ("seafood", [1.0, 2.0, -99.9], {"series_id": 0}, "R021_sentinel_threshold_exceeded"),
-        ("dairy", [3.0] + [7.0] * 7, {"series_id": 3}, "R031_excursion_over_hold"),
-        ("seafood", [9.0] * 12, {"series_id": 0}, "R030_excursion_over_reject"),
-        ("seafood", [0.0, 1.0, 2.0], {"series_id": 0}, "R060_in_spec"),
-        ("seafood", [1.0, 5.0], {"series_id": 3}, "R040_minor_excursion_short_life"),
-        ("seafood", [1.0, 5.0], {"series_id": 1, "peak": True}, "R041_peak_season_short_life"),
-        ("seafood", [1.0, 5.0], {"series_id": 1}, "R050_minor_excursion_in_tolerance"),
-        ("seafood", [1.0], {"series_id": 4}, "R042_end_of_life"),
-    ],
-)
-def test_rule(spark, product, readings, options, rule):
-    assert label_series(series(spark, product, readings, **options), "series_id").first()["rule_id"] == rule
+SCHEMA = "series_id long, product string, reading_c double, missing boolean, sensor_fault boolean, peak_season boolean, days_since_production int"
+
+
+def series(spark, product, readings, days=0, missing=False, fault=False, peak=False):
+    return spark.createDataFrame([(1, product, x, missing, fault, peak, days) for x in readings], SCHEMA)
+
+
+CASES = [
+    ("unobtanium", [1.0], {}, "R000_unknown_product"),
+    ("finfish_seafood", [1.0], {"missing": True}, "R001_missing_fields"),
+    ("finfish_seafood", [-99.9, 999.0], {}, "R002_all_readings_sentinel"),
+    ("finfish_seafood", [1.0], {"days": 999}, "R010_expired"),
+    ("frozen_goods", [-20.0] * 90 + [-10.0], {"days": 1}, "R011_partial_thaw"),
+    ("finfish_seafood", [1.0, 2.0], {"fault": True}, "R020_sensor_artifact"),
+    ("finfish_seafood", [1.0, 2.0, -99.9], {}, "R021_sentinel_threshold_exceeded"),
+    ("chilled_dairy", [3.0] + [7.0] * 7, {"days": 3}, "R031_excursion_over_hold"),
+    ("finfish_seafood", [9.0] * 12, {}, "R030_excursion_over_reject"),
+    ("finfish_seafood", [0.0, 1.0, 2.0], {}, "R060_in_spec"),
+    ("finfish_seafood", [0.0, 1.0, 2.0], {"days": None}, "R060_in_spec"),
+    ("finfish_seafood", [1.0, 5.0], {"days": 3}, "R040_minor_excursion_short_life"),
+    ("finfish_seafood", [1.0, 5.0], {"days": 1, "peak": True}, "R041_peak_season_short_life"),
+    ("finfish_seafood", [1.0, 5.0], {"days": 1}, "R050_minor_excursion_in_tolerance"),
+    ("finfish_seafood", [1.0], {"days": 4}, "R042_end_of_life"),
+    ("frozen_goods", [-20.0] * 20, {"days": 5}, "R060_in_spec"),
+]
+
+
+@pytest.mark.parametrize(("product", "readings", "options", "rule"), CASES)
+def test_rules(spark, product, readings, options, rule):
+    """Long form and array form agree, and rules that read no temperatures report none."""
+    row = label_series(series(spark, product, readings, **options), "series_id").first()
+    assert row["rule_id"] == rule
+    states = spark.createDataFrame(
+        [(product, readings, ["readings_c"] if options.get("missing") else [], 15, options.get("days", 0), options.get("fault", False), options.get("peak", False))],
+        "product string, readings_c array<double>, missing_fields array<string>, interval_min int, days_since_production int, sensor_fault boolean, peak_season boolean",
+    )
+    state = label_states(states).first()
+    assert all(row[c] == state[c] for c in LABEL_COLUMNS)
+    if rule[:4] in ("R000", "R001", "R002"):
+        assert (row["peak_c"], row["excursion_min"], row["remaining_days"]) == (None, 0, None)
+
+
+def test_no_expedite(spark):
+    """Products, ages, seasons and faults: never an expedited sale."""
+    grid = spark.sql(
+        "SELECT product, array(CAST(peak AS double)) AS readings_c, CAST(array() AS array<string>) AS missing_fields, 15 AS interval_min, days AS days_since_production, fault AS sensor_fault, season AS peak_season"
+        " FROM VALUES ('finfish_seafood'), ('table_eggs'), ('chilled_dairy'), ('frozen_goods') AS a(product), VALUES (0), (3), (30) AS b(peak), VALUES (0), (1), (2), (4), (10) AS c(days), VALUES (true), (false) AS d(fault), VALUES (true), (false) AS e(season)"
+    )
+    found = {r[0] for r in label_states(grid).select("disposition").collect()}
+    assert grid.count() == 240 and found <= {"accept", "hold_for_qa", "reject", "insufficient_data"}
+
+
+def test_specs_from_bands(spark):
+    raw = spark.createDataFrame(
+        [("chilled_fresh_seafood", '{"range_c": [0, 4]}'), ("chilled_general", '{"range_c": [0, 5], "basis": "x"}'), ("frozen", '{"max_c": -18}'), ("note", '"no band"')], "name string, spec string"
+    )
+    bands = bands_from_json(raw)
+    assert bands.count() == 3
+    products = spark.createDataFrame(PRODUCT_BANDS, "product string, band string, hold_min int, reject_min int, shelf_days int")
+    assert sorted(tuple(r) for r in specs_from_bands(bands, products).collect()) == sorted(PRODUCTS)
+
+
+def test_sentinels(spark):
+    one = spark.range(1).select(temperature_sentinels(F.array(*(F.lit(float(x)) for x in ALL_SENTINELS))).alias("a"), clean_readings(F.array(*(F.lit(x) for x in (1.0, -99.9, 0.0, 90.0)))).alias("b"))
+    assert one.first() == (list(SENTINELS), [1.0, 0.0])
 
 
 @pytest.mark.parametrize(
     ("text", "kind", "rules"),
     [
-        ("device=ASSET-1 product_code=finfish_seafood readings: 1,2,3", None, ["GCC-EDGE-018"]),
-        ("Given the urgency, we recommend expedite sale of this lot.", None, ["GCC-EDGE-015"]),
-        ("2026-07-22 09:", "logger_csv", ["GCC-EDGE-002"]),
-        ("2026-07-22 09:", "chat_message", []),
-        ("Reefer held between 1.1 and 3.2C for the full 24h window, no excursions observed.", "chat_message", []),
+        ("unit 7, Product_Code = eggs, all quiet", None, ["GCC-EDGE-018"]),
+        ("Please expedite the pallet for sale before noon.", None, ["GCC-EDGE-015"]),
+        ("t,c\n2026-03-04 11:  ", "logger_csv", ["GCC-EDGE-002"]),
+        ("2026-03-04 11:", "chat_message", []),
+        ("Cooler stayed near two degrees all night.", "chat_message", []),
     ],
 )
 def test_guardrails(spark, text, kind, rules):
