@@ -1,5 +1,5 @@
 """Further queries, by topic; importing the package registers them."""
 
-from . import planning
+from . import funnel, planning
 
-__all__ = ["planning"]
+__all__ = ["funnel", "planning"]
