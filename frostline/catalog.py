@@ -10,7 +10,6 @@ from frostline.operators.disposition import label_series as label
 from frostline.operators.evaluation import latest_by_key, macro_f1, vote_categorical, vote_numeric
 from frostline.operators.funnel import with_outcome
 from frostline.operators.planning import nearest_rank, slice_summary
-from frostline.plans.gates import evaluate, ratchet
 from frostline.registry import ORACLE_SQL, QUERIES, query
 from frostline.sources.adapters import generation_log, table, telemetry
 from frostline.streaming.replay import screen, windowed_hits
@@ -114,18 +113,6 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.agg(F.count("*").alias("requested"), F.count_if(F.col("outcome") == "kept").alias("kept"), F.max("wave").alias("last_wave"))
 
 
-@query(_LOG + "SELECT max(n) * 1.0::DOUBLE / sum(n) AS max_class_share FROM (SELECT count(*) AS n FROM f WHERE outcome = 'kept' GROUP BY disposition)")
-def max_class_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _funnel(spark, sf_dir).where("outcome = 'kept'").groupBy("disposition").agg(F.count("*").alias("n"))
-    return counts.agg((F.max("n") / F.sum("n")).alias("max_class_share"))
-
-
-@query(_LOG + "SELECT round(avg(abs(kept - 20) / 20.0::DOUBLE), 9) AS deviation FROM (SELECT cell, count(*) FILTER (outcome = 'kept') AS kept FROM f GROUP BY cell)")
-def cell_fill_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _funnel(spark, sf_dir).groupBy("cell").agg(F.count_if(F.col("outcome") == "kept").alias("kept"))
-    return cells.agg(F.round(F.avg(F.abs(F.col("kept") - 20) / F.lit(20.0)), 9).alias("deviation"))
-
-
 @query(_LOG + "SELECT rule_id, count(*) AS n FROM (SELECT unnest([CASE WHEN h18 THEN 'GCC-EDGE-018' END, CASE WHEN h15 THEN 'GCC-EDGE-015' END, CASE WHEN h02 THEN 'GCC-EDGE-002' END]) AS rule_id FROM f) WHERE rule_id IS NOT NULL GROUP BY ALL")
 def guardrail_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _funnel(spark, sf_dir).select(F.explode("rules").alias("rule_id")).groupBy("rule_id").agg(F.count("*").alias("n"))
@@ -140,13 +127,6 @@ def audit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.agg(F.count("*").alias("n"), F.count_if(hit).alias("violations"), F.round(F.avg(hit.cast("int")), 6).alias("rate"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query(_LOG + "SELECT disposition, count(*) AS n, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM f WHERE outcome = 'kept' GROUP BY disposition")
-def disposition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _funnel(spark, sf_dir).where("outcome = 'kept'").groupBy("disposition").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), F.lit(True)).select("disposition", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
-
-
 @query("SELECT doc_id FROM documents WHERE CAST('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 8) AS BIGINT) % 100 < 5")
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.col("doc_id").cast("string").cast("binary"), 256)
@@ -209,27 +189,6 @@ def jurisdiction_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("n_name", "r_name", "customers", F.round("s", 2).alias("balance"))
 
 
-_METRICS = ", m AS (SELECT 'guardrail_violation_rate' AS metric, avg((n_rules > 0)::INT) AS value FROM f UNION ALL SELECT 'round_trip_recovery', avg(round_trip_ok::INT) FROM f UNION ALL SELECT 'screener_flag_rate', avg((verdict <> 'CONSISTENT')::INT) FROM f)"
-_BOUNDS = ", b(metric, op, lo, hi) AS (VALUES ('schema_validity', '>=', 0.995::DOUBLE, NULL::DOUBLE), ('round_trip_recovery', '>=', 0.95, NULL), ('screener_flag_rate', 'between', 0.02, 0.08), ('near_duplicate_rate', '<=', 0.03, NULL), ('cell_fill_deviation', '<=', 0.10, NULL), ('max_class_share', '<=', 0.45, NULL), ('leakage_probe_acc', '<=', 0.70, NULL), ('language_authenticity', '>=', 3.5, NULL), ('annotator_kappa', '>=', 0.75, NULL), ('guardrail_violation_rate', '<=', 0.01, NULL))"
-
-
-@query(_LOG + _METRICS + _BOUNDS + " SELECT metric, value, coalesce(ok, false) AS passed, CASE WHEN value IS NULL THEN 'not measured' WHEN NOT ok THEN 'out of bounds' ELSE '' END AS reason FROM (SELECT b.metric, round(value, 6) AS value, CASE op WHEN '>=' THEN value >= lo WHEN '<=' THEN value <= lo ELSE value BETWEEN lo AND hi END AS ok FROM b LEFT JOIN m USING (metric))")
-def gate_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    share = lambda condition: F.avg(condition.cast("int"))
-    one = _funnel(spark, sf_dir).agg(
-        share(F.size("rules") > 0).alias("guardrail_violation_rate"), share(F.col("round_trip_ok")).alias("round_trip_recovery"), share(F.col("verdict") != "CONSISTENT").alias("screener_flag_rate")
-    )
-    metrics = one.unpivot([], list(one.columns), "metric", "value")
-    return evaluate(spark, metrics).withColumn("value", F.round("value", 6))
-
-
-@query(_LOG + ", c AS (SELECT cell, avg((outcome = 'kept')::INT) FILTER (wave <= 4) AS b, avg((outcome = 'kept')::INT) FILTER (wave > 4) AS n FROM f GROUP BY cell), o AS (SELECT coalesce(min(n) < min(b), false) AS worst_fell, count(*) FILTER (b >= 0.8 AND coalesce(n, 0) < 0.8) AS cells_lost FROM c) SELECT *, NOT worst_fell AND cells_lost = 0 AS passed FROM o")
-def ratchet_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _funnel(spark, sf_dir).withColumn("kept", (F.col("outcome") == "kept").cast("int"))
-    per = lambda half: rows.where(half).groupBy("cell").agg(F.avg("kept").alias("f1"))
-    return ratchet(per("wave <= 4"), per("wave > 4"))
-
-
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rk, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(value), 6) AS mean, max(value) FILTER (rk = CASE WHEN floor(n * 0.99::DOUBLE) < 1 THEN n ELSE floor(n * 0.99::DOUBLE) END) AS p99 FROM r GROUP BY event_type")
 def p99_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_rank(table(spark, sf_dir, "events"), "event_type", "value")
@@ -247,12 +206,6 @@ def sentinel_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir).groupBy("series_id").agg(F.count_if(~bad).alias("n_clean"), F.count_if(bad).alias("n_excluded"))
 
 
-@query("SELECT count(*) FILTER (quality = toxic) AS agree, count(*) FILTER (quality <> toxic) AS disagree, round(count(*) FILTER (quality = toxic) * 1.0::DOUBLE / greatest(count(*), 1), 6) AS rate FROM labels")
-def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.col("quality") == F.col("toxic")
-    return table(spark, sf_dir, "labels").agg(F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree"), F.round(F.count_if(same) / F.greatest(F.count("*"), F.lit(1)), 6).alias("rate"))
-
-
 @query("SELECT o_orderpriority, avg(date_diff('day', o_orderdate, l_shipdate)) AS mean_days, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def shelf_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))

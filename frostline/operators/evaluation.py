@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def macro_f1(rows: DataFrame, *groups: str, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
+def macro_f1(rows: DataFrame, *groups: str, truth: str = "truth", predicted: str = "predicted", digits: int | None = 6) -> DataFrame:
     """Mean F1 over all classes of truth or prediction, for each group: two aggregations, no pass per class."""
     cells = rows.groupBy(*groups, truth, predicted).agg(F.count("*").alias("n"))
     sides = F.array(
@@ -14,7 +14,7 @@ def macro_f1(rows: DataFrame, *groups: str, truth: str = "truth", predicted: str
         F.struct(F.col(predicted).alias("label"), F.lit(0).cast("long").alias("tp"), F.col("n").alias("both")),
     )
     classes = cells.select(*groups, "n", F.explode(sides).alias("s")).groupBy(*groups, "s.label").agg((2 * F.sum("s.tp") / F.sum("s.both")).alias("f1"), F.sum("s.both").alias("both"))
-    return classes.groupBy(*groups).agg(F.round(F.avg("f1"), 6).alias("macro_f1"), (F.sum("both") / 2).cast("long").alias("n"))
+    return classes.groupBy(*groups).agg((F.avg("f1") if digits is None else F.round(F.avg("f1"), digits)).alias("macro_f1"), (F.sum("both") / 2).cast("long").alias("n"))
 
 
 def vote_numeric(votes: DataFrame, floor: float = 0.6) -> DataFrame:

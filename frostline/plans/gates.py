@@ -33,6 +33,8 @@ PASSING_F1 = 0.80
 
 def evaluate(spark: SparkSession, metrics: DataFrame, bounds=GATE_A) -> DataFrame:
     """Every bound with its metric: (metric, value, passed, reason). A metric that is missing fails."""
+    for _, op, lo, hi in bounds:
+        check_bound(op, lo, lo, hi)
     table = spark.createDataFrame(bounds, "metric string, op string, lo double, hi double")
     joined = table.join(metrics, "metric", "left")
     holds = F.expr("CASE op WHEN '>=' THEN value >= lo WHEN '<=' THEN value <= lo ELSE value BETWEEN lo AND hi END")
@@ -40,10 +42,48 @@ def evaluate(spark: SparkSession, metrics: DataFrame, bounds=GATE_A) -> DataFram
     return joined.select("metric", "value", F.coalesce(holds, F.lit(False)).alias("passed"), reason.alias("reason"))
 
 
+class GateFailure(RuntimeError):
+    """A wave may not go on."""
+
+
+def check_bound(op: str, value: float, lo: float, hi: float | None = None) -> bool:
+    """Whether a value keeps a bound; an unknown operator is an error."""
+    if op == ">=":
+        return value >= lo
+    if op == "<=":
+        return value <= lo
+    if op == "between":
+        return lo <= value <= hi
+    raise ValueError(f"unknown bound: {op}")
+
+
+def verdict(evaluated: DataFrame) -> DataFrame:
+    """One row: whether all checks passed, and the failures as text in order of name."""
+    said = F.when(~F.col("passed"), F.concat_ws(": ", "metric", "reason"))
+    return evaluated.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"), F.array_sort(F.collect_list(said)).alias("failures"))
+
+
+def halt_unless_passed(evaluated: DataFrame) -> None:
+    """Raises with the failures of a gate; results should be written before."""
+    row = verdict(evaluated).first()
+    if not row["passed"]:
+        raise GateFailure("; ".join(row["failures"]))
+
+
+def require_passed(verdicts: DataFrame, wave: int) -> None:
+    """Training on a wave needs a passed gate of it (verdicts: wave, passed)."""
+    if verdicts.where((F.col("wave") == wave) & F.col("passed")).isEmpty():
+        raise GateFailure(f"wave {wave} has not passed its gate")
+
+
 def ratchet(before: DataFrame, now: DataFrame) -> DataFrame:
     """One row: whether the worst cell fell, how many passing cells no longer pass, and the verdict."""
     b, n = before.select("cell", F.col("f1").alias("b")), now.select("cell", F.col("f1").alias("n"))
-    both = b.join(n, "cell", "full")
+    return ratchet_rows(b.join(n, "cell", "full"))
+
+
+def ratchet_rows(both: DataFrame) -> DataFrame:
+    """The same for rows (cell, b, n) that hold the F1 of both rounds."""
     out = both.agg(
         F.coalesce(F.min("n") < F.min("b"), F.lit(False)).alias("worst_fell"),
         F.count_if((F.col("b") >= PASSING_F1) & (F.coalesce("n", F.lit(0.0)) < PASSING_F1)).alias("cells_lost"),

@@ -1,5 +1,5 @@
 """Further queries, by topic; importing the package registers them."""
 
-from . import funnel, planning
+from . import funnel, judging, planning
 
-__all__ = ["funnel", "planning"]
+__all__ = ["funnel", "judging", "planning"]
