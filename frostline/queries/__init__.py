@@ -1,5 +1,5 @@
 """Further queries, by topic; importing the package registers them."""
 
-from . import funnel, judging, packs, planning
+from . import funnel, judging, packs, planning, synthesis
 
-__all__ = ["funnel", "judging", "packs", "planning"]
+__all__ = ["funnel", "judging", "packs", "planning", "synthesis"]
