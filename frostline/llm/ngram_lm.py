@@ -48,6 +48,8 @@ HOT_SHARE, SAMPLE, HOT_BUCKETS = 1e-3, 50, 32
 _END = np.uint64(0x656E6400000000)
 #: Quantised steps of log10, from 0 down; 255 stands for 'not found'.
 _STEP = 10.0 / 254
+#: One in so many values narrows a search in a whole level.
+SKIP = 64
 _LOW32 = np.uint64(0xFFFFFFFF)
 
 
@@ -60,6 +62,32 @@ def _packed_bits(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([*parts, np.zeros(8, dtype=np.uint8)])
 
 
+def _select_table() -> np.ndarray:
+    """For a byte and a number k: the place of the byte's k-th one."""
+    out = np.zeros((256, 8), dtype=np.int64)
+    for byte in range(256):
+        places = [b for b in range(8) if byte >> b & 1]
+        out[byte, : len(places)] = places
+    return out.reshape(-1)
+
+
+_SELECT = _select_table()
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the k-th one (from 0) of each 64-bit word."""
+    x = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    # ones up to and with each byte
+    sums = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES
+    # bytes whose sums don't exceed k lie before the one wanted
+    byte = np.bitwise_count(((k * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+    before = (sums << np.uint64(8)) >> byte & np.uint64(0xFF)
+    inside = (word >> byte) & np.uint64(0xFF)
+    return byte.astype(np.int64) + _SELECT[(inside << np.uint64(3) | (k - before)).astype(np.int64)]
+
+
 class EliasFano:
     """A non-decreasing sequence of integers; its arrays may lie in a memory-mapped buffer."""
 
@@ -97,30 +125,33 @@ class EliasFano:
         """The values at some places."""
         i = np.asarray(i, dtype=np.int64)
         word = np.searchsorted(self.rank, i.astype(np.uint32), side="right") - 1
-        # the (i - rank)-th one of the word, found by halving
-        left = (i - self.rank[word]).astype(np.int64)
-        bits = self.high[word].copy()
-        place = np.zeros(len(i), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            over = left >= ones
-            left -= np.where(over, ones, 0)
-            place += np.where(over, width, 0)
-            bits = np.where(over, bits >> np.uint64(width), bits)
+        place = _select(self.high[word], (i - self.rank[word]).astype(np.uint64))
         high = (word * 64 + place - i).astype(np.uint64) << np.uint64(self.low_bits)
         return high + self._low(i) + np.uint64(self.base)
 
     def search(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """For each value its first place in [lo, hi) that isn't less: the successor within a context."""
+        """The place in [lo, hi) of each value, or -1 where it isn't there: the successor search within a context."""
         lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-        open_ = np.flatnonzero(lo < hi)
+        out = np.full(len(value), -1, dtype=np.int64)
+        some = np.flatnonzero(lo < hi)
+        open_ = some[hi[some] - lo[some] > 1]
         while len(open_):
             middle = (lo[open_] + hi[open_]) >> 1
-            less = self.get(middle) < value[open_]
-            lo[open_] = np.where(less, middle + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], middle)
-            open_ = open_[lo[open_] < hi[open_]]
-        return lo
+            over = self.get(middle) > value[open_]
+            lo[open_] = np.where(over, lo[open_], middle)
+            hi[open_] = np.where(over, middle, hi[open_])
+            open_ = open_[hi[open_] - lo[open_] > 1]
+        found = some[self.get(lo[some]) == value[some]]
+        out[found] = lo[found]
+        return out
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """``search`` in the whole sequence, begun between every SKIP-th value."""
+        if not self.n:
+            return np.full(len(value), -1, dtype=np.int64)
+        every = self.get(np.arange(0, self.n, SKIP))
+        lo = np.maximum(np.searchsorted(every, value, side="right") - 1, 0) * SKIP
+        return self.search(value, lo, np.minimum(lo + SKIP, self.n))
 
 
 def _children(key: np.ndarray, count: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,30 +197,20 @@ class Trie:
         self.file.write(x.tobytes())
         return place
 
-    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, name: np.ndarray) -> np.ndarray:
-        """The child of each parent (-1: none) with some 32-bit name, or -1."""
-        out = np.full(len(parent), -1, dtype=np.int64)
+    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, children: np.ndarray, name: np.ndarray) -> np.ndarray:
+        """For each parent (-1: none) and so many 32-bit names in a row: the places of these children, or -1."""
+        lo, hi = np.zeros(len(parent), dtype=np.int64), np.zeros(len(parent), dtype=np.int64)
         at = np.flatnonzero(parent >= 0)
-        if not len(at) or not level.n:
-            return out
-        lo, hi = pointers.get(parent[at]).astype(np.int64), pointers.get(parent[at] + 1).astype(np.int64)
-        key = parent[at].astype(np.uint64) << np.uint64(32) | name[at].astype(np.uint64)
-        found = level.search(key, lo, hi)
-        hit = found < hi
-        hit[hit] = level.get(found[hit]) == key[hit]
-        out[at[hit]] = found[hit]
-        return out
+        if len(at) and level.n:
+            lo[at], hi[at] = pointers.get(parent[at]), pointers.get(parent[at] + 1)
+        key = np.repeat(np.maximum(parent, 0).astype(np.uint64) << np.uint64(32), children) | name.astype(np.uint64)
+        return level.search(key, np.repeat(lo, children), np.repeat(hi, children))
 
     def lookup(self, word: np.ndarray, pairs_of: np.ndarray, before: np.ndarray, triples_of: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts of words, and quantised shares (255: none) of the pairs under each and the triples under each pair."""
-        at = np.full(len(word), -1, dtype=np.int64)
-        if self.words.n:
-            found = self.words.search(word, np.zeros(len(word), dtype=np.int64), np.full(len(word), self.words.n))
-            hit = found < self.words.n
-            hit[hit] = self.words.get(found[hit]) == word[hit]
-            at[hit] = found[hit]
-        pair = self._below(self.pairs, self.to_pairs, np.repeat(at, pairs_of), before)
-        triple = self._below(self.triples, self.to_triples, np.repeat(pair, triples_of), second)
+        at = self.words.find(word)
+        pair = self._below(self.pairs, self.to_pairs, at, pairs_of, before)
+        triple = self._below(self.triples, self.to_triples, pair, triples_of, second)
         picked = lambda values, i, none: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else none, none)
         return picked(self.total, at, 0).astype(np.int64), picked(self.q2, pair, 255).astype(np.uint8), picked(self.q3, triple, 255).astype(np.uint8)
 

@@ -305,7 +305,10 @@ def test_elias_fano():
         values = np.sort(values.astype(np.uint64))
         packed, n = ngram_lm.EliasFano(*ngram_lm.EliasFano.pack(values)), len(values)
         assert (packed.get(np.arange(n)) == values).all()
-        assert (packed.search(values, np.zeros(n, dtype=np.int64), np.full(n, n)) == np.searchsorted(values, values)).all()
+        for found in (packed.search(values, np.zeros(n, dtype=np.int64), np.full(n, n)), packed.find(values)):
+            assert (values[found] == values).all()
+        absent = np.setdiff1d(values + np.uint64(1), values)
+        assert (packed.find(absent) == -1).all()
         # two bits and the low bits a value, no places
         assert packed.high.nbytes + packed.low.nbytes <= n * (3 + packed.low_bits) / 8 + 40
 
