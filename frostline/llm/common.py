@@ -28,13 +28,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The shared folder that ``spark.checkpoint.dir`` names. Where none is set, a temporary one in local mode; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='checkpoints-')}")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

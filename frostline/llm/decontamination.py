@@ -4,12 +4,14 @@
 2. A window resembles an item only if the shingles they share weigh ``least`` of the item's. So for each document
    and item that share so much at all, windows of as many words as the item has are laid at every start where
    the shared shingles inside still weigh that; other starts are ruled out exactly.
-3. Windows of equal words are one. Each gets a 64-bit SimHash of its shingles, weighted by how few items
-   have them. The bits are cut into ``radius`` + 1 blocks; fingerprints within the radius agree in one block
-   at least, so a join on (window size, block number, block bits) finds all of them.
+3. Windows of equal words are one. Each gets a SimHash of ``BITS`` bits of its shingles, weighted by how few items
+   have them. The bits are cut into ``blocks`` blocks; of two fingerprints within the radius, one block at least
+   differs in no more than radius / blocks bits. So the items' blocks with all flips of so few bits, joined with the
+   windows' blocks on (window size, block number, block bits), give all fingerprints within the radius.
 4. Candidates within the radius are verified by the exact weighted Jaccard similarity of their shingle sets.
 
-With the default radius a pair right at the threshold is missed about once in a thousand; closer ones less.
+Two unrelated fingerprints meet in a block about once in five times (64 bits in blocks that must be equal: nine in ten)
+and never lie within the radius. A pair right at the threshold lies outside it about once in a thousand; closer ones less.
 
 The item shingles are broadcast only after their number is checked, and are joined by a shuffle beyond it.
 Null text has no words. Null ids take no part. Rows with equal ids are one document. Items of under ``k``
@@ -18,6 +20,7 @@ words are too short to tell a leak from chance and match nothing. Other columns
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +30,8 @@ from .common import materialize, read, small
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19
+#: Bits of a fingerprint (in longs of 64), its blocks (as many in each long), and the radius.
+BITS, BLOCKS, RADIUS = 256, 20, 57
 
 
 def words(text: Column) -> Column:
@@ -47,19 +51,43 @@ def _weighted(df: DataFrame, key: list[str], weights: DataFrame, default: float)
     rows = df.select(*key, F.explode(F.array_distinct("ws")).alias("h")).join(weights, "h", "left")
     pair = F.struct("h", F.coalesce("weight", F.lit(default)).alias("weight"))
     out = rows.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("fs"))
-    bit = "aggregate(fs, 0D, (s, x) -> s + if((shiftright(x.h, b) & 1L) = 1L, x.weight, -x.weight))"
-    fp = F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({bit} > 0D, shiftleft(1L, b), 0L))")
-    return out.withColumn("fp", fp).withColumn("total", F.expr("aggregate(fs, 0D, (s, x) -> s + x.weight)"))
+    wide = F.transform("fs", lambda x: F.struct(F.array(*(F.xxhash64(x["h"], F.lit(i)) for i in range(BITS // 64))).alias("w"), x["weight"].alias("weight")))
+    bit = "aggregate(wide, 0D, (s, x) -> s + if((shiftright(x.w[j], b) & 1L) = 1L, x.weight, -x.weight))"
+    fp = F.expr(f"transform(sequence(0, {BITS // 64 - 1}), j -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({bit} > 0D, shiftleft(1L, b), 0L)))")
+    return out.withColumn("wide", wide).withColumn("fp", fp).drop("wide").withColumn("total", F.expr("aggregate(fs, 0D, (s, x) -> s + x.weight)"))
 
 
-def _blocks(radius: int) -> Column:
+def _cuts(blocks: int) -> list[tuple[int, int, int]]:
+    """(long, first bit, width) of each block; no block crosses two longs."""
+    each = blocks // (BITS // 64)
+    edges = [64 * i // each for i in range(each + 1)]
+    return [(j, a, b - a) for j in range(BITS // 64) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def window_blocks(blocks: int) -> Column:
     """The blocks of fp as an array of (number, bits)."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
-    return F.array(*(F.struct(F.lit(i).alias("no"), F.expr(f"shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L").alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    return F.array(*(F.struct(F.lit(i).alias("no"), F.expr(f"shiftrightunsigned(fp[{j}], {a}) & {(1 << w) - 1}L").alias("bits")) for i, (j, a, w) in enumerate(_cuts(blocks))))
+
+
+def item_probes(blocks: int, radius: int) -> Column:
+    """The same with every flip of at most radius / blocks bits of a block."""
+    each = []
+    for i, (j, a, w) in enumerate(_cuts(blocks)):
+        masks = [sum(1 << x for x in bits) for n in range(radius // blocks + 1) for bits in itertools.combinations(range(w), n)]
+        own = F.expr(f"shiftrightunsigned(fp[{j}], {a}) & {(1 << w) - 1}L")
+        each.append(_flipped(i, own, masks))
+    return F.flatten(F.array(*each))
+
+
+def _flipped(number: int, own: Column, masks: list[int]) -> Column:
+    return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.struct(F.lit(number).alias("no"), own.bitwiseXOR(m).alias("bits")))
+
+
+def distance(a: str, b: str) -> Column:
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the most similar window of each document and item."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
@@ -98,9 +126,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float
     of_items = _weighted(items.select("item_id", "n", F.col("sh").alias("ws")), ["item_id", "n"], weights, default)
     of_items = materialize(of_items, "leaks-itemprints")
 
-    left = prints.select("n", "k1", "k2", "fp", F.explode(_blocks(radius)).alias("b")).select("n", "k1", "k2", "fp", "b.no", "b.bits")
-    right = of_items.select("item_id", "n", F.col("fp").alias("fp_i"), F.explode(_blocks(radius)).alias("b")).select("item_id", "n", "fp_i", "b.no", "b.bits")
-    near = left.join(right, ["n", "no", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_i"))) <= radius)
+    left = prints.select("n", "k1", "k2", "fp", F.explode(window_blocks(blocks)).alias("b")).select("n", "k1", "k2", "fp", "b.no", "b.bits")
+    right = of_items.select("item_id", "n", F.col("fp").alias("fp_i"), F.explode(item_probes(blocks, radius)).alias("b")).select("item_id", "n", "fp_i", "b.no", "b.bits")
+    near = left.join(right, ["n", "no", "bits"]).where(distance("fp", "fp_i") <= radius)
     near = near.select("n", "k1", "k2", "item_id").distinct()
     both = near.join(prints, ["n", "k1", "k2"]).join(of_items.select("item_id", "n", F.col("fs").alias("fs_i"), F.col("total").alias("total_i")), ["item_id", "n"])
     common = F.expr("aggregate(array_intersect(fs, fs_i), 0D, (s, x) -> s + x.weight)")

@@ -36,7 +36,7 @@ _ROWS, _POINTS = 128, 1 << 19
 def _letters() -> np.ndarray:
     """For each code point: its lower-case letter, or 0."""
     out = np.zeros(0x110000, dtype=np.int32)
-    for i in range(0x30000):
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()

@@ -359,3 +359,22 @@ def test_pipeline(spark):
         frame = after.cache()
     packed = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in frame.collect()}
+
+
+def test_hamming_blocks(spark):
+    """Every pair within the radius meets in a block; unrelated ones meet seldom."""
+    dice = np.random.default_rng(8)
+    items = dice.integers(-(2**63), 2**63 - 1, (40, 4), dtype=np.int64)
+    near = []
+    for i in range(40):
+        flips = dice.choice(256, decontamination.RADIUS, replace=False)
+        fp = items[i].copy().view(np.uint64)
+        for b in flips:
+            fp[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        near.append(fp.view(np.int64))
+    frame = lambda rows: spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(rows)], "id int, fp array<long>")
+    left = frame(near).select("id", F.col("fp").alias("f"), F.explode(decontamination.window_blocks(decontamination.BLOCKS)).alias("b"))
+    right = frame(items).select(F.col("id").alias("item"), F.col("fp").alias("g"), F.explode(decontamination.item_probes(decontamination.BLOCKS, decontamination.RADIUS)).alias("b"))
+    met = left.join(right, "b").select("id", "item", decontamination.distance("f", "g").alias("d")).distinct().collect()
+    assert {(r["id"], r["item"]) for r in met if r["d"] <= decontamination.RADIUS} == {(i, i) for i in range(40)}
+    assert len(met) < 0.35 * 40 * 40
