@@ -414,7 +414,11 @@ def link_documents(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bi
     linked = _met(texts, stay, own, _send(k, True)).mapInArrow(_verify(percent, bits, sketch), _FOUND_DDL)
     linked = materialize(linked, "join-links")
 
-    groups = materialize(connected_components(linked.select("a", "b"), "join-groups").withColumnRenamed("node", "rep"), "join-components")
+    # an id of several texts joins their classes
+    named = keys.where("n > 0 and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("s1").alias("x"), F.max("s1").alias("y")).where("x <> y").select("doc_id")
+    pooled = named.join(small(materialize(several, "join-several")), "doc_id", "left_semi").join(reps, ["n", "s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    groups = materialize(connected_components(linked.select("a", "b").unionByName(pooled), "join-groups").withColumnRenamed("node", "rep"), "join-components")
     counts = linked.groupBy(F.col("a").alias("rep"), "s1").agg(F.sum("links").alias("n_links"))
     told = reps.join(groups, "rep", "left").join(counts, ["rep", "s1"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "rep").alias("component"), "n_links")
     of_keys = keys.withColumn("n_shingles", F.col("n")).withColumn("n", F.when(F.col("doc_id").isNotNull(), F.col("n")))
