@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and reread as the next one's docs.
 All but the last return the columns of ``documents``. The last returns the pieces of packed sequences.
+
+Odd rows: null and empty texts get the classifier's bias as their score and stay or go by it, have no shingles, no leaks
+and no secrets, and pack as the end id alone. Rows without an id stay through near_duplicates and decontamination. Rows of
+equal ids are one node of near_duplicates and one document of decontamination. Extra columns are kept up to packing.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
