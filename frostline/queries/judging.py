@@ -228,3 +228,28 @@ def human_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ITEMS + f"SELECT round({_f1('true')}, 6) AS macro_f1, count(*) AS n FROM i")
 def overall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro_f1(_items(spark, sf_dir).withColumn("predicted", F.coalesce("predicted", F.lit(""))))
+
+
+_AUDIT = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {key} AS key, count(*) AS n, count(*) FILTER (n_rules > 0) AS violations FROM f GROUP BY ALL" for kind, key in (("all", "''"), ("cell", "cell"), ("jurisdiction", "jurisdiction"), ("artifact_type", "artifact_type"), ("disposition", "disposition"), ("screener", "verdict"), ("outcome", "outcome")))
+_BY_RULE = " UNION ALL ".join(f"SELECT 'rule', '{rule}', count(*), count(*) FROM f WHERE {hit} HAVING count(*) > 0" for rule, hit in (("GCC-EDGE-018", "h18"), ("GCC-EDGE-015", "h15"), ("GCC-EDGE-002", "h02")))
+
+
+@query(_LOG + _AUDIT + " UNION ALL " + _BY_RULE)
+def corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit in one pass: records and violations in all, by axis, by disposition, verdict, outcome and rule."""
+    pair = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    axes = [pair("all", F.lit("")), *(pair(kind, F.col(c)) for kind, c in (("cell", "cell"), ("jurisdiction", "jurisdiction"), ("artifact_type", "artifact_type"), ("disposition", "disposition"), ("screener", "verdict"), ("outcome", "outcome")))]
+    each = F.concat(F.array(*axes), F.transform("rules", lambda r: pair("rule", r)))
+    rows = _funnel(spark, sf_dir).select((F.size("rules") > 0).alias("hit"), F.explode(each).alias("x"))
+    return rows.groupBy("x.kind", "x.key").agg(F.count("*").alias("n"), F.count_if("hit").alias("violations"))
+
+
+@query(_CELL_F1 + " SELECT wave, round(avg(f1), 6) AS mean_f1, min_by(cell, (f1, cell)) AS worst_cell, count(*) FILTER (f1 >= 0.1) AS passing FROM c GROUP BY wave")
+def map_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, least and counted values of each wave's map of cells."""
+    maps = _cell_f1(spark, sf_dir).groupBy("wave").agg(F.map_from_entries(F.collect_list(F.struct("cell", "f1"))).alias("m"))
+    values = F.map_values("m")
+    least = F.array_min(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"].alias("v"), e["key"].alias("k"))))["k"]
+    return maps.select(
+        "wave", F.round(F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values), 6).alias("mean_f1"), least.alias("worst_cell"), F.size(F.filter(values, lambda x: x >= 0.1)).cast("long").alias("passing")
+    )
