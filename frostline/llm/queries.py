@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from .decontamination import op2_decontamination
+from .divergence import OP12_SQL, op12_source_divergence
 from .fingerprint import op10_fingerprint
 from .html_text import op5_html_text
 from .language_id import op7_language_id
+from .minhash import op13_minhash
 from .ngram_join import op4_ngram_join
 from .ngram_lm import op9_lm_score
 from .packing import op8_packing
 from .quality import op6_quality
 from .secret_scan import op3_secret_scan
 from .substring_dedup import op1_substring_dedup
+from .whitening import op11_whitening
 
 QUERIES = {
     f.__name__: f
@@ -26,8 +29,11 @@ QUERIES = {
         op8_packing,
         op9_lm_score,
         op10_fingerprint,
+        op11_whitening,
+        op12_source_divergence,
+        op13_minhash,
     )
 }
 
-#: The contracts of these operators have no practical SQL on whole tables; the tests hold brute-force versions.
-ORACLE_SQL: dict[str, str] = {}
+#: The contracts of the others have no practical SQL on whole tables; the tests hold brute-force versions.
+ORACLE_SQL: dict[str, str] = {"op12_source_divergence": OP12_SQL}
