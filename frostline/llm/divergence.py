@@ -13,18 +13,17 @@ from q at a term is floor((p - q)**2 / q).
   at a time go on. What is then ranked in one place are at most k and ``SETTLED`` rows of a group.
 
 Null text, language and source count as ''. A document is a row: repeated rows and ids count each. Groups without terms and
-languages without kept terms have pairs of value 0. Empty texts give no terms, very long texts are taken in pieces, cut
-between terms. Other columns are left aside. An empty table gives no rows.
+languages without kept terms have pairs of value 0. Empty texts give no terms, very long texts are taken whole. Other
+columns are left aside. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +32,15 @@ from .common import arrow_batch, binary, materialize, read, small
 LEAST_DOCS, SCALE, TOP = 3, 1_000_000_000, 200
 #: Rows of a group that selection may leave undecided: the last sort ranks them.
 SETTLED = 1024
-#: Bytes of text after which a task sends on what it has counted, and bytes of a text that are taken at a time.
-_FLUSH_BYTES, _PIECE = 48 << 20, 4 << 20
+#: Bytes of text that a task counts together.
+_FLUSH_BYTES = 32 << 20
 #: Pairs of entries that a task expands at a time, and pairs of sources that it holds.
 _PAIRS, _HELD = 1 << 21, 1 << 20
 #: Low bits of a value; sums of both parts stay exact.
 _LOW = 30
 
-_TERM, _GAP = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
+#: Bytes of terms, A-Z lower-cased; a blank for all others.
+_LETTERS = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("c", pa.int64()), ("docs", pa.int64())])
 _COUNTS_DDL = "lang string, source string, term string, c long, docs long"
 _BOTH = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("hi", pa.int64()), ("lo", pa.int64())])
@@ -48,43 +48,39 @@ _BOTH_DDL = "lang string, source string, item string, hi long, lo long"
 _GROUP = ["lang", "source"]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """A long text in parts that cut no term."""
-    at = 0
-    while len(text) - at > _PIECE:
-        gap = _GAP.search(text, at + _PIECE)
-        if gap is None:
-            break
-        yield text[at : gap.start()]
-        at = gap.start()
-    yield text[at:] if at else text
+def _counted(keys: list[tuple[bytes, bytes]], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """Counts of terms, and of documents that have them, in each group of some texts; each group also has a row without a term."""
+    groups: dict[tuple[bytes, bytes], int] = {}
+    of_doc = np.array([groups.setdefault(x, len(groups)) for x in keys], dtype=np.int64)
+    langs, sources = (pa.array([x[i] for x in groups], type=pa.binary()).cast(pa.string()) for i in (0, 1))
+    zeros = [0] * len(groups)
+    yield arrow_batch(_COUNTS, [langs, sources, pa.nulls(len(groups), pa.string()), zeros, zeros])
+    lists = pc.ascii_split_whitespace(pa.array(texts, type=pa.large_binary()).cast(pa.large_string()))
+    found = lists.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    pair, often = np.unique(doc << 32 | found.indices.to_numpy().astype(np.int64), return_counts=True)
+    code = of_doc[pair >> 32] << 32 | pair & 0xFFFFFFFF
+    code = code[order := np.argsort(code, kind="stable")]
+    start = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else code
+    if len(start):
+        group, terms = code[start] >> 32, found.dictionary.cast(pa.string()).take(pa.array(code[start] & 0xFFFFFFFF))
+        batch = arrow_batch(_COUNTS, [langs.take(pa.array(group)), sources.take(pa.array(group)), terms, np.add.reduceat(often[order], start), np.diff(np.append(start, len(code)))])
+        yield batch.filter(pc.not_equal(terms, ""))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of terms, and of documents that have them, in each group; each group also has a row without a term."""
-    held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-    size = 0
-
-    def told() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (counts, docs) in held.items():
-            names, n = (lang.decode(), source.decode()), len(counts) + 1
-            terms = [None, *(t.decode() for t in counts)]
-            yield arrow_batch(_COUNTS, [[names[0]] * n, [names[1]] * n, terms, [0, *counts.values()], [0, *(docs[t] for t in counts)]])
-
+    """What ``_counted`` tells of texts of about ``_FLUSH_BYTES`` together."""
+    keys, texts, size = [], [], 0
     for batch in batches:
         for lang, source, text in zip(*(binary(batch.column(c)) for c in ("lang", "source", "text")), strict=True):
-            counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            seen: set[bytes] = set()
-            for piece in _pieces(text):
-                terms = _TERM.findall(piece.lower())
-                counts.update(terms)
-                seen.update(terms)
-            docs.update(seen)
+            keys.append((lang, source))
+            texts.append(text.translate(_LETTERS))
             size += len(text)
             if size > _FLUSH_BYTES:
-                yield from told()
-                held, size = {}, 0
-    yield from told()
+                yield from _counted(keys, texts)
+                keys, texts, size = [], [], 0
+    if keys:
+        yield from _counted(keys, texts)
 
 
 def probability(count: Column, total: Column) -> Column:

@@ -145,12 +145,22 @@ def test_audit_matches_sql(spark):
     assert got == set(db.sql(f"select lang, source, part, item, value, rank from ({ORACLE_SQL['op12_source_divergence']})").fetchall())
 
 
-def test_pieces_cut_no_term(monkeypatch):
-    monkeypatch.setattr(divergence, "_PIECE", 10)
-    text = b"alpha beta gamma deltaepsilonzeta eta 1 2"
-    pieces = list(divergence._pieces(text))
-    assert len(pieces) > 2 and b"".join(pieces) == text
-    assert [t for x in pieces for t in divergence._TERM.findall(x)] == divergence._TERM.findall(text)
+def test_audit_flushes(spark, monkeypatch):
+    """Whatever is counted together, sums are the same."""
+    real = [(r.lang, r.source, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).collect()]
+    keys, texts = [(x.encode(), y.encode()) for x, y, _ in real], [(t or "").encode().translate(divergence._LETTERS) for *_, t in real]
+
+    def sums(step):
+        out = collections.Counter()
+        for at in range(0, len(real), step):
+            for batch in divergence._counted(keys[at : at + step], texts[at : at + step]):
+                for r in batch.to_pylist():
+                    out[r["lang"], r["source"], r["term"], "c"] += r["c"]
+                    out[r["lang"], r["source"], r["term"], "docs"] += r["docs"]
+        return out
+
+    assert sums(1) == sums(7) == sums(40)
+    assert all(re.fullmatch(r"[a-z\u0080-\U0010ffff]+", x[2]) for x in sums(40) if x[2] is not None)
 
 
 def components(texts, k=4, percent=80):
