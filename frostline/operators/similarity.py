@@ -1,70 +1,170 @@
-"""Near-duplicate vectors and the leakage probe."""
+"""Near-duplicate vectors: an exact cosine self-join in bounded blocks."""
 
 from __future__ import annotations
 
-import itertools
-import math
+from collections.abc import Iterator
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, SQLTransformer, StringIndexer, Tokenizer
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Cosine over which vectors are near duplicates; least texts and folds of the probe, its features.
-THRESHOLD, LEAST_TEXTS, FOLDS, FEATURES = 0.95, 50, 4, 3000
+from frostline.sources.store import written
 
+# Fixed value: cosine over which vectors are near duplicates.
+THRESHOLD = 0.95
+#: About how many vectors a block holds, most pivots, vectors that a task multiplies at a time.
+BLOCK, MOST_PIVOTS, ROWS = 2048, 4096, 512
+#: Coordinates after which pairs are bounded by what the rest can still add: of 16, 32 and then all.
+STEPS = (16, 32)
+#: What rounding may add to a product of unit vectors.
+SLACK = 1e-9
+#: Rows of a folded copy or of a cell table that may be broadcast.
+BROADCAST_ROWS = 200_000
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+_UNIT = pa.schema([("vec_id", pa.int64()), ("e", pa.binary()), ("key", pa.binary())])
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, pivots: int = 3) -> DataFrame:
-    """(vec_id, near): whether another vector has a cosine over the threshold.
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each vector, scaled to length 1, and its content key; null vectors and entries count as zeros."""
+    import hashlib
 
-    Unit vectors of such a cosine lie nearer than r = sqrt(2 - 2 threshold), so their distances from any pivot differ
-    by less than r. Vectors are dealt into cells of width r by their distances from a few pivots (those of the least
-    ids), and a vector is compared only with the neighbouring cells: nothing is lost, and no vector meets all others
-    unless all lie together.
+    for batch in batches:
+        out = []
+        for v in batch.column(1).to_pylist():
+            x = np.array([0.0 if c is None else c for c in v or []], dtype=np.float64)
+            out.append((x / (np.linalg.norm(x) + 1e-9)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.binary()), pa.array([hashlib.md5(x).digest() for x in out], type=pa.binary())], schema=_UNIT)
+
+
+def _matrix(column: list[bytes], dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), dims)
+
+
+def near_flags(a: np.ndarray, b: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which rows of a, and of b, have a product over the threshold with one of the other side; how many pairs were multiplied in full.
+
+    A pair goes on only if its product over the leading coordinates and the lengths of what remains of both (the most
+    that these can add) reach the threshold. ``same``: a is b, and a row doesn't meet itself.
     """
-    unit = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    unit = unit.withColumn("e", F.transform("e", lambda x: x / (F.sqrt(_dot(F.col("e"), F.col("e"))) + 1e-9)))
-    r = math.sqrt(2 - 2 * threshold) + 1e-9
-    if unit.isEmpty():
-        return vectors.select("vec_id", F.lit(False).alias("near"))
-    chosen = [row["e"] for row in unit.orderBy("vec_id").limit(pivots).collect()]
-    distance = lambda p: F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * _dot(F.col("e"), F.array(*map(F.lit, p)))))
-    celled = unit.withColumn("cell", F.array(*(F.floor(distance(p) / r) for p in chosen)))
-    steps = F.array(*(F.array(*(F.get("cell", F.lit(i)) + d for i, d in enumerate(step))) for step in itertools.product((-1, 0, 1), repeat=len(chosen))))
-    around = celled.select(F.col("vec_id").alias("other"), F.col("e").alias("f"), F.explode(steps).alias("cell"))
-    hits = celled.join(around, "cell").where((F.col("vec_id") != F.col("other")) & (_dot(F.col("e"), F.col("f")) > threshold))
-    near = hits.select("vec_id").distinct().withColumn("near", F.lit(True))
-    return vectors.select("vec_id").join(near, "vec_id", "left").select("vec_id", F.coalesce("near", F.lit(False)).alias("near"))
+    rest = [[np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", x[:, :k], x[:, :k]))) for k in STEPS] for x in (a, b)]
+    hit_a, hit_b, whole = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool), 0
+    for lo in range(0, len(a), ROWS):
+        part = a[lo : lo + ROWS]
+        told = part[:, : STEPS[0]] @ b[:, : STEPS[0]].T
+        may = told + np.outer(rest[0][0][lo : lo + ROWS], rest[1][0]) > threshold - SLACK
+        if same:
+            may &= np.arange(len(b)) > np.arange(lo, lo + len(part))[:, None]
+        i, j = np.nonzero(may)
+        if 4 * len(i) > may.size:
+            # hardly any pair is ruled out: one product of all
+            over = may & (part @ b.T > threshold)
+            whole += int(may.sum())
+            hit_a[lo : lo + ROWS] |= over.any(axis=1)
+            hit_b |= over.any(axis=0)
+            continue
+        for at in range(0, len(i), 1 << 17):
+            x, y = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
+            more = told[x, y] + np.einsum("ij,ij->i", part[x, STEPS[0] : STEPS[1]], b[y, STEPS[0] : STEPS[1]])
+            stay = more + rest[0][1][lo + x] * rest[1][1][y] > threshold - SLACK
+            x, y = x[stay], y[stay]
+            whole += len(x)
+            over = np.einsum("ij,ij->i", part[x], b[y]) > threshold
+            hit_a[lo + x[over]] = True
+            hit_b[y[over]] = True
+    if same:
+        hit_a |= hit_b
+    return hit_a, hit_b, whole
 
 
-def near_duplicate_rate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row: the share of near duplicates; 0 for fewer than two vectors."""
-    return near_duplicates(vectors, threshold).agg(F.when(F.count("*") < 2, 0.0).otherwise(F.avg(F.col("near").cast("int"))).alias("near_duplicate_rate"))
+def _cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """(vec_id, e, cell, angle): the nearest pivot of each vector and the angle to it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                cosine = _matrix(part.column("e").to_pylist(), pivots.shape[1]) @ pivots.T
+                cell = cosine.argmax(axis=1)
+                angle = np.arccos(np.clip(cosine[np.arange(len(cell)), cell], -1.0, 1.0))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("e"), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["vec_id", "e", "cell", "angle"])
+
+    return vectors.mapInArrow(scan, "vec_id long, e binary, cell int, angle double")
+
 
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+    """(vec_id, near): whether another vector has a cosine over the threshold (0 < threshold < 1). Exact.
 
-def leakage_probe(rows: DataFrame, features: int = FEATURES) -> float:
-    """Mean accuracy over folds of a linear classifier that guesses disposition from rendered_text alone.
+    1. Equal vectors fold into one; those that are no zero vectors are near.
+    2. A bounded number of pivots, drawn by hash, part the vectors into cells, and cells into blocks of bounded size. Two cells
+       meet unless the angle between their pivots exceeds their radii and the angle of the threshold together, in which case
+       no pair of theirs can be near (the triangle inequality of angles).
+    3. Blocks that meet are multiplied in one task, leading coordinates first: pairs are left as soon as what remains of
+       both vectors can't lift the product over the threshold.
 
-    Words and word pairs weighted by rarity; 0 for under two classes or LEAST_TEXTS texts. A fold is a hash of the text.
+    Clustered vectors are pruned by 2, scattered ones by 3. No pair becomes a row. Null vectors and vectors of zeros are near
+    nothing; vectors of different lengths aren't compared. vec_id is unique.
     """
-    rows = rows.select(F.coalesce("rendered_text", F.lit("")).alias("rendered_text"), "disposition", F.pmod(F.xxhash64("rendered_text"), F.lit(FOLDS)).alias("fold")).where("disposition IS NOT NULL")
-    n, classes = rows.agg(F.count("*"), F.countDistinct("disposition")).first()
-    if classes < 2 or n < LEAST_TEXTS:
-        return 0.0
-    stages = [
-        StringIndexer(inputCol="disposition", outputCol="label", handleInvalid="keep"), Tokenizer(inputCol="rendered_text", outputCol="one"), NGram(n=2, inputCol="one", outputCol="two"),
-        SQLTransformer(statement="SELECT *, concat(one, two) AS grams FROM __THIS__"), CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=features), IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(maxIter=30, regParam=0.01),
-    ]
-    scores = []
-    for fold in range(FOLDS):
-        model = Pipeline(stages=stages).fit(rows.where(F.col("fold") != fold))
-        right = model.transform(rows.where(F.col("fold") == fold)).agg(F.avg((F.col("prediction") == F.col("label")).cast("int"))).first()[0]
-        if right is not None:
-            scores.append(right)
-    return sum(scores) / len(scores)
+    spark = vectors.sparkSession
+    unit = written(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_unit, "vec_id long, e binary, key binary"), "near-unit")
+    folded = written(unit.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.any_value("e").alias("e")), "near-folded")
+    none = F.expr("e = repeat(x'00', length(e))")
+    lengths = [r["n"] for r in folded.where(~none).select(F.octet_length("e").alias("n")).distinct().collect()]
+    close = None
+    for length in sorted(lengths):
+        found = _near_of(folded.where(~none & (F.octet_length("e") == length)), length // 8, threshold, block, most_pivots)
+        close = found if close is None else close.unionByName(found)
+    alike = folded.where(~none & (F.col("copies") > 1)).select("vec_id")
+    close = alike if close is None else close.unionByName(alike)
+    near = folded.select("key", "vec_id").join(close.distinct().withColumn("near", F.lit(True)), "vec_id", "left").select("key", "near")
+    return unit.select("vec_id", "key").join(near, "key").select("vec_id", F.coalesce("near", F.lit(False)).alias("near"))
+
+
+def _near_of(vectors: DataFrame, dims: int, threshold: float, block: int, most_pivots: int) -> DataFrame:
+    """vec_id of the distinct unit vectors (vec_id, e) of one length that are near another."""
+    spark = vectors.sparkSession
+    n = vectors.count()
+    wanted = min(most_pivots, -(-n // block))
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
+    pivots = _matrix([bytes(r["e"]) for r in chosen], dims)
+    celled = written(_cells(vectors.select("vec_id", "e"), pivots), "near-cells")
+    table = celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).collect()
+    radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int32)
+    for r in table:
+        radius[r["cell"]], blocks[r["cell"]] = r["radius"], r["blocks"]
+    apart = np.arccos(threshold) + 1e-7
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(cell, i, ca, ia, cb, ib, side): where the blocks of each cell meet others. One row of pivots at a time."""
+        for batch in batches:
+            for c in batch.column(0).to_pylist():
+                angle = np.arccos(np.clip(pivots @ pivots[c], -1.0, 1.0))
+                for d in np.flatnonzero(angle <= radius + radius[c] + apart):
+                    rows = []
+                    for i in range(blocks[c]):
+                        for j in range(blocks[d]):
+                            swap = (d, j) < (c, i)
+                            rows.append((c, i, *((d, j, c, i) if swap else (c, i, d, j)), int(swap)))
+                    columns = [pa.array(x, type=pa.int32()) for x in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "i", "ca", "ia", "cb", "ib", "side"])
+
+    meets = spark.range(len(pivots)).repartition(max(1, len(pivots) // 64)).mapInArrow(partners, "cell int, i int, ca int, ia int, cb int, ib int, side int")
+    meets = written(meets, "near-meets")
+    count = F.create_map(*(F.lit(int(x)) for r in table for x in (r["cell"], r["blocks"])))
+    dealt = celled.select("vec_id", "e", "cell", F.pmod(F.xxhash64("vec_id"), count[F.col("cell")]).cast("int").alias("i"))
+    sent = dealt.join(F.broadcast(meets) if meets.count() <= BROADCAST_ROWS else meets, ["cell", "i"]).drop("cell", "i")
+
+    def judge(pair: pa.Table) -> pa.Table:
+        sides = [pair.filter(pa.compute.equal(pair.column("side"), s)) for s in (0, 1)]
+        a, b = (_matrix(x.column("e").to_pylist(), dims) for x in sides)
+        ids = [x.column("vec_id").to_numpy() for x in sides]
+        own = (pair.column("ca")[0], pair.column("ia")[0]) == (pair.column("cb")[0], pair.column("ib")[0])
+        hit_a, hit_b, _ = near_flags(a, a, threshold, same=True) if own else near_flags(a, b, threshold)
+        return pa.table({"vec_id": pa.array(ids[0][hit_a] if own else np.concatenate([ids[0][hit_a], ids[1][hit_b]]), type=pa.int64())})
+
+    return written(sent.groupBy("ca", "ia", "cb", "ib").applyInArrow(judge, "vec_id long").distinct(), "near-found")
+
+
+def near_duplicate_rate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row: the share of near duplicates; 0 for fewer than two vectors."""
+    return near_duplicates(vectors, threshold).agg(F.when(F.count("*") < 2, 0.0).otherwise(F.avg(F.col("near").cast("int"))).alias("near_duplicate_rate"))

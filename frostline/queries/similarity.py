@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frostline.catalog import _funnel
 from frostline.operators import similarity as S
+from frostline.operators.leakage import leakage_probe as probe
 from frostline.registry import query
 from frostline.sources.adapters import table
 
@@ -26,5 +27,5 @@ def near_duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def leakage_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fitted classifier has no SQL; the tests plant a leak."""
-    value = S.leakage_probe(_funnel(spark, sf_dir).where("outcome = 'kept'"))
+    value = probe(_funnel(spark, sf_dir).where("outcome = 'kept'"))
     return spark.createDataFrame([("leakage_probe_acc", float(value))], "metric string, value double")

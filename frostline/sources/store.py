@@ -26,6 +26,13 @@ def shared_root(spark: SparkSession) -> str:
     return f"{base}/store-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, label: str) -> DataFrame:
+    """The rows, written once to a new shared folder and read back: what several steps use is computed once and survives lost executors."""
+    path = f"{shared_root(rows.sparkSession)}/{label}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")

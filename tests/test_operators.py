@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from frostline.operators import extraction, judging, planning, similarity, synthesis
+from frostline.operators import extraction, judging, leakage, planning, similarity, synthesis
 from frostline.plans import gates
 from frostline.sources import packs, store
 from frostline.streaming import live
@@ -208,25 +208,70 @@ def test_synthesis(spark):
         df.select(synthesis.token_budget(F.lit("poem"), synthesis.RENDER_TOKENS)).collect()
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize(("block", "pivots"), [(2048, 4096), (7, 4096), (5, 3)])
+def test_near_duplicates(spark, block, pivots):
+    """One block, cells that meet by the triangle inequality, and cells of several blocks."""
     import numpy as np
 
     dice = np.random.default_rng(3)
-    base = dice.normal(size=(40, 16))
-    vectors = [*base, *(base[:10] + 0.05 * dice.normal(size=(10, 16))), base[0]]
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1, keepdims=True)
+    centres = dice.normal(size=(4, 16))
+    base = np.concatenate([dice.normal(size=(30, 16)), centres[dice.integers(0, 4, 30)] + 0.1 * dice.normal(size=(30, 16))])
+    vectors = [*base, *(base[:10] + 0.05 * dice.normal(size=(10, 16))), base[0], np.zeros(16), np.zeros(16)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(900, None), (901, [1.0, 2.0]), (902, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = np.array(vectors) / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-9)
     cosine = unit @ unit.T
     np.fill_diagonal(cosine, 0)
-    assert dict(rows_of(similarity.near_duplicates(df))) == {i: bool(x) for i, x in enumerate(cosine.max(axis=1) > 0.95)}
+    want = {i: bool(x) for i, x in enumerate(cosine.max(axis=1) > 0.95)} | {900: False, 901: False, 902: False}
+    assert dict(rows_of(similarity.near_duplicates(df, block=block, most_pivots=pivots))) == want
     assert similarity.near_duplicate_rate(df.limit(1)).first()[0] == 0.0
     assert similarity.near_duplicates(df.where("false")).count() == 0
 
 
+def test_few_pairs_are_multiplied():
+    """Scattered vectors: remaining lengths rule out nearly all pairs after some coordinates; copies all meet."""
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=(1500, 64))
+    x[700:710] = x[:10] + 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit, _, whole = similarity.near_flags(x, x, 0.95, same=True)
+    cosine = x @ x.T - 2 * np.eye(len(x))
+    assert (hit == (cosine.max(axis=1) > 0.95)).all() and hit.sum() == 20
+    assert whole < 0.01 * len(x) ** 2 / 2
+    left, right, _ = similarity.near_flags(x[:700], x[700:], 0.95)
+    assert left[:10].all() and left.sum() == 10 and right.sum() == 10
+    same = np.repeat(x[:2], 600, axis=0)
+    assert similarity.near_flags(same, same, 0.95, same=True)[0].all()
+
+
 def test_leakage_probe(spark):
+    schema = "rendered_text string, disposition string"
     leak = [(f"shipment {i} went {'well' if i % 2 else 'badly'} today", "accept" if i % 2 else "reject") for i in range(80)]
-    assert similarity.leakage_probe(spark.createDataFrame(leak, "rendered_text string, disposition string")) > 0.9
-    assert similarity.leakage_probe(spark.createDataFrame(leak[:40], "rendered_text string, disposition string")) == 0.0
+    assert leakage.leakage_probe(spark.createDataFrame(leak, schema)) > 0.9
+    assert leakage.leakage_probe(spark.createDataFrame(leak[:40], schema)) == 0.0
+    assert leakage.leakage_probe(spark.createDataFrame([(t, "accept") for t, _ in leak], schema)) == 0.0
+    plain = [(f"shipment {i * 7919 % 97} arrived at dock {i % 7}", ("accept", "reject")[i // 3 % 2]) for i in range(90)] + [(None, None)]
+    assert leakage.leakage_probe(spark.createDataFrame(plain, schema)) < 0.7
+
+
+def test_folds_are_stratified(spark):
+    rows = [("t", "abc"[min(i % 11, 2)]) for i in range(500)]
+    data = spark.createDataFrame(rows, "rendered_text string, disposition string").repartition(7)
+    features = store.written(data.mapInArrow(leakage._features(64), "label string, part int, place long, index array<int>, count array<int>"), "folds")
+    n = {tuple(r)[:2]: r["count"] for r in leakage.with_folds(features).groupBy("label", "fold").count().collect()}
+    for label in "abc":
+        of = [n[label, f] for f in range(4)]
+        assert max(of) - min(of) <= 1 and sum(of) == sum(x == label for _, x in rows)
+
+
+def test_minimize():
+    import numpy as np
+
+    scale = np.array([1.0, 10.0, 100.0])
+    calls = []
+    got = leakage.minimize(lambda x: calls.append(1) or (float((scale * (x - 3) ** 2).sum()), 2 * scale * (x - 3)), np.zeros(3), 60)
+    assert np.allclose(got, 3, atol=1e-4) and len(calls) <= 60
 
 
 def test_streams(spark, tmp_path):
