@@ -22,6 +22,20 @@ def violations(text: Column, artifact_type: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+# What the reports say of each rule that a text breaks.
+DETAILS = (
+    ("GCC-EDGE-018", "artifact contains raw pipeline metadata (product_code=/cell/rule_engine_sha/prompt_template_hash) -- a decision-input leak vector, not observational text"),
+    ("GCC-EDGE-015", "artifact proposes expedite_sale -- never an autonomous action under this pack"),
+    ("GCC-EDGE-002", "logger_csv artifact ends mid-timestamp; the final record is incomplete"),
+)
+
+
+def detailed(rules: Column) -> Column:
+    """Rule ids as structs (rule_id, detail), in the same order."""
+    told = F.create_map(*(F.lit(x) for pair in DETAILS for x in pair))
+    return F.transform(rules, lambda r: F.struct(r.alias("rule_id"), F.element_at(told, r).alias("detail")))
+
+
 def screener_verdict(reply: Column) -> Column:
     said = F.upper(F.trim(reply))
     return F.when(said.isin("CONSISTENT", "INCONSISTENT", "LEAKS_LABEL"), said).otherwise("UNPARSEABLE")

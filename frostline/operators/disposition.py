@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.functions.rules import INTERVAL_MIN, clean_readings, first_rule, is_out_of_band, is_sentinel, product_specs
+from frostline.functions.rules import INTERVAL_MIN, RULES, clean_readings, first_rule, is_out_of_band, is_sentinel, product_specs
 
+SPECS = ("min_c", "max_c", "refreeze_c", "hold_min", "reject_min", "shelf_days")
 
-def label_series(readings: DataFrame, *keys: str) -> DataFrame:
+
+def _with_specs(rows: DataFrame, specs: DataFrame | None, by: tuple[str, ...]) -> DataFrame:
+    """Rows with the bounds of their product. The four built-in specs are broadcast; loaded ones come as the caller marks them."""
+    specs = F.broadcast(product_specs(rows.sparkSession)) if specs is None else specs
+    return rows.join(specs.select(*by, *SPECS) if "clause" in specs.columns else specs, list(by), "left")
+
+
+def label_series(readings: DataFrame, *keys: str, specs: DataFrame | None = None, by: tuple[str, ...] = ("product",), rules: tuple = RULES) -> DataFrame:
     """One row for each series: aggregates of its readings and the rule that decides. ``days_since_production`` may be null.
 
     Rules that read no temperatures report none: no peak, no minutes and no shelf life for an unknown product or
     missing fields; where all readings are sentinels only their number.
 
-    One shuffle on the keys with partial sums; the four-row product table is broadcast.
+    specs: bounds from elsewhere, one row for each value of the columns ``by``, such as those of loaded packs.
+    One shuffle on the keys with partial sums.
     """
-    spark = readings.sparkSession
-    r = readings.join(F.broadcast(product_specs(spark)), "product", "left")
+    r = _with_specs(readings, specs, by)
     clean = ~is_sentinel(F.col("reading_c"))
     per = r.groupBy(*keys, "product", "min_c", "max_c", "refreeze_c", "hold_min", "reject_min", "shelf_days").agg(
         F.count("*").alias("n_readings"),
@@ -29,15 +37,15 @@ def label_series(readings: DataFrame, *keys: str) -> DataFrame:
         F.bool_or("peak_season").alias("peak_season"),
         F.max("days_since_production").alias("days_since_production"),
     )
-    return decided(per).select(*keys, *LABEL_COLUMNS)
+    return decided(per, rules).select(*keys, *LABEL_COLUMNS)
 
 
 LABEL_COLUMNS = ("product", "n_readings", "n_excluded", "peak_c", "excursion_min", "remaining_days", "disposition", "rule_id")
 
 
-def decided(per: DataFrame) -> DataFrame:
+def decided(per: DataFrame, rules: tuple = RULES) -> DataFrame:
     """Adds the deciding rule to aggregates of series and blanks what that rule does not report."""
-    per = per.withColumn("remaining_days", F.col("shelf_days") - F.col("days_since_production")).withColumn("label", first_rule())
+    per = per.withColumn("remaining_days", F.col("shelf_days") - F.col("days_since_production")).withColumn("label", first_rule(rules))
     rule = F.col("label.rule_id")
     unread = rule.isin("R000_unknown_product", "R001_missing_fields")
     blank = unread | (rule == "R002_all_readings_sentinel")
@@ -52,10 +60,10 @@ def decided(per: DataFrame) -> DataFrame:
     )
 
 
-def label_states(states: DataFrame) -> DataFrame:
+def label_states(states: DataFrame, specs: DataFrame | None = None, by: tuple[str, ...] = ("product",), rules: tuple = RULES) -> DataFrame:
     """The same for rows that hold whole series: product, readings_c, missing_fields (arrays, null: empty), interval_min,
     days_since_production, sensor_fault, peak_season. Adds the label's columns; no shuffle."""
-    s = states.join(F.broadcast(product_specs(states.sparkSession)), "product", "left")
+    s = _with_specs(states, specs, by)
     readings = F.coalesce("readings_c", F.array().cast("array<double>"))
     s = s.withColumn("clean", clean_readings(readings)).withColumn("n_readings", F.size(readings).cast("long"))
     s = s.withColumns(
@@ -66,4 +74,4 @@ def label_states(states: DataFrame) -> DataFrame:
             "missing": F.coalesce(F.size("missing_fields") > 0, F.lit(False)),
         }
     )
-    return decided(s).select(*states.columns, *(c for c in LABEL_COLUMNS if c not in states.columns))
+    return decided(s, rules).select(*states.columns, *(c for c in LABEL_COLUMNS if c not in states.columns))

@@ -31,15 +31,29 @@ GATE_B = (
 PASSING_F1 = 0.80
 
 
-def evaluate(spark: SparkSession, metrics: DataFrame, bounds=GATE_A) -> DataFrame:
-    """Every bound with its metric: (metric, value, passed, reason). A metric that is missing fails."""
+def bound_text(lo: float, hi: float | None) -> str:
+    return str(lo) if hi is None else f"({lo}, {hi})"
+
+
+def evaluate(spark: SparkSession, metrics: DataFrame, bounds=GATE_A, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every bound with its metric: (keys, metric, value, passed, reason). A metric that is missing fails.
+
+    A reason tells the value, the operator and the bound. keys: columns of metrics whose values are judged apart, such as waves.
+    """
     for _, op, lo, hi in bounds:
         check_bound(op, lo, lo, hi)
-    table = spark.createDataFrame(bounds, "metric string, op string, lo double, hi double")
-    joined = table.join(metrics, "metric", "left")
+    columns = "metric string, op string, lo double, hi double, bound string"
+    rows = [(*b, bound_text(*b[2:])) for b in bounds]
+    if keys:
+        told = F.array(*(F.struct(*(F.lit(x).cast(c.split()[1]).alias(c.split()[0]) for x, c in zip(r, columns.split(", "), strict=True))) for r in rows))
+        table = metrics.select(*keys).distinct().select(*keys, F.explode(told).alias("b")).select(*keys, "b.*")
+    else:
+        table = spark.createDataFrame(rows, columns)
+    joined = table.join(metrics, [*keys, "metric"], "left")
     holds = F.expr("CASE op WHEN '>=' THEN value >= lo WHEN '<=' THEN value <= lo ELSE value BETWEEN lo AND hi END")
-    reason = F.when(F.col("value").isNull(), "not measured").when(~holds, "out of bounds").otherwise("")
-    return joined.select("metric", "value", F.coalesce(holds, F.lit(False)).alias("passed"), reason.alias("reason"))
+    said = F.format_string("%.6f fails %s %s", F.round("value", 6), "op", "bound")
+    reason = F.when(F.col("value").isNull(), "not measured").when(~holds, said).otherwise("")
+    return joined.select(*keys, "metric", "value", F.coalesce(holds, F.lit(False)).alias("passed"), reason.alias("reason"))
 
 
 class GateFailure(RuntimeError):
@@ -57,10 +71,10 @@ def check_bound(op: str, value: float, lo: float, hi: float | None = None) -> bo
     raise ValueError(f"unknown bound: {op}")
 
 
-def verdict(evaluated: DataFrame) -> DataFrame:
-    """One row: whether all checks passed, and the failures as text in order of name."""
+def verdict(evaluated: DataFrame, *keys: str) -> DataFrame:
+    """One row (for each value of the keys): whether all checks passed, and the failures as text in order of name."""
     said = F.when(~F.col("passed"), F.concat_ws(": ", "metric", "reason"))
-    return evaluated.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"), F.array_sort(F.collect_list(said)).alias("failures"))
+    return evaluated.groupBy(*keys).agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"), F.array_sort(F.collect_list(said)).alias("failures"))
 
 
 def halt_unless_passed(evaluated: DataFrame) -> None:

@@ -16,11 +16,12 @@ from frostline.sources.adapters import table
 
 def _bounds(name: str, rows: tuple) -> str:
     number = lambda x: "NULL::DOUBLE" if x is None else f"{x}::DOUBLE"
-    return f"{name}(metric, op, lo, hi) AS (VALUES " + ", ".join(f"('{m}', '{op}', {number(lo)}, {number(hi)})" for m, op, lo, hi in rows) + ")"
+    return f"{name}(metric, op, lo, hi, bound) AS (VALUES " + ", ".join(f"('{m}', '{op}', {number(lo)}, {number(hi)}, '{gates.bound_text(lo, hi)}')" for m, op, lo, hi in rows) + ")"
 
 
-_EVALUATED = """SELECT metric, value, coalesce(ok, false) AS passed, CASE WHEN value IS NULL THEN 'not measured' WHEN NOT ok THEN 'out of bounds' ELSE '' END AS reason FROM
-  (SELECT b.metric, round(value, 6) AS value, CASE op WHEN '>=' THEN value >= lo WHEN '<=' THEN value <= lo ELSE value BETWEEN lo AND hi END AS ok FROM b LEFT JOIN m USING (metric))"""
+_EVALUATED = """SELECT metric, value, coalesce(ok, false) AS passed,
+  CASE WHEN value IS NULL THEN 'not measured' WHEN NOT ok THEN printf('%.6f', value) || ' fails ' || op || ' ' || bound ELSE '' END AS reason FROM
+  (SELECT b.metric, op, bound, round(value, 6) AS value, CASE op WHEN '>=' THEN value >= lo WHEN '<=' THEN value <= lo ELSE value BETWEEN lo AND hi END AS ok FROM b LEFT JOIN m USING (metric))"""
 _GENERATION = _LOG + """, sv AS (SELECT *, CASE WHEN outcome NOT IN ('dropped_screener', 'dropped_guardrail') THEN doc_id % 97 <> 0 END AS schema_valid FROM f),
 kept AS (SELECT * FROM sv WHERE outcome = 'kept'),
 tg AS (SELECT cell, 10 + count(*) // 10 AS n FROM f GROUP BY cell), kc AS (SELECT cell, count(*) AS kept FROM kept GROUP BY cell),
@@ -217,14 +218,6 @@ def disposition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("disposition", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
 
 
-@query("WITH " + _bounds("b", gates.GATE_B) + ", m AS (SELECT 'malformed_json_rate' AS metric, 0.001::DOUBLE AS value UNION ALL SELECT 'abstention_recall', 0.5::DOUBLE UNION ALL SELECT 'holdout_delta', 0.02::DOUBLE) " + _EVALUATED)
-def human_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gate B on metrics that reviewers handed in as JSON."""
-    text = '{"metrics": {"malformed_json_rate": 0.001, "abstention_recall": 0.5, "holdout_delta": 0.02}}'
-    given = spark.createDataFrame([(text,)], "j string").select(F.explode(F.from_json("j", "metrics map<string,double>")["metrics"]).alias("metric", "value"))
-    return gates.evaluate(spark, given, gates.GATE_B).withColumn("value", F.round("value", 6))
-
-
 @query(_ITEMS + f"SELECT round({_f1('true')}, 6) AS macro_f1, count(*) AS n FROM i")
 def overall_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro_f1(_items(spark, sf_dir).withColumn("predicted", F.coalesce("predicted", F.lit(""))))

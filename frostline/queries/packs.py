@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.catalog import _LOG, _funnel
-from frostline.functions.rules import BANDS, PRODUCT_BANDS, bands_from_json, specs_from_bands
 from frostline.operators.planning import JURISDICTIONS
 from frostline.registry import query
 from frostline.sources import packs as K
@@ -89,11 +88,3 @@ def cited_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = spark.createDataFrame([(j, j, f"Law of {j}", "unspecified", "") for j in JURISDICTIONS], "jurisdiction string, country string, instrument string, authority string, authority_abbreviation string")
     kept = _funnel(spark, sf_dir).where("outcome = 'kept'").withColumn("jurisdiction", K.known_jurisdiction(F.col("jurisdiction"), JURISDICTIONS))
     return K.enriched(kept, cited).select("doc_id", "jurisdiction", "legal_citation.instrument")
-
-
-@query("SELECT * FROM (VALUES ('finfish_seafood', 0.0::DOUBLE, 4.0::DOUBLE, NULL::DOUBLE, 60, 180, 5), ('table_eggs', 0.0, 5.0, NULL, 240, 720, 28), ('chilled_dairy', 0.0, 5.0, NULL, 90, 240, 10), ('frozen_goods', NULL, -18.0, -12.0, 30, 120, 180)) AS t(product, min_c, max_c, refreeze_c, hold_min, reject_min, shelf_days)")
-def product_specs_from_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bands as a pack writes them (the frozen one without its flag), joined to the products."""
-    told = [(name, f'{{"range_c": [{low}, {high}]}}' if low is not None else f'{{"max_c": {high}}}') for name, low, high, _ in BANDS] + [("note", '"text"')]
-    bands = bands_from_json(spark.createDataFrame(told, "name string, spec string"))
-    return specs_from_bands(bands, spark.createDataFrame(PRODUCT_BANDS, "product string, band string, hold_min int, reject_min int, shelf_days int"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.catalog import _LOG, _funnel
+from frostline.functions.guardrails import DETAILS, detailed
 from frostline.registry import query
 from frostline.sources import store as S
 from frostline.sources.adapters import table
@@ -62,7 +63,21 @@ def csv_of_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.option("header", True).schema("c_name string, k long, s_name string").csv(path)
 
 
-@query(_LOG + "SELECT doc_id, concat_ws(';', CASE WHEN h18 THEN 'GCC-EDGE-018' END, CASE WHEN h15 THEN 'GCC-EDGE-015' END, CASE WHEN h02 THEN 'GCC-EDGE-002' END) AS rule_ids, concat_ws(' | ', CASE WHEN h18 THEN 'GCC-EDGE-018 broken' END, CASE WHEN h15 THEN 'GCC-EDGE-015 broken' END, CASE WHEN h02 THEN 'GCC-EDGE-002 broken' END) AS details FROM f WHERE n_rules > 0")
+def _sql_details(text: str = "d.detail") -> str:
+    rows = ", ".join(f"('{rule}', '{hit}', '{detail}')" for (rule, detail), hit in zip(DETAILS, ("h18", "h15", "h02"), strict=True))
+    return _LOG + f""", d(rule_id, flag, detail) AS (VALUES {rows}),
+b AS (SELECT f.doc_id, d.rule_id, d.detail, CASE d.flag WHEN 'h18' THEN 1 WHEN 'h15' THEN 2 ELSE 3 END AS place FROM f JOIN d ON CASE d.flag WHEN 'h18' THEN h18 WHEN 'h15' THEN h15 ELSE h02 END)
+"""
+
+
+@query(_sql_details() + "SELECT doc_id, rule_id, detail, place AS rule_place FROM b")
+def violation_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every broken rule with its detail, a row each."""
+    order = F.array_position(F.array(*(F.lit(r) for r, _ in DETAILS)), F.col("v.rule_id")).cast("int")
+    return _funnel(spark, sf_dir).select("doc_id", F.explode(detailed(F.col("rules"))).alias("v")).select("doc_id", "v.*", order.alias("rule_place"))
+
+
+@query(_sql_details() + "SELECT doc_id, string_agg(rule_id, ';' ORDER BY place) AS rule_ids, string_agg(detail, ' | ' ORDER BY place) AS details FROM b GROUP BY doc_id")
 def violation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.violation_lines(_funnel(spark, sf_dir)).select("doc_id", "rule_ids", "details")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,33 @@ class PackError(ValueError):
     """A pack or profile is missing or malformed."""
 
 
+#: Small tables that were loaded once, by application and name.
+_LOADED: dict[tuple[str, str], DataFrame] = {}
+#: Rows up to which a loaded table counts as small.
+SMALL_ROWS = 100_000
+
+
+def dimension(spark: SparkSession, name: str, load: Callable[[], DataFrame]) -> DataFrame:
+    """A small table that is loaded when first asked for and then kept in memory; more than ``SMALL_ROWS`` rows are an error.
+
+    So its size is known, and joins may broadcast it. ``forget`` drops what was kept.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _LOADED:
+        rows = load().cache()
+        if rows.count() > SMALL_ROWS:
+            rows.unpersist()
+            raise PackError(f"{name} has more than {SMALL_ROWS} rows")
+        _LOADED[key] = rows
+    return _LOADED[key]
+
+
+def forget(spark: SparkSession) -> None:
+    """The next use of a dimension loads it again."""
+    for key in [k for k in _LOADED if k[0] == spark.sparkContext.applicationId]:
+        _LOADED.pop(key).unpersist()
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """(path, v): each file's document as a variant. No file, or one that isn't JSON, raises a PackError."""
     try:

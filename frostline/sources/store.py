@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from frostline.functions.guardrails import detailed
+
 #: Tables that a reset never touches.
 PROTECTED = ("access_audit",)
 
@@ -118,7 +120,7 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def violation_lines(hits: DataFrame, rules: str = "rules", detail: Column | None = None) -> DataFrame:
     """Rows with violations: the ids joined by ';' and the details by ' | '."""
-    told = F.transform(rules, lambda r: F.concat(r, F.lit(" broken"))) if detail is None else detail
+    told = F.transform(detailed(F.col(rules)), lambda r: r["detail"]) if detail is None else detail
     return hits.where(F.size(rules) > 0).withColumns({"rule_ids": F.array_join(rules, ";"), "details": F.array_join(told, " | ")})
 
 
