@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluation import macro_f1, vote_numeric
+from .leakage import leakage_probe
+from .similarity import near_duplicate_rate
 
 # Percent of records held out, least items of a group whose F1 counts.
 HOLDOUT_PERCENT, LEAST_SLICE = 5, 5
@@ -109,6 +111,23 @@ def generation_metrics(log: DataFrame, targets: DataFrame) -> DataFrame:
     return long(one).unionByName(long(of_class)).unionByName(long(of_cell))
 
 
+def text_metrics(kept: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(metric, value) of the kept records' texts (rendered_text, disposition) and of their vectors: the share of near
+    duplicates and the accuracy of the leakage probe. Without kept records both are at their worst, 1."""
+    spark = kept.sparkSession
+    if kept.isEmpty():
+        return spark.createDataFrame([("near_duplicate_rate", 1.0), ("leakage_probe_acc", 1.0)], "metric string, value double")
+    rate = near_duplicate_rate(vectors).select(F.lit("near_duplicate_rate").alias("metric"), F.col("near_duplicate_rate").alias("value"))
+    return rate.unionByName(spark.createDataFrame([("leakage_probe_acc", leakage_probe(kept))], "metric string, value double"))
+
+
+def gate_a_metrics(log: DataFrame, targets: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(metric, value): all eight computed metrics of a wave. vectors: (vec_id, embedding), vec_id being the record's key."""
+    kept = log.where("outcome = 'kept'")
+    own = vectors.join(kept.select(F.col(key).alias("vec_id")), "vec_id", "left_semi")
+    return generation_metrics(log, targets).unionByName(text_metrics(kept, own))
+
+
 def with_override(metrics: DataFrame, human: DataFrame, needed: tuple[str, ...] = ("language_authenticity", "annotator_kappa")) -> DataFrame:
     """Metrics with those of human reviewers in place of the judges', if the reviewers gave all of them."""
     whole = human.where(F.col("metric").isin(*needed)).agg((F.countDistinct("metric") == len(needed)).alias("whole"))

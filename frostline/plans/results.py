@@ -9,23 +9,25 @@ from . import gates
 
 #: How many confusions a result names.
 CONFUSIONS = 5
+#: Maps keep the documents' order, which a variant's keys would lose.
+_SCHEMA = "metrics map<string,double>, cell_f1 map<string,double>, confusions array<array<string>>"
 
 
 def metrics_of(results: DataFrame) -> DataFrame:
-    """(wave, metric, value) of documents (wave, v)."""
-    return results.select("wave", F.explode(F.try_variant_get("v", "$.metrics", "map<string,double>")).alias("metric", "value"))
+    """(wave, metric, value) of documents (wave, doc)."""
+    return results.select("wave", F.explode(F.from_json("doc", _SCHEMA)["metrics"]).alias("metric", "value"))
 
 
 def cells_of(results: DataFrame) -> DataFrame:
     """(wave, place, cell, f1), in the documents' order."""
-    return results.select("wave", F.posexplode(F.try_variant_get("v", "$.cell_f1", "map<string,double>")).alias("place", "cell", "f1"))
+    return results.select("wave", F.posexplode(F.from_json("doc", _SCHEMA)["cell_f1"]).alias("place", "cell", "f1"))
 
 
 def confusions_of(results: DataFrame) -> DataFrame:
     """(wave, place, truth, predicted, n) of lists [[truth, predicted], n]; documents may have none."""
-    each = results.select("wave", F.posexplode(F.try_variant_get("v", "$.confusions", "array<variant>")).alias("place", "c"))
-    got = lambda path, kind: F.try_variant_get("c", path, kind)
-    return each.select("wave", "place", got("$[0][0]", "string").alias("truth"), got("$[0][1]", "string").alias("predicted"), got("$[1]", "long").alias("n"))
+    each = results.select("wave", F.posexplode(F.from_json("doc", _SCHEMA)["confusions"]).alias("place", "c"))
+    pair = F.from_json(F.get("c", F.lit(0)), "array<string>")
+    return each.select("wave", "place", F.get(pair, F.lit(0)).alias("truth"), F.get(pair, F.lit(1)).alias("predicted"), F.get("c", F.lit(1)).cast("long").alias("n"))
 
 
 def slices(results: DataFrame, most: int = CONFUSIONS) -> DataFrame:
@@ -67,7 +69,7 @@ def ratcheted(rows: DataFrame) -> DataFrame:
 
 
 def gate_b(results: DataFrame) -> DataFrame:
-    """One row for each wave's document (wave, v): passed (Gate B and the ratchet), failures, slices and ratchet."""
+    """One row for each wave's document (wave, doc as JSON text): passed (Gate B and the ratchet), failures, slices and ratchet."""
     waves = results.select("wave", F.explode(F.array(*(F.lit(m) for m, *_ in gates.GATE_B))).alias("metric"))
     known = waves.join(metrics_of(results), ["wave", "metric"], "left")
     judged = gates.verdict(gates.evaluate(results.sparkSession, known, gates.GATE_B, ("wave",)), "wave")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from frostline.catalog import _LOG, _funnel
 from frostline.operators import planning as P
 from frostline.registry import query
+from frostline.sources.store import written
 
 WAVE, TARGET = 9, 12
 
@@ -49,12 +50,15 @@ def _scores(spark: SparkSession, sf_dir: str, wave: int = WAVE) -> DataFrame:
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.plan(P.require_rows(_scores(spark, sf_dir), "no eligible cells"), WAVE)
+    """The plan, written: requests read it several times and shouldn't scan the log for each."""
+    return written(P.plan(P.require_rows(_scores(spark, sf_dir), "no eligible cells"), WAVE), "plan")
 
 
-@query(f"WITH {_CELLS} SELECT cell, product, fault, place FROM cells")
+@query(_COVERAGE + "SELECT cell, product, fault, place, requested FROM cov")
 def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.all_cells(spark)
+    """Every cell with what the log has of it."""
+    seen = P.coverage_of_cells(_funnel(spark, sf_dir)).select("cell", "requested")
+    return P.all_cells(spark).join(seen, "cell").select("cell", "product", "fault", "place", "requested")
 
 
 @query(_COVERAGE + "SELECT cell, requested, kept, last_wave FROM cov")
@@ -137,13 +141,23 @@ def capped_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.requests(_plan(spark, sf_dir), WAVE).orderBy("place", "i").limit(50).select("cell", "i", "rng_seed")
 
 
-@query("SELECT * FROM (VALUES (1, 2, 0, 0.15::DOUBLE, 0.08::DOUBLE, false), (2, 3, 0, 0.15, 0.08, false), (3, 0, 2, 0.15, 0.08, false), (4, 0, 0, 0.15, 0.08, false), (5, 0, 0, 0.6, 0.08, false), (6, 0, 0, 0.15, 0.55, false), (7, 0, 0, 0.15, 0.08, false), (8, 0, 0, 0.15, 0.08, true), (9, 0, 0, 0.15, 0.08, false)) AS t(wave, n_faults, n_artifacts, adversarial_share, abstention_share, holdout)")
+_FOCUS = """w(wave, faults, artifacts, adversarial_share, abstention_share, holdout) AS (VALUES (1, ['in_spec', 'door_open'], NULL, 0.15::DOUBLE, 0.08::DOUBLE, false), (2, ['compressor_fail', 'setpoint_drift', 'sensor_artifact'], NULL, 0.15, 0.08, false),
+  (3, NULL, {artifacts}, 0.15, 0.08, false), (4, NULL, NULL, 0.15, 0.08, false), (5, NULL, NULL, 0.6, 0.08, false), (6, NULL, NULL, 0.15, 0.55, false), (7, NULL, NULL, 0.15, 0.08, false), (8, NULL, NULL, 0.15, 0.08, true), (9, NULL, NULL, 0.15, 0.08, false))"""
+_WAVE_3 = "[" + ", ".join(f"'{a}'" for a in next(x for x in P.WAVE_FOCUS if x[0] == 3)[2]) + "]"
+
+
+@query(_LOG + ", " + _FOCUS.format(artifacts=_WAVE_3) + """ SELECT w.wave, adversarial_share, abstention_share, holdout, count(f.doc_id) AS records,
+  count(f.doc_id) FILTER ((faults IS NULL OR list_contains(faults, split_part(cell, '|', 2))) AND (artifacts IS NULL OR list_contains(artifacts, artifact_type))) AS in_focus FROM w LEFT JOIN f ON f.wave = w.wave GROUP BY ALL""")
 def wave_focus_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.wave_focus(spark, 1)
+    """Each wave's focus, and how many of its records keep to it."""
+    focus = P.wave_focus(spark, 1)
     for wave in range(2, 10):
-        rows = rows.unionByName(P.wave_focus(spark, wave))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}")
-    return rows.select("wave", *(F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).alias(f"n_{c}") for c in ("faults", "artifacts")), "adversarial_share", "abstention_share", "holdout")
+        focus = focus.unionByName(P.wave_focus(spark, wave))
+    log = _funnel(spark, sf_dir).select("wave", "artifact_type", F.split("cell", r"\|")[1].alias("fault")).groupBy("wave", "artifact_type", "fault").agg(F.count("*").alias("n"))
+    of = lambda allowed, c: F.col(allowed).isNull() | F.array_contains(allowed, F.col(c))
+    n = F.coalesce("n", F.lit(0))
+    keeps = F.when(of("faults", "fault") & of("artifacts", "artifact_type"), n).otherwise(0)
+    return focus.join(log, "wave", "left").groupBy("wave", "adversarial_share", "abstention_share", "holdout").agg(F.sum(n).alias("records"), F.sum(F.coalesce(keeps, F.lit(0))).alias("in_focus"))
 
 
 @query(_LOG + ", r AS (SELECT cell, round(avg((outcome = 'kept')::INT), 3) AS rate FROM f WHERE wave = 8 GROUP BY cell) SELECT cell, rate, cell || ': survival ' || printf('%.2f', rate) || ', rendering suspected' AS message FROM r WHERE rate < 0.75")

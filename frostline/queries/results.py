@@ -177,6 +177,6 @@ def _handed_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RESULTS)
 def human_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all waves through Gate B, slices and the ratchet."""
-    out = H.gate_b(_handed_in(spark, sf_dir).select("wave", F.parse_json("doc").alias("v")))
+    out = H.gate_b(_handed_in(spark, sf_dir))
     pairs = F.array_join(F.transform("top_confusions", lambda p: F.array_join(p, ">")), ";")
     return out.select("wave", "worst_cell", "worst_f1", "cells_passing", F.round("mean_f1", 6).alias("mean_f1"), pairs.alias("top_confusions"), "metrics_passed", F.array_join("failures", "; ").alias("failures"), "ratchet_ok", "passed", "ratchet_note")

@@ -10,6 +10,7 @@ from frostline.functions.guardrails import DETAILS, detailed
 from frostline.registry import query
 from frostline.sources import store as S
 from frostline.sources.adapters import table
+from frostline.sources.packs import load_lines
 
 _ROWS = ("doc_id", "wave", "cell", "outcome")
 
@@ -82,6 +83,62 @@ def violation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.violation_lines(_funnel(spark, sf_dir)).select("doc_id", "rule_ids", "details")
 
 
+@query(_LOG + """SELECT doc_id, outcome, CASE outcome WHEN 'kept' THEN 'ok' WHEN 'dropped_guardrail' THEN 'rules ' || n_rules ELSE '' END AS note, CASE WHEN outcome = 'kept' THEN confidence END AS confidence,
+  CASE WHEN outcome = 'dropped_guardrail' THEN n_rules END AS n_rules, CASE WHEN outcome = 'dropped_screener' THEN verdict END AS verdict FROM f""")
+def merged_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each outcome with their own extra fields, appended one after the other under a growing schema."""
+    log, store = _funnel(spark, sf_dir), S.Store(spark, S.shared_root(spark))
+    extras = {
+        "kept": {"note": F.lit("ok"), "confidence": F.col("confidence")},
+        "dropped_guardrail": {"note": F.concat(F.lit("rules "), F.size("rules").cast("string")), "n_rules": F.size("rules")},
+        "dropped_screener": {"verdict": F.col("verdict")},
+    }
+    base = ["doc_id", "wave", "cell", "outcome", "note"]
+    rows = S.written(log.withColumn("note", F.lit("")), "log")
+    for outcome, own in extras.items():
+        store.append("generation_log", S.merge_extras(rows.where(F.col("outcome") == outcome), own).select(*base, *(c for c in own if c not in base)), by="wave")
+    store.append("generation_log", rows.where(~F.col("outcome").isin(*extras)).select(*base), by="wave")
+    return store.scan("generation_log", evolving=True).select("doc_id", "outcome", "note", "confidence", "n_rules", "verdict")
+
+
+#: Records as JSON lines, some of them malformed.
+_LINE = """CASE WHEN doc_id % 37 = 0 THEN concat('{"doc_id": ', doc_id) WHEN doc_id % 41 = 0 THEN '[1, 2]' WHEN doc_id % 43 = 0 THEN concat('{"doc_id": ', doc_id, '}') WHEN doc_id % 47 = 0 THEN ' '
+ ELSE concat('{"doc_id": ', doc_id, ', "lang": "', lang, '", "n_chars": ', n_chars, ', "more": null}') END"""
+_KIND = "CASE WHEN doc_id % 37 = 0 THEN 'not JSON' WHEN doc_id % 41 = 0 THEN 'not an object' WHEN doc_id % 43 = 0 THEN 'lacks lang' WHEN doc_id % 47 = 0 THEN 'blank' ELSE '' END"
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    root = S.shared_root(spark)
+    table(spark, sf_dir, "documents").select(F.expr(_LINE).alias("value")).write.text(f"{root}/lines")
+    return load_lines(spark, f"{root}/lines", "doc_id long, lang string, n_chars long", f"{root}/quarantine", ("doc_id", "lang"))
+
+
+@query(f"SELECT doc_id, lang, n_chars FROM documents WHERE {_KIND} = ''")
+def loaded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)[0]
+
+
+@query(f"SELECT {_KIND} AS reason, count(*) AS n FROM documents WHERE {_KIND} NOT IN ('', 'blank') GROUP BY ALL")
+def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _loaded(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(_LOG + """, n AS (SELECT count(*) AS a, count(*) FILTER (wave = 4) AS w FROM f) SELECT 'generation_log' AS name, a AS before, w AS of_wave, a - w AS reset, 0 AS after FROM n
+  UNION ALL SELECT 'access_audit', a, 0, 0, a FROM n UNION ALL SELECT 'ledger', 8, 0, 8, 0""")
+def store_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table before, deleted with one wave, deleted by the whole reset, and after. The audit trail stays."""
+    store = _stored(spark, sf_dir)
+    store.append("access_audit", store.scan("generation_log").select("doc_id"))
+    store.append("ledger", spark.range(1, 9).select(F.col("id").alias("closed")))
+    size = lambda: {name: store.scan(name).count() for name in store.tables()}
+    before, planned, of_wave = size(), store.reset(dry_run=True), store.reset(wave=4)
+    reset = store.reset()
+    after = size()
+    if planned != {k: v for k, v in before.items() if k != "access_audit"}:
+        raise AssertionError("a dry run counts what a reset deletes")
+    return spark.createDataFrame([(k, before[k], of_wave.get(k, 0), reset.get(k, 0), after[k]) for k in before], "name string, before long, of_wave long, reset long, after long")
+
+
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.latest(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], "ts", "event_id").drop("ts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from frostline.operators import synthesis as S
 from frostline.operators.disposition import label_states
+from frostline.queries.results import _specs as loaded_specs
 from frostline.registry import query
 from frostline.sources.adapters import table
 
@@ -73,7 +74,8 @@ def synthetic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_BASE + "SELECT DISTINCT product, lo AS floor_c FROM s")
 def operating_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.product_specs(spark).select("product", S.operating_floor(F.col("min_c"), F.col("max_c")).alias("floor_c"))
+    """The floors of the specs that the first region's pack gives."""
+    return loaded_specs(spark, sf_dir).where("pack = 0").select("product", S.operating_floor(F.col("min_c"), F.col("max_c")).alias("floor_c"))
 
 
 @query(_BASE + f""", a AS (SELECT rng_seed, CASE WHEN is_abstention THEN ['readings_c', 'days_since_production', 'interval_min'][floor({_draw("'hidden'", '1', '4')})::INT] END AS hidden FROM s)

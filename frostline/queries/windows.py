@@ -84,3 +84,11 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conditional_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.count_if(F.col("outcome") == "kept") / F.greatest(F.count("*"), F.lit(1))
     return _funnel(spark, sf_dir).groupBy("wave").agg(rate.alias("kept_rate"), F.coalesce(F.max("wave"), F.lit(0)).alias("last_wave"))
+
+
+@query(_LOG + "SELECT 'all' AS log, coalesce(max(wave), 0) AS last_wave FROM f UNION ALL SELECT 'none', coalesce(max(wave), 0) FROM f WHERE wave > 1000")
+def last_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last wave of the log, and of one without rows."""
+    log = _funnel(spark, sf_dir).select("wave")
+    last = lambda rows, name: rows.agg(F.coalesce(F.max("wave"), F.lit(0)).alias("last_wave")).select(F.lit(name).alias("log"), "last_wave")
+    return last(log, "all").unionByName(last(log.where("wave > 1000"), "none"))

@@ -59,6 +59,26 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     return raw
 
 
+def load_lines(spark: SparkSession, path: str, schema: str, quarantine: str, required: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """JSON lines as typed rows, and what was malformed: (path, line, reason), written to a quarantine folder.
+
+    A line is malformed if it is no JSON, no object, or lacks a required key (one with a null counts as there). Blank lines
+    are no lines. So one bad line costs itself, not the load; a path that can't be read is an error.
+    """
+    try:
+        raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).where("trim(line) <> ''")
+        raw = raw.withColumn("v", F.try_parse_json("line"))
+        keys = F.map_keys(F.try_variant_get("v", "$", "map<string,variant>"))
+        lacking = F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), F.coalesce(keys, F.array().cast("array<string>")))
+        reason = F.when(F.col("v").isNull(), "not JSON").when(~F.schema_of_variant("v").startswith("OBJECT"), "not an object").when(F.size(lacking) > 0, F.concat(F.lit("lacks "), F.array_join(lacking, ", ")))
+        told = raw.withColumn("reason", reason)
+        told.where("reason IS NOT NULL").select("path", "line", "reason").write.mode("append").parquet(quarantine)
+    except Exception as e:
+        raise PackError(f"can't read {path}: {e}") from e
+    good = told.where("reason IS NULL").select(F.from_json("line", schema).alias("r")).select("r.*")
+    return good, spark.read.schema("path string, line string, reason string").parquet(quarantine)
+
+
 def rules_of(packs: DataFrame) -> DataFrame:
     """The rules of loaded packs (v with meta.iso_3166_1_alpha_2, absent: the base, and rules), one a row."""
     each = packs.select(F.coalesce(F.try_variant_get("v", "$.meta.iso_3166_1_alpha_2", "string"), F.lit(BASE)).alias("iso"), F.explode(F.try_variant_get("v", "$.rules", "array<variant>")).alias("r"))

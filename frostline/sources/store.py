@@ -50,9 +50,10 @@ class Store:
         """Overwrites just the partitions that the rows are of: an upsert by wave."""
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self.path(name))
 
-    def scan(self, name: str, wave: int | None = None) -> DataFrame:
-        """A whole table, or one wave of it, read from that partition alone."""
-        rows = self.spark.read.parquet(self.path(name))
+    def scan(self, name: str, wave: int | None = None, evolving: bool = False) -> DataFrame:
+        """A whole table, or one wave of it, read from that partition alone. evolving: appended rows may have had other columns;
+        all of them are there, null where a row has none."""
+        rows = self.spark.read.option("mergeSchema", evolving).parquet(self.path(name))
         return rows if wave is None else rows.where(F.col("wave") == wave)
 
     def point(self, name: str, **key) -> DataFrame:
@@ -72,6 +73,24 @@ class Store:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         return n
 
+    def reset(self, names: tuple[str, ...] | None = None, wave: int | None = None, dry_run: bool = False) -> dict[str, int]:
+        """Rows of each table (or of a wave of it), which are then deleted unless it is a dry run; protected tables are left out.
+
+        A whole reset empties tables but keeps their folders; tables without waves have none of a wave.
+        """
+        counts = {}
+        for name in names or self.tables():
+            if name in PROTECTED or name not in self.tables():
+                continue
+            rows = self.scan(name)
+            if wave is not None:
+                counts[name] = self.delete_wave(name, wave, dry_run) if "wave" in rows.columns else 0
+                continue
+            counts[name] = rows.count()
+            if not dry_run:
+                self.spark.createDataFrame([], rows.schema).write.mode("overwrite").parquet(self.path(name))
+        return counts
+
     def tables(self) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return sorted(x.getPath().getName() for x in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path))
@@ -83,6 +102,11 @@ class Store:
         return self.tables()
 
 
+def merge_extras(rows: DataFrame, extras: dict[str, Column]) -> DataFrame:
+    """Rows with an outcome's own fields: new ones are added, those of a known name take its place, null or not."""
+    return rows.withColumns(extras)
+
+
 def use_database(spark: SparkSession, wanted: str | None = None, hidden: tuple[str, ...] = ("admin", "config", "local")) -> str:
     """Makes a database current: the wanted one, or the default, or else the first in order of name that isn't hidden."""
     names = sorted(d.name for d in spark.catalog.listDatabases())
@@ -142,6 +166,18 @@ def markdown(title: str, rows: DataFrame, most: int = 200) -> str:
     return "\n".join([f"# {title}", "", line(rows.columns), line("-" * len(rows.columns)), *map(line, found), ""])
 
 
+def report(title: str, facts: dict[str, object], sections: dict[str, DataFrame], most: int = 200) -> str:
+    """A report as Markdown: a title, facts as lines, and a heading with a table for each section; an empty one says None.
+
+    Sections are small frames in the order that they should show; more rows than ``most`` are an error.
+    """
+    lines = [f"# {title}", "", *(f"{k}: **{v}**" for k, v in facts.items()), ""]
+    for heading, rows in sections.items():
+        body = markdown(heading, rows, most).split("\n")[2:]
+        lines += [f"## {heading}", "", *(body if len(body) > 3 else ["None.", ""])]
+    return "\n".join(lines)
+
+
 def joined_text(rows: DataFrame, *keys: str, text: str = "content", ts: str = "ts") -> DataFrame:
     """Texts of each key joined by newlines in order of time. A key's texts come together: for short logs."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(ts, text))), lambda x: x[text])

@@ -1,14 +1,14 @@
 """Planning, funnel, judging, packs, store, synthesis, similarity and streams on hand cases."""
 
-import math
+import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from frostline.operators import extraction, judging, leakage, planning, similarity, synthesis
-from frostline.plans import gates
+from frostline.operators import extraction, judging, leakage, planning, similarity, synthesis, voting
+from frostline.plans import gates, results
 from frostline.sources import packs, store
-from frostline.streaming import live
+from frostline.streaming import arrival, live
 
 
 def rows_of(df):
@@ -283,7 +283,144 @@ def test_streams(spark, tmp_path):
     assert live.run_to_end(live.flagged(stream()), str(tmp_path / "b")).count() == 6
     query = live.log_sink(stream(), str(tmp_path / "c"))
     query.processAllAvailable()
-    said = live.status(query)
     query.stop()
-    assert said["rows"] == 30 and math.isfinite(said["mean_ms"])
-    assert spark.read.parquet(str(tmp_path / "c" / "rows")).where("date = '2026-01-01'").count() == 30
+    logged = spark.read.parquet(str(tmp_path / "c" / "rows"))
+    assert logged.where("date = '2026-01-01'").count() == 30 and logged.select("batch").distinct().count() == 3
+    assert live.drop_expired(spark, str(tmp_path / "c"), datetime.date(2026, 1, 31)) == []
+    assert live.drop_expired(spark, str(tmp_path / "c"), datetime.date(2026, 2, 1)) == ["date=2026-01-01"]
+
+
+def test_replayed_batches_add_nothing(spark, tmp_path):
+    """The sink dies after it has written a batch and before that is noted; the next start writes it again."""
+    spark.range(30).selectExpr("id", "timestamp'2026-01-01 00:00:00' + make_dt_interval(id % 3) AS ts").repartition(5).write.parquet(str(tmp_path / "in"))
+    stream, out = live.arriving(spark, str(tmp_path / "in"), "id long, ts timestamp", files_per_batch=1), str(tmp_path / "out")
+    write = live.batch_writer(out)
+
+    def dying(batch, batch_id):
+        write(batch, batch_id)
+        if batch_id == 2:
+            raise RuntimeError("killed")
+
+    with pytest.raises(Exception, match="killed"):
+        stream.writeStream.foreachBatch(dying).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(f"{out}/rows").select("batch").distinct().count() == 3
+    live.log_sink(stream, out, delay=0).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(f"{out}/rows").collect()) == list(range(30))
+
+
+def test_progress_of_many_batches(spark, tmp_path):
+    """The listener's sums are whole over 150 batches, of which a query itself remembers 100."""
+    rows = spark.range(450).selectExpr("id AS event_id", "CASE WHEN id % 9 = 0 THEN 'product_code=1' ELSE 'fine' END AS rendered_text", "'chat_message' AS artifact_type", "CASE WHEN id % 3 = 0 THEN 'accept' WHEN id % 3 = 1 THEN 'reject' ELSE 'hold_for_qa' END AS disposition")
+    rows.repartition(150).write.parquet(str(tmp_path / "in"))
+    schema = "event_id long, rendered_text string, artifact_type string, disposition string"
+    seen = live.Progress()
+    spark.streams.addListener(seen)
+    try:
+        stream = live.observed(live.arriving(spark, str(tmp_path / "in"), schema, files_per_batch=1))
+        query = stream.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        said = live.settled(seen, query)
+    finally:
+        spark.streams.removeListener(seen)
+    assert said["batches"] == 150 and len(query.recentProgress) <= 100
+    assert said["rows"] == 450 and said["violations"] == 50 and said["top"] == [("accept", 150), ("hold_for_qa", 150), ("reject", 150)]
+    assert seen.line(query).startswith("450 records") and "50 violations (11.1 %)" in seen.line(query)
+
+
+def test_arrival_order(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
+    order = lambda df: [r["id"] for r in df.orderBy("place").collect()]
+    one, two, other = (order(arrival.in_order(df, "id", seed)) for df, seed in ((rows, 1), (rows.repartition(3), 1), (rows, 2)))
+    assert one == two != other and sorted(one) == list(range(1000)) and one != sorted(one)
+    assert order(arrival.in_order(rows, "id", 1, limit=37)) == one[:37]
+    # equal keys, and all rows in one bucket
+    tied = arrival.in_order(rows.withColumn("k", F.lit(1)), "k", 1, limit=10, buckets=3).collect()
+    assert sorted(r["place"] for r in tied) == list(range(1, 11)) and sorted(r["id"] for r in tied) == list(range(10))
+    assert arrival.in_order(rows.where("false"), "id", 1).count() == 0
+    rows.sortWithinPartitions("id").write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    assert sorted(r["place"] for r in arrival.in_order(stored, "id", limit=400).collect()) == list(range(1, 401))
+    assert order(arrival.in_order(stored, "id")) == [r["id"] for r in stored.collect()]
+
+
+def test_staged_files_arrive_in_order(spark, tmp_path):
+    folder = str(tmp_path / "staged")
+    assert arrival.stage(arrival.in_order(spark.range(50), "id", 3), folder, 8) == 7
+    stream = arrival.arriving_files(spark, folder, "id long, place long").withColumn("ts", F.lit("2026-01-01").cast("timestamp"))
+    query = live.log_sink(stream, str(tmp_path / "out"), delay=0.2)
+    query.processAllAvailable()
+    query.stop()
+    found = spark.read.parquet(str(tmp_path / "out" / "rows")).collect()
+    assert len(found) == 50 and all(r["batch"] == (r["place"] - 1) // 8 == r["file"] for r in found)
+
+
+def test_quantile_sketch(spark):
+    """Quantiles within the stated error of nearest rank; sketches of parts add up to that of the whole."""
+    values = [(k, float(x * 37 % 1009) ** 2 / 10) for k, n in (("a", 100), ("b", 1), ("c", 3000)) for x in range(n)]
+    rows = spark.createDataFrame(values, "k string, v double")
+    exact = {r["k"]: r for r in planning.nearest_rank(rows, "k", "v").collect()}
+    for error in (0.01, 0.1):
+        for r in live.summary_of(live.sketched(rows, "k", "v", error), "k", error=error).collect():
+            assert r["mean"] == pytest.approx(exact[r["k"]]["mean"], rel=1e-9, abs=1e-6)
+            assert abs(r["quantile"] - exact[r["k"]]["p99"]) <= error * exact[r["k"]]["p99"] * (1 + 1e-9)
+    parts = live.sketched(rows.where("v < 500"), "k", "v").unionByName(live.sketched(rows.where("v >= 500"), "k", "v"))
+    merged = parts.groupBy("k", "bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    assert [tuple(r)[:2] + (r["quantile"],) for r in live.summary_of(merged, "k").orderBy("k").collect()] == [tuple(r)[:2] + (r["quantile"],) for r in live.summary_of(live.sketched(rows, "k", "v"), "k").orderBy("k").collect()]
+
+
+def test_votes_of_mixed_types(spark):
+    say = lambda v, why="": '{"verdict": %s, "rationale": "%s"}' % (v, why)
+    replies = [("n", i, say(v, f"r{i}")) for i, v in enumerate([1, 3, 3])] + [("m", i, say(v)) for i, v in enumerate(['"x"', "3", '"3"'])] + [("t", i, say(v)) for i, v in enumerate(['"b"', '"a"', '"a"', '"b"'])]
+    replies += [("u", 0, "nothing"), ("u", 1, "{broken}"), ("u", 2, say("null")), ("b", 0, say("true")), ("b", 1, say("false")), ("l", 0, say('"z"', "y" * 1500)), ("l", 1, say('"z"', "w" * 1500)), ("o", 0, None)]
+    replies += [("h", i, say(2)) for i in range(2000)]
+    df = spark.createDataFrame(replies, "item string, position int, reply string")
+    got = {r["item"]: r for r in voting.consensus(df).collect()}
+    brief = {k: (r["n_votes"], r["number"], r["said"], round(r["agreement"], 6), r["escalated"]) for k, r in got.items()}
+    assert brief == {"n": (3, 3.0, None, 0.666667, False), "m": (3, None, "3", 0.666667, False), "t": (4, None, "b", 0.5, True), "u": (0, None, None, 0.0, True), "b": (2, 0.5, None, 0.0, True), "l": (2, None, "z", 1.0, False), "o": (0, None, None, 0.0, True), "h": (2000, 2.0, None, 1.0, False)}
+    assert got["n"]["rationale"] == "r0; r1; r2" and got["u"]["rationale"] == "all judge votes unparseable"
+    assert got["l"]["rationale"] == "y" * 1500 + "; " + "w" * 498 and got["h"]["rationale"] == "; " * 1000
+    strict = spark.createDataFrame([("t", say('"c"', "why")), ("u", say("1")), ("n", say("9")), ("b", say("null"))], "item string, reply string")
+    after = {r["item"]: tuple(r)[2:] for r in voting.with_strict(voting.consensus(df), strict).collect()}
+    assert after["t"] == (None, "c", 1.0, True, "why") and after["u"][:4] == (None, None, 0.0, True) and after["n"][0] == 3.0 and after["b"][0] == 0.5
+
+
+def test_results_and_ratchet(spark):
+    docs = [(1, '{"metrics": {"holdout_delta": 0.01}, "cell_f1": {"b": 0.5, "a": 0.5, "c": 0.9}, "confusions": [[["x", "y"], 3], [["y", "x"], 3], [["x", "z"], 9]]}'), (2, '{"metrics": {}, "cell_f1": {"a": 0.6, "b": 0.7, "c": 0.7}}'), (3, '{"metrics": {}, "cell_f1": {}}'), (4, '{"metrics": {}, "cell_f1": {"a": 0.4}}'), (5, '{"metrics": {}, "cell_f1": {"a": 0.45}}')]
+    df = spark.createDataFrame(docs, "wave int, doc string")
+    got = {r["wave"]: r for r in results.gate_b(df).collect()}
+    assert got[1]["worst_cell"] == "b" and got[1]["top_confusions"] == [["x", "z"], ["x", "y"], ["y", "x"]] and got[1]["ratchet_note"] == "first measured wave"
+    assert "malformed_json_rate: not measured" in got[1]["failures"] and not got[1]["passed"]
+    assert got[2]["ratchet_note"] == "cells dropped below 0.80: c" and not got[2]["ratchet_ok"]
+    assert (got[3]["worst_cell"], got[3]["worst_f1"], got[3]["mean_f1"]) == ("", 0.0, 0.0)
+    assert got[4]["ratchet_note"] == "worst_cell_f1 fell 0.600 -> 0.400" and got[5]["ratchet_note"] == "worst_cell_f1 0.400 -> 0.450" and got[5]["ratchet_ok"]
+
+
+def test_gate_reasons_and_empty_kept(spark):
+    metrics = spark.createDataFrame([("a", 0.5), ("b", 0.9)], "metric string, value double")
+    told = gates.verdict(gates.evaluate(spark, metrics, (("a", ">=", 0.995, None), ("b", "between", 0.02, 0.08), ("c", "<=", 1.0, None)))).first()
+    assert told["failures"] == ["a: 0.500000 fails >= 0.995", "b: 0.900000 fails between (0.02, 0.08)", "c: not measured"]
+    log = spark.createDataFrame([(1, "dropped_screener", "x", "accept", "MAYBE", [], False, False, "t")], "doc_id long, outcome string, cell string, disposition string, verdict string, rules array<string>, schema_valid boolean, round_trip_ok boolean, rendered_text string")
+    vectors = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<double>")
+    got = dict(rows_of(judging.gate_a_metrics(log, log.groupBy("cell").agg(F.count("*").alias("n")), vectors)))
+    assert len(got) == 8 and got["near_duplicate_rate"] == got["leakage_probe_acc"] == 1.0
+
+
+def test_loading_and_dimensions(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "x": null}\n\n{oops\n[1]\n{"id": 2}\n{"id": "no", "x": 3}\n')
+    good, bad = packs.load_lines(spark, str(tmp_path / "a.jsonl"), "id int, x int", str(tmp_path / "bad"), ("id", "x"))
+    assert sorted((r["id"] or 0, r["x"]) for r in good.collect()) == [(0, 3), (1, None)]
+    assert sorted((r["line"], r["reason"]) for r in bad.collect()) == [("[1]", "not an object"), ('{"id": 2}', "lacks x"), ("{oops", "not JSON")]
+    with pytest.raises(packs.PackError):
+        packs.load_lines(spark, str(tmp_path / "none"), "id int", str(tmp_path / "bad"))
+    calls = []
+    load = lambda: calls.append(1) or spark.range(3)
+    assert packs.dimension(spark, "three", load).count() == 3 == packs.dimension(spark, "three", load).count() and len(calls) == 1
+    packs.forget(spark)
+    assert packs.dimension(spark, "three", load).count() == 3 and len(calls) == 2
+    with pytest.raises(packs.PackError):
+        packs.dimension(spark, "large", lambda: spark.range(packs.SMALL_ROWS + 1))
+
+
+def test_reports(spark):
+    told = store.report("Audit", {"records": 3}, {"By cell": spark.createDataFrame([("a", 2)], "cell string, n int"), "Flagged": spark.createDataFrame([], "id int")})
+    assert told == "# Audit\n\nrecords: **3**\n\n## By cell\n\n| cell | n |\n| - | - |\n| a | 2 |\n\n## Flagged\n\nNone.\n"

@@ -117,3 +117,26 @@ def test_stream_equals_batch(spark, tmp_path):
     run.option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination(60)
     key = lambda frame: sorted(tuple(r) for r in frame.collect())
     assert key(spark.table("hits")) == key(windowed_hits(screen(df)))
+
+
+def test_fingerprint():
+    """Changes with any rule, their order and any bound; equal tables have equal ones."""
+    from frostline.functions import rules as R
+
+    base = R.fingerprint()
+    assert len(base) == 12 and base == R.fingerprint(tuple(R.RULES), tuple(R.PRODUCTS))
+    others = {R.fingerprint(R.RULES[:i] + R.RULES[i + 1 :]) for i in range(len(R.RULES))}
+    others |= {R.fingerprint((R.RULES[1], R.RULES[0], *R.RULES[2:])), R.fingerprint(products=(*R.PRODUCTS[:3], (*R.PRODUCTS[3][:-1], 181)))}
+    assert len(others) == len(R.RULES) + 2 and base not in others
+
+
+def test_pack_without_a_band(spark):
+    from pyspark.sql import functions as F
+
+    from frostline.functions import rules as R
+
+    packs = spark.createDataFrame([(1, '{"temperature_bands": {"frozen": {"max_c": -18}, "note": "x"}}'), (2, "{}")], "pack int, j string").select("pack", F.parse_json("j").alias("v"))
+    bands = R.bands_of_packs(packs, "pack")
+    assert [tuple(r) for r in bands.collect()] == [(1, "frozen", None, -18.0, None, "")]
+    with pytest.raises(Exception, match="no temperature band chilled"):
+        R.specs_of_packs(bands, "pack").collect()
