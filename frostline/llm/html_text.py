@@ -1,20 +1,25 @@
 """HTML main text with removal of site templates.
 
-1. A page is split into blocks of text; each block knows the element subtrees around it. The subtrees of all
-   block-level elements but html, body, article and main, and every block by itself, are hashed by tags and words.
+1. A page is split into blocks of text in one forward pass; block-level elements but html, body, article and main span
+   ranges of blocks. Each such subtree is hashed twice: by its tag and words (the words of its blocks, in order), and as a
+   skeleton by its tag, its class and id words and the skeletons of its children, runs of equal children counting as one.
+   Every block by itself is a subtree, too. Skeletons count only outside an article or main element, and, on pages
+   without one, only where half of the characters are links: so a menu whose links rotate recurs, and main text doesn't.
 2. Spark counts for each host on how many pages a subtree occurs, over whole pages: nothing is left out before.
    Copies of a page count once, and near copies about once: pages are told apart by minimal hashes of three-word
    shingles of their bodies (the article; without one, the blocks that are not on half of the host's pages),
-   and the mean number of distinct minima under ``MINIMA`` hash functions is counted. Subtrees on ``least_pages`` pages and on ``least_share`` of the host's
-   pages (``inside_share`` for those inside an article or main element) are the host's template, and blocks inside them go.
-3. Of what is left, if a page has an article or a main element, only blocks inside it stay, and menus, headers,
-   footers, asides, forms and the like go by their element. Class, id and role words (adverts, sidebars,
-   notices, reader comments) are a fallback: they count only on hosts of under ``FEW_PAGES`` pages, and not for
-   sections and headings inside an article.
-
-Scripts and styles are never text. Null or empty html gives an empty text. A page without a host counts to
-the host ''. n_blocks counts the blocks of the whole page, n_template_blocks those found by recurrence.
-Other columns are dropped.
+   and the mean number of distinct minima under ``MINIMA`` hash functions is counted. Subtrees on ``least_pages`` pages and on
+   ``least_share`` of the host's pages (``inside_share`` for those inside an article or main element) are the host's template,
+   and blocks inside them go.
+3. Of what is left, if a page has an article or a main element, only blocks inside it stay. Menus, headers, footers, asides,
+   forms and the like go by their element, and adverts, sidebars, notices and reader comments by words of class, id and role, on
+   hosts of any size. Inside an article only words that name no part of a text count, and not for sections and headings.
+
+Scripts and styles are never text. Null or empty html gives an empty text. A page without a host counts to the host ''.
+Long and deep pages are read in time that grows with their length: a tag ends at the first > outside quotes; after a quote that
+never ends, at the first >; and where no > follows, < is text. Rows of equal ids are pages of their own. n_blocks
+counts the blocks of the whole page, n_template_blocks those found by recurrence. Other columns are dropped. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import html as html_entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +42,9 @@ LEAST_SHARE = 0.1
 #: Share for subtrees inside an article or main element, where short paragraphs recur by chance.
 INSIDE_SHARE = 0.5
 MINIMA = 4
-#: Hosts of fewer distinct pages can't show by recurrence what their template is.
-FEW_PAGES = 10
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _HINT = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SKIPPED = frozenset("script style noscript template iframe svg object select textarea title".split())
 _CHROME = frozenset("nav header footer aside form button head dialog menu".split())
@@ -49,168 +54,341 @@ _CONTAINER = frozenset("div section ul ol dl table figure details fieldset cente
 _SECTIONS = frozenset("section h1 h2 h3 h4 h5 h6 hgroup header".split())
 _ROOT = frozenset("html body article main".split())
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|header|footer|masthead|cookies?|consent|notice|gdpr|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|comments?|replies|disqus|toolbar|pagination|pager|contentinfo|complementary|search)(?:$|[\s_-])",
-    re.I,
-)
+#: Words that name boilerplate anywhere, and those that may name a part of an article.
+_ANYWHERE = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|cookies?|consent|gdpr|newsletter|subscribe|signup|popup|modal|overlay|share|sharing|social|related|recommend\w*|widget|comments?|replies|disqus|toolbar|pagination|pager"
+_OUTSIDE = r"side|header|footer|masthead|notice|contentinfo|complementary|search"
+_WORDS = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE}|{_OUTSIDE})(?:$|[\s_-])", re.I)
+_WORDS_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{_ANYWHERE})(?:$|[\s_-])", re.I)
 _BLANKS = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
+_MASK = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+#: Share of link characters from which a subtree outside any article counts as links.
+_LINKS = 0.5
+
+
+class Block(NamedTuple):
+    text: str
+    named: bool
+    inside: bool
+
+
+class Subtree(NamedTuple):
+    """Blocks start to end (exclusive); the lowest bit of the hash tells whether it lies inside an article."""
+
+    hash: int
+    start: int
+    end: int
 
 
-def _chrome(tag: str, inside: bool) -> bool:
-    return tag in _CHROME and not (tag == "header" and inside)
+class _Open(NamedTuple):
+    tag: str
+    named: bool
+    inside: bool  # its blocks are
+    links: bool
+    counted: bool
+    outer: bool  # it lies inside an article itself
+    start: int
+    block: int  # place in the stack of the innermost block-level element, itself or around it; -1: none
+    words: str
+    children: list  # [skeleton hash of the children so far, that of the last one]
 
 
-def _hinted(tag: str, attributes: str, inside: bool) -> bool:
+def _hash(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)))
+
+
+def _named(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is boilerplate by its name or by words of class, id or role."""
+    if tag in _CHROME and not (tag == "header" and inside):
+        return True
     if tag in _ROOT or (inside and tag in _SECTIONS) or "=" not in attributes:
         return False
-    return any(_WORDS.search(a or b or c) for a, b, c in _HINT.findall(attributes))
-
-
-def _minima(text: str) -> list[int]:
-    """The least hash of the three-word shingles of a block under each of MINIMA hash functions."""
-    words = text.split()
-    h = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))], dtype=np.uint64)
-    return [int(mix64(h ^ np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & (1 << 64) - 1)).min() >> np.uint64(1)) for k in range(MINIMA)]
-
-
-def blocks_of(html: str) -> list[tuple[str, bool, bool, bool, list[int], list[int]]]:
-    """Blocks in page order: text, whether boilerplate by an element, by a class, id or role, whether inside an article, minimal shingle hashes, hashes of the subtrees around."""
-    found: list[list] = []  # [text, chrome, hinted, inside, open subtrees]
-    stack: list[list] = []  # [tag, chrome, hinted, article, subtree or None]
-    text: list[str] = []
-    at = 0
-
-    def close_block() -> None:
-        joined = _BLANKS.sub(" ", html_entities.unescape("".join(text))).strip()
-        text.clear()
-        if joined:
-            around = [s[4] for s in stack if s[4] is not None]
-            for c in around:
-                c.append(joined)
-            # the block by itself: text between blocks is a subtree too
-            alone = [any(s[3] for s in stack), next((s[0] for s in reversed(stack) if s[0] not in _INLINE), ""), joined]
-            found.append([joined, *(any(s[k] for s in stack) for k in (1, 2, 3)), [*around, alone]])
-
-    def pop(to: int) -> None:
-        while len(stack) > to:
-            tag = stack[-1][0]
-            if tag not in _INLINE:
-                close_block()
-            stack.pop()
-
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        text.append(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-            continue
-        if tag in _SKIPPED:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
-            text.append(" ")
-            continue
-        if tag in _VOID:
-            text.append(" ")
-            continue
+    words = _WORDS_INSIDE if inside else _WORDS
+    return any(words.search(a or b or c) for a, b, c in _HINT.findall(attributes))
+
+
+def _class_words(attributes: str) -> str:
+    if "=" not in attributes:
+        return ""
+    return " ".join(sorted({_DIGITS.sub("#", w) for found in _HINT.findall(attributes) for x in found for w in x.lower().split()}))
+
+
+class _Tags:
+    """Tags of a page in order; every character is looked at a bounded number of times."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.quoted, self.last = html, True, html.rfind(">")
+
+    def end(self, at: int) -> int:
+        """Where a tag that begins before ``at`` ends (its >); there is one."""
+        html, i = self.html, at
+        while self.quoted:
+            m = _STOP.search(html, i)
+            if m is None:
+                self.quoted = False
+            elif m[0] == ">":
+                return m.start()
+            elif (i := html.find(m[0], m.end()) + 1) == 0:
+                # from here on quotes mean nothing
+                self.quoted = False
+        return html.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, slash, tag in lower case, attributes); comments and declarations have no tag."""
+        html, at = self.html, 0
+        while (i := html.find("<", at)) >= 0:
+            at = i + 1
+            if html.startswith("<!--", i):
+                close = html.find("-->", i + 4)
+                at = len(html) if close < 0 else close + 3
+                yield i, at, "", "", ""
+            elif i > self.last:
+                return
+            elif html.startswith(("<!", "<?"), i):
+                at = html.find(">", i) + 1
+                yield i, at, "", "", ""
+            elif m := _NAME.match(html, i + 1):
+                end = self.end(m.end())
+                at = end + 1
+                went = yield i, at, m[1], m[2].lower(), html[m.end() : end]
+                at = max(at, went or 0)
+
+
+class _Page:
+    """Blocks and subtrees of a page."""
+
+    def __init__(self, html: str) -> None:
+        self.blocks: list[Block] = []
+        self.subtrees: list[Subtree] = []
+        self.skeletons: list[tuple[int, int, int, bool]] = []
+        self._stack: list[_Open] = []
+        self._open_names: dict[str, int] = {}
+        self._text: list[str] = []
+        self._linked = 0
+        #: sums over blocks: hashes, characters, characters in links
+        self._prefix, self._power, self._size, self._links = [0], [1], [0], [0]
+        self._read(html)
+        article = any(b.inside for b in self.blocks)
+        self.subtrees += [Subtree(h, a, b) for h, a, b, links in self.skeletons if article or links]
+
+    def _say(self, text: str) -> None:
+        if text:
+            self._text.append(text)
+            if self._stack and self._stack[-1].links:
+                self._linked += len(text.strip())
+
+    def _close_block(self) -> None:
+        if not self._text:
+            return
+        joined = _BLANKS.sub(" ", html_entities.unescape("".join(self._text))).strip()
+        self._text.clear()
+        linked, self._linked = self._linked, 0
+        if not joined:
+            return
+        top = self._stack[-1] if self._stack else None
+        n = len(self.blocks)
+        self.blocks.append(Block(joined, bool(top and top.named), bool(top and top.inside)))
+        own = _hash(joined)
+        self._prefix.append((self._prefix[-1] * _BASE + own) & _MASK)
+        self._power.append(self._power[-1] * _BASE & _MASK)
+        self._size.append(self._size[-1] + len(joined))
+        self._links.append(self._links[-1] + min(linked, len(joined)))
+        # the block by itself: text between blocks is a subtree too
+        tag = self._stack[top.block].tag if top and top.block >= 0 else ""
+        self.subtrees.append(self._subtree(_hash("alone", tag, joined), n, n + 1, bool(top and top.inside)))
+
+    @staticmethod
+    def _subtree(h: int, start: int, end: int, inside: bool) -> Subtree:
+        return Subtree((h & ~1 | inside) - (1 << 63), start, end)
+
+    def _pop(self, to: int) -> None:
+        while len(self._stack) > to:
+            s = self._stack[-1]
+            if s.tag not in _INLINE:
+                self._close_block()
+            self._stack.pop()
+            self._open_names[s.tag] -= 1
+            if s.tag in _INLINE:
+                continue
+            skeleton = _hash("skeleton", s.tag, s.words, s.children[0])
+            above = self._stack[self._stack[-1].block] if self._stack and self._stack[-1].block >= 0 else None
+            if above and above.children[1] != skeleton:
+                above.children[:] = _hash(above.children[0], skeleton), skeleton
+            end = len(self.blocks)
+            if s.counted and end > s.start:
+                words = (self._prefix[end] - self._prefix[s.start] * self._power[end - s.start]) & _MASK
+                self.subtrees.append(self._subtree(_hash(s.tag, words), s.start, end, s.outer))
+                if not s.inside:
+                    links = self._links[end] - self._links[s.start] >= _LINKS * (self._size[end] - self._size[s.start])
+                    self.skeletons.append((*self._subtree(skeleton, s.start, end, False), links))
+
+    def _pop_named(self, tag: str, bounds: frozenset[str] = frozenset()) -> None:
+        """Closes the innermost open element of a name, if one is open and none of the bounds lies between."""
+        if not self._open_names.get(tag):
+            return
+        for i in range(len(self._stack) - 1, -1, -1):
+            if self._stack[i].tag == tag:
+                self._pop(i)
+                return
+            if self._stack[i].tag in bounds:
+                return
+
+    def _read(self, html: str) -> None:
+        at, tags = 0, iter(_Tags(html))
+        found = next(tags, None)
+        while found:
+            start, end, slash, tag, attributes = found
+            self._say(html[at:start])
+            at = end
+            if not tag:
+                pass
+            elif slash:
+                self._pop_named(tag)
+            elif tag in _SKIPPED:
+                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+                at = close.end() if close else len(html)
+                self._say(" ")
+            elif tag in _VOID:
+                self._say(" ")
+            else:
+                self._element(tag, attributes)
+            try:
+                found = tags.send(at)
+            except StopIteration:
+                break
+        self._say(html[at:])
+        self._pop(0)
+        self._close_block()
+
+    def _element(self, tag: str, attributes: str) -> None:
         if tag not in _INLINE:
-            close_block()
+            self._close_block()
             if tag in _CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in _CONTAINER or stack[i][0] in ("article", "main", "body"):
-                        break
-        if m[3].rstrip().endswith("/"):
-            continue
-        inside = any(s[3] for s in stack)
-        subtree = None if tag in _INLINE or tag in _ROOT else [inside, tag]
-        stack.append([tag, _chrome(tag, inside), _hinted(tag, m[3], inside), tag in ("article", "main"), subtree])
-    text.append(html[at:])
-    pop(0)
-    close_block()
-    hashes: dict[int, int] = {}
-    for *_, around in found:
-        for c in around:
-            if id(c) not in hashes:
-                # the lowest bit tells whether the subtree lies inside an article
-                hashes[id(c)] = (xxhash.xxh64_intdigest("\x00".join(c[1:])) & ~1 | c[0]) - (1 << 63)
-    return [(t, chrome, hinted, inside, _minima(t), list(dict.fromkeys(hashes[id(c)] for c in around))) for t, chrome, hinted, inside, around in found]
-
-
-_BLOCK = pa.struct([("text", pa.string()), ("chrome", pa.bool_()), ("hinted", pa.bool_()), ("inside", pa.bool_()), ("minima", pa.list_(pa.int64())), ("around", pa.list_(pa.int64()))])
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(_BLOCK))])
-_PARSED_DDL = "page_id long, url string, host string, page long, blocks array<struct<text:string,chrome:boolean,hinted:boolean,inside:boolean,minima:array<long>,around:array<long>>>"
-_NAMES = [f.name for f in _BLOCK]
+                self._pop_named("p", _CONTAINER | {"article", "main", "body"})
+        if attributes.rstrip().endswith("/"):
+            return
+        top = self._stack[-1] if self._stack else None
+        outer, named, links = (top.inside, top.named, top.links) if top else (False, False, False)
+        named, inside, links, inline = named or _named(tag, attributes, outer), outer or tag in ("article", "main"), links or tag == "a", tag in _INLINE
+        block = (top.block if top else -1) if inline else len(self._stack)
+        self._stack.append(_Open(tag, named, inside, links, not inline and tag not in _ROOT, outer, len(self.blocks), block, "" if inline else _class_words(attributes), [0, 0]))
+        self._open_names[tag] = self._open_names.get(tag, 0) + 1
+
+
+def parsed_page(html: str) -> tuple[list[Block], list[Subtree]]:
+    """Blocks in page order, and subtrees that count."""
+    page = _Page(html)
+    return page.blocks, page.subtrees
+
+
+def covered(n: int, subtrees: list[tuple[int, int, int]], hashes: set[int]) -> np.ndarray:
+    """Which of n blocks lie in a subtree of such a hash."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    for h, start, end in subtrees:
+        if h in hashes:
+            edge[start] += 1
+            edge[end] -= 1
+    return np.cumsum(edge)[:n] > 0
+
+
+_BLOCK = pa.struct([("text", pa.string()), ("named", pa.bool_()), ("inside", pa.bool_())])
+_SUBTREE = pa.struct([("hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(_BLOCK)), ("subtrees", pa.list_(_SUBTREE))])
+_PARSED_DDL = "page_id long, url string, host string, page long, blocks array<struct<text:string,named:boolean,inside:boolean>>, subtrees array<struct<hash:long,start:int,end:int>>"
+_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_blocks", pa.int64()), ("n_template_blocks", pa.int64())])
+_OUT_DDL = "page_id long, url string, text string, n_blocks long, n_template_blocks long"
+_BODY = pa.schema([("host", pa.string()), ("around", pa.list_(pa.int64())), ("minima", pa.list_(pa.struct([("k", pa.int32()), ("m", pa.int64())])))])
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
+#: Pages that a task holds as Python objects at a time.
+_PAGES = 64
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, urls = batch.column("page_id"), batch.column("url")
-        for first in range(0, batch.num_rows, 256):
-            rows, hosts, whole = [], [], []
-            part = batch.slice(first, 256)
+        for first in range(0, batch.num_rows, _PAGES):
+            part = batch.slice(first, _PAGES)
+            blocks, subtrees, hosts, whole = [], [], [], []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                blocks = blocks_of(page or "")
-                rows.append([dict(zip(_NAMES, b, strict=True)) for b in blocks])
+                found, around = parsed_page(page or "")
+                blocks.append([b._asdict() for b in found])
+                subtrees.append([s._asdict() for s in around])
                 hosts.append(m[1].lower() if (m := _HOST.match(url or "")) else "")
-                whole.append(xxhash.xxh64_intdigest("\n".join(b[0] for b in blocks)) - (1 << 63))
-            yield arrow_batch(_PARSED, [ids.slice(first, 256), urls.slice(first, 256), hosts, whole, pa.array(rows, type=_PARSED.field("blocks").type)])
+                whole.append(xxhash.xxh64_intdigest("\n".join(b.text for b in found)) - (1 << 63))
+            yield arrow_batch(_PARSED, [part.column("page_id"), part.column("url"), hosts, whole, blocks, subtrees])
+
+
+def _minima(texts: list[str]) -> list[dict]:
+    """The least hash of the three-word shingles of some blocks under each of MINIMA hash functions."""
+    grams = []
+    for text in texts:
+        words = text.split()
+        grams += [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    h = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
+    return [{"k": k, "m": int(mix64(h ^ np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & _MASK)).min() >> np.uint64(1))} for k in range(MINIMA)]
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's subtrees, and the minimal hashes of its body: the article, else what isn't on most pages of the host, else all."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, _PAGES):
+            rows = batch.slice(first, _PAGES).to_pylist()
+            minima = []
+            for r in rows:
+                blocks = r["blocks"]
+                body = [b["text"] for b in blocks if b["inside"]]
+                if not body:
+                    most = covered(len(blocks), [(s["hash"], s["start"], s["end"]) for s in r["subtrees"]], set(r["most"] or ()))
+                    body = [b["text"] for b, often in zip(blocks, most, strict=True) if not often] or [b["text"] for b in blocks]
+                minima.append(_minima(body))
+            yield arrow_batch(_BODY, [[r["host"] for r in rows], [list({s["hash"] for s in r["subtrees"]}) for r in rows], minima])
 
 
 def _hosts(parsed: DataFrame, least_pages: int, least_share: float, inside_share: float) -> DataFrame:
-    """(host, pages, template) of every host of FEW_PAGES pages or with a template. Each template subtree is on a share of the pages, which bounds their number."""
-    around = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["around"])))
+    """(host, template) of every host with a template. Each template subtree is on a share of the pages, which bounds their number."""
     # copies of a page count once
-    bodies = F.transform("blocks", lambda b: b.dropFields("text", "chrome", "hinted"))
-    once = materialize(parsed.where("size(blocks) > 0").select("host", "page", around.alias("around"), bodies.alias("bodies")).dropDuplicates(["host", "page"]), "html-pages")
+    once = materialize(parsed.where("size(blocks) > 0").select("host", "page", "blocks", "subtrees").dropDuplicates(["host", "page"]), "html-pages")
     raw = once.groupBy("host").agg(F.count("*").alias("pages"))
-    often = once.select("host", F.explode("around").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    around = F.array_distinct(F.transform("subtrees", lambda s: s["hash"]))
+    often = once.select("host", F.explode(around).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     often = materialize(often, "html-often")
     most = often.join(raw, "host").where("n >= 0.5 * pages").groupBy("host").agg(F.collect_list("subtree").alias("most"))
     # near copies have mostly the same minima of their bodies
-    out = once.join(small(materialize(most, "html-most")), "host", "left")
-    article = F.filter("bodies", lambda b: b["inside"])
-    rare = F.filter("bodies", lambda b: ~F.arrays_overlap(b["around"], F.coalesce("most", F.array().cast("array<bigint>"))))
-    body = F.when(F.size(article) > 0, article).when(F.size(rare) > 0, rare).otherwise(F.col("bodies"))
-    out = out.withColumn("body", body)
-    nth = lambda k: lambda b: b["minima"][k]
-    minima = F.array(*(F.struct(F.lit(k).alias("k"), F.array_min(F.transform("body", nth(k))).alias("m")) for k in range(MINIMA)))
-    out = materialize(out.select("host", "around", minima.alias("minima")), "html-bodies")
+    out = once.join(_arrays_broadcast(materialize(most, "html-most"), "most"), "host", "left")
+    out = materialize(out.mapInArrow(_bodies, "host string, around array<long>, minima array<struct<k:int,m:long>>"), "html-bodies")
     pages = out.select("host", F.explode("minima").alias("m")).distinct().groupBy("host").agg((F.count("*") / MINIMA).alias("pages"))
     seen = out.select("host", "minima", F.explode("around").alias("subtree")).join(small(often), ["host", "subtree"])
     often = seen.select("host", "subtree", F.explode("minima").alias("m")).distinct().groupBy("host", "subtree").agg((F.count("*") / MINIMA).alias("n")).where(F.col("n") >= least_pages)
     share = F.when(F.col("subtree").bitwiseAND(1) == 1, inside_share).otherwise(least_share)
     found = often.join(pages, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
-    both = pages.join(found, "host", "left").where((F.col("pages") >= FEW_PAGES) | F.col("template").isNotNull())
-    return materialize(both.select("host", "pages", F.coalesce("template", F.array().cast("array<bigint>")).alias("template")), "html-hosts")
+    return materialize(found, "html-hosts")
+
+
+def _arrays_broadcast(rows: DataFrame, column: str) -> DataFrame:
+    """Marks a written table of arrays of longs for a broadcast if they are few in all."""
+    return F.broadcast(rows) if (rows.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= BROADCAST_ROWS else rows
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, _PAGES):
+            rows, out = batch.slice(first, _PAGES).to_pylist(), []
+            for r in rows:
+                blocks = r["blocks"]
+                template = covered(len(blocks), [(s["hash"], s["start"], s["end"]) for s in r["subtrees"]], set(r["template"] or ()))
+                kept = [b for b, t in zip(blocks, template, strict=True) if not t and not b["named"]]
+                if any(b["inside"] for b in kept):
+                    kept = [b for b in kept if b["inside"]]
+                out.append((r["page_id"], r["url"], " ".join(b["text"] for b in kept), len(blocks), int(template.sum())))
+            yield arrow_batch(_OUT, zip(*out, strict=True))
 
 
 def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
     """(page_id, url, text, n_blocks, n_template_blocks) of every page."""
     parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, _PARSED_DDL)
     parsed = materialize(parsed, "html-parsed")
-    hosts = _hosts(parsed, least_pages, least_share, inside_share)
-    if (hosts.agg(F.sum(F.size("template") + 1)).first()[0] or 0) <= BROADCAST_ROWS:
-        hosts = F.broadcast(hosts)
-    both = parsed.join(hosts, "host", "left")
-    template = F.coalesce("template", F.array().cast("array<bigint>"))
-    both = both.withColumn("left", F.filter("blocks", lambda b: ~F.arrays_overlap(b["around"], template)))
-    few = F.coalesce("pages", F.lit(0)) < FEW_PAGES
-    named = F.filter("left", lambda b: ~(b["chrome"] | (b["hinted"] & few)))
-    both = both.withColumn("kept", named)
-    kept = F.when(F.exists("kept", lambda b: b["inside"]), F.filter("kept", lambda b: b["inside"])).otherwise(F.col("kept"))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), " ")
-    return both.select("page_id", "url", text.alias("text"), F.size("blocks").cast("long").alias("n_blocks"), (F.size("blocks") - F.size("left")).cast("long").alias("n_template_blocks"))
+    hosts = _arrays_broadcast(_hosts(parsed, least_pages, least_share, inside_share), "template")
+    return parsed.join(hosts, "host", "left").mapInArrow(_texts, _OUT_DDL)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,9 +170,9 @@ def main_texts(spark, pages):
 
 
 def test_html_text_recurrence(spark):
-    """Recurring p, li, aside and bare text goes without any telling name; a name alone decides nothing on a host of many pages."""
+    """Recurring p, li, aside and bare text goes without any telling name."""
     own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(12)]
-    bare = [(i, f"https://b/{i}", f"<body>call us today<p>we value you</p><ul><li>home<li>own {i}</ul><p class='side'>{own[i]}</p></body>") for i in range(12)]
+    bare = [(i, f"https://b/{i}", f"<body>call us today<p>we value you</p><ul><li>home<li>own {i}</ul><p class='lead'>{own[i]}</p></body>") for i in range(12)]
     article = [(100 + i, f"https://a/{i}", f"<article><p>{own[i]}</p><p>read our letter</p></article>") for i in range(12)]
     assert main_texts(spark, bare + article) == {i: f"own {i} {own[i]}" for i in range(12)} | {100 + i: own[i] for i in range(12)}
 
@@ -189,6 +189,58 @@ def test_html_text_keeps_articles(spark):
     assert main_texts(spark, near + many + named) == expected
 
 
+@pytest.mark.parametrize("n", [1, 9, 12, 40])
+def test_html_text_comments_on_hosts_of_any_size(spark, n):
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(n)]
+    said = [" ".join(f"c{i}y{j}" for j in range(9)) for i in range(n)]
+    pages = [(i, f"https://c/{i}", f"<div class='site-menu'>m{i}</div><article><p>{own[i]}</p><div class='reader comments'><p>{said[i]}</p></div><section class='notice'><p>part {i}</p></section></article>") for i in range(n)]
+    assert main_texts(spark, pages) == {i: f"{own[i]} part {i}" for i in range(n)}
+
+
+def test_html_text_rotating_menus(spark):
+    """Menus of links that rotate recur as skeletons, with and without an article; paragraphs of the same build don't go."""
+    own = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(30)]
+    links = lambda i: "".join(f"<li><a href='/{i}/{j}'>{own[(i * 7 + j) % 30][:9]}{i}{j}</a></li>" for j in range(2 + i % 4))
+    bare = [(i, f"https://b/{i}", f"<div class='top'><ul>{links(i)}</ul></div><div class='text'><p>{own[i]}</p></div>") for i in range(30)]
+    framed = [(100 + i, f"https://f/{i}", f"<div class='top'><ul>{links(i)}</ul></div><article><div class='text'><p>{own[i]}</p></div></article><div class='end'>{own[29 - i]} end</div>") for i in range(30)]
+    df = spark.createDataFrame(bare + framed, "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_text.extract_main_text(df).collect()}
+    assert {k: r.text for k, r in got.items()} == {i: own[i] for i in range(30)} | {100 + i: own[i] for i in range(30)}
+    assert all(r.n_template_blocks == r.n_blocks - 1 for r in got.values())
+
+
+def test_html_template_counts(spark):
+    """Templates against a count of every subtree on every page of real hosts; pages there are no near copies."""
+    real = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    parsed = spark.createDataFrame(real, "page_id long, url string, html string").mapInArrow(html_text._parse, html_text._PARSED_DDL)
+    got = {r.host: set(r.template) for r in html_text._hosts(parsed, 3, 0.1, 0.5).collect()}
+    seen, pages = collections.defaultdict(collections.Counter), collections.Counter()
+    for host, _ in {(html_text._HOST.match(u)[1].lower(), h): 0 for _, u, h in real}:
+        pages[host] += 1
+    for host, h in {(html_text._HOST.match(u)[1].lower(), h) for _, u, h in real}:
+        seen[host].update({s.hash for s in html_text.parsed_page(h)[1]})
+    want = {host: {h for h, n in c.items() if n >= 3 and n >= (0.5 if h & 1 else 0.1) * pages[host]} for host, c in seen.items()}
+    sure = [host for host in want if want[host]]
+    assert len(sure) > 20
+    same = sum(got.get(host, set()) == want[host] for host in want)
+    assert same >= 0.9 * len(want)  # near copies among the pages count once there
+
+
+def test_html_parser_is_linear():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        html_text.parsed_page(page)
+        return time.process_time() - began
+
+    for page in ("<a " * 100_000, "<a '\"" * 60_000 + ">", "<a href=\"x>" * 60_000, "<div>" * 20_000 + "deep", "<div>x" * 20_000, "<p>x" * 50_000, "</p>" * 100_000, "<!--" * 100_000, "<b>" * 20_000 + "<p>x" * 20_000, "<script" * 50_000, "<" * 200_000):
+        assert took(page) < 2.5, page[:12]
+    assert html_text.parsed_page("a < b <c d")[0][0].text == "a < b <c d"
+    assert [b.text for b in html_text.parsed_page("<p title='a > b'>x<p title=\"c>y")[0]] == ["x", "y"]
+    assert html_text.parsed_page("<!-- open <p>x")[0] == []
+
+
 def test_quality(spark, docs, empty):
     all_docs, labels = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet")
     joined = quality.score_quality(all_docs, labels).join(labels, "doc_id").where(quality.held_out(F.col("doc_id")))

@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     odd = [(None, base, "en"), (None, None, None), (900, None, "en"), (901, "", None), (902, base, "fr"), (902, base, "fr"), (902, "other text of a repeated id", "fr"), (903, LONG, "en"), (904, SECRET, None), (905, "one", "de"), (906, "１２３ 　1", "de")]
     columns = "doc_id long, text string, lang string, source string, n_chars long, n long, token long, h long"
     spark.createDataFrame([(i, t, lang, None, None, 1, 2, 3) for i, t, lang in [*real, *odd]], columns).repartition(3).write.parquet(str(out / "documents.parquet"))
-    for name in ("labels", "benchmark", "pages"):
+    for name in ("labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{REAL}/{name}.parquet").limit(60).write.parquet(str(out / f"{name}.parquet"))
     nowhere = [(None, None, None), (7001, None, "<p>no host</p>"), (7002, "https://x/1", None), (7003, "https://x/2", "<div>" * 400 + "deep" + "</div>" * 400), (7003, "https://x/2", "<p>&lt;b&gt;  two\n words &eacute;")]
     spark.createDataFrame(nowhere, "page_id long, url string, html string").write.mode("append").parquet(str(out / "pages.parquet"))
@@ -41,7 +41,7 @@ def rows(spark, folder):
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     out = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "benchmark", "pages"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(str(out / f"{name}.parquet"))
     return str(out)
 
