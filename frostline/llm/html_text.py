@@ -3,7 +3,7 @@
 1. A page is split into blocks of text in one forward pass; block-level elements but html, body, article and main span
    ranges of blocks. Each such subtree is hashed twice: by its tag and words (the words of its blocks, in order), and as a
    skeleton by its tag, its class and id words and the skeletons of its children, runs of equal children counting as one.
-   Every block by itself is a subtree, too. Skeletons count only outside an article or main element, and, on pages
+   Text between blocks is a subtree by itself. Skeletons count only outside an article or main element, and, on pages
    without one, only where half of the characters are links: so a menu whose links rotate recurs, and main text doesn't.
 2. Spark counts for each host on how many pages a subtree occurs, over whole pages: nothing is left out before.
    Copies of a page count once, and near copies about once: pages are told apart by minimal hashes of three-word
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_batch, materialize, mix64, read, small
+from .common import BROADCAST_ROWS, Words, arrow_batch, gram_hashes, materialize, mix64, read, small
 
 LEAST_PAGES = 3
 LEAST_SHARE = 0.1
@@ -92,10 +92,10 @@ class _Open(NamedTuple):
     block: int  # place in the stack of the innermost block-level element, itself or around it; -1: none
     words: str
     children: list  # [skeleton hash of the children so far, that of the last one]
+    own: list  # blocks right in it
 
 
-def _hash(*parts: object) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)))
+_hash = xxhash.xxh64_intdigest
 
 
 def _named(tag: str, attributes: str, inside: bool) -> bool:
@@ -166,6 +166,7 @@ class _Page:
         self._open_names: dict[str, int] = {}
         self._text: list[str] = []
         self._linked = 0
+        self._hashes: list[int] = []
         #: sums over blocks: hashes, characters, characters in links
         self._prefix, self._power, self._size, self._links = [0], [1], [0], [0]
         self._read(html)
@@ -190,13 +191,19 @@ class _Page:
         n = len(self.blocks)
         self.blocks.append(Block(joined, bool(top and top.named), bool(top and top.inside)))
         own = _hash(joined)
+        self._hashes.append(own)
         self._prefix.append((self._prefix[-1] * _BASE + own) & _MASK)
         self._power.append(self._power[-1] * _BASE & _MASK)
         self._size.append(self._size[-1] + len(joined))
         self._links.append(self._links[-1] + min(linked, len(joined)))
-        # the block by itself: text between blocks is a subtree too
-        tag = self._stack[top.block].tag if top and top.block >= 0 else ""
-        self.subtrees.append(self._subtree(_hash("alone", tag, joined), n, n + 1, bool(top and top.inside)))
+        if top and top.block >= 0:
+            self._stack[top.block].own.append(n)
+        else:
+            self._alone("", [n], False)
+
+    def _alone(self, tag: str, blocks: list[int], inside: bool) -> None:
+        for n in blocks:
+            self.subtrees.append(self._subtree(_hash(f"alone {tag} {self._hashes[n]}"), n, n + 1, inside))
 
     @staticmethod
     def _subtree(h: int, start: int, end: int, inside: bool) -> Subtree:
@@ -211,15 +218,18 @@ class _Page:
             self._open_names[s.tag] -= 1
             if s.tag in _INLINE:
                 continue
-            skeleton = _hash("skeleton", s.tag, s.words, s.children[0])
+            skeleton = _hash(f"skeleton {s.tag} {s.children[0]} {s.words}")
             above = self._stack[self._stack[-1].block] if self._stack and self._stack[-1].block >= 0 else None
             if above and above.children[1] != skeleton:
-                above.children[:] = _hash(above.children[0], skeleton), skeleton
+                above.children[:] = _hash(f"{above.children[0]} {skeleton}"), skeleton
             end = len(self.blocks)
+            if not s.counted or end - s.start > 1:
+                self._alone(s.tag, s.own, s.inside)
             if s.counted and end > s.start:
                 words = (self._prefix[end] - self._prefix[s.start] * self._power[end - s.start]) & _MASK
-                self.subtrees.append(self._subtree(_hash(s.tag, words), s.start, end, s.outer))
-                if not s.inside:
+                self.subtrees.append(self._subtree(_hash(f"{s.tag} {words}"), s.start, end, s.outer))
+                # a bare leaf says nothing that its parent doesn't
+                if not s.inside and (s.words or s.children[1] or above is None or not above.counted):
                     links = self._links[end] - self._links[s.start] >= _LINKS * (self._size[end] - self._size[s.start])
                     self.skeletons.append((*self._subtree(skeleton, s.start, end, False), links))
 
@@ -272,7 +282,7 @@ class _Page:
         outer, named, links = (top.inside, top.named, top.links) if top else (False, False, False)
         named, inside, links, inline = named or _named(tag, attributes, outer), outer or tag in ("article", "main"), links or tag == "a", tag in _INLINE
         block = (top.block if top else -1) if inline else len(self._stack)
-        self._stack.append(_Open(tag, named, inside, links, not inline and tag not in _ROOT, outer, len(self.blocks), block, "" if inline else _class_words(attributes), [0, 0]))
+        self._stack.append(_Open(tag, named, inside, links, not inline and tag not in _ROOT, outer, len(self.blocks), block, "" if inline else _class_words(attributes), [0, 0], []))
         self._open_names[tag] = self._open_names.get(tag, 0) + 1
 
 
@@ -282,80 +292,103 @@ def parsed_page(html: str) -> tuple[list[Block], list[Subtree]]:
     return page.blocks, page.subtrees
 
 
-def covered(n: int, subtrees: list[tuple[int, int, int]], hashes: set[int]) -> np.ndarray:
-    """Which of n blocks lie in a subtree of such a hash."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for h, start, end in subtrees:
-        if h in hashes:
-            edge[start] += 1
-            edge[end] -= 1
-    return np.cumsum(edge)[:n] > 0
-
-
-_BLOCK = pa.struct([("text", pa.string()), ("named", pa.bool_()), ("inside", pa.bool_())])
-_SUBTREE = pa.struct([("hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("blocks", pa.list_(_BLOCK)), ("subtrees", pa.list_(_SUBTREE))])
-_PARSED_DDL = "page_id long, url string, host string, page long, blocks array<struct<text:string,named:boolean,inside:boolean>>, subtrees array<struct<hash:long,start:int,end:int>>"
+def covered(n: int, hashes: list[int], starts: list[int], ends: list[int], hits: list[int] | None) -> list[bool]:
+    """Which of n blocks lie in a subtree whose hash is one of the hits."""
+    out = [False] * n
+    if hits:
+        hits = set(hits)
+        upto = 0
+        for start, end in sorted((a, b) for h, a, b in zip(hashes, starts, ends, strict=True) if h in hits):
+            for i in range(max(start, upto), end):
+                out[i] = True
+            upto = max(upto, end)
+    return out
+
+
+#: flags: 1 for boilerplate by name, 2 for inside an article; minima: of the article, or without one of each block.
+_PARSED = pa.schema(
+    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("article", pa.bool_()), ("texts", pa.list_(pa.string())), ("flags", pa.list_(pa.int32()))]
+    + [("hashes", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("minima", pa.list_(pa.int64()))]
+)
+_PARSED_DDL = "page_id long, url string, host string, page long, article boolean, texts array<string>, flags array<int>, hashes array<long>, starts array<int>, ends array<int>, minima array<long>"
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_blocks", pa.int64()), ("n_template_blocks", pa.int64())])
 _OUT_DDL = "page_id long, url string, text string, n_blocks long, n_template_blocks long"
-_BODY = pa.schema([("host", pa.string()), ("around", pa.list_(pa.int64())), ("minima", pa.list_(pa.struct([("k", pa.int32()), ("m", pa.int64())])))])
+_BODY = pa.schema([("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("minima", pa.list_(pa.int64()))])
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)")
 #: Pages that a task holds as Python objects at a time.
 _PAGES = 64
 
 
+def minima_of(texts: list[str]) -> np.ndarray:
+    """(texts, MINIMA): the least hash of each text's three-word shingles (of all its words, if fewer) under each of MINIMA functions."""
+    w = Words([t.encode("utf-8", "surrogatepass") for t in texts])
+    h = w.hashes()
+    out = np.zeros((len(texts), MINIMA), dtype=np.int64)
+    grams = gram_hashes(h, 3)
+    size = np.maximum(w.counts() - 2, 0)
+    long = np.flatnonzero(size)
+    at = np.concatenate([np.arange(w.first[i], w.first[i] + size[i]) for i in long]) if len(long) else np.zeros(0, dtype=np.int64)
+    start = np.cumsum(size[long]) - size[long]
+    rest = [(i, np.concatenate([h[w.first[i] : w.first[i + 1]], np.zeros(1, dtype=np.uint64)])) for i in np.flatnonzero(size == 0)]
+    for k in range(MINIMA):
+        turn = np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & _MASK)
+        if len(long):
+            out[long, k] = (np.minimum.reduceat(mix64(grams[at] ^ turn), start) >> np.uint64(1)).astype(np.int64)
+        for i, x in rest:
+            out[i, k] = int(mix64(np.bitwise_xor.reduce(x, keepdims=True) ^ turn)[0] >> np.uint64(1))
+    return out
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, _PAGES):
             part = batch.slice(first, _PAGES)
-            blocks, subtrees, hosts, whole = [], [], [], []
+            rows, bodies, sizes = [], [], []
             for url, page in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                found, around = parsed_page(page or "")
-                blocks.append([b._asdict() for b in found])
-                subtrees.append([s._asdict() for s in around])
-                hosts.append(m[1].lower() if (m := _HOST.match(url or "")) else "")
-                whole.append(xxhash.xxh64_intdigest("\n".join(b.text for b in found)) - (1 << 63))
-            yield arrow_batch(_PARSED, [part.column("page_id"), part.column("url"), hosts, whole, blocks, subtrees])
-
-
-def _minima(texts: list[str]) -> list[dict]:
-    """The least hash of the three-word shingles of some blocks under each of MINIMA hash functions."""
-    grams = []
-    for text in texts:
-        words = text.split()
-        grams += [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-    h = np.array([xxhash.xxh64_intdigest(g) for g in grams], dtype=np.uint64)
-    return [{"k": k, "m": int(mix64(h ^ np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & _MASK)).min() >> np.uint64(1))} for k in range(MINIMA)]
+                blocks, subtrees = parsed_page(page or "")
+                texts = [b.text for b in blocks]
+                article = any(b.inside for b in blocks)
+                host = m[1].lower() if (m := _HOST.match(url or "")) else ""
+                rows.append((host, xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63), article, texts, [b.named + 2 * b.inside for b in blocks], *(list(x) for x in (zip(*subtrees, strict=True) if subtrees else ((), (), ())))))
+                own = ["\n".join(b.text for b in blocks if b.inside)] if article else texts
+                bodies += own
+                sizes.append(len(own))
+            flat = minima_of(bodies).ravel()
+            ends = np.concatenate([[0], np.cumsum(sizes) * MINIMA]).astype(np.int32)
+            yield arrow_batch(_PARSED, [part.column("page_id"), part.column("url"), *zip(*rows, strict=True), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))])
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each page's subtrees, and the minimal hashes of its body: the article, else what isn't on most pages of the host, else all."""
+    names = ("article", "hashes", "starts", "ends", "minima", "hits")
     for batch in batches:
-        for first in range(0, batch.num_rows, _PAGES):
-            rows = batch.slice(first, _PAGES).to_pylist()
-            minima = []
-            for r in rows:
-                blocks = r["blocks"]
-                body = [b["text"] for b in blocks if b["inside"]]
-                if not body:
-                    most = covered(len(blocks), [(s["hash"], s["start"], s["end"]) for s in r["subtrees"]], set(r["most"] or ()))
-                    body = [b["text"] for b, often in zip(blocks, most, strict=True) if not often] or [b["text"] for b in blocks]
-                minima.append(_minima(body))
-            yield arrow_batch(_BODY, [[r["host"] for r in rows], [list({s["hash"] for s in r["subtrees"]}) for r in rows], minima])
+        for first in range(0, batch.num_rows, 1024):
+            part, out = batch.slice(first, 1024), []
+            for article, hashes, starts, ends, minima, hits in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                if not article:
+                    m = np.array(minima, dtype=np.int64).reshape(-1, MINIMA)
+                    rare = ~np.array(covered(len(m), hashes, starts, ends, hits))
+                    minima = (m[rare] if rare.any() else m).min(axis=0).tolist()
+                out.append(minima)
+            yield arrow_batch(_BODY, [part.column("host"), part.column("around"), out])
 
 
 def _hosts(parsed: DataFrame, least_pages: int, least_share: float, inside_share: float) -> DataFrame:
     """(host, template) of every host with a template. Each template subtree is on a share of the pages, which bounds their number."""
     # copies of a page count once
-    once = materialize(parsed.where("size(blocks) > 0").select("host", "page", "blocks", "subtrees").dropDuplicates(["host", "page"]), "html-pages")
+    places = [F.when(~F.col("article"), F.col(c)).alias(c) for c in ("starts", "ends")]
+    once = parsed.where("size(texts) > 0").select("host", "page", "article", F.array_distinct("hashes").alias("around"), F.when(~F.col("article"), F.col("hashes")).alias("hashes"), *places, "minima")
+    once = materialize(once.dropDuplicates(["host", "page"]), "html-pages")
     raw = once.groupBy("host").agg(F.count("*").alias("pages"))
-    around = F.array_distinct(F.transform("subtrees", lambda s: s["hash"]))
-    often = once.select("host", F.explode(around).alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    often = once.select("host", F.explode("around").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     often = materialize(often, "html-often")
     most = often.join(raw, "host").where("n >= 0.5 * pages").groupBy("host").agg(F.collect_list("subtree").alias("most"))
     # near copies have mostly the same minima of their bodies
-    out = once.join(_arrays_broadcast(materialize(most, "html-most"), "most"), "host", "left")
-    out = materialize(out.mapInArrow(_bodies, "host string, around array<long>, minima array<struct<k:int,m:long>>"), "html-bodies")
+    hits = F.when(~F.col("article"), F.array_intersect("around", "most"))
+    out = once.join(_arrays_broadcast(materialize(most, "html-most"), "most"), "host", "left").withColumn("hits", hits)
+    minima = F.transform("minima", lambda m, k: F.struct(k.alias("k"), m.alias("m")))
+    bodies = out.select("host", "around", "article", "hashes", "starts", "ends", "minima", "hits").mapInArrow(_bodies, "host string, hashes array<long>, minima array<long>")
+    out = materialize(bodies.select("host", F.col("hashes").alias("around"), minima.alias("minima")), "html-bodies")
     pages = out.select("host", F.explode("minima").alias("m")).distinct().groupBy("host").agg((F.count("*") / MINIMA).alias("pages"))
     seen = out.select("host", "minima", F.explode("around").alias("subtree")).join(small(often), ["host", "subtree"])
     often = seen.select("host", "subtree", F.explode("minima").alias("m")).distinct().groupBy("host", "subtree").agg((F.count("*") / MINIMA).alias("n")).where(F.col("n") >= least_pages)
@@ -370,17 +403,16 @@ def _arrays_broadcast(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ("texts", "flags", "hashes", "starts", "ends", "hits")
     for batch in batches:
-        for first in range(0, batch.num_rows, _PAGES):
-            rows, out = batch.slice(first, _PAGES).to_pylist(), []
-            for r in rows:
-                blocks = r["blocks"]
-                template = covered(len(blocks), [(s["hash"], s["start"], s["end"]) for s in r["subtrees"]], set(r["template"] or ()))
-                kept = [b for b, t in zip(blocks, template, strict=True) if not t and not b["named"]]
-                if any(b["inside"] for b in kept):
-                    kept = [b for b in kept if b["inside"]]
-                out.append((r["page_id"], r["url"], " ".join(b["text"] for b in kept), len(blocks), int(template.sum())))
-            yield arrow_batch(_OUT, zip(*out, strict=True))
+        for first in range(0, batch.num_rows, 256):
+            part, out = batch.slice(first, 256), []
+            for texts, flags, hashes, starts, ends, hits in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                template = covered(len(texts), hashes, starts, ends, hits)
+                kept = [(t, f) for t, f, gone in zip(texts, flags, template, strict=True) if not gone and not f & 1]
+                inside = [t for t, f in kept if f & 2]
+                out.append((" ".join(inside or [t for t, _ in kept]), len(texts), sum(template)))
+            yield arrow_batch(_OUT, [part.column("page_id"), part.column("url"), *zip(*out, strict=True)])
 
 
 def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
@@ -388,7 +420,8 @@ def extract_main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_sh
     parsed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_parse, _PARSED_DDL)
     parsed = materialize(parsed, "html-parsed")
     hosts = _arrays_broadcast(_hosts(parsed, least_pages, least_share, inside_share), "template")
-    return parsed.join(hosts, "host", "left").mapInArrow(_texts, _OUT_DDL)
+    both = parsed.join(hosts, "host", "left").withColumn("hits", F.array_intersect("hashes", "template"))
+    return both.select("page_id", "url", "texts", "flags", "hashes", "starts", "ends", "hits").mapInArrow(_texts, _OUT_DDL)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
