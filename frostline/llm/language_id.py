@@ -8,7 +8,7 @@ Letters are lower-cased code points; everything else between words is one symbol
 documents with a language outside the held-out fold, at most about ``max_rows`` (a hash of the id picks), added
 up by Spark for each language and dimension; only (languages x dimensions) numbers reach the driver.
 
-Null text, or text without a letter: ``und`` with score 0; so is everything where no language can be learnt.
+A text of more than ``_POINTS`` code points is bundled in parts, with the same sum. Null text, or text without a letter: ``und`` with score 0; so is everything where no language can be learnt.
 Equal cosines: the first language in order of name. Null ids are predicted and never learnt from. Other columns are dropped.
 """
 
@@ -28,8 +28,8 @@ from .quality import held_out
 DIMENSIONS = 1024
 MAX_ROWS = 50_000
 UNKNOWN = "und"
-#: Texts bundled by one matrix product, and code points looked at together.
-_ROWS, _POINTS = 128, 1 << 19
+#: Texts bundled by one matrix product, code points looked at together, distinct trigrams multiplied at a time.
+_ROWS, _POINTS, _SLICE = 128, 1 << 19, 4096
 
 
 @cache
@@ -62,31 +62,74 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, [x or "" for x in texts[first:]]
 
 
-def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """A row of length one for each text (of zeros where it has no letter), and whether it has a letter."""
-    sizes = np.array([len(t) + 2 for t in texts])
-    points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[points]
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    known = np.bincount(doc[letter > 0], minlength=len(texts)) > 0
-    kept = np.ones(len(letter), dtype=bool)
-    kept[1:] = (letter[1:] > 0) | (letter[:-1] > 0) | (doc[1:] != doc[:-1])
-    letter, doc = letter[kept], doc[kept]
-    names, code = np.unique(letter, return_inverse=True)
-    n = np.int64(len(names))
-    if len(code) < 3:
-        return np.zeros((len(texts), dimensions), dtype=np.float32), known
-    gram = (code[:-2] * n + code[1:-1]) * n + code[2:]
+def _grams(letter: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(letters, texts) of all trigrams around a letter: rows of three letters, 0 standing for what is between words."""
     whole = (doc[2:] == doc[:-2]) & (letter[1:-1] > 0)
-    gram, doc = gram[whole], doc[2:][whole]
-    grams, at = np.unique(gram, return_inverse=True)
-    v = letter_vectors(names, dimensions)
-    v[names == 0] = letter_vectors(np.array([0x20]), dimensions)
-    bound = np.roll(v, 2, axis=1)[grams // (n * n)] * np.roll(v, 1, axis=1)[grams // n % n] * v[grams % n]
-    counts = np.bincount(doc * len(grams) + at, minlength=len(texts) * len(grams)).reshape(len(texts), len(grams)).astype(np.float32)
-    out = counts @ bound.astype(np.float32)
+    return np.stack([letter[:-2][whole], letter[1:-1][whole], letter[2:][whole]], axis=1), doc[2:][whole]
+
+
+def _add_bundles(out: np.ndarray, grams: np.ndarray, doc: np.ndarray) -> None:
+    """Adds the vectors of trigrams to the rows of their texts, a bounded number of distinct trigrams at a time."""
+    if not len(grams):
+        return
+    code = grams[:, 0].astype(np.int64) << 42 | grams[:, 1].astype(np.int64) << 21 | grams[:, 2]
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    each = np.append(edge, len(code))
+    dimensions = out.shape[1]
+    for lo in range(0, len(edge), _SLICE):
+        hi = min(lo + _SLICE, len(edge))
+        a, b = each[lo], each[hi]
+        name = code[edge[lo:hi]]
+        vector = None
+        for place, turn in ((42, 2), (21, 1), (0, 0)):
+            letters, at = np.unique(name >> place & 0x1FFFFF, return_inverse=True)
+            v = letter_vectors(np.where(letters == 0, 0x20, letters), dimensions)
+            v = np.roll(v, turn, axis=1)[at] if turn else v[at]
+            vector = v if vector is None else vector * v
+        at = np.repeat(np.arange(hi - lo), np.diff(each[lo : hi + 1]))
+        counts = np.bincount(doc[a:b] * (hi - lo) + at, minlength=len(out) * (hi - lo)).reshape(len(out), hi - lo)
+        some = np.flatnonzero(counts.any(axis=1))
+        out[some] += counts[some].astype(np.float32) @ vector.astype(np.float32)
+
+
+def _long_bundle(text: str, out: np.ndarray) -> bool:
+    """Adds up the bundle of one long text in parts, each beginning with the last two letters of the one before."""
+    known, carry = False, np.zeros(0, dtype=np.int32)
+    for at in range(0, len(text) + 1, _POINTS):
+        last = at + _POINTS > len(text)
+        part = (" " if not at else "") + text[at : at + _POINTS] + (" " if last else "")
+        letter = _letters()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        known |= bool((letter > 0).any())
+        before = np.append(carry[-1:] if len(carry) else [1], letter[:-1])
+        letter = np.concatenate([carry, letter[(letter > 0) | (before > 0)]])
+        _add_bundles(out, *_grams(letter, np.zeros(len(letter), dtype=np.int64)))
+        carry = letter[-2:]
+        if last:
+            break
+    return known
+
+
+def bundles(texts: list[str], dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
+    """A row of length one for each text (of zeros where it has no letter), and whether it has a letter.
+
+    Memory is bounded by ``_POINTS``, ``_ROWS`` and ``_SLICE``, whatever letters there are and however long a text is.
+    """
+    out = np.zeros((len(texts), dimensions))
+    if len(texts) == 1 and len(texts[0]) > _POINTS:
+        known = np.array([_long_bundle(texts[0], out)])
+    else:
+        sizes = np.array([len(t) + 2 for t in texts])
+        points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        letter = _letters()[points]
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        known = np.bincount(doc[letter > 0], minlength=len(texts)) > 0
+        kept = np.ones(len(letter), dtype=bool)
+        kept[1:] = (letter[1:] > 0) | (letter[:-1] > 0) | (doc[1:] != doc[:-1])
+        _add_bundles(out, *_grams(letter[kept], doc[kept]))
     size = np.sqrt((out**2).sum(axis=1, keepdims=True))
-    return out / np.where(size > 0, size, 1), known
+    return (out / np.where(size > 0, size, 1)).astype(np.float32), known
 
 
 def _learn(dimensions: int):

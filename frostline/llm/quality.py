@@ -6,8 +6,8 @@ are indicators too, and for single shapes also how large a share of the text the
 good and bad texts; a linear hinge-loss model is then fitted by dual coordinate descent.
 
 Learning uses the labelled rows outside the held-out fold, at most about ``max_labels`` of them (a hash of
-the id picks). They are dealt into shards of ``SHARD_ROWS``, each fitted in a task, and the weights averaged,
-so that neither a task nor the driver has to hold all. What reaches the driver is one number a feature.
+the id picks). One task fits the one model to them, in order of id: that bound is also the bound of its memory. What reaches
+the driver is one number a feature.
 
 Null and empty texts have no shape and get the score of the bias. With no labels every score is 0.5. Null
 ids are scored and never learnt from. Repeated rows are scored alike. ``score_quality`` drops other columns.
@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +26,6 @@ from .common import Words, arrow_batch, binary, chunks, materialize, mix64, read
 
 FEATURE_BITS = 18
 MAX_LABELS = 20_000
-SHARD_ROWS = 4_000
 THRESHOLD = 0.3
 _COST, _EPOCHS = 1.0, 12
 
@@ -40,7 +38,8 @@ _CLASS[58:65] = np.arange(20, 27)
 _CLASS[91:97] = np.arange(27, 33)
 _CLASS[123:127] = np.arange(33, 37)
 
-_FEATURES = pa.schema([("label", pa.int32()), ("shard", pa.int64()), ("features", pa.list_(pa.int32()))])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.int32()))])
+_FEATURES_DDL = "doc_id long, label int, features array<int>"
 
 
 def features(texts: list[bytes], bits: int = FEATURE_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +98,7 @@ def _labelled(bits: int):
                 doc, found = features(texts, bits)
                 edge = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(found.astype(np.int32)))
-                yield arrow_batch(_FEATURES, [batch.column("label").slice(at, len(texts)), batch.column("shard").slice(at, len(texts)), lists])
+                yield arrow_batch(_FEATURES, [batch.column("doc_id").slice(at, len(texts)), batch.column("label").slice(at, len(texts)), lists])
 
     return scan
 
@@ -107,12 +106,8 @@ def _labelled(bits: int):
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, scale: np.ndarray, cost: float = _COST, epochs: int = _EPOCHS) -> np.ndarray:
     """Weights (the last one for the bias) of min |w|^2 / 2 + sum c max(0, 1 - y w x) for scaled unit-length rows."""
     w = np.zeros(len(scale) + 1)
-    values = []
-    for x in rows:
-        v = scale[x]
-        size = np.sqrt((v**2).sum())
-        values.append(v / size if size > 0 else v)
-    squares = np.array([(v**2).sum() + 1 for v in values])
+    sizes = np.array([np.sqrt((scale[x] ** 2).sum()) for x in rows])
+    squares = 1 + (sizes > 0)
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([(y < 0).sum(), (y > 0).sum()]) / max(len(y), 1)
     bound = np.where(y > 0, *(cost / np.maximum(2 * s, 1e-9) for s in (share[1], share[0])))
@@ -120,7 +115,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, scale: n
     random = np.random.default_rng(7)
     for _ in range(epochs):
         for i in random.permutation(len(rows)):
-            x, v = rows[i], values[i]
+            x = rows[i]
+            v = scale[x] / sizes[i] if sizes[i] > 0 else scale[x]
             gradient = y[i] * (w[x] @ v + w[-1]) - 1
             new = min(max(alpha[i] - gradient / squares[i], 0.0), bound[i])
             if new != alpha[i]:
@@ -137,11 +133,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS
     n = known.count()
     if n > max_labels:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(n)) < max_labels)
-    shards = max(1, -(-min(n, max_labels) // SHARD_ROWS))
-    known = known.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit("shard")), F.lit(shards)))
     # at most about max_labels rows of 20 bytes, so the small side may be broadcast
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("label", "shard", "text")
-    rows = materialize(rows.mapInArrow(_labelled(bits), "label int, shard long, features array<int>"), "quality-rows")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id").select("doc_id", "label", "text")
+    rows = materialize(rows.mapInArrow(_labelled(bits), _FEATURES_DDL), "quality-rows")
     sums = rows.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     if not sums[0] and not sums[1]:
         return None
@@ -152,15 +146,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS
         q[f] += b
     scale = np.log(p / (sums[0] + 1)) - np.log(q / (sums[1] + 1))
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        w = dual_coordinate_descent([np.asarray(x, dtype=np.int64) for x in part["features"]], part["label"].to_numpy(), scale)
+    def fit(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        lists = part.column("features").chunk(0)
+        found, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+        order = np.lexsort((np.diff(offsets), part.column("doc_id").to_numpy()))
+        w = dual_coordinate_descent([found[offsets[i] : offsets[i + 1]] for i in order], part.column("label").to_numpy()[order], scale)
         at = np.flatnonzero(w)
-        return pd.DataFrame({"f": at, "w": w[at], "rows": len(part)})
+        return pa.table({"f": at, "w": w[at]})
 
-    fitted = rows.groupBy("shard").applyInPandas(fit, "f long, w double, rows long")
-    total = sums[0] + sums[1]
     weights = np.zeros((1 << bits) + 1)
-    for f, w in fitted.groupBy("f").agg((F.sum(F.col("w") * F.col("rows")) / total).alias("w")).collect():
+    for f, w in rows.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit, "f long, w double").collect():
         weights[f] = w
     return np.stack([np.append(scale, 1.0), weights])
 

@@ -264,6 +264,60 @@ def test_quality_words(spark):
     assert len(right) > 30 and np.mean(right) > 0.9
 
 
+def test_quality_fits_one_model(spark):
+    """Weights equal those of one fit to all labelled rows, by a plain version of counts, ratios and descent."""
+    docs, labels = (spark.read.parquet(f"{DATA}/../sf0.1/{t}.parquet").where("doc_id < 9000") for t in ("documents", "labels"))
+    rows = sorted((r.doc_id, r.text or "", r.quality) for r in docs.join(labels, "doc_id").collect())
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert len(rows) > 2000
+    sets = [quality.features([t.encode()])[1] for _, t, _ in rows]
+    y = np.array([q for *_, q in rows])
+    p, q = np.ones(1 << quality.FEATURE_BITS), np.ones(1 << quality.FEATURE_BITS)
+    for x, label in zip(sets, y, strict=True):
+        (p if label else q)[x] += 1
+    scale = np.log(p / ((y == 1).sum() + 1)) - np.log(q / ((y == 0).sum() + 1))
+    got = quality.fit_quality(docs, labels)
+    assert np.allclose(got[0][:-1], scale) and np.allclose(got[1], quality.dual_coordinate_descent(sets, y, scale), atol=1e-9)
+
+
+def test_language_bundles(monkeypatch):
+    """Bundles against a sum trigram by trigram; slices and parts of long texts change nothing."""
+    texts = ["The cat  sat, the CAT!", "", "12 3", "ça été l'été", "x", "  a b-c  ", "漢字かな交じり文" * 5]
+
+    def brute(text, dimensions=256):
+        out = np.zeros(dimensions)
+        vector = lambda c: language_id.letter_vectors(np.array([ord(c)]), dimensions)[0].astype(int)
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for a, b, c in zip(" " + word, word, word[1:] + " ", strict=False):
+                out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        size = np.sqrt((out**2).sum())
+        return out / (size or 1)
+
+    want = np.stack([brute(t) for t in texts])
+    got, known = language_id.bundles(texts, 256)
+    assert np.allclose(got, want, atol=1e-6) and known.tolist() == [True, False, False, True, True, True, True]
+    monkeypatch.setattr(language_id, "_SLICE", 3)
+    assert np.allclose(language_id.bundles(texts, 256)[0], want, atol=1e-6)
+    for points in (4, 5, 7, 11):
+        monkeypatch.setattr(language_id, "_POINTS", points)
+        for t, w in zip(texts, want, strict=True):
+            assert np.allclose(language_id.bundles([t], 256)[0][0], w, atol=1e-6)
+
+
+def test_language_memory():
+    """A long text of very many letters: memory stays bounded."""
+    import tracemalloc
+
+    random = np.random.default_rng(2)
+    text = "".join(map(chr, random.integers(0x4E00, 0x9FFF, 700_000)))
+    language_id.bundles(["warm"])
+    tracemalloc.start()
+    language_id.bundles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
 def test_language_id(spark, docs, empty):
     got = {r.doc_id: r for r in language_id.identify_languages(docs).collect()}
     assert [got[i].lang_pred for i in (1000, 1001, 1005)] == ["und"] * 3 and got[1000].score == 0
