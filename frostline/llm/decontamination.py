@@ -1,21 +1,21 @@
 """Benchmark decontamination with SimHash over item-sized windows; DataFrame functions only.
 
 1. Words are runs of other characters than 0x20 and 0x09-0x0D, lower-cased; shingles are ``k`` words.
-2. A window resembles an item only if the shingles they share weigh ``least`` of the item's. So for each document
-   and item that share so much at all, windows of as many words as the item has are laid at every start where
-   the shared shingles inside still weigh that; other starts are ruled out exactly.
+2. Windows of as many words as an item has are laid at every start where the shingles inside that the item has, too, weigh a
+   ``PLACED`` part of the item's. A window as similar as ``least`` shares twice that at least, so no such start is left out;
+   whether a window resembles an item is decided by the next two steps.
 3. Windows of equal words are one. Each gets a SimHash of ``BITS`` bits of its shingles, weighted by how few items
-   have them. The bits are cut into ``blocks`` blocks; of two fingerprints within the radius, one block at least
+   have them: whole-number sums of three bits at a time, packed in longs. The bits are cut into ``blocks`` blocks; of two fingerprints within the radius, one block at least
    differs in no more than radius / blocks bits. So the items' blocks with all flips of so few bits, joined with the
    windows' blocks on (window size, block number, block bits), give all fingerprints within the radius.
 4. Candidates within the radius are verified by the exact weighted Jaccard similarity of their shingle sets.
 
-Two unrelated fingerprints meet in a block about once in five times (64 bits in blocks that must be equal: nine in ten)
-and never lie within the radius. A pair right at the threshold lies outside it about once in a thousand; closer ones less.
+Two unrelated fingerprints meet in a block about once in five times and never lie within the radius. A pair right at the threshold lies outside it about once in a thousand; closer ones less.
 
 The item shingles are broadcast only after their number is checked, and are joined by a shuffle beyond it.
 Null text has no words. Null ids take no part. Rows with equal ids are one document. Items of under ``k``
-words are too short to tell a leak from chance and match nothing. Other columns are ignored.
+words are too short to tell a leak from chance and match nothing; items have a million words at most. Of equally similar
+windows the first one is told. Other columns are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits of a fingerprint (in longs of 64), its blocks (as many in each long), and the radius.
 BITS, BLOCKS, RADIUS = 256, 20, 57
+#: Share of an item's weight that a window shares to be looked at: half of what it must share to be alike.
+PLACED = 0.4
+#: Bits of a counter, three of which a long holds.
+_COUNTER = 21
 
 
 def words(text: Column) -> Column:
@@ -48,13 +52,20 @@ def with_shingles(df: DataFrame, k: int) -> DataFrame:
 
 def _weighted(df: DataFrame, key: list[str], weights: DataFrame, default: float) -> DataFrame:
     """For each key: fs, its distinct shingles with weights; total, their sum; fp, the SimHash."""
-    rows = df.select(*key, F.explode(F.array_distinct("ws")).alias("h")).join(weights, "h", "left")
-    pair = F.struct("h", F.coalesce("weight", F.lit(default)).alias("weight"))
-    out = rows.groupBy(*key).agg(F.sort_array(F.collect_list(pair)).alias("fs"))
-    wide = F.transform("fs", lambda x: F.struct(F.array(*(F.xxhash64(x["h"], F.lit(i)) for i in range(BITS // 64))).alias("w"), x["weight"].alias("weight")))
-    bit = "aggregate(wide, 0D, (s, x) -> s + if((shiftright(x.w[j], b) & 1L) = 1L, x.weight, -x.weight))"
-    fp = F.expr(f"transform(sequence(0, {BITS // 64 - 1}), j -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({bit} > 0D, shiftleft(1L, b), 0L)))")
-    return out.withColumn("wide", wide).withColumn("fp", fp).drop("wide").withColumn("total", F.expr("aggregate(fs, 0D, (s, x) -> s + x.weight)"))
+    rows = df.select(*key, F.size("ws").alias("size"), F.explode(F.array_distinct("ws")).alias("h")).join(weights, "h", "left")
+    rows = materialize(rows.withColumn("weight", F.coalesce("weight", F.lit(default))), "leaks-shingles")
+    # whole weights whose sum fits a counter
+    whole = F.greatest(F.lit(1), F.floor(F.col("weight") / default * (1 << (_COUNTER - 1)) / F.col("size"))).cast("long")
+    wide = rows.select(*key, whole.alias("u"), *(F.xxhash64("h", F.lit(i)).alias(f"w{i}") for i in range(BITS // 64)))
+    bit = lambda i, b: f"shiftleft(shiftrightunsigned(w{i}, {b}) & 1L, {_COUNTER * (b % 3)})"
+    packs = [(i, range(b, min(b + 3, 64))) for i in range(BITS // 64) for b in range(0, 64, 3)]
+    sums = wide.groupBy(*key).agg(F.sum("u").alias("u"), *(F.sum(F.expr(f"u * ({' + '.join(bit(i, b) for b in bits)})")).alias(f"s{n}") for n, (i, bits) in enumerate(packs)))
+    each = len(packs) * 64 // BITS
+    sums = sums.select(*key, "u", F.array(*(f"s{n}" for n in range(len(packs)))).alias("s"))
+    on = f"2 * (shiftright(s[j * {each} + b div 3], int({_COUNTER} * (b % 3))) & {(1 << _COUNTER) - 1}L) > u"
+    fp = F.expr(f"transform(sequence(0, {BITS // 64 - 1}), j -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({on}, shiftleft(1L, b), 0L)))")
+    sets = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("h", "weight"))).alias("fs"))
+    return sets.join(sums.select(*key, fp.alias("fp")), key).withColumn("total", F.expr("aggregate(fs, 0D, (s, x) -> s + x.weight)"))
 
 
 def _cuts(blocks: int) -> list[tuple[int, int, int]]:
@@ -87,8 +98,11 @@ def distance(a: str, b: str) -> Column:
     return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, similarity): the most similar window of each document and item."""
+def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, counts: dict[str, int] | None = None) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, similarity): the most similar window of each document and item.
+
+    counts, if given, gets how many pairs of a window and an item each step leaves.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null and text is not null")
     items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     items = materialize(with_shingles(items, k).where("size(sh) > 0"), "leaks-items").withColumn("n", F.size("sh") + (k - 1))
@@ -101,7 +115,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float
     # each place of an item's shingle in a document
     weighed = of_item.select("item_id", "n", "h").distinct().join(weights, "h", "left").withColumn("weight", F.coalesce("weight", F.lit(default)))
     weighed = materialize(weighed, "leaks-weighed")
-    totals = materialize(weighed.groupBy("item_id").agg((F.sum("weight") * least * (1 - 1e-9)).alias("need")), "leaks-needs")
+    totals = materialize(weighed.groupBy("item_id").agg((F.sum("weight") * min(PLACED, least) * (1 - 1e-9)).alias("need")), "leaks-needs")
     anchors = small(materialize(weighed.select("h").distinct(), "leaks-places"))
     # the outer form keeps the optimiser from computing the shingles twice, for a filter on empty arrays
     rows = with_shingles(docs, k).select("doc_id", F.size("sh").alias("size"), F.posexplode_outer("sh").alias("p", "h"))
@@ -128,12 +142,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, k: int = SHINGLE, least: float
 
     left = prints.select("n", "k1", "k2", "fp", F.explode(window_blocks(blocks)).alias("b")).select("n", "k1", "k2", "fp", "b.no", "b.bits")
     right = of_items.select("item_id", "n", F.col("fp").alias("fp_i"), F.explode(item_probes(blocks, radius)).alias("b")).select("item_id", "n", "fp_i", "b.no", "b.bits")
-    near = left.join(right, ["n", "no", "bits"]).where(distance("fp", "fp_i") <= radius)
+    met = left.join(right, ["n", "no", "bits"])
+    near = met.where(distance("fp", "fp_i") <= radius)
     near = near.select("n", "k1", "k2", "item_id").distinct()
     both = near.join(prints, ["n", "k1", "k2"]).join(of_items.select("item_id", "n", F.col("fs").alias("fs_i"), F.col("total").alias("total_i")), ["item_id", "n"])
     common = F.expr("aggregate(array_intersect(fs, fs_i), 0D, (s, x) -> s + x.weight)")
     alike = both.select("n", "k1", "k2", "item_id", (common / (F.col("total") + F.col("total_i") - common)).alias("similarity")).where(F.col("similarity") >= least)
-    hits = windows.select("doc_id", "start", "n", "k1", "k2").join(materialize(alike, "leaks-alike"), ["n", "k1", "k2"])
+    alike = materialize(alike, "leaks-alike")
+    if counts is not None:
+        near = materialize(near, "leaks-near")
+        counts |= {"windows": prints.count(), "in a block": met.select("n", "k1", "k2", "item_id").distinct().count(), "within the radius": near.count(), "alike": alike.count()}
+    hits = windows.select("doc_id", "start", "n", "k1", "k2").join(alike, ["n", "k1", "k2"])
     best = hits.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.back")).alias("start_word"), F.col("m.n").alias("n_words"), F.round("m.similarity", 6).alias("similarity"))
 

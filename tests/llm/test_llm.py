@@ -146,6 +146,39 @@ def test_ngram_join(docs, texts, empty):
     assert ngram_join.link_documents(empty).count() == 0
 
 
+def test_decontamination_recall(spark):
+    """All windows of real documents against all items, by sets: what is found is right, and nearly all is found."""
+    texts, items = ([tuple(r) for r in spark.read.parquet(f"{DATA}/../sf0.01/{t}.parquet").select(i, "text").collect()] for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
+    shingles = lambda t: (lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)])(words(lowered(t)))
+    of_item = {i: shingles(t) for i, t in items}
+    having = collections.defaultdict(set)
+    for i, s in of_item.items():
+        for x in s:
+            having[x].add(i)
+    weight = lambda x: math.log(len([s for s in of_item.values() if s]) / len(having[x]) + 1) if len(having.get(x, ())) > 1 else math.log(len([s for s in of_item.values() if s]) + 1)
+    want = {}
+    for doc, t in texts:
+        s = shingles(t)
+        if not (near := {i for x in s for i in having.get(x, ())}):
+            continue
+        of = [weight(x) for x in s]
+        for i in near:
+            n, other = len(of_item[i]), set(of_item[i])
+            whole = sum(map(weight, other))
+            for a in range(max(1, len(s) - n + 1)):
+                own = dict(zip(s[a : a + n], of[a : a + n], strict=True))
+                both = sum(w for x, w in own.items() if x in other)
+                if both >= 0.5 * whole:
+                    want[doc, i] = max(want.get((doc, i), 0), both / (sum(own.values()) + whole - both))
+    want = {k: x for k, x in want.items() if x >= 0.8}
+    counts = {}
+    docs, bench = (spark.createDataFrame(rows, f"{c} long, text string") for rows, c in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.find_leaks(docs, bench, counts=counts).collect()}
+    assert len(want) > 10 and set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert sum(abs(got[k] - want[k]) < 1e-5 for k in got) >= 0.97 * len(got)
+    assert counts["windows"] > counts["alike"] and counts["in a block"] > counts["within the radius"] >= counts["alike"] > 0
+
+
 def test_html_text(spark):
     article = "<article><header><h1>T</h1></header><p>a &amp; b<br>c<p>d <b>e</b>f<div class='comments'><p>no</p></div></article>"
     pages = [(1, "https://h/1", f"<nav>x</nav>{article}<footer>z</footer><script>var a='<p>'</script>"), (2, None, None), (3, "https://h/2", "")]
