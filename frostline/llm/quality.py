@@ -146,18 +146,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS
         q[f] += b
     scale = np.log(p / (sums[0] + 1)) - np.log(q / (sums[1] + 1))
 
-    def fit(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        lists = part.column("features").chunk(0)
-        found, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        order = np.lexsort((np.diff(offsets), part.column("doc_id").to_numpy()))
-        w = dual_coordinate_descent([found[offsets[i] : offsets[i + 1]] for i in order], part.column("label").to_numpy()[order], scale)
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, sets = [], [], []
+        for batch in batches:
+            lists = batch.column("features")
+            offsets, found = lists.offsets.to_numpy(), lists.values.to_numpy().copy()
+            sets += [found[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+            ids += batch.column("doc_id").to_pylist()
+            labels += batch.column("label").to_pylist()
+        order = np.lexsort(([len(x) for x in sets], ids))
+        w = dual_coordinate_descent([sets[i] for i in order], np.array(labels)[order], scale)
         at = np.flatnonzero(w)
-        return pa.table({"f": at, "w": w[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at])], names=["f", "w"])
 
     weights = np.zeros((1 << bits) + 1)
-    for f, w in rows.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit, "f long, w double").collect():
-        weights[f] = w
+    spark, most = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(most)
+    # rows are long: few of them at a time go to the task that fits
+    spark.conf.set(most, "256")
+    try:
+        for f, w in rows.coalesce(1).mapInArrow(fit, "f long, w double").collect():
+            weights[f] = w
+    finally:
+        spark.conf.set(most, before)
     return np.stack([np.append(scale, 1.0), weights])
 
 
