@@ -76,8 +76,9 @@ def duplicate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semi and anti joins on the order's key; each order is in one of them."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("returned", F.lit(True))
-    return orders.join(returned, "o_orderkey", "left").select("o_orderkey", F.coalesce("returned", F.lit(False)).alias("returned"))
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    are = orders.join(returned, "o_orderkey", "left_semi").withColumn("returned", F.lit(True))
+    return are.unionByName(orders.join(returned, "o_orderkey", "left_anti").withColumn("returned", F.lit(False)))
 
 
 @query(_LOG + "SELECT wave, count(*) FILTER (outcome = 'kept') * 1.0::DOUBLE / greatest(count(*), 1) AS kept_rate, coalesce(max(wave), 0) AS last_wave FROM f GROUP BY wave")
