@@ -10,6 +10,7 @@ from .language_id import op7_language_id
 from .minhash import op13_minhash
 from .ngram_join import op4_ngram_join
 from .ngram_lm import op9_lm_score
+from .oracles import linked_sql, substring_sql
 from .packing import op8_packing
 from .quality import op6_quality
 from .secret_scan import op3_secret_scan
@@ -35,5 +36,10 @@ QUERIES = {
     )
 }
 
-#: The contracts of the others have no practical SQL on whole tables; the tests hold brute-force versions.
-ORACLE_SQL: dict[str, str] = {"op12_source_divergence": OP12_SQL}
+#: The others learn, lay out or fingerprint what SQL can't express; the tests hold brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_sql(50),
+    "op4_ngram_join": linked_sql(5, 80, "*"),
+    "op12_source_divergence": OP12_SQL,
+    "op13_minhash": linked_sql(4, 80, "doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept"),
+}

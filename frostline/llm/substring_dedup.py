@@ -275,4 +275,6 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_substrings(read(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"), "removed")
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("removed")
+    return kept.select("doc_id", "n_words", "n_removed", digest, spans)

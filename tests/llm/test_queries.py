@@ -5,9 +5,10 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import pytest
 
-from frostline.llm.queries import QUERIES
+from frostline.llm.queries import ORACLE_SQL, QUERIES
 
 REAL = "/root/testdata/sf0.01"
 LONG = " ".join(f"long{i % 1009}" for i in range(20_000))
@@ -51,6 +52,17 @@ def test_empty_tables(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_sql(spark, folder, name):
+    """The queries against their SQL on odd rows."""
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    relation = db.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, folder)
+    assert sorted(relation.columns) == sorted(got.columns)
+    assert collections.Counter(tuple(r) for r in got.select(relation.columns).collect()) == collections.Counter(relation.fetchall())
+
+
 def test_op1(spark, folder, rows):
     first = {}
     for i, t in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
