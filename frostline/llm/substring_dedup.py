@@ -15,6 +15,8 @@ document with a smaller id. Steps, all joins and group-bys in Spark:
    matching statistic (length of the longest suffix that occurs in the shard) of ``length`` or more marks
    the maximal span to remove. Hash collisions can therefore remove nothing wrongly.
 
+A pick, window or passage that very many documents share is dealt over several tasks of its joins.
+
 Null text: no words. Null id: the row is returned whole and is nobody's reference. Documents under
 ``length`` words lose nothing. Rows with equal ids do not remove each other's text. Other columns are dropped.
 """
@@ -32,6 +34,8 @@ from .common import CHUNK_BYTES, Words, arrow_batch, binary, chunks, gram_hashes
 
 LENGTH = 50
 GRAM = 8
+#: A key with more than this part of a join's rows is dealt over several tasks; fewer than so many keys can have it.
+SPLIT = 1000
 
 _RUNS = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("cs", pa.int32()), ("ce", pa.int32())])
 _WINDOWS = pa.schema([("wh", pa.int64()), ("o", pa.int64()), ("cs", pa.int32()), ("ce", pa.int32())])
@@ -240,19 +244,32 @@ def _merged(df: DataFrame, key: list[str], *extra) -> DataFrame:
     return df.withColumn("island", island).groupBy(*key, "island").agg(F.min("cs").alias("s"), F.max("ce").alias("e"), *extra).drop("island")
 
 
+def _dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``keys``, hot keys dealt over several tasks. counts: written (*on, n), the rows of each key.
+
+    Fewer than ``SPLIT`` keys can be hot, so their list is broadcast at any size; what ``keys`` holds for them is repeated."""
+    share = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // SPLIT)
+    hot = F.broadcast(counts.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    salted = rows.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), parts)).drop("parts")
+    repeated = keys.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+    return salted.join(repeated, [*on, "salt"], how).drop("salt")
+
+
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, removed): removed holds the word spans taken out."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     runs = docs.where("doc_id is not null and text is not null").mapInArrow(_runs(length, gram), "h long, c long, doc_id long, cs int, ce int")
 
-    picks = runs.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    picks = materialize(picks, "substring-picks")
-    runs = materialize(runs.join(picks, "h"), "substring-runs")
+    picks = runs.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    picks = materialize(picks.select("h", "n"), "substring-picks")
+    runs = materialize(_dealt_join(runs, picks.select("h"), ["h"], picks), "substring-runs")
 
-    first = runs.groupBy("h", "c").agg(F.min(F.struct("doc_id", "cs", "ce")).alias("f"), F.max("doc_id").alias("last"))
-    first = materialize(first.select("h", "c", F.col("f.doc_id").alias("o"), "f.cs", "f.ce", "last"), "substring-first")
-    several = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("mixed"))
-    reference = first.join(several, "h", "left").where("mixed or last > o")
+    first = runs.groupBy("h", "c").agg(F.min(F.struct("doc_id", "cs", "ce")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    first = materialize(first.select("h", "c", F.col("f.doc_id").alias("o"), "f.cs", "f.ce", "last", "n"), "substring-first")
+    several = materialize(first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "substring-several")
+    marked = several.select("h", F.lit(True).alias("mixed"))
+    reference = _dealt_join(first.drop("n"), marked, ["h"], several, "left").where("mixed or last > o")
     span = F.when(F.col("mixed"), F.struct("cs", "ce"))
     islands = _merged(reference, ["o"], F.collect_list(span).alias("mixed"))
     text = docs.select(F.col("doc_id").alias("o"), "text")
@@ -261,14 +278,18 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     windows = passages.where("size(mixed) > 0").mapInArrow(_single_windows(length), "wh long, o long, cs int, ce int")
     windows = materialize(windows, "substring-windows")
-    owners = windows.groupBy("wh").agg(F.min(F.struct("o", "cs", "ce")).alias("f"), F.max("o").alias("last")).where("f.o < last")
-    owners = materialize(owners.select("wh", F.col("f.o").alias("o"), "f.cs", "f.ce"), "substring-owners")
-    single = windows.select("wh", F.col("o").alias("doc_id")).join(owners, "wh").where("doc_id > o").select("doc_id", "o", "cs", "ce")
-    copied = runs.select("h", "c", "doc_id").join(first.where("last > o"), ["h", "c"]).where("doc_id > o").select("doc_id", "o", "cs", "ce")
+    owners = windows.groupBy("wh").agg(F.min(F.struct("o", "cs", "ce")).alias("f"), F.max("o").alias("last"), F.count("*").alias("n")).where("f.o < last")
+    owners = materialize(owners.select("wh", F.col("f.o").alias("o"), "f.cs", "f.ce", "n"), "substring-owners")
+    repeats = _dealt_join(windows.select("wh", F.col("o").alias("doc_id")), owners.drop("n"), ["wh"], owners.select("wh", "n"))
+    single = repeats.where("doc_id > o").select("doc_id", "o", "cs", "ce")
+    again = first.where("last > o")
+    copies = _dealt_join(runs.select("h", "c", "doc_id"), again.select("h", "c", "o", "cs", "ce"), ["h", "c"], again.select("h", "c", "n"))
+    copied = copies.where("doc_id > o").select("doc_id", "o", "cs", "ce")
     wanted = materialize(_merged(single.union(copied), ["doc_id", "o"]), "substring-wanted")
 
     p = passages.select("o", F.col("s").alias("ps"), F.col("e").alias("pe"), "seg")
-    found = wanted.join(p, "o").where("s >= ps and e <= pe").select("doc_id", F.expr("substring(seg, s - ps + 1, e - s)").alias("seg"))
+    readers = materialize(wanted.groupBy("o").agg(F.count("*").alias("n")), "substring-readers")
+    found = _dealt_join(wanted, p, ["o"], readers).where("s >= ps and e <= pe").select("doc_id", F.expr("substring(seg, s - ps + 1, e - s)").alias("seg"))
     shards = materialize(found.groupBy("doc_id").agg(F.collect_set("seg").alias("shard")), "substring-shards")
     return docs.join(shards, "doc_id", "left").select("doc_id", "text", "shard").mapInArrow(_stream(length), _KEPT_DDL)
 
