@@ -1,25 +1,32 @@
 """Language-model scoring over Elias-Fano n-gram tries of three orders.
 
-A trie runs from a word back to the word before it and on to the one before that, so a node of depth one, two or
-three is a unigram, bigram or trigram. Documents are read in chunks; each chunk sends its distinct trigrams, sorted
-and nested, with how often training documents have them, to the shards of their last words. A shard adds up all
-chunks, builds its trie and answers every chunk for what it asked; the chunk's documents are then scored. So what
-is gathered grows with the corpus and is spread over tasks. A word that is a large share of all tokens is dealt over
-``HOT_BUCKETS`` shards by the word before it; a sample tells which (this decides the layout only, not a count).
+A trie starts at the word before the one to be scored, the context word. Below it lie its successors, and the words
+before it; below each of these, the successors seen after both words. A successor is known there by its place among the
+context word's successors, so a node of depth three holds small, ascending numbers, found by a search relative to its
+context. Documents are read in chunks; each chunk sends its distinct trigrams, sorted and nested, with how often
+training documents have them, to the shards of their context words. A shard adds up all chunks, builds its trie and
+answers every chunk for what it asked; the chunk's documents are then scored. So what is gathered grows with the
+corpus and is spread over tasks.
 
 A level of the trie is a sequence of ascending keys (place of the parent, id) in Elias-Fano form: low bits packed to
 the bit, high bits in unary with counts for each block of 64 bits, so no place is stored. Monotone pointer sequences,
-packed alike, tell where a node's children lie; a child is found by a search among these alone. A node of depth two
-or three holds its share of its parent's count, quantised on a logarithmic scale in one byte. All levels lie in one
-memory-mapped file.
+packed alike, tell where a node's children lie; a child is found by a search among these alone. Successors hold their
+smoothed probability, nodes of words before the context word the weight they leave to shorter contexts, both quantised
+on a logarithmic scale in one byte. All levels lie in one memory-mapped file.
 
 The model, with counts c over training documents: p1(w) = (c(w) + 1) / (N + V + 1);
-p2(w|v) = (c(vw) + K p1(w)) / (c(v) + K); p3(w|uv) = (c(uvw) + K p2(w|v)) / (c(uv) + K), K = ``PRIOR``.
-Texts begin after two ends. Last words are known by 64 bits, the words before them by 32 within their node: a
+p2(w|v) = (c(vw) + K p1(w)) / (c(v) + K); p3(w|uv) = (c(uvw) + K p2(w|v)) / (c(uv) + K), K = ``PRIOR``. A trie holds
+what is known in its shard, p3 without the part that p1 gives; that part, with its weight, is added when scoring.
+Texts begin after two ends. Context words are known by 62 bits, the words beside them by 32 within their node: a
 never-seen n-gram passes for a seen one with chance n / 2**32, n the number of children there.
 
-The documents are read a second time for scoring rather than kept, which costs less disk than what the first pass
-would have to remember for each token.
+Context words, and pairs of words, that fill more than half a shard are hot: a sample finds them and a pass counts them
+exactly, which gives each as many shards as its count needs. A hot word's trigrams are dealt by the word before it, its
+successors, and those of a hot pair, by the successor; what is smoothed needs the context's whole count alone. Which
+words are called hot decides the layout only, not a score (but for the quantisation).
+
+The documents are read again for scoring rather than kept, which costs less disk than what the first pass would have
+to remember for each token.
 
 Null or empty text: the end alone. Rows of equal or null ids are scored each by itself; a null id counts as
 training. Empty tables give no rows. Other columns are dropped.
@@ -43,14 +50,16 @@ from .common import Words, arrow_batch, binary, chunks, materialize, mix64, new_
 PRIOR = 4.0
 #: Bytes of text that a chunk holds at least, and text bytes for each shard.
 CHUNK, SHARD_BYTES = 4 << 20, 8 << 20
-#: Words of at least this share of a sample of one document in SAMPLE are dealt over HOT_BUCKETS shards.
-HOT_SHARE, SAMPLE, HOT_BUCKETS = 1e-3, 50, 32
+#: A sample of one document in SAMPLE tells the hot contexts: HOT_TOKENS tokens and HOT_SHARE of all (so at most 1 / HOT_SHARE words and as many pairs).
+SAMPLE, HOT_TOKENS, HOT_SHARE = 50, SHARD_BYTES // 16, 1e-6
 _END = np.uint64(0x656E6400000000)
 #: Quantised steps of log10, from 0 down; 255 stands for 'not found'.
 _STEP = 10.0 / 254
 #: One in so many values narrows a search in a whole level.
 SKIP = 64
 _LOW32 = np.uint64(0xFFFFFFFF)
+#: Kinds of names, in their two lowest bits: plain words, hot words (dealt by the word before), hot contexts (dealt by the successor).
+_KIND, _PLAIN, _HOT, _WHOLE = np.uint64(3), np.uint64(0), np.uint64(1), np.uint64(2)
 
 
 def _packed_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -162,34 +171,57 @@ def _children(key: np.ndarray, count: np.ndarray, parents: int) -> tuple[np.ndar
     return key[first], total, pointers.astype(np.uint64)
 
 
+def _codes(share: np.ndarray) -> np.ndarray:
+    """Shares of 0 to 1 in steps of ``_STEP``; 255 for none."""
+    with np.errstate(divide="ignore"):
+        return np.where(share > 0, np.minimum(np.round(-np.log10(share) / _STEP), 254), 255).astype(np.uint8)
+
+
+def _shares(code: np.ndarray) -> np.ndarray:
+    return np.append(10.0 ** (-_STEP * np.arange(255)), 0.0)[code]
+
+
 class Trie:
-    """Levels of words, of words before them and of words before these, with counts or quantised shares."""
-
-    def __init__(self, word: np.ndarray, before: np.ndarray, second: np.ndarray, count: np.ndarray) -> None:
-        words, of_word = np.unique(word, return_inverse=True)
-        total = np.bincount(of_word, count, minlength=len(words)).astype(np.int64)
-        pair = of_word.astype(np.uint64) << np.uint64(32) | before.astype(np.uint64)
-        pairs, of_pair = np.unique(pair, return_inverse=True)
-        n2 = np.bincount(of_pair, count, minlength=len(pairs)).astype(np.int64)
-        p2 = np.searchsorted(pairs >> np.uint64(32), np.arange(len(words) + 1, dtype=np.uint64)).astype(np.uint64)
-        triple = of_pair.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
+    """Levels of context words, of their successors, of the words before them, and of the successors after both.
+
+    ``whole`` has the counts of hot contexts; names of the kind ``_WHOLE`` have their number there in place of a word before.
+    """
+
+    def __init__(self, name: np.ndarray, before: np.ndarray, word: np.ndarray, count: np.ndarray, whole: np.ndarray) -> None:
+        names, of_name = np.unique(name, return_inverse=True)
+        kind = names & _KIND
+        total = np.bincount(of_name, count, minlength=len(names)).astype(np.int64)
+        top = of_name.astype(np.uint64) << np.uint64(32)
+        parents = np.arange(len(names) + 1, dtype=np.uint64)
+        nexts, of_next = np.unique(top | word.astype(np.uint64), return_inverse=True)
+        to_nexts = np.searchsorted(nexts >> np.uint64(32), parents).astype(np.uint64)
+        pairs, of_pair = np.unique(top | before.astype(np.uint64), return_inverse=True)
+        to_pairs = np.searchsorted(pairs >> np.uint64(32), parents).astype(np.uint64)
+        triple = of_pair.astype(np.uint64) << np.uint64(32) | of_next.astype(np.uint64) - to_nexts[of_name]
         order = np.argsort(triple, kind="stable")
-        triples, n3, p3 = _children(triple[order], count[order].astype(np.int64), len(pairs))
-        share = lambda n, of: np.minimum(np.round(-np.log10(n / of) / _STEP), 254).astype(np.uint8)
-        q2 = share(n2, total[(pairs >> np.uint64(32)).astype(np.int64)])
-        q3 = share(n3, n2[(triples >> np.uint64(32)).astype(np.int64)])
+        triples, n3, to_triples = _children(triple[order], count[order].astype(np.int64), len(pairs))
+        # what each context has been seen with, and the weight that it leaves to the next shorter one
+        context = (pairs >> np.uint64(32)).astype(np.int64)
+        given = np.bincount(of_pair, count, minlength=len(pairs))
+        is_whole = kind[context] == _WHOLE
+        given[is_whole] = whole[(pairs[is_whole] & _LOW32).astype(np.int64)]
+        left = PRIOR / (given + PRIOR)
+        of_plain = (nexts >> np.uint64(32)).astype(np.int64)
+        p2 = np.where(kind[of_plain] == _PLAIN, np.bincount(of_next, count, minlength=len(nexts)) / (total[of_plain] + PRIOR), 0.0)
+        above = (triples >> np.uint64(32)).astype(np.int64)
+        p3 = n3 / (given[above] + PRIOR) + left[above] * p2[(to_nexts[context[above]] + (triples & _LOW32)).astype(np.int64)]
         self.file = new_temp_file("trie-")
-        levels = [EliasFano.pack(x) for x in (words, p2, pairs, p3, triples)]
+        levels = [EliasFano.pack(x) for x in (names, to_nexts, nexts, to_pairs, pairs, to_triples, triples)]
         places = []
         for _, _, _, *arrays in levels:
             places.append([self._write(x) for x in arrays])
-        plain = [self._write(x) for x in (total, q2, q3)]
+        plain = [self._write(x) for x in (total, _codes(p2), _codes(left), _codes(p3))]
         self.file.write(b"\x00")
         self.file.flush()
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
         at = lambda place: np.frombuffer(self.map, dtype=place[0], count=place[1], offset=place[2])
-        self.words, self.to_pairs, self.pairs, self.to_triples, self.triples = (EliasFano(*level[:3], *map(at, place)) for level, place in zip(levels, places, strict=True))
-        self.total, self.q2, self.q3 = map(at, plain)
+        self.names, self.to_nexts, self.nexts, self.to_pairs, self.pairs, self.to_triples, self.triples = (EliasFano(*level[:3], *map(at, place)) for level, place in zip(levels, places, strict=True))
+        self.total, self.q2, self.left, self.q3 = map(at, plain)
 
     def _write(self, x: np.ndarray) -> tuple[np.dtype, int, int]:
         self.file.write(b"\x00" * (-self.file.tell() % 8))
@@ -206,13 +238,27 @@ class Trie:
         key = np.repeat(np.maximum(parent, 0).astype(np.uint64) << np.uint64(32), children) | name.astype(np.uint64)
         return level.search(key, np.repeat(lo, children), np.repeat(hi, children))
 
-    def lookup(self, word: np.ndarray, pairs_of: np.ndarray, before: np.ndarray, triples_of: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of words, and quantised shares (255: none) of the pairs under each and the triples under each pair."""
-        at = self.words.find(word)
+    def lookup(self, name: np.ndarray, pairs_of: np.ndarray, before: np.ndarray, triples_of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of names; quantised, the weights left by the pairs under each, and the probabilities of the words under each pair."""
+        at = self.names.find(name)
+        name_of = np.repeat(np.arange(len(name)), pairs_of)
+        pair_of = np.repeat(np.arange(len(before)), triples_of)
+        words_of = np.bincount(name_of, triples_of, minlength=len(name)).astype(np.int64)
+        after = self._below(self.nexts, self.to_nexts, at, words_of, word)
+        known = np.flatnonzero(after >= 0)
+        place = np.full(len(word), _LOW32, dtype=np.uint64)
+        if len(known):
+            place[known] = after[known].astype(np.uint64) - self.to_nexts.get(at[name_of[pair_of[known]]])
         pair = self._below(self.pairs, self.to_pairs, at, pairs_of, before)
-        triple = self._below(self.triples, self.to_triples, pair, triples_of, second)
+        triple = self._below(self.triples, self.to_triples, pair, triples_of, place)
         picked = lambda values, i, none: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else none, none)
-        return picked(self.total, at, 0).astype(np.int64), picked(self.q2, pair, 255).astype(np.uint8), picked(self.q3, triple, 255).astype(np.uint8)
+        total = picked(self.total, at, 0).astype(np.int64)
+        left = picked(self.left, pair, 0).astype(np.int64)
+        shorter = picked(self.q2, after, 255).astype(np.int64)
+        # codes are logarithms: those of weight and probability add up
+        backed = np.where(shorter < 255, np.minimum(left[pair_of] + shorter, 254), 255)
+        of_name = np.where(name & _KIND == _PLAIN, _codes(PRIOR / (total + PRIOR)), 0).astype(np.int64)
+        return total, np.minimum(left + of_name[name_of], 254).astype(np.uint8), np.where(triple >= 0, picked(self.q3, triple, 255), backed).astype(np.uint8)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bool], list[bytes]]]:
@@ -259,22 +305,47 @@ def _before(word: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return one, two
 
 
-_MADE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("check", pa.int64()), *((c, pa.binary()) for c in ("word", "pairs", "before", "triples", "second", "count")), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "at", "hot"))])
-_ASKED = ("shard", "chunk", "check", "word", "pairs", "before", "triples", "second", "count")
-_MADE_DDL = "shard int, chunk long, check long, word binary, pairs binary, before binary, triples binary, second binary, count binary, doc_id array<long>, held_out array<boolean>, sizes binary, at binary, hot binary"
+_MADE = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("check", pa.int64()), *((c, pa.binary()) for c in ("name", "pairs", "before", "triples", "word", "count")), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), *((c, pa.binary()) for c in ("sizes", "at", "kind", "whole"))])
+_ASKED = ("shard", "chunk", "check", "name", "pairs", "before", "triples", "word", "count")
+_MADE_DDL = "shard int, chunk long, check long, name binary, pairs binary, before binary, triples binary, word binary, count binary, doc_id array<long>, held_out array<boolean>, sizes binary, at binary, kind binary, whole binary"
 
 
-def _dealt(word: np.ndarray, before: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Names under which words are looked up: of hot words, one for each bucket of the words before."""
-    place = np.minimum(np.searchsorted(hot, word), max(len(hot) - 1, 0))
-    is_hot = hot[place] == word if len(hot) else np.zeros(len(word), dtype=bool)
-    bucket = (mix64(before) % np.uint64(HOT_BUCKETS)) + np.uint64(1)
-    return np.where(is_hot, mix64(word ^ mix64(bucket)), word)
+def _pair_names(two: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return mix64(one ^ mix64(two + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _make(shards: int, hot: np.ndarray, ask: bool):
+def _number(names: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The place of each name among the sorted hot ones, or -1."""
+    if not len(hot):
+        return np.full(len(names), -1, dtype=np.int64)
+    place = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+    return np.where(hot[place] == names, place, -1)
+
+
+def _dealt(names: np.ndarray, by: np.ndarray, buckets: np.ndarray, kind: np.uint64) -> np.ndarray:
+    """Names of a kind under which hot contexts are looked up: one for each bucket of the words that deal them."""
+    return mix64(names ^ mix64(mix64(by) % buckets.astype(np.uint64) + (kind << np.uint64(40)))) & ~_KIND | kind
+
+
+def _asked(word: np.ndarray, one: np.ndarray, two: np.ndarray, hot: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, words before, words) to look up: one for each token, then one more for each token after a hot word; and which these are."""
+    name, before, after = one & ~_KIND, two >> np.uint64(32), word >> np.uint64(32)
+    number = _number(one, hot)
+    extra = np.flatnonzero(number >= 0)
+    if not len(extra):
+        return name, before, after, extra
+    number, w, v, u = number[extra], word[extra], one[extra], two[extra]
+    name[extra] = _dealt(v, u, buckets[number], _HOT)
+    both = _pair_names(u, v)
+    pair = _number(both, hot)
+    is_pair = np.flatnonzero(pair >= 0)
+    name[extra[is_pair]] = _dealt(both[is_pair], w[is_pair], buckets[pair[is_pair]], _WHOLE)
+    before[extra[is_pair]] = pair[is_pair]
+    return np.append(name, _dealt(v, w, buckets[number], _WHOLE)), np.append(before, number.astype(np.uint64)), np.append(after, after[extra]), extra
+
+
+def _make(shards: int, hot: np.ndarray, buckets: np.ndarray, ask: bool):
     """For each chunk a row for each shard (what it asks), or one row of shard -1 (how its documents are made of that)."""
-    names = _hot_names(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -283,70 +354,61 @@ def _make(shards: int, hot: np.ndarray, ask: bool):
             word, sizes = _tokens(texts)
             one, two = _before(word, sizes)
             trained = np.repeat(~np.array(held), sizes)
-            words, of_word = np.unique(_dealt(word, one, hot), return_inverse=True)
-            # words in order of their shards
-            to = (mix64(words ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)).astype(np.int32)
+            name, before, after, extra = _asked(word, one, two, hot, buckets)
+            names, of_name = np.unique(name, return_inverse=True)
+            # names in order of their shards
+            to = (mix64(names ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             rank = np.empty(len(order), dtype=np.uint64)
             rank[order] = np.arange(len(order), dtype=np.uint64)
-            words, to = words[order], to[order]
-            pairs, of_pair = np.unique(rank[of_word] << np.uint64(32) | one >> np.uint64(32), return_inverse=True)
-            triples, at = np.unique(of_pair.astype(np.uint64) << np.uint64(32) | two >> np.uint64(32), return_inverse=True)
-            pairs_of = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(words)).astype(np.uint32)
+            names, to = names[order], to[order]
+            pairs, of_pair = np.unique(rank[of_name] << np.uint64(32) | before, return_inverse=True)
+            triples, at = np.unique(of_pair.astype(np.uint64) << np.uint64(32) | after, return_inverse=True)
+            pairs_of = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(names)).astype(np.uint32)
             triples_of = np.bincount((triples >> np.uint64(32)).astype(np.int64), minlength=len(pairs)).astype(np.uint32)
-            check = zlib.crc32(words.tobytes())
+            check = zlib.crc32(names.tobytes())
             if ask:
-                yield _asked_rows(chunk, check, to, [words, pairs_of, (pairs & _LOW32).astype(np.uint32), triples_of, (triples & _LOW32).astype(np.uint32), np.bincount(at, trained, minlength=len(triples)).astype(np.uint32)])
+                count = np.bincount(at, np.append(trained, trained[extra]), minlength=len(triples)).astype(np.uint32)
+                yield _asked_rows(chunk, check, to, [names, pairs_of, (pairs & _LOW32).astype(np.uint32), triples_of, (triples & _LOW32).astype(np.uint32), count])
                 continue
-            place = np.minimum(np.searchsorted(names[0], words), max(len(names[0]) - 1, 0))
-            mine = np.flatnonzero(names[0][place] == words) if len(names[0]) else np.zeros(0, dtype=np.int64)
-            told = np.stack([mine, names[1][place[mine]]]).astype(np.int32) if len(mine) else np.zeros((2, 0), dtype=np.int32)
+            kind = (names & _KIND).astype(np.uint8)
+            whole = (pairs[np.repeat(kind, pairs_of) == _WHOLE] & _LOW32).astype(np.uint32)
             # bytes of one rank together compress better
             planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T
             asked = [[None], [pairs_of.tobytes()], [None], [triples_of.tobytes()], [None], [None]]
-            yield arrow_batch(_MADE, [[-1], [chunk], [check], *asked, [ids], [held], [sizes.astype(np.uint32).tobytes()], [np.ascontiguousarray(planes).tobytes()], [told.tobytes()]])
+            yield arrow_batch(_MADE, [[-1], [chunk], [check], *asked, [ids], [held], [sizes.astype(np.uint32).tobytes()], [np.ascontiguousarray(planes).tobytes()], [kind.tobytes()], [whole.tobytes()]])
 
     return scan
 
 
 def _asked_rows(chunk: int, check: int, to: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
-    """Words with their pairs and these with their triples, cut at the shards of the words."""
-    words, pairs_of, before, triples_of, second, count = arrays
+    """Names with their pairs and these with their triples, cut at the shards of the names."""
+    names, pairs_of, _, triples_of, _, _ = arrays
     edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
-    bounds = [np.append(edge, len(words))]
+    bounds = [np.append(edge, len(names))]
     bounds.append(np.append(0, np.cumsum(pairs_of, dtype=np.int64))[bounds[0]])
     bounds.append(np.append(0, np.cumsum(triples_of, dtype=np.int64))[bounds[1]])
     columns = [[x[a:b].tobytes() for a, b in zip(bounds[level][:-1], bounds[level][1:], strict=True)] for x, level in zip(arrays, (0, 0, 1, 1, 2, 2), strict=True)]
     none = pa.nulls(len(edge))
-    lists = [none.cast(_MADE.field(c).type) for c in ("doc_id", "held_out", "sizes", "at", "hot")]
+    lists = [none.cast(_MADE.field(c).type) for c in ("doc_id", "held_out", "sizes", "at", "kind", "whole")]
     return arrow_batch(_MADE, [to[edge], [chunk] * len(edge), [check] * len(edge), *columns, *lists])
 
 
-def _hot_names(hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted names of hot words' buckets, and the number of the word of each."""
-    bucket = np.arange(1, HOT_BUCKETS + 1, dtype=np.uint64)
-    name = mix64(hot[:, None] ^ mix64(bucket)[None, :]).reshape(-1)
-    order = np.argsort(name)
-    return name[order], np.repeat(np.arange(len(hot)), HOT_BUCKETS)[order]
-
-
-_ANSWER_DDL = "shard int, chunk long, check long, total binary, q2 binary, q3 binary, tokens long, words long, hot binary"
+_ANSWER_DDL = "shard int, chunk long, check long, total binary, weight binary, share binary, tokens long, words long"
 
 
-def _answer(hot: np.ndarray):
-    names, number = _hot_names(hot)
-
+def _answer(whole: np.ndarray):
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         u32 = lambda x: np.frombuffer(x, dtype=np.uint32)
         parts = []
         for r in rows.itertuples():
             of_pair = np.repeat(np.arange(len(u32(r.before))), u32(r.triples))
-            of_word = np.repeat(np.arange(len(u32(r.pairs))), u32(r.pairs))
+            of_name = np.repeat(np.arange(len(u32(r.pairs))), u32(r.pairs))
             count = u32(r.count)
             use = count > 0
             pair = of_pair[use]
-            parts.append((np.frombuffer(r.word, dtype=np.uint64)[of_word[pair]], u32(r.before)[pair], u32(r.second)[use], count[use]))
-        trie = Trie(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            parts.append((np.frombuffer(r.name, dtype=np.uint64)[of_name[pair]], u32(r.before)[pair], u32(r.word)[use], count[use]))
+        trie = Trie(*(np.concatenate(x) for x in zip(*parts, strict=True)), whole)
         del parts
         out: dict[str, list] = {c.split()[0]: [] for c in _ANSWER_DDL.split(", ")}
         shard = int(rows["shard"].iloc[0])
@@ -356,47 +418,48 @@ def _answer(hot: np.ndarray):
                 column.append(value)
 
         for r in rows.itertuples():
-            total, q2, q3 = trie.lookup(np.frombuffer(r.word, dtype=np.uint64), u32(r.pairs), u32(r.before), u32(r.triples), u32(r.second))
-            add(shard, r.chunk, r.check, total.tobytes(), q2.tobytes(), q3.tobytes(), None, None, None)
-        words = trie.words.get(np.arange(trie.words.n)) if trie.words.n else np.zeros(0, dtype=np.uint64)
-        place = np.minimum(np.searchsorted(names, words), max(len(names) - 1, 0))
-        mine = names[place] == words if len(names) else np.zeros(len(words), dtype=bool)
-        told = np.stack([number[place[mine]], trie.total[mine]]) if mine.any() else np.zeros((2, 0), dtype=np.int64)
-        add(shard, -1, None, None, None, None, int(trie.total.sum()), int((~mine).sum()), told.astype(np.int64).tobytes())
+            found = trie.lookup(np.frombuffer(r.name, dtype=np.uint64), u32(r.pairs), u32(r.before), u32(r.triples), u32(r.word))
+            add(shard, r.chunk, r.check, *(x.tobytes() for x in found), None, None)
+        names = trie.names.get(np.arange(trie.names.n)) if trie.names.n else np.zeros(0, dtype=np.uint64)
+        plain = names & _KIND == _PLAIN
+        add(shard, -1, None, None, None, None, int(trie.total[plain].sum()), int(plain.sum()))
         return pd.DataFrame(out)
 
     return answer
 
 
-def _score(n_tokens: int, vocabulary: int, hot_counts: np.ndarray):
+def _score(n_tokens: int, vocabulary: int, whole: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def judged(r: dict) -> pa.RecordBatch:
         answers = sorted(r["answers"] or (), key=lambda a: a["shard"])
         if not answers or any(a["check"] != r["check"] for a in answers):
             raise RuntimeError("the two passes over the documents saw different chunks; write the documents to files first")
-        joined = lambda c, kind: np.concatenate([np.frombuffer(a[c], dtype=kind) for a in answers])
-        total, q2, q3 = joined("total", np.int64).astype(float), joined("q2", np.uint8), joined("q3", np.uint8)
-        share = np.append(10.0 ** (-_STEP * np.arange(255)), 0.0)
+        joined = lambda c, dtype: np.concatenate([np.frombuffer(a[c], dtype=dtype) for a in answers])
+        total, left, share = joined("total", np.int64).astype(float), _shares(joined("weight", np.uint8)), _shares(joined("share", np.uint8))
         pairs_of, triples_of = (np.frombuffer(r[c], dtype=np.uint32) for c in ("pairs", "triples"))
-        hot = np.frombuffer(r["hot"], dtype=np.int32).reshape(2, -1)
-        word_of = np.repeat(np.arange(len(pairs_of)), pairs_of)
+        name_of = np.repeat(np.arange(len(pairs_of)), pairs_of)
         pair_of = np.repeat(np.arange(len(triples_of)), triples_of)
-        # shares are of the name under which a word was looked up
-        pair_count = np.round(share[q2] * total[word_of])
-        triple_count = np.round(share[q3] * pair_count[pair_of])
-        total[hot[0]] = hot_counts[hot[1]]
+        kind = np.frombuffer(r["kind"], dtype=np.uint8)[name_of]
+        known = np.zeros(len(kind))
+        known[kind == _WHOLE] = whole[np.frombuffer(r["whole"], dtype=np.uint32).astype(np.int64)]
+        left[kind == _WHOLE] = PRIOR / (known[kind == _WHOLE] + PRIOR)
         sizes = np.frombuffer(r["sizes"], dtype=np.uint32).astype(np.int64)
         at = np.ascontiguousarray(np.frombuffer(r["at"], dtype=np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-        pair = pair_of[at]
-        c1, c2, c3 = total[word_of[pair]], pair_count[pair], triple_count[at]
-        ends = c1[np.cumsum(sizes) - 1]
+        n = int(sizes.sum())
+        at, at_hot = at[:n], at[n:]
+        pair, pair_hot = pair_of[at], pair_of[at_hot]
+        after_hot = np.flatnonzero(kind[pair] > 0)
+        # how often the word before each token was seen; a token's own count is that of the next one's context
+        context = total[name_of[pair]]
+        context[after_hot] = known[pair_hot]
         first = np.cumsum(sizes) - sizes
-        of_one, of_two = np.append(0.0, c1[:-1]), np.append(0.0, c2[:-1])
-        of_one[first] = of_two[first] = ends
+        c1 = np.append(context[1:], 0.0)
+        c1[first + sizes - 1] = context[first]
         p1 = (c1 + 1.0) / (n_tokens + vocabulary + 1.0)
-        p2 = (c2 + PRIOR * p1) / (of_one + PRIOR)
-        p3 = np.minimum((c3 + PRIOR * p2) / (np.maximum(of_two, c3) + PRIOR), 1.0)
+        shorter = p1.copy()
+        shorter[after_hot] = share[at_hot] + left[pair_hot] * p1[after_hot]
+        p3 = np.minimum(share[at] + left[pair] * shorter, 1.0)
         doc = np.repeat(np.arange(len(sizes)), sizes)
         sums = [np.bincount(doc, x, minlength=len(sizes)) for x in ((c1 > 0).astype(float), np.log10(p1), np.log10(p3))]
         return arrow_batch(schema, [r["doc_id"], r["held_out"], sizes, sums[0].astype(np.int64), sums[1], sums[2]])
@@ -409,38 +472,80 @@ def _score(n_tokens: int, vocabulary: int, hot_counts: np.ndarray):
     return scan
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words and of the pairs of words of each chunk."""
+    for _, _, texts in _chunks(batches):
+        word, sizes = _tokens(texts)
+        one, two = _before(word, sizes)
+        for is_word, names in ((True, one), (False, _pair_names(two, one))):
+            found, n = np.unique(names, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([is_word] * len(found)), pa.array(n.astype(np.int64))], names=["name", "is_word", "n"])
+
+
 def _hot_words(rows: DataFrame) -> np.ndarray:
-    """Names of the words that are HOT_SHARE of the tokens of a sample: at most 1 / HOT_SHARE of them."""
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w"))
-    n = sample.groupBy("w").agg(F.count("*").alias("n"))
+    """Sorted names of the words and pairs that, by a sample, need more than half a shard: at most 2 / HOT_SHARE of them."""
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0)
+    n = sample.mapInArrow(_sampled, "name long, is_word boolean, n long").groupBy("name", "is_word").agg(F.sum("n").alias("n"))
     n = materialize(n, "lm-sample")
-    most = n.agg(F.sum("n")).first()[0] or 0
-    found = [r["w"] for r in n.where((F.col("n") >= HOT_SHARE * most) & (F.col("n") >= 100) & (F.col("w") != "")).select("w").collect()]
-    return np.unique(np.append(np.array([word_names([w.encode()])[0] for w in found], dtype=np.uint64), _END))
+    tokens = n.where("is_word").agg(F.sum("n")).first()[0] or 0
+    found = n.where(F.col("n") >= max(HOT_SHARE * tokens, HOT_TOKENS / SAMPLE)).select("name").collect()
+    return np.unique(np.append(np.array([r["name"] for r in found], dtype=np.int64).view(np.uint64), _END))
+
+
+def _counted(hot: np.ndarray):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, every = (np.zeros(len(hot), dtype=np.int64) for _ in range(3))
+        size = tokens = 0
+        for _, held, texts in _chunks(batches):
+            size += sum(map(len, texts))
+            word, sizes = _tokens(texts)
+            one, two = _before(word, sizes)
+            tokens += len(word)
+            trained = np.repeat(~np.array(held), sizes)
+            number = _number(one, hot)
+            after_hot = np.flatnonzero(number >= 0)
+            pair = _number(_pair_names(two[after_hot], one[after_hot]), hot)
+            for counts, found, use in ((words, number, trained), (pairs, pair, trained[after_hot])):
+                counts += np.bincount(found[use & (found >= 0)], minlength=len(hot))
+            for found in (number, pair):
+                every += np.bincount(found[found >= 0], minlength=len(hot))
+        some = np.flatnonzero(every)
+        columns = [np.append(some, -1), np.append(words[some], size), np.append(pairs[some], tokens), np.append(every[some], 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["number", "words", "pairs", "every"])
+
+    return scan
+
+
+def _hot_counts(rows: DataFrame, hot: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Shards to use; of the hot contexts: training counts as words and as pairs, and the shards that each is dealt over."""
+    counts = rows.mapInArrow(_counted(hot), "number long, words long, pairs long, every long").groupBy("number").agg(*(F.sum(c).alias(c) for c in ("words", "pairs", "every")))
+    found = np.array([tuple(r) for r in counts.collect()], dtype=np.int64).reshape(-1, 4)
+    head, found = found[found[:, 0] < 0], found[found[:, 0] >= 0]
+    size, tokens = (int(head[:, 1].sum()), int(head[:, 2].sum()))
+    shards = max(2, -(-size // SHARD_BYTES))
+    out = np.zeros((3, len(hot)), dtype=np.int64)
+    out[:, found[:, 0]] = found[:, 1:].T
+    return shards, out[0], out[1], 1 + out[2] * 2 * shards // max(tokens, 1)
 
 
 def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); rows of the fold are not learnt from.
 
-    The documents are read twice and must come in the same partitions and order, as from files; every chunk is
+    The documents are read several times and must come in the same partitions and order, as from files; every chunk is
     checked and a difference raises, so a plan with shuffles has to be written first.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(2, -(-size // SHARD_BYTES))
     hot = _hot_words(rows)
-    asked = rows.mapInArrow(_make(shards, hot, True), _MADE_DDL).select(*_ASKED)
-    answered = materialize(asked.groupBy("shard").applyInPandas(_answer(hot), _ANSWER_DDL), "lm-answers")
-    stats = answered.where("chunk < 0").select("tokens", "words", "hot").collect()  # one row a shard
-    hot_counts = np.zeros(len(hot))
-    for r in stats:
-        number, total = np.frombuffer(r["hot"], dtype=np.int64).reshape(2, -1)
-        np.add.at(hot_counts, number, total)
-    n_tokens, vocabulary = sum(r["tokens"] for r in stats), sum(r["words"] for r in stats) + int((hot_counts > 0).sum())
-    replies = answered.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "check", "total", "q2", "q3")).alias("answers"))
-    structure = rows.mapInArrow(_make(shards, hot, False), _MADE_DDL).select("chunk", "check", "doc_id", "held_out", "sizes", "pairs", "triples", "at", "hot")
-    out = structure.join(replies, "chunk", "left").mapInArrow(_score(n_tokens, vocabulary, hot_counts), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    shards, of_words, of_pairs, buckets = _hot_counts(rows, hot)
+    whole = of_words + of_pairs
+    asked = rows.mapInArrow(_make(shards, hot, buckets, True), _MADE_DDL).select(*_ASKED)
+    answered = materialize(asked.groupBy("shard").applyInPandas(_answer(whole), _ANSWER_DDL), "lm-answers")
+    stats = answered.where("chunk < 0").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).first()
+    n_tokens, vocabulary = (stats["tokens"] or 0) + int(of_words.sum()), (stats["words"] or 0) + int((of_words > 0).sum())
+    replies = answered.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("shard", "check", "total", "weight", "share")).alias("answers"))
+    structure = rows.mapInArrow(_make(shards, hot, buckets, False), _MADE_DDL).select("chunk", "check", "doc_id", "held_out", "sizes", "pairs", "triples", "at", "kind", "whole")
+    out = structure.join(replies, "chunk", "left").mapInArrow(_score(n_tokens, vocabulary, whole), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

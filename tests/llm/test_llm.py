@@ -438,6 +438,42 @@ def test_lm_score(docs, texts, empty, monkeypatch, hot):
     assert ngram_lm.score_documents(empty).count() == 0
 
 
+def test_lm_score_of_hot_pairs(docs, texts, monkeypatch):
+    """Every other word hot, and every other pair: the same counts and, within the quantisation, scores."""
+    word, sizes = ngram_lm._tokens([(t or "").encode() for t in texts.values()])
+    one, two = ngram_lm._before(word, sizes)
+    pairs = ngram_lm._pair_names(two, one)
+    hot = np.unique(np.concatenate([np.unique(one)[::2], np.unique(pairs)[::2]]))
+    monkeypatch.setattr(ngram_lm, "_hot_words", lambda rows: hot)
+    got = {r.doc_id: r for r in ngram_lm.score_documents(docs).collect()}
+    monkeypatch.setattr(ngram_lm, "_hot_words", lambda rows: hot[:0])
+    for r in ngram_lm.score_documents(docs).collect():
+        same = got[r.doc_id]
+        assert (same.n_tokens, same.n_known, same.train_tokens) == (r.n_tokens, r.n_known, r.train_tokens)
+        assert math.isclose(same.base_score, r.base_score, rel_tol=1e-12)
+        assert abs(same.score - r.score) <= 0.03 * r.n_tokens
+
+
+def test_lm_trie_smooths_within_its_shard():
+    draw = np.random.default_rng(3)
+    v, u, w = draw.integers(1, 6, 4000, dtype=np.uint64) << np.uint64(2), draw.integers(0, 9, 4000, dtype=np.uint32), draw.zipf(1.5, 4000).clip(max=50).astype(np.uint32)
+    count, k = draw.integers(1, 4, 4000, dtype=np.uint32), ngram_lm.PRIOR
+    trie = ngram_lm.Trie(v, u, w, count, np.zeros(0))
+    # successors are named by their place below the context word
+    assert int((trie.triples.get(np.arange(trie.triples.n)) & np.uint64(0xFFFFFFFF)).max()) < len(np.unique(w))
+    asked = [(a, b, c) for a in range(0, 7) for b in range(0, 10, 3) for c in (1, 2, 7, 60)]
+    total, weight, share = trie.lookup(np.arange(7, dtype=np.uint64) << np.uint64(2), np.full(7, 4), np.array([b for _ in range(7) for b in range(0, 10, 3)], dtype=np.uint32), np.full(28, 4), np.array([c for _, _, c in asked], dtype=np.uint32))
+    for i, (a, b, c) in enumerate(asked):
+        is_v, is_u, is_w = v == a << 2, u == b, w == c
+        of_v, of_uv = count[is_v].sum(), count[is_v & is_u].sum()
+        p2 = count[is_v & is_w].sum() / (of_v + k)
+        p3 = (count[is_v & is_u & is_w].sum() + k * p2) / (of_uv + k)
+        left = k / (of_uv + k) * k / (of_v + k)
+        assert total[a] == of_v
+        assert abs(math.log10(ngram_lm._shares(weight[i // 4]) / left)) <= 1.01 * ngram_lm._STEP
+        assert (share[i] == 255) == (p3 == 0) and (p3 == 0 or abs(math.log10(ngram_lm._shares(share[i]) / p3)) <= 1.01 * ngram_lm._STEP)
+
+
 def test_elias_fano():
     draw = np.random.default_rng(1)
     for values in (draw.integers(0, 2**63, 5000), np.arange(300), draw.integers(0, 50, 1000), draw.integers(0, 2**64 - 1, 300, dtype=np.uint64), np.array([7])):
