@@ -55,8 +55,8 @@ SAMPLE, HOT_TOKENS, HOT_SHARE = 50, SHARD_BYTES // 16, 1e-6
 _END = np.uint64(0x656E6400000000)
 #: Quantised steps of log10, from 0 down; 255 stands for 'not found'.
 _STEP = 10.0 / 254
-#: One in so many values narrows a search in a whole level.
-SKIP = 64
+#: One in so many values of a level is held plainly, to begin a search near its end.
+SKIP = 8
 _LOW32 = np.uint64(0xFFFFFFFF)
 #: Kinds of names, in their two lowest bits: plain words, hot words (dealt by the word before), hot contexts (dealt by the successor).
 _KIND, _PLAIN, _HOT, _WHOLE = np.uint64(3), np.uint64(0), np.uint64(1), np.uint64(2)
@@ -102,6 +102,10 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, base: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray) -> None:
         self.n, self.low_bits, self.base, self.low, self.high, self.rank = n, low_bits, base, low, high, rank
+        # eight bytes from every byte on
+        self.window = np.ndarray(max(len(low) - 7, 0), dtype="<u8", buffer=low, strides=(1,))
+        # every SKIP-th value, once a search asks for them
+        self.every: np.ndarray | None = None
 
     @staticmethod
     def pack(values: np.ndarray) -> tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,11 +127,10 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), dtype=np.uint64)
         at = i.astype(np.int64) * self.low_bits
-        byte, bit = at >> 3, (at & 7).astype(np.uint64)
-        out = np.zeros(len(i), dtype=np.uint64)
-        for k in range(-(-(self.low_bits + 7) // 8)):
-            x = self.low[np.minimum(byte + k, len(self.low) - 1)].astype(np.uint64)
-            out |= (x << np.uint64(8 * k) >> bit) if k < 8 else (x << (np.uint64(64) - bit)) * (bit > 0)
+        bit = (at & 7).astype(np.uint64)
+        out = self.window[at >> 3] >> bit
+        if self.low_bits > 57:
+            out |= (self.window[(at >> 3) + 1] >> np.uint64(56) << ((np.uint64(64) - bit) & np.uint64(63))) * (bit > 0)
         return out & np.uint64((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -140,34 +143,37 @@ class EliasFano:
 
     def search(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The place in [lo, hi) of each value, or -1 where it isn't there: the successor search within a context."""
-        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
         out = np.full(len(value), -1, dtype=np.int64)
         some = np.flatnonzero(lo < hi)
-        open_ = some[hi[some] - lo[some] > 1]
+        if not len(some):
+            return out
+        if self.every is None:
+            self.every = self.get(np.arange(0, self.n, SKIP))
+        wanted = value[some]
+        near = (np.searchsorted(self.every, wanted, side="right") - 1) * SKIP
+        lo, hi = np.maximum(lo[some].astype(np.int64), near), np.minimum(hi[some].astype(np.int64), near + SKIP)
+        open_ = np.flatnonzero(hi - lo > 1)
         while len(open_):
             middle = (lo[open_] + hi[open_]) >> 1
-            over = self.get(middle) > value[open_]
+            over = self.get(middle) > wanted[open_]
             lo[open_] = np.where(over, lo[open_], middle)
             hi[open_] = np.where(over, middle, hi[open_])
             open_ = open_[hi[open_] - lo[open_] > 1]
-        found = some[self.get(lo[some]) == value[some]]
-        out[found] = lo[found]
+        left = np.flatnonzero(lo < hi)
+        left = left[self.get(lo[left]) == wanted[left]]
+        out[some[left]] = lo[left]
         return out
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """``search`` in the whole sequence, begun between every SKIP-th value."""
-        if not self.n:
-            return np.full(len(value), -1, dtype=np.int64)
-        every = self.get(np.arange(0, self.n, SKIP))
-        lo = np.maximum(np.searchsorted(every, value, side="right") - 1, 0) * SKIP
-        return self.search(value, lo, np.minimum(lo + SKIP, self.n))
+        """``search`` in the whole sequence."""
+        return self.search(value, np.zeros(len(value), dtype=np.int64), np.full(len(value), self.n))
 
 
-def _children(key: np.ndarray, count: np.ndarray, parents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of ascending keys (parent << 32 | id) with repeats: the distinct ones, their counts, where each parent's begin."""
+def _children(key: np.ndarray, count: np.ndarray, parents: int, shift: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending keys (parent << shift | id) with repeats: the distinct ones, their counts, where each parent's begin."""
     first = np.flatnonzero(np.append(len(key) > 0, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
     total = np.add.reduceat(count, first) if len(first) else np.zeros(0, dtype=np.int64)
-    pointers = np.searchsorted(key[first] >> np.uint64(32), np.arange(parents + 1, dtype=np.uint64))
+    pointers = np.searchsorted(key[first] >> shift, np.arange(parents + 1, dtype=np.uint64))
     return key[first], total, pointers.astype(np.uint64)
 
 
@@ -197,9 +203,11 @@ class Trie:
         to_nexts = np.searchsorted(nexts >> np.uint64(32), parents).astype(np.uint64)
         pairs, of_pair = np.unique(top | before.astype(np.uint64), return_inverse=True)
         to_pairs = np.searchsorted(pairs >> np.uint64(32), parents).astype(np.uint64)
-        triple = of_pair.astype(np.uint64) << np.uint64(32) | of_next.astype(np.uint64) - to_nexts[of_name]
+        # places need as many bits as the longest list of successors; one more is that of no place
+        self.shift = np.uint64(int(np.diff(to_nexts).max(initial=0)).bit_length())
+        triple = of_pair.astype(np.uint64) << self.shift | of_next.astype(np.uint64) - to_nexts[of_name]
         order = np.argsort(triple, kind="stable")
-        triples, n3, to_triples = _children(triple[order], count[order].astype(np.int64), len(pairs))
+        triples, n3, to_triples = _children(triple[order], count[order].astype(np.int64), len(pairs), self.shift)
         # what each context has been seen with, and the weight that it leaves to the next shorter one
         context = (pairs >> np.uint64(32)).astype(np.int64)
         given = np.bincount(of_pair, count, minlength=len(pairs))
@@ -208,8 +216,8 @@ class Trie:
         left = PRIOR / (given + PRIOR)
         of_plain = (nexts >> np.uint64(32)).astype(np.int64)
         p2 = np.where(kind[of_plain] == _PLAIN, np.bincount(of_next, count, minlength=len(nexts)) / (total[of_plain] + PRIOR), 0.0)
-        above = (triples >> np.uint64(32)).astype(np.int64)
-        p3 = n3 / (given[above] + PRIOR) + left[above] * p2[(to_nexts[context[above]] + (triples & _LOW32)).astype(np.int64)]
+        above = (triples >> self.shift).astype(np.int64)
+        p3 = n3 / (given[above] + PRIOR) + left[above] * p2[(to_nexts[context[above]] + (triples & self._no_place())).astype(np.int64)]
         self.file = new_temp_file("trie-")
         levels = [EliasFano.pack(x) for x in (names, to_nexts, nexts, to_pairs, pairs, to_triples, triples)]
         places = []
@@ -229,13 +237,16 @@ class Trie:
         self.file.write(x.tobytes())
         return place
 
-    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, children: np.ndarray, name: np.ndarray) -> np.ndarray:
-        """For each parent (-1: none) and so many 32-bit names in a row: the places of these children, or -1."""
+    def _no_place(self) -> np.uint64:
+        return (np.uint64(1) << self.shift) - np.uint64(1)
+
+    def _below(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, children: np.ndarray, name: np.ndarray, shift: np.uint64 = np.uint64(32)) -> np.ndarray:
+        """For each parent (-1: none) and so many names of ``shift`` bits in a row: the places of these children, or -1."""
         lo, hi = np.zeros(len(parent), dtype=np.int64), np.zeros(len(parent), dtype=np.int64)
         at = np.flatnonzero(parent >= 0)
         if len(at) and level.n:
             lo[at], hi[at] = pointers.get(parent[at]), pointers.get(parent[at] + 1)
-        key = np.repeat(np.maximum(parent, 0).astype(np.uint64) << np.uint64(32), children) | name.astype(np.uint64)
+        key = np.repeat(np.maximum(parent, 0).astype(np.uint64) << shift, children) | name.astype(np.uint64)
         return level.search(key, np.repeat(lo, children), np.repeat(hi, children))
 
     def lookup(self, name: np.ndarray, pairs_of: np.ndarray, before: np.ndarray, triples_of: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,11 +257,11 @@ class Trie:
         words_of = np.bincount(name_of, triples_of, minlength=len(name)).astype(np.int64)
         after = self._below(self.nexts, self.to_nexts, at, words_of, word)
         known = np.flatnonzero(after >= 0)
-        place = np.full(len(word), _LOW32, dtype=np.uint64)
+        place = np.full(len(word), self._no_place(), dtype=np.uint64)
         if len(known):
             place[known] = after[known].astype(np.uint64) - self.to_nexts.get(at[name_of[pair_of[known]]])
         pair = self._below(self.pairs, self.to_pairs, at, pairs_of, before)
-        triple = self._below(self.triples, self.to_triples, pair, triples_of, place)
+        triple = self._below(self.triples, self.to_triples, pair, triples_of, place, self.shift)
         picked = lambda values, i, none: np.where(i >= 0, values[np.maximum(i, 0)] if len(values) else none, none)
         total = picked(self.total, at, 0).astype(np.int64)
         left = picked(self.left, pair, 0).astype(np.int64)

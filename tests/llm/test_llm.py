@@ -460,7 +460,8 @@ def test_lm_trie_smooths_within_its_shard():
     count, k = draw.integers(1, 4, 4000, dtype=np.uint32), ngram_lm.PRIOR
     trie = ngram_lm.Trie(v, u, w, count, np.zeros(0))
     # successors are named by their place below the context word
-    assert int((trie.triples.get(np.arange(trie.triples.n)) & np.uint64(0xFFFFFFFF)).max()) < len(np.unique(w))
+    assert int((trie.triples.get(np.arange(trie.triples.n)) & trie._no_place()).max()) < len(np.unique(w))
+    assert int(trie.shift) == len(np.unique(w)).bit_length()
     asked = [(a, b, c) for a in range(0, 7) for b in range(0, 10, 3) for c in (1, 2, 7, 60)]
     total, weight, share = trie.lookup(np.arange(7, dtype=np.uint64) << np.uint64(2), np.full(7, 4), np.array([b for _ in range(7) for b in range(0, 10, 3)], dtype=np.uint32), np.full(28, 4), np.array([c for _, _, c in asked], dtype=np.uint32))
     for i, (a, b, c) in enumerate(asked):
