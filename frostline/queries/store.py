@@ -156,6 +156,20 @@ def unexpired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unexpired(events.join(F.broadcast(now), F.lit(True)), F.col("now"), days=2).select("event_id")
 
 
+@query("SELECT ts::DATE AS day, count(*) AS stored, count(*) FILTER (ts >= (SELECT max(ts) FROM events) - INTERVAL 2 DAY) AS visible FROM events WHERE ts::DATE >= ((SELECT max(ts) FROM events) - INTERVAL 2 DAY)::DATE GROUP BY ALL")
+def retained_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored of each day, and what a scan shows, after the days that have expired as a whole were removed."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    first_day = now.select(F.to_date(F.col("now") - F.make_dt_interval(F.lit(2)))).first()[0]
+    store = S.Store(spark, S.shared_root(spark))
+    store.append_by_day("events", events.select("event_id", "ts"))
+    store.remove_expired("events", first_day)
+    left = store.scan("events")
+    visible = S.unexpired(left.join(F.broadcast(now), F.lit(True)), F.col("now"), days=2).groupBy("day").agg(F.count("*").alias("visible"))
+    return left.groupBy("day").agg(F.count("*").alias("stored")).join(visible, "day", "left").select("day", "stored", F.coalesce("visible", F.lit(0)).alias("visible"))
+
+
 @query("SELECT conv_id, string_agg(role, chr(10) ORDER BY turn, role) AS joined FROM conversations GROUP BY conv_id")
 def joined_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.joined_text(table(spark, sf_dir, "conversations"), "conv_id", text="role", ts="turn")

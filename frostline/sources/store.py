@@ -6,6 +6,8 @@ wave is read, overwritten and deleted by itself.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,26 @@ class Store:
             rows = rows.where(F.col(c) == value)
         return rows.limit(1)
 
+    def append_by_day(self, name: str, rows: DataFrame, ts: str = "ts") -> None:
+        """Rows go to the partitions of the days of their timestamps; those without one have no day and never expire."""
+        self.append(name, rows.withColumn("day", F.to_date(ts)), by="day")
+
+    def remove_expired(self, name: str, first_day: datetime.date) -> int:
+        """Removes the partitions of days before ``first_day``, by a listing of folders and without reading a row; tells how
+        many. The rest of the last day goes when that day has passed as a whole; ``unexpired`` leaves it out of scans until
+        then. Protected tables lose none."""
+        if name in PROTECTED:
+            return 0
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path(name))
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        days = [p.getPath() for p in files.listStatus(folder) if p.getPath().getName().startswith("day=")]
+        # the partition of rows without a day sorts behind all dates
+        old = [p for p in days if p.getName() < f"day={first_day.isoformat()}"]
+        for p in old:
+            files.delete(p, True)
+        return len(old)
+
     def delete_wave(self, name: str, wave: int, dry_run: bool = False) -> int:
         """Rows of a wave; they are deleted unless it is a dry run. Protected tables lose none."""
         if name in PROTECTED:

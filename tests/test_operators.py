@@ -153,6 +153,19 @@ def test_unknown_jurisdiction_fails(spark):
         spark.createDataFrame([("ZZ",)], "j string").select(packs.known_jurisdiction(F.col("j"), ("AE",))).collect()
 
 
+def test_expired_days_are_removed(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "root"))
+    rows = spark.sql("SELECT id, if(id = 0, null, timestamp '2024-02-27 12:00:00' + make_dt_interval(cast(id as int))) AS ts FROM range(6)")
+    for name in ("events", "access_audit"):
+        s.append_by_day(name, rows)
+    first_day = datetime.date(2024, 3, 1)
+    assert s.remove_expired("events", first_day) == 2 and s.remove_expired("access_audit", first_day) == 0
+    # 28 and 29 February are gone; the row without a day stays
+    assert rows_of(s.scan("events").select("id")) == [(0,), (3,), (4,), (5,)]
+    assert s.remove_expired("events", first_day) == 0
+    assert s.scan("access_audit").count() == 6
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "root"))
     log = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 2, "c")], "id int, wave int, _id string")
