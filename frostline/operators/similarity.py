@@ -15,13 +15,12 @@ from frostline.sources.store import written
 THRESHOLD = 0.95
 #: About how many vectors a block holds, most pivots, vectors that a task multiplies at a time.
 BLOCK, MOST_PIVOTS, ROWS = 2048, 4096, 512
+#: Tiles that a table is cut into, and about how many vectors and bytes a tile holds at most (beyond that there are more tiles).
+TILES, MOST_TILE, TILE_BYTES = 16, 65_536, 32 << 20
 #: Coordinates after which pairs are bounded by what the rest can still add: of 16, 32 and then all.
 STEPS = (16, 32)
 #: What rounding may add to a product of unit vectors.
 SLACK = 1e-9
-#: Rows of a folded copy or of a cell table that may be broadcast.
-BROADCAST_ROWS = 200_000
-
 _UNIT = pa.schema([("vec_id", pa.int64()), ("e", pa.binary()), ("key", pa.binary())])
 
 
@@ -41,6 +40,13 @@ def _matrix(column: list[bytes], dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), dims)
 
 
+def _whole(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """The same of a column without a Python object for each row."""
+    chunk = pa.concat_arrays(column.chunks) if column.num_chunks != 1 else column.chunk(0)
+    first = np.frombuffer(chunk.buffers()[1], dtype=np.int32, count=1, offset=4 * chunk.offset)[0]
+    return np.frombuffer(chunk.buffers()[2], dtype=np.float64, count=len(chunk) * dims, offset=int(first)).reshape(len(chunk), dims)
+
+
 def near_flags(a: np.ndarray, b: np.ndarray, threshold: float, same: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Which rows of a, and of b, have a product over the threshold with one of the other side; how many pairs were multiplied in full.
 
@@ -92,18 +98,21 @@ def _cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(scan, "vec_id long, e binary, cell int, angle double")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS, counts: dict[str, int] | None = None) -> DataFrame:
     """(vec_id, near): whether another vector has a cosine over the threshold (0 < threshold < 1). Exact.
 
     1. Equal vectors fold into one; those that are no zero vectors are near.
     2. A bounded number of pivots, drawn by hash, part the vectors into cells, and cells into blocks of bounded size. Two cells
        meet unless the angle between their pivots exceeds their radii and the angle of the threshold together, in which case
        no pair of theirs can be near (the triangle inequality of angles).
-    3. Blocks that meet are multiplied in one task, leading coordinates first: pairs are left as soon as what remains of
+    3. Neighbouring blocks make up tiles, ``TILES`` of them until a tile would hold more than a task should. Two tiles come
+       together in one task, with just the blocks that meet one of the other tile, so a vector is sent ``TILES`` times at most
+       while tiles are that few, however many blocks there are.
+    4. In a task blocks that meet are multiplied, leading coordinates first: pairs are left as soon as what remains of
        both vectors can't lift the product over the threshold.
 
-    Clustered vectors are pruned by 2, scattered ones by 3. No pair becomes a row. Null vectors and vectors of zeros are near
-    nothing; vectors of different lengths aren't compared. vec_id is unique.
+    Clustered vectors are pruned by 2, scattered ones by 4. No pair becomes a row. Null vectors and vectors of zeros are near
+    nothing; vectors of different lengths aren't compared. vec_id is unique. counts, if given, gets how many rows are sent to pairs of tiles.
     """
     spark = vectors.sparkSession
     unit = written(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(_unit, "vec_id long, e binary, key binary"), "near-unit")
@@ -112,7 +121,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     lengths = [r["n"] for r in folded.where(~none).select(F.octet_length("e").alias("n")).distinct().collect()]
     close = None
     for length in sorted(lengths):
-        found = _near_of(folded.where(~none & (F.octet_length("e") == length)), length // 8, threshold, block, most_pivots)
+        found = _near_of(folded.where(~none & (F.octet_length("e") == length)), length // 8, threshold, block, most_pivots, counts)
         close = found if close is None else close.unionByName(found)
     alike = folded.where(~none & (F.col("copies") > 1)).select("vec_id")
     close = alike if close is None else close.unionByName(alike)
@@ -120,49 +129,107 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     return unit.select("vec_id", "key").join(near, "key").select("vec_id", F.coalesce("near", F.lit(False)).alias("near"))
 
 
-def _near_of(vectors: DataFrame, dims: int, threshold: float, block: int, most_pivots: int) -> DataFrame:
+def _chain(pivots: np.ndarray) -> list[int]:
+    """The pivots in an order in which each is followed by the nearest one that is left."""
+    left, order = np.ones(len(pivots), dtype=bool), [0]
+    left[0] = False
+    while len(order) < len(pivots):
+        order.append(int(np.where(left, pivots @ pivots[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return order
+
+
+def _tiles(order: list[int], sizes: np.ndarray, blocks: np.ndarray, tile: int) -> dict[tuple[int, int], int]:
+    """The tile of each block (cell, i): blocks of cells in order, until a tile is full."""
+    out, at, held = {}, 0, 0.0
+    for c in order:
+        for i in range(blocks[c]):
+            size = sizes[c] / blocks[c]
+            if held and held + size > tile:
+                at, held = at + 1, 0.0
+            out[c, i] = at
+            held += size
+    return out
+
+
+def _near_of(vectors: DataFrame, dims: int, threshold: float, block: int, most_pivots: int, counts: dict[str, int] | None = None) -> DataFrame:
     """vec_id of the distinct unit vectors (vec_id, e) of one length that are near another."""
-    spark = vectors.sparkSession
     n = vectors.count()
+    tile = min(MOST_TILE, max(1, TILE_BYTES // (8 * dims)), max(64, -(-n // TILES)))
+    # some blocks make up a tile, so that tiles come out alike
+    block = min(block, max(64, -(-tile // 4)))
     wanted = min(most_pivots, -(-n // block))
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()
     pivots = _matrix([bytes(r["e"]) for r in chosen], dims)
     celled = written(_cells(vectors.select("vec_id", "e"), pivots), "near-cells")
-    table = celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).collect()
-    radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int32)
+    table = celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()
+    radius, sizes = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype=np.int64)
     for r in table:
-        radius[r["cell"]], blocks[r["cell"]] = r["radius"], r["blocks"]
+        radius[r["cell"]], sizes[r["cell"]] = r["radius"], r["n"]
+    blocks = -(-sizes // block)
+    tiles = _tiles(_chain(pivots), sizes, blocks, tile)
     apart = np.arccos(threshold) + 1e-7
 
+    def meeting(c: int) -> np.ndarray:
+        return np.arccos(np.clip(pivots @ pivots[c], -1.0, 1.0)) <= radius + radius[c] + apart
+
+    of_cell = [sorted({tiles[c, i] for i in range(blocks[c])}) for c in range(len(pivots))]
+
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(cell, i, ca, ia, cb, ib, side): where the blocks of each cell meet others. One row of pivots at a time."""
+        """The vectors with the tiles a and b whose pair they are sent to, and whether they are of b."""
+        sent: dict[int, list[int]] = {}
         for batch in batches:
-            for c in batch.column(0).to_pylist():
-                angle = np.arccos(np.clip(pivots @ pivots[c], -1.0, 1.0))
-                for d in np.flatnonzero(angle <= radius + radius[c] + apart):
-                    rows = []
-                    for i in range(blocks[c]):
-                        for j in range(blocks[d]):
-                            swap = (d, j) < (c, i)
-                            rows.append((c, i, *((d, j, c, i) if swap else (c, i, d, j)), int(swap)))
-                    columns = [pa.array(x, type=pa.int32()) for x in zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["cell", "i", "ca", "ia", "cb", "ib", "side"])
-
-    meets = spark.range(len(pivots)).repartition(max(1, len(pivots) // 64)).mapInArrow(partners, "cell int, i int, ca int, ia int, cb int, ib int, side int")
-    meets = written(meets, "near-meets")
-    count = F.create_map(*(F.lit(int(x)) for r in table for x in (r["cell"], r["blocks"])))
-    dealt = celled.select("vec_id", "e", "cell", F.pmod(F.xxhash64("vec_id"), count[F.col("cell")]).cast("int").alias("i"))
-    sent = dealt.join(F.broadcast(meets) if meets.count() <= BROADCAST_ROWS else meets, ["cell", "i"]).drop("cell", "i")
+            cells = batch.column("cell").to_numpy()
+            own = batch.column("i").to_numpy()
+            at, a, b = [], [], []
+            for c in np.unique(cells).tolist():
+                if c not in sent:
+                    sent[c] = sorted({t for d in np.flatnonzero(meeting(c)) for t in of_cell[d]})
+                for i in np.unique(own[cells == c]).tolist():
+                    rows, t = np.flatnonzero((cells == c) & (own == i)), tiles[c, i]
+                    at += [rows] * len(sent[c])
+                    a += [np.full(len(rows), min(t, u)) for u in sent[c]]
+                    b += [np.full(len(rows), max(t, u)) for u in sent[c]]
+            if not at:
+                continue
+            at, a, b = np.concatenate(at), np.concatenate(a).astype(np.int32), np.concatenate(b).astype(np.int32)
+            # some rows at a time: each one is there as often as it has tiles to meet
+            for lo in range(0, len(at), 8 * ROWS):
+                part = batch.take(pa.array(at[lo : lo + 8 * ROWS]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(a[lo : lo + 8 * ROWS]), pa.array(b[lo : lo + 8 * ROWS])], names=["vec_id", "e", "cell", "i", "a", "b"])
+
+    count = F.element_at(F.array(*(F.lit(int(x)) for x in np.maximum(blocks, 1))), F.col("cell") + 1)
+    dealt = celled.select("vec_id", "e", "cell", F.pmod(F.xxhash64("vec_id"), count).cast("int").alias("i"))
+    sent = dealt.mapInArrow(partners, "vec_id long, e binary, cell int, i int, a int, b int")
+    if counts is not None:
+        counts["sent"] = counts.get("sent", 0) + sent.count()
 
     def judge(pair: pa.Table) -> pa.Table:
-        sides = [pair.filter(pa.compute.equal(pair.column("side"), s)) for s in (0, 1)]
-        a, b = (_matrix(x.column("e").to_pylist(), dims) for x in sides)
-        ids = [x.column("vec_id").to_numpy() for x in sides]
-        own = (pair.column("ca")[0], pair.column("ia")[0]) == (pair.column("cb")[0], pair.column("ib")[0])
-        hit_a, hit_b, _ = near_flags(a, a, threshold, same=True) if own else near_flags(a, b, threshold)
-        return pa.table({"vec_id": pa.array(ids[0][hit_a] if own else np.concatenate([ids[0][hit_a], ids[1][hit_b]]), type=pa.int64())})
-
-    return written(sent.groupBy("ca", "ia", "cb", "ib").applyInArrow(judge, "vec_id long").distinct(), "near-found")
+        if not len(pair):
+            return pa.table({"vec_id": pa.array([], type=pa.int64())})
+        e, ids = _whole(pair.column("e"), dims), pair.column("vec_id").to_numpy()
+        cells, own = pair.column("cell").to_numpy(), pair.column("i").to_numpy()
+        order = np.lexsort((own, cells))
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(cells[order]).astype(bool) | np.diff(own[order]).astype(bool)]))
+        held = [(int(cells[rows[0]]), int(own[rows[0]]), rows) for rows in np.split(order, starts[1:])]
+        a, b = pair.column("a")[0].as_py(), pair.column("b")[0].as_py()
+        hit = np.zeros(len(pair), dtype=bool)
+        for at, (c, i, rows) in enumerate(held):
+            if tiles[c, i] != a:
+                continue
+            meets, left = meeting(c), e[rows]
+            for x, (d, j, others) in enumerate(held):
+                if tiles[d, j] != b or not meets[d] or (a == b and x < at):
+                    continue
+                if x == at:
+                    hit[rows] |= near_flags(left, left, threshold, same=True)[0]
+                else:
+                    hit_a, hit_b, _ = near_flags(left, e[others], threshold)
+                    hit[rows] |= hit_a
+                    hit[others] |= hit_b
+        return pa.table({"vec_id": pa.array(ids[hit], type=pa.int64())})
+
+    return written(sent.groupBy("a", "b").applyInArrow(judge, "vec_id long").distinct(), "near-found")
 
 
 def near_duplicate_rate(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

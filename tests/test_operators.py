@@ -241,6 +241,19 @@ def test_near_duplicates(spark, block, pivots):
     assert similarity.near_duplicates(df.where("false")).count() == 0
 
 
+def test_vectors_are_sent_to_few_tiles(spark):
+    """However small blocks are, a vector goes to as many tasks as there are tiles at most; planted pairs are found across tiles."""
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(3000, 48))
+    x[2950:] = x[:50] + 0.02
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counts = {}
+    near = {r["vec_id"] for r in similarity.near_duplicates(df, block=40, counts=counts).collect() if r["near"]}
+    assert near == {*range(50), *range(2950, 3000)}
+    assert counts["sent"] <= (similarity.TILES + 2) * len(x)
+
+
 def test_few_pairs_are_multiplied():
     """Scattered vectors: remaining lengths rule out nearly all pairs after some coordinates; copies all meet."""
     import numpy as np
