@@ -1,10 +1,15 @@
 """Synthetic temperature series: one row a request, all draws are functions of the request's seed.
 
 A draw is 48 bits of a digest of seed and name, so a series is the same wherever and however often it is made.
+Points of series are drawn and rounded with Arrow and Numpy, some rows at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +17,8 @@ from frostline.functions.rules import INTERVAL_MIN, product_specs
 
 # Points of a series, operating span in degrees of products without a lower bound.
 POINTS, FROZEN_SPAN_C = 96, 7.0
+#: Rows whose points are held at a time.
+ROWS = 512
 # Most tokens of rendered and of extracted texts by artifact type.
 RENDER_TOKENS = (("logger_csv", 2400), ("chat_message", 500), ("qc_form_ocr", 900), ("voice_note", 500))
 EXTRACT_TOKENS = (("logger_csv", 1200), ("chat_message", 400), ("qc_form_ocr", 700), ("voice_note", 400))
@@ -36,37 +43,81 @@ def operating_floor(low: Column, high: Column) -> Column:
     return F.coalesce(low, high - FROZEN_SPAN_C)
 
 
+def _parts(prefixes: list[bytes], names: list[bytes]) -> np.ndarray:
+    """The uniform numbers of [0, 1) behind ``draw``: a row for each prefix (the seed and a colon), a column for each name."""
+    digests = b"".join([hashlib.sha256(p + n).digest() for p in prefixes for n in names])
+    bits = np.frombuffer(digests, dtype=">u8")[::4].astype(np.uint64) >> np.uint64(16)
+    return bits.astype(np.float64).reshape(len(prefixes), len(names)) / float(1 << 48)
+
+
+def _hundredths(x: np.ndarray) -> np.ndarray:
+    """Rounded to two digits, halves away from zero; never a negative zero."""
+    return np.copysign(np.floor(np.abs(x) * 100 + 0.5), x) / 100 + 0.0
+
+
+def _base(prefixes: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    middle, half = ((low + high) / 2)[:, None], ((high - low) / 2)[:, None]
+    least, most = -half * 0.6, half * 0.6
+    return _hundredths(middle + (least + (most - least) * _parts(prefixes, [b"base%d" % i for i in range(POINTS)])))
+
+
+def _faulty(prefixes: list[bytes], fault: str, base: np.ndarray) -> np.ndarray:
+    """The rows of base, all of one fault mode, with that fault."""
+    x, i = base.copy(), np.arange(POINTS)
+    part = lambda *names: _parts(prefixes, [n.encode() for n in names]).T
+    whole = lambda u, low, high: np.floor(low + (high + 1 - low) * u).astype(np.int64)
+    if fault == "door_open":
+        u = part("at", "long", "warm")
+        at, warm = whole(u[0], 0, POINTS - 9)[:, None], 22.0 + (38.0 - 22.0) * u[2]
+        row, k = np.nonzero((i >= at) & (i < at + whole(u[1], 2, 8)[:, None]))
+        pull = np.concatenate([np.zeros(0), *(_parts([prefixes[r]], [b"pull%d" % p for p in k[row == r]])[0] for r in range(len(base)))])
+        x[row, k] = _hundredths(x[row, k] + (warm[row] - x[row, k]) * (0.4 + (0.9 - 0.4) * pull))
+    elif fault == "compressor_fail":
+        u = part("half", "rise")
+        half, rise = whole(u[0], 0, POINTS // 2 - 1), 0.3 + (0.9 - 0.3) * u[1]
+        # each warmer point is rounded before the next one builds on it
+        for k in range(1, POINTS):
+            x[:, k] = np.where(k > half, _hundredths(x[:, k - 1] + rise), x[:, k])
+    elif fault == "setpoint_drift":
+        x = _hundredths(x + (i + 1) * (0.02 + (0.08 - 0.02) * part("drift")[0])[:, None])
+    elif fault == "sensor_artifact":
+        u = part("kind", "where", "stuck", "sign", "jump")
+        kind, where, stuck = whole(u[0], 0, 2)[:, None], whole(u[1], 0, POINTS - 1)[:, None], whole(u[2], 8, 20)[:, None]
+        jump = np.where(u[3] < 0.5, -1.0, 1.0) * (15.0 + (40.0 - 15.0) * u[4])
+        x = np.where((kind == 0) & (i >= where) & (i < where + stuck), np.take_along_axis(base, where, axis=1), x)
+        x = np.where((kind == 1) & (i == where), _hundredths(base + jump[:, None]), x)
+        x = np.where((kind == 2) & (i == where), -99.9, x)
+    return x
+
+
+def _points(seed: pa.Array, fault: pa.Array, low: pa.Array, high: pa.Array) -> pa.Array:
+    prefixes = [b"" if s is None else s.encode() + b":" for s in seed.to_pylist()]
+    faults = np.array([f or "" for f in fault.to_pylist()], dtype=object)
+    low, high = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (low, high))
+    made = [pa.array([], type=pa.float64())]
+    for at in range(0, len(prefixes), ROWS):
+        own, kinds = prefixes[at : at + ROWS], faults[at : at + ROWS]
+        x = _base(own, low[at : at + ROWS], high[at : at + ROWS])
+        for kind in set(kinds):
+            rows = np.flatnonzero(kinds == kind)
+            x[rows] = _faulty([own[r] for r in rows], kind, x[rows])
+        # points without bounds are null
+        made.append(pa.array(x.ravel(), from_pandas=True))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(prefixes) + 1, dtype=np.int32) * POINTS), pa.concat_arrays(made))
+
+
 def in_spec() -> Column:
     """Around the middle of the band, up to 0.6 of its half."""
-    low = operating_floor(F.col("min_c"), F.col("max_c"))
-    middle, half = (low + F.col("max_c")) / 2, (F.col("max_c") - low) / 2
-    return F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.round(middle + draw(F.concat(F.lit("base"), i.cast("string")), -half * 0.6, half * 0.6), 2))
+    return _series(F.lit("in_spec"))
+
+
+def _series(fault: Column) -> Column:
+    return F.arrow_udf(_points, "array<double>")(F.col("rng_seed").cast("string"), fault.cast("string"), operating_floor(F.col("min_c"), F.col("max_c")).cast("double"), F.col("max_c").cast("double"))
 
 
 def with_series(rows: DataFrame) -> DataFrame:
-    """Adds readings_c by fault mode, sensor_fault and the draws behind them."""
-    r = rows.withColumn("base", in_spec()).withColumns(
-        {
-            "at": pick("at", 0, POINTS - 9), "long": pick("long", 2, 8), "warm": draw("warm", 22.0, 38.0), "half": pick("half", 0, POINTS // 2 - 1), "rise": draw("rise", 0.3, 0.9), "drift": draw("drift", 0.02, 0.08),
-            "kind": pick("kind", 0, 2), "where": pick("where", 0, POINTS - 1), "stuck": pick("stuck", 8, 20), "jump": F.when(draw("sign") < 0.5, -1.0).otherwise(1.0) * draw("jump", 15.0, 40.0),
-        }
-    )
-    pulled = F.transform("base", lambda x, i: F.when(i.between(F.col("at"), F.col("at") + F.col("long") - 1), F.round(x + (F.col("warm") - x) * draw(F.concat(F.lit("pull"), i.cast("string")), 0.4, 0.9), 2)).otherwise(x))
-    # each warmer point is rounded before the next one builds on it, so this is a fold
-    rising = F.aggregate(
-        F.sequence(F.lit(1), F.lit(POINTS - 1)), F.array(F.get("base", F.lit(0))),
-        lambda acc, i: F.concat(acc, F.array(F.when(i > F.col("half"), F.round(F.element_at(acc, -1) + F.col("rise"), 2)).otherwise(F.get("base", i)))),
-    )
-    drifting = F.transform("base", lambda x, i: F.round(x + (i + 1) * F.col("drift"), 2))
-    held = F.get("base", F.col("where"))
-    broken = F.transform(
-        "base",
-        lambda x, i: F.when((F.col("kind") == 0) & i.between(F.col("where"), F.col("where") + F.col("stuck") - 1), held)
-        .when((F.col("kind") == 1) & (i == F.col("where")), F.round(x + F.col("jump"), 2)).when((F.col("kind") == 2) & (i == F.col("where")), -99.9).otherwise(x),
-    )
-    fault = F.col("fault")
-    series = F.when(fault == "door_open", pulled).when(fault == "compressor_fail", rising).when(fault == "setpoint_drift", drifting).when(fault == "sensor_artifact", broken).otherwise(F.col("base"))
-    return r.withColumn("readings_c", series).withColumn("sensor_fault", fault == "sensor_artifact").drop("base", "at", "long", "warm", "half", "rise", "drift", "kind", "where", "stuck", "jump")
+    """Adds readings_c by fault mode, and sensor_fault."""
+    return rows.withColumn("readings_c", _series(F.col("fault"))).withColumn("sensor_fault", F.col("fault") == "sensor_artifact")
 
 
 def synthesize(requests: DataFrame) -> DataFrame:
@@ -94,6 +145,11 @@ def synthesize(requests: DataFrame) -> DataFrame:
     return rows.drop("min_c", "max_c", "refreeze_c", "hold_min", "reject_min", "shelf_days")
 
 
+def visible_names(states: DataFrame) -> Column:
+    """The names of a state's fields without those it lacks, for which no series has to be made."""
+    return F.filter(F.array(*map(F.lit, FIELDS)), lambda k: ~F.array_contains("missing_fields", k))
+
+
 def visible_fields(states: DataFrame) -> Column:
     """The fields of a state as a map of JSON texts, without those it lacks."""
     told = F.map_from_arrays(F.array(*map(F.lit, FIELDS)), F.array(*(F.to_json(F.struct(F.col(c).alias("x"))) for c in FIELDS)))

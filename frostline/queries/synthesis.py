@@ -82,7 +82,7 @@ def operating_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT rng_seed, array_to_string(list_filter(['product', 'readings_c', 'interval_min', 'ambient_c', 'days_since_production', 'peak_season'], lambda k: k IS DISTINCT FROM hidden), ',') AS fields FROM a""")
 def visible_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = S.synthesize(_requests(spark, sf_dir))
-    return states.select("rng_seed", F.array_join(F.map_keys(S.visible_fields(states)), ",").alias("fields"))
+    return states.select("rng_seed", F.array_join(S.visible_names(states), ",").alias("fields"))
 
 
 @query(f"WITH q AS (SELECT {_REQUEST} FROM orders) SELECT rng_seed, CASE artifact_type WHEN 'logger_csv' THEN 2400 WHEN 'qc_form_ocr' THEN 900 ELSE 500 END AS render_tokens, CASE artifact_type WHEN 'logger_csv' THEN 1200 WHEN 'qc_form_ocr' THEN 700 ELSE 400 END AS extract_tokens FROM q")

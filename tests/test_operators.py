@@ -221,6 +221,23 @@ def test_synthesis(spark):
         df.select(synthesis.token_budget(F.lit("poem"), synthesis.RENDER_TOKENS)).collect()
 
 
+def test_series_are_made_by_rows_at_a_time(spark):
+    """Points equal the draws of their names; no point is an expression of its own, and names of fields need no series."""
+    rows = [(i, "chilled_dairy", fault, "voice_note", False, i % 3 == 0) for i in range(40) for fault in ("in_spec", "setpoint_drift", "poem")]
+    df = spark.createDataFrame(rows, "rng_seed long, product string, fault string, artifact_type string, is_adversarial boolean, is_abstention boolean")
+    made = synthesis.with_series(df.withColumns({"min_c": F.lit(0.0), "max_c": F.lit(5.0)}))
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = [2.5 + synthesis.draw(f"base{i}", -1.5, 1.5) for i in (0, 95)]
+    drift = [F.when(F.col("fault") == "setpoint_drift", n * synthesis.draw("drift", 0.02, 0.08)).otherwise(0.0) for n in (1, 96)]
+    for r in made.select("readings_c", *(F.round(F.round(w, 2) + d, 2).alias(f"w{n}") for n, (w, d) in enumerate(zip(want, drift, strict=True)))).collect():
+        assert len(r["readings_c"]) == 96 and (r["readings_c"][0], r["readings_c"][-1]) == (r["w0"], r["w1"])
+    states = synthesis.synthesize(df)
+    names = states.select(synthesis.visible_names(states).alias("names"))
+    assert "EvalPython" not in names._jdf.queryExecution().optimizedPlan().toString()
+    told = states.select(F.map_keys(synthesis.visible_fields(states)).alias("names"))
+    assert rows_of(names) == rows_of(told)
+
+
 @pytest.mark.parametrize(("block", "pivots"), [(2048, 4096), (7, 4096), (5, 3)])
 def test_near_duplicates(spark, block, pivots):
     """One block, cells that meet by the triangle inequality, and cells of several blocks."""
