@@ -20,6 +20,8 @@ LEAST_TEXTS, FOLDS = 50, 4
 BUCKETS, PASSES, MOST_CLASSES = 4096, 30, 64
 #: Parts that a task's sums are sent in, and how many are added together.
 _PARTS, _FAN = 8, 64
+#: Texts whose words, and entries of texts whose products, a task holds at a time.
+TEXTS, ENTRIES = 64, 1 << 17
 
 _FEATURES = pa.schema([("label", pa.string()), ("part", pa.int32()), ("place", pa.int64()), ("index", pa.list_(pa.int32())), ("count", pa.list_(pa.int32()))])
 _SUM_DDL = "task int, part int, value binary"
@@ -34,7 +36,7 @@ def _features(buckets: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, int] = defaultdict(int)
-        for batch in batches:
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, len(b), TEXTS)):
             rows = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = word.findall((text or "").lower())
@@ -73,7 +75,8 @@ def _summed(rows: DataFrame, tasks: int, shape: tuple[int, ...], add: Callable[[
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
         for batch in batches:
-            total += add(batch)
+            for part in _slices(batch):
+                total += add(part)
         parts = np.array_split(total.ravel(), _PARTS)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * _PARTS, type=pa.int32()), pa.array(range(_PARTS), type=pa.int32()), pa.array([x.tobytes() for x in parts], type=pa.binary())], names=["task", "part", "value"])
 
@@ -87,6 +90,15 @@ def _summed(rows: DataFrame, tasks: int, shape: tuple[int, ...], add: Callable[[
     return np.concatenate(parts).reshape(shape)
 
 
+def _slices(batch: pa.RecordBatch, most: int = ENTRIES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most so many entries together; a row of more is a run of its own."""
+    ends, at = batch.column("index").offsets.to_numpy(), 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(fold, row of each entry, index, count) of a batch."""
     index = batch.column("index")

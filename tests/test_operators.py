@@ -298,6 +298,19 @@ def test_leakage_probe(spark):
     assert leakage.leakage_probe(spark.createDataFrame(plain, schema)) < 0.7
 
 
+def test_probe_holds_few_entries_at_a_time():
+    """Batches are added up in runs of rows of bounded size, also where a batch is itself a slice; texts come out some at a time."""
+    import pyarrow as pa
+
+    sizes = [3, 0, 5, 40, 1, 1, 0, 9, 2, 0]
+    index = pa.array([list(range(n)) for n in sizes], type=pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([index, index], names=["index", "count"]).slice(1)
+    parts = list(leakage._slices(batch, 10))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    held = [(len(p), len(p.column("index").flatten())) for p in parts]
+    assert all(rows and (n <= 10 or rows == 1) for rows, n in held) and len(held) < len(batch)
+
+
 def test_folds_are_stratified(spark):
     rows = [("t", "abc"[min(i % 11, 2)]) for i in range(500)]
     data = spark.createDataFrame(rows, "rendered_text string, disposition string").repartition(7)
