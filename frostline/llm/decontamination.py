@@ -63,7 +63,8 @@ def _weighted(df: DataFrame, key: list[str], weights: DataFrame, default: float)
     each = len(packs) * 64 // BITS
     sums = sums.select(*key, "u", F.array(*(f"s{n}" for n in range(len(packs)))).alias("s"))
     on = f"2 * (shiftright(s[j * {each} + b div 3], int({_COUNTER} * (b % 3))) & {(1 << _COUNTER) - 1}L) > u"
-    fp = F.expr(f"transform(sequence(0, {BITS // 64 - 1}), j -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({on}, shiftleft(1L, b), 0L)))")
+    # bound as a lambda's variable, the sums are put into an array once a row and not once a bit
+    fp = F.expr(f"transform(array(s), s -> transform(sequence(0, {BITS // 64 - 1}), j -> aggregate(sequence(0, 63), 0L, (acc, b) -> acc | if({on}, shiftleft(1L, b), 0L))))[0]")
     sets = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("h", "weight"))).alias("fs"))
     return sets.join(sums.select(*key, fp.alias("fp")), key).withColumn("total", F.expr("aggregate(fs, 0D, (s, x) -> s + x.weight)"))
 

@@ -237,3 +237,17 @@ def test_minhash_blocks(spark, monkeypatch):
             w[at] = f"x{rng.integers(0, 4)}"
         rows.append((i, " ".join(w)))
     assert near(spark, rows) == components(rows)
+
+
+def test_simhash_sums_are_gathered_once_a_row(spark):
+    """No array of all sums is built anew for each bit of a fingerprint."""
+    import re
+
+    from frostline.llm import decontamination
+
+    rows = spark.createDataFrame([(1, [5, 6, 7]), (2, [6, 8])], "id long, ws array<long>")
+    weights = spark.createDataFrame([(6, 0.5)], "h long, weight double")
+    got = decontamination._weighted(rows, ["id"], weights, 1.0)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"shiftright\(lambda s#\d+\[", plan)
+    assert {r["id"]: len(r["fp"]) for r in got.collect()} == {1: 4, 2: 4}
